@@ -11,6 +11,7 @@ from .common import load
 from .decontaminate import decontaminate
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .nbsvm import score, train
 from .quality_rules import judged
 from .secrets import joined, scan_secrets
 from .simhash import near_duplicates
@@ -45,6 +46,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(load(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return score(docs, train(docs, load(spark, sf_dir, "labels")))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(load(spark, sf_dir, "documents")).drop("kept")
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": op5_mix_sources,
     "op6_line_dedup": op6_line_dedup,
     "op7_token_files": op7_token_files,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
