@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import load
 from .decontaminate import decontaminate
 from .line_dedup import dedup_lines
+from .lm_score import score_documents
 from .mixing import mix
 from .nbsvm import score, train
 from .quality_rules import judged
@@ -30,6 +31,10 @@ def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(load(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), cut=False).drop("clean_text", "item_ids")
 
@@ -63,6 +68,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_neardup": op2_simhash_neardup,
+    "op3_lm_score": op3_lm_score,
     "op4_decontaminate": op4_decontaminate,
     "op5_mix_sources": op5_mix_sources,
     "op6_line_dedup": op6_line_dedup,

@@ -51,12 +51,12 @@ def fingerprint(text: bytes, k: int = 4, seed: int = 42) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, seed: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = np.array([fingerprint(x, k, seed) for x in b.column(1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.int64())], names=["doc_id", "body", "fp"])
 
 
 def fingerprints(docs: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) for each row."""
-    return texts(docs).mapInArrow(partial(_fingerprints, k=k, seed=seed), "doc_id long, fp long")
+    """doc_id, body (a hash of the text) and fp (the 64 bits as a signed long) for each row."""
+    return texts(docs).withColumn("body", F.xxhash64("text")).mapInArrow(partial(_fingerprints, k=k, seed=seed), "doc_id long, body long, fp long")
 
 
 def _thermometer(f: np.ndarray) -> np.ndarray:
@@ -157,7 +157,7 @@ def near_links(fps: DataFrame, limit: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, limit: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable through fingerprints within limit bits) for each row of docs.
+    """doc_id, body, fp and component_id (smallest doc_id reachable through fingerprints within limit bits) for each row of docs.
 
     Equal fingerprints are one node, so copies cost nothing. Null and empty texts have fingerprint 0 and link like
     any other; null ids never name a component unless all its ids are null; repeated rows come out each; an empty
@@ -168,4 +168,22 @@ def near_duplicates(docs: DataFrame, k: int = 4, limit: int = 4, seed: int = 42)
     roots = connected_components(near_links(nodes.select("fp"), limit))
     at = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = at.join(at.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "body", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = 4, limit: int = 4, seed: int = 42) -> DataFrame:
+    """The rows of docs whose id names their component, one for each component.
+
+    In a component without any id, one row for each text stays; of equal rows (id and text) one stays.
+    """
+    told = stored(near_duplicates(docs, k, limit, seed), "near-duplicates")
+    gone = stored(told.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("body").alias("_text_hash")).distinct(), "near-duplicates-gone")
+    out = docs.withColumn("_body", F.xxhash64(F.coalesce("text", F.lit(""))))
+    out = out.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_body") == F.col("_text_hash")), "left_anti")
+    kept = told.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if not kept.groupBy("doc_id", "body").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "_body"])
+    if not kept.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.countDistinct("body").alias("n")).filter("n > 1").isEmpty():
+        least = kept.groupBy("doc_id").agg(F.min("body").alias("_least"))  # texts under one id that are near each other
+        out = out.join(least.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").filter(F.col("_least").isNull() | (F.col("_least") == F.col("_body")))
+    return out.select(*docs.columns)
