@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sequences", "prediction")
+MODULES = ("sequences", "prediction", "harmony")
 
 
 def _merged(name: str) -> dict:
