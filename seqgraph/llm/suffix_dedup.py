@@ -9,6 +9,7 @@ segments at once, and puts the rest into a suffix array, in which equal windows
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 from functools import partial
 
@@ -16,15 +17,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import stored, texts
 
 LENGTH = 50
 GRAM = 20
-#: Bytes of text that a task takes at once, and bytes of text for each shard, about.
-SLICE, SHARD = 4 << 20, 8 << 20
+#: Bytes of text in a slice, and bytes of packed text for each shard, about.
+SLICE, SHARD = 2 << 20, 4 << 20
+#: Stands for a null id, below all others.
+NO_ID = -(2**63)
 #: Stands between texts in a shard's array; UTF-8 has no such byte.
 BREAK = 0xFF
 _TABLE = np.random.default_rng(11).integers(1, 2**63, 256, np.uint64)
@@ -57,10 +61,7 @@ def _induce(s: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, sigma: int) -> n
         return stay
 
     for c in range(sigma):
-        done = []
-        for part in larger[c]:
-            done.append(part)
-        turn = 0
+        done, turn = [np.concatenate(larger[c])] if larger[c] else [], 0
         while turn < len(done):
             # parts are scanned in the order in which they were placed
             stay = place(done[turn], c, False, larger)
@@ -70,14 +71,15 @@ def _induce(s: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, sigma: int) -> n
         larger[c] = done
         place(seeds[order[ends[c] : ends[c + 1]]], c, False, larger)
     for c in range(sigma - 1, -1, -1):
-        done, turn = smaller[c], 0
+        done, turn = [np.concatenate(smaller[c])] if smaller[c] else [], 0
         while turn < len(done):
             stay = place(done[turn], c, True, smaller)
             if len(stay):
                 done.append(stay)
             turn += 1
-        for part in reversed(larger[c]):
-            place(part[::-1], c, True, smaller)
+        smaller[c] = done
+        if larger[c]:
+            place(np.concatenate(larger[c])[::-1], c, True, smaller)
     out = [np.array([len(s) - 1])]  # the end of the text, which nothing precedes
     for c in range(sigma):
         out += larger[c]
@@ -220,70 +222,129 @@ def segments(buf: np.ndarray, stops: np.ndarray, length: int, gram: int) -> tupl
     return cuts[good], runs[good], h[low[cuts[good]].astype(np.int64)]
 
 
-_KINDS = (("docs", np.int64), ("bodies", np.int64), ("doc", np.uint32), ("pos", np.int64), ("run", np.uint8), ("hash", np.uint64))
+def _zip(*arrays) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
 
 
-def _pack(parts: dict[str, np.ndarray], content: bytes) -> bytes:
-    head = np.array([len(parts[k]) for k, _ in _KINDS], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *(parts[k].astype(d).tobytes() for k, d in _KINDS), content]))
+def _unzip(raw: bytes) -> tuple:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
 
 
-def _unpack(raw: bytes) -> tuple[dict[str, np.ndarray], bytes]:
-    data = zstandard.ZstdDecompressor().decompress(raw)
-    sizes, at, out = np.frombuffer(data, np.int64, len(_KINDS)), 8 * len(_KINDS), {}
-    for n, (k, d) in zip(sizes.tolist(), _KINDS, strict=True):
-        out[k] = np.frombuffer(data, d, n, at)
-        at += n * np.dtype(d).itemsize
-    return out, data[at:]
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about SLICE bytes of text (of one document at least): slice, and its ids and texts as one payload."""
+    part, turn, ids, held, size = TaskContext.get().partitionId(), 0, [], [], 0
 
+    def made() -> pa.RecordBatch:
+        payload = _zip(np.array(ids, np.int64), np.array([len(x) for x in held], np.int64), b"".join(held))
+        return pa.RecordBatch.from_arrays([pa.array([(part << 32) + turn]), pa.array([payload], pa.binary())], names=["slice", "payload"])
 
-def _slices(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[tuple[int, int, int, bytes]]]:
-    """Lists of (doc_id, body, offset, bytes) of about SLICE bytes; a longer text comes in pieces that overlap by a window less one."""
-    held, size = [], 0
     for b in batches:
-        for doc, body, text in zip(b.column("doc_id").to_pylist(), b.column("body").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            doc = -(2**63) if doc is None else doc
-            for at in range(0, max(len(text) - length + 1, 0), 4 * SLICE):
-                piece = text[at : at + 4 * SLICE + length - 1]
-                held.append((doc, body, at, piece))
-                size += len(piece)
+        for lo in range(0, b.num_rows, 256):
+            some = b.slice(lo, 256)
+            for doc, text in zip(some.column("doc_id").to_pylist(), some.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                ids.append(NO_ID if doc is None else doc)
+                held.append(text)
+                size += len(text)
                 if size >= SLICE:
-                    yield held
-                    held, size = [], 0
+                    yield made()
+                    turn, ids, held, size = turn + 1, [], [], 0
     if held:
-        yield held
+        yield made()
+
+
+def _runs(whole: bytes, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """segments() of a slice and the row of each; a very long text goes in pieces that overlap by a window less one."""
+    stops, out = np.cumsum(sizes), []
+    if len(whole) <= 4 * SLICE:
+        out.append(segments(np.frombuffer(whole, np.uint8), stops, length, gram))
+    else:
+        for start, stop in zip((stops - sizes).tolist(), stops.tolist(), strict=True):
+            for lo in range(start, stop, 4 * SLICE):
+                piece = whole[lo : min(stop, lo + 4 * SLICE + length - 1)]
+                at, run, h = segments(np.frombuffer(piece, np.uint8), np.array([len(piece)]), length, gram)
+                out.append((at + lo, run, h))
+    at, run, h = (np.concatenate(x) for x in zip(*out, strict=True))
+    return at, run, h, np.searchsorted(stops, at, side="right")
+
+
+def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        yield s, order[cuts[s] : cuts[s + 1]]
+
+
+def _keys(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shard and 32-bit key of each k-gram's hash. Keys of different k-grams may agree, which costs work but no result."""
+    return (h % np.uint64(shards)).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Differences of ascending numbers, byte by byte, which compresses well."""
+    return np.diff(x, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint32)
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], shards: int, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """For each slice and shard: the distinct keys of its segments, and which of them two documents of the slice have."""
+    for b in batches:
+        for name, raw in zip(b.column("slice").to_pylist(), b.column("payload").to_pylist(), strict=True):
+            ids, sizes, whole = _unzip(raw)
+            _, _, h, row = _runs(whole, sizes, length, gram)
+            shard, key = _keys(h, shards)
+            doc, names, blobs = ids[row], [], []
+            for s, at in _by_shard(shard, shards):
+                order = at[np.argsort(key[at], kind="stable")]
+                first = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
+                twice = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
+                names.append(s)
+                blobs.append(_zip(_planes(key[order][first]), np.packbits(twice)))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([name] * len(names), pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "slice", "blob"])
+
+
+def _repeated(group: pd.DataFrame) -> pd.DataFrame:
+    """Of a shard's keys, those that two slices have, or two documents of one slice; back to each slice that has them."""
+    keys, twice = [], []
+    for raw in group["blob"]:
+        planes, marks = _unzip(raw)
+        keys.append(_from_planes(planes))
+        twice.append(np.unpackbits(marks, count=len(keys[-1])).astype(bool))
+    all_keys = np.sort(np.concatenate(keys))
+    shared = np.unique(np.concatenate([all_keys[1:][all_keys[1:] == all_keys[:-1]], *(k[t] for k, t in zip(keys, twice, strict=True))]))
+    out = [(name, shard, _planes(found)) for name, shard, k in zip(group["slice"], group["shard"], keys, strict=True) if len(found := k[np.isin(k, shared, assume_unique=True)])]
+    return pd.DataFrame(out, columns=["slice", "shard", "keys"])
 
 
 def _shard_out(batches: Iterator[pa.RecordBatch], shards: int, length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    for some in _slices(batches, length):
-        some.sort(key=lambda x: x[:3])
-        whole = b"".join(x[3] for x in some)
-        sizes = np.array([len(x[3]) for x in some], np.int64)
-        stops = np.cumsum(sizes)
-        at, run, gram_hash = segments(np.frombuffer(whole, np.uint8), stops, length, gram)
-        piece = np.searchsorted(stops, at, side="right")
-        docs = np.array([x[0] for x in some], np.int64)
-        pos = at - (stops - sizes)[piece] + np.array([x[2] for x in some], np.int64)[piece]
-        ends = at + run + length - 1
-        content = [whole[x:y] for x, y in zip(at.tolist(), ends.tolist(), strict=True)]
-        seen: dict[bytes, int] = {}
-        first = np.fromiter((seen.setdefault(c, i) for i, c in enumerate(content)), np.int64, len(content))
-        doc = docs[piece]
-        later = doc[first] < doc  # the same bytes start in a document with a smaller id, here already
-        shard = (gram_hash % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((later, shard))
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        own, bodies = np.array([x[0] for x in some], np.int64), np.array([x[1] for x in some], np.int64)
-        names, blobs = [], []
-        for s in np.flatnonzero(np.diff(cuts)).tolist():
-            idx = order[cuts[s] : cuts[s + 1]]
-            table, local = np.unique(piece[idx], return_inverse=True)
-            sent = idx[~later[idx]]
-            # settled segments follow the others and carry no bytes
-            parts = {"docs": own[table], "bodies": bodies[table], "doc": local, "pos": pos[idx], "run": run[idx], "hash": gram_hash[sent]}
-            names.append(s)
-            blobs.append(_pack(parts, b"".join([content[i] for i in sent.tolist()])))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
+    """The segments with repeated keys, by shard. Equal segments of a slice are sent once, for the smallest id; under larger ids they are settled."""
+    for b in batches:
+        for name, raw, found in zip(b.column("slice").to_pylist(), b.column("payload").to_pylist(), b.column("found").to_pylist(), strict=True):
+            if found is None:  # no repeated key in this slice
+                continue
+            ids, sizes, whole = _unzip(raw)
+            at, run, h, row = _runs(whole, sizes, length, gram)
+            shard, key = _keys(h, shards)
+            known = np.sort(np.concatenate([(np.uint64(x["shard"]) << np.uint64(32)) | _from_planes(x["keys"]).astype(np.uint64) for x in found]))
+            mine = (shard.astype(np.uint64) << np.uint64(32)) | key
+            place = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+            idx = np.flatnonzero(known[place] == mine)
+            idx = idx[np.argsort(ids[row[idx]], kind="stable")]  # the smallest id comes first
+            at, run, key, row, shard = at[idx], run[idx], key[idx], row[idx], shard[idx]
+            content = [whole[x:y] for x, y in zip(at.tolist(), (at + run + length - 1).tolist(), strict=True)]
+            seen: dict[bytes, int] = {}
+            first = np.fromiter((seen.setdefault(c, i) for i, c in enumerate(content)), np.int64, len(content))
+            doc, pos = ids[row], at - (np.cumsum(sizes) - sizes)[row]
+            later = doc[first] < doc
+            names, blobs = [], []
+            for s, some in _by_shard(shard, shards):
+                done, sent = some[later[some]], some[~later[some]]
+                settled = (row[done].astype(np.uint32), pos[done].astype(np.uint32), run[done].astype(np.uint8))
+                names.append(s)
+                blobs.append(_zip(settled, doc[sent], row[sent].astype(np.uint32), pos[sent].astype(np.uint32), run[sent].astype(np.uint8), key[sent], b"".join([content[i] for i in sent.tolist()])))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([name] * len(names), pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "slice", "blob"])
 
 
 def _least(content: list[bytes], least: np.ndarray, length: int) -> list[np.ndarray]:
@@ -307,24 +368,21 @@ def _least(content: list[bytes], least: np.ndarray, length: int) -> list[np.ndar
 
 
 def _settle(group: pd.DataFrame, length: int) -> pd.DataFrame:
-    """All segments of a shard: removed windows as (doc_id, body, starts, ends)."""
-    marks: list[tuple[np.ndarray, ...]] = []  # doc, body, first window, end
+    """All segments of a shard: for each slice the removed windows, as row, first window and end."""
+    marks: list[tuple[np.ndarray, ...]] = []  # slice, row, first window, end
     parts, contents = [], []
-    for raw in group["blob"]:
-        p, content = _unpack(raw)
-        n, doc = len(p["hash"]), p["doc"]
-        cut = p["run"].astype(np.int64)
-        marks.append((p["docs"][doc[n:]], p["bodies"][doc[n:]], p["pos"][n:], p["pos"][n:] + cut[n:]))
-        stops = np.cumsum(cut[:n] + length - 1)
-        parts.append((p["hash"], p["docs"][doc[:n]], p["bodies"][doc[:n]], p["pos"][:n], cut[:n], np.full(n, len(contents)), stops))
+    for name, raw in zip(group["slice"], group["blob"], strict=True):
+        (row, pos, run), *sent, content = _unzip(raw)
+        marks.append((np.full(len(row), name, np.int64), row.astype(np.int64), pos.astype(np.int64), pos.astype(np.int64) + run))
+        run = sent[3].astype(np.int64)
+        parts.append((np.full(len(run), name, np.int64), sent[0], sent[1].astype(np.int64), sent[2].astype(np.int64), run, sent[4], np.full(len(run), len(contents)), np.cumsum(run + length - 1)))
         contents.append(content)
-    gram, doc, body, pos, run, blob, stop = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(gram, kind="stable")
-    edges = np.flatnonzero(np.concatenate(([True], np.diff(gram[order]) != 0))) if len(order) else np.zeros(0, np.int64)
-    if len(edges):
+    slice_, doc, row, pos, run, gram, blob, stop = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if len(doc):
+        order = np.argsort(gram, kind="stable")
+        edges = np.flatnonzero(np.concatenate(([True], np.diff(gram[order]) != 0)))
         lo, hi = np.minimum.reduceat(doc[order], edges), np.maximum.reduceat(doc[order], edges)
-        shared = np.repeat(lo != hi, np.diff(np.append(edges, len(order))))
-        idx = order[shared]
+        idx = order[np.repeat(lo != hi, np.diff(np.append(edges, len(order))))]
         of = [contents[b][e - r - length + 1 : e] for b, e, r in zip(blob[idx].tolist(), stop[idx].tolist(), run[idx].tolist(), strict=True)]
         seen: dict[bytes, int] = {}
         name = np.fromiter((seen.setdefault(c, len(seen)) for c in of), np.int64, len(of))
@@ -332,51 +390,50 @@ def _settle(group: pd.DataFrame, length: int) -> pd.DataFrame:
         np.minimum.at(least, name, doc[idx])
         later = least[name] < doc[idx]
         done = idx[later]
-        marks.append((doc[done], body[done], pos[done], pos[done] + run[done]))
+        marks.append((slice_[done], row[done], pos[done], pos[done] + run[done]))
         # segments whose k-gram has other bytes around it elsewhere
-        gram_of = np.empty(len(seen), np.uint64)
+        gram_of = np.empty(len(seen), np.uint32)
         gram_of[name] = gram[idx]
         _, which, times = np.unique(gram_of, return_inverse=True, return_counts=True)
         mixed = np.flatnonzero(times[which] > 1)
         if len(mixed):
-            texts_of = list(seen)
-            place = np.full(len(seen), -1)
+            texts_of, place = list(seen), np.full(len(seen), -1)
             place[mixed] = np.arange(len(mixed))
             windows = _least([texts_of[i] for i in mixed.tolist()], least[mixed], length)
             for i in np.flatnonzero(~later & (place[name] >= 0)).tolist():
                 gone = windows[place[name[i]]] < doc[idx[i]]
                 if gone.any():
                     cut = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-                    k = idx[i]
-                    marks.append((np.full(len(cut) // 2, doc[k]), np.full(len(cut) // 2, body[k]), pos[k] + cut[::2], pos[k] + cut[1::2]))
-    doc, body, start, end = (np.concatenate(x) for x in zip(*marks, strict=True))
-    order = np.lexsort((start, body, doc))
-    doc, body, start, end = doc[order], body[order], start[order], end[order]
-    cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(body) != 0)) + 1
-    heads = np.concatenate(([0], cuts)) if len(doc) else np.zeros(0, np.int64)
-    return pd.DataFrame({"doc_id": doc[heads], "body": body[heads], "starts": np.split(start, cuts) if len(doc) else [], "ends": np.split(end, cuts) if len(doc) else []})
-
-
-def _removed(text: bytes, starts: list, ends: list, length: int) -> tuple[int, int, bytes]:
-    """Bytes removed, maximal runs, and what is left."""
-    if not starts:
-        return 0, 0, text
-    depth = np.zeros(len(text) + 1, np.int64)
-    np.add.at(depth, np.concatenate(starts), 1)
-    np.add.at(depth, np.concatenate(ends) + length - 1, -1)
-    gone = np.cumsum(depth[:-1]) > 0
-    runs = np.count_nonzero(np.diff(np.concatenate(([0], gone.view(np.int8)))) > 0)
-    return int(gone.sum()), runs, np.frombuffer(text, np.uint8)[~gone].tobytes()
+                    k, n = idx[i], len(cut) // 2
+                    marks.append((np.full(n, slice_[k]), np.full(n, row[k]), pos[k] + cut[::2], pos[k] + cut[1::2]))
+    slice_, row, start, end = (np.concatenate(x) for x in zip(*marks, strict=True))
+    order = np.argsort(slice_, kind="stable")
+    cuts = np.flatnonzero(np.diff(slice_[order])) + 1
+    out = [(int(slice_[at[0]]), _zip(row[at].astype(np.uint32), start[at].astype(np.uint32), end[at].astype(np.uint32))) for at in np.split(order, cuts) if len(at)]
+    return pd.DataFrame(out, columns=["slice", "marks"])
 
 
 def _finish(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Every document of a slice without the bytes of its removed windows."""
     for b in batches:
-        out = []
-        for text, starts, ends in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("starts").to_pylist(), b.column("ends").to_pylist(), strict=True):
-            n, runs, left = _removed(text, [np.array(x, np.int64) for x in starts or []], [np.array(x, np.int64) for x in ends or []], length)
-            out.append((len(text), n, runs, hashlib.sha256(left).hexdigest(), left))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        for raw, marks in zip(b.column("payload").to_pylist(), b.column("marks").to_pylist(), strict=True):
+            ids, sizes, whole = _unzip(raw)
+            starts = np.cumsum(sizes) - sizes
+            depth = np.zeros(len(whole) + 1, np.int32)
+            for row, start, end in map(_unzip, marks or []):
+                np.add.at(depth, starts[row] + start, 1)
+                np.add.at(depth, starts[row] + end + length - 1, -1)
+            gone = np.cumsum(depth[:-1]) > 0
+            out = []
+            for lo, n in zip(starts.tolist(), sizes.tolist(), strict=True):
+                cut, text = gone[lo : lo + n], whole[lo : lo + n]
+                if cut.any():
+                    text = np.frombuffer(text, np.uint8)[~cut].tobytes()
+                runs = np.count_nonzero(np.diff(np.concatenate(([0], cut.view(np.int8)))) > 0)
+                out.append((n, n - len(text), runs, hashlib.sha256(text).hexdigest(), text))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            doc = pa.array(ids, pa.int64(), mask=ids == NO_ID)
+            yield pa.RecordBatch.from_arrays([doc, *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD) -> DataFrame:
@@ -387,12 +444,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     id are one document as sources, and each is cleaned by itself; an empty table gives no rows; other columns go.
     A k-gram in very many different surroundings keeps their distinct segments in one shard.
     """
-    body = texts(docs).withColumn("body", F.xxhash64("text"))
-    total = body.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    slices = stored(texts(docs).mapInArrow(_slices, "slice long, payload binary"), "text-slices")
+    total = slices.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first()[0]
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
-    sent = body.mapInArrow(partial(_shard_out, shards=shards, length=length, gram=gram), "shard int, blob binary")
-    marks = sent.groupBy("shard").applyInPandas(partial(_settle, length=length), "doc_id long, body long, starts array<int>, ends array<int>")
-    marks = marks.groupBy(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-    known = F.coalesce("doc_id", F.lit(-(2**63)))
-    out = body.join(marks, (known == F.col("_id")) & (F.col("body") == F.col("_body")), "left").select("doc_id", "text", "starts", "ends")
-    return out.mapInArrow(partial(_finish, length=length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    how = {"shards": shards, "length": length, "gram": gram}
+    anchors = slices.mapInArrow(partial(_anchors, **how), "shard int, slice long, blob binary")
+    shared = anchors.groupBy("shard").applyInPandas(_repeated, "slice long, shard int, keys binary")
+    shared = shared.groupBy("slice").agg(F.collect_list(F.struct("shard", "keys")).alias("found"))
+    # a left join like the last one, so that both read the same shuffled slices
+    sent = slices.join(shared, "slice", "left").mapInArrow(partial(_shard_out, **how), "shard int, slice long, blob binary")
+    marks = sent.groupBy("shard").applyInPandas(partial(_settle, length=length), "slice long, marks binary")
+    marks = marks.groupBy("slice").agg(F.collect_list("marks").alias("marks"))
+    return slices.join(marks, "slice", "left").mapInArrow(partial(_finish, length=length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
