@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sequences", "prediction", "harmony")
+MODULES = ("sequences", "prediction", "harmony", "operations")
 
 
 def _merged(name: str) -> dict:
