@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -34,8 +35,8 @@ OPTIONS = {
     "parquet.page.row.count.limit": "1000",
 }
 #: A worker's memory of encoded pieces; it is emptied at this many.
-PIECES = 400_000
-_ODD_SPACE = re.compile(r"\s ")
+PIECES = 1_000_000
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def default_tokenizer() -> str:
@@ -44,12 +45,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return [chr(b) if b in plain else chr(256 + b - sum(x < b for x in plain)) for b in range(256)]
+
+
 class Encoder:
     """Whole texts to ids, equal to the library's encode(), with a memory of pieces.
 
-    The byte-level pre-tokenizer never joins a space to a non-space before it, so a text falls apart before
-    each single space that follows a non-space; pieces repeat often and are encoded once. Texts with other
-    white space before a space go to the library whole.
+    The byte-level pre-tokenizer never joins a space to a non-space before it, so a text falls apart before each
+    single space that follows a non-space, and on both sides of a line end between non-spaces; and a run of letters,
+    with the space before it, is a pre-token of its own. Such pieces repeat often and are encoded once, a run of
+    letters by the library's model alone. Texts with other white space side by side, or at an end, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -60,30 +68,47 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.letters = dict(enumerate(_byte_letters()))
         self.pieces: dict[str, bytes] = {}
 
-    def _new(self, pieces: list[str]) -> None:
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        plain = [p for p in pieces if not (len(p) > 2 and p[-1] in ".," and p[1:-1].isalpha() and p[0] == " ")]
-        ended = [p for p in pieces if len(p) > 2 and p[-1] in ".," and p[1:-1].isalpha() and p[0] == " "]
-        want = list(dict.fromkeys([*plain, *(x for p in ended for x in (p[:-1], p[-1]) if x not in self.pieces)]))
-        for p, e in zip(want, self.tokenizer.encode_batch_fast(want, add_special_tokens=False), strict=True):
-            self.pieces[p] = np.array(e.ids, "<u4").tobytes()
-        for p in ended:  # letters and one mark are pre-tokens of their own
-            self.pieces[p] = self.pieces[p[:-1]] + self.pieces[p[-1]]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """One pre-token."""
+        found = self.pieces.get(word)
+        if found is None:
+            symbols = word.encode().decode("latin-1").translate(self.letters)
+            found = self.pieces[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
+        return found
+
+    def _piece(self, piece: str) -> bytes:
+        m = _LETTERS.match(piece, int(piece[0] == " "))
+        if m is None or not m[0].isalpha():
+            return self._whole(piece)
+        stem, tail = piece[: m.end()], piece[m.end() :]
+        if not tail:
+            return self._word(stem)
+        if tail[0].isalpha():
+            return self._whole(piece)
+        rest = self.pieces.get(tail)
+        if rest is None:
+            rest = self.pieces[tail] = self._whole(tail)
+        return self._word(stem) + rest
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers, without an end id."""
-        if _ODD_SPACE.search(text) or text.startswith(" "):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        first, *rest = text.split(" ")
-        parts = [first, *[" " + x for x in rest]]
-        new = {p for p in parts if p not in self.pieces}
-        if new:
-            self._new([*new])
-            if any(p not in self.pieces for p in parts):  # the memory was emptied meanwhile
-                self._new(list(dict.fromkeys(parts)))
+        if "\0" in text:
+            return self._whole(text)
+        parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        new = set(parts).difference(self.pieces)
+        if any(not p or p[-1].isspace() or (p[0] != " " and p[0].isspace()) for p in new if p != "\n"):  # white space beside white space, or at an end
+            return self._whole(text)
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+            new = set(parts)
+        for p in new:
+            self.pieces[p] = self._whole(p) if p == "\n" else self._piece(p)
         return b"".join(map(self.pieces.__getitem__, parts))
 
 
