@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import chords as C
 from ..operators import theory as T
-from ..sources.fixtures import CHORD_SQL, chord_lines
+from ..sources.fixtures import CHORD_SQL, chord_lines, materialize
 
 _SECTION_KEYS = [*T.KEY_DIMS, *T.key_scores("ch", "skeys")]
 
@@ -45,7 +45,7 @@ SPECS: dict[str, tuple[str, str]] = {
 }
 _FOUND = {
     "relationship_coverage": ("facts", _LABELLED, "SELECT (SELECT count(*) FROM covered) AS covered, (SELECT count(*) FROM rw WHERE b IS NOT NULL) AS transitions"),
-    "abs_transitions": ("dim", "ab AS (SELECT canon AS from_chord, lead(canon) OVER (PARTITION BY song, ordinal ORDER BY pos) AS to_chord FROM ch)", "SELECT from_chord, to_chord, count(*) AS count FROM ab WHERE to_chord IS NOT NULL GROUP BY from_chord, to_chord HAVING count(*) >= 20"),
+    "abs_transitions": ("dim", "ab AS (SELECT canon AS from_chord, lead(canon) OVER (PARTITION BY song, ordinal ORDER BY pos) AS to_chord FROM ch)", "SELECT from_chord, to_chord, count(*) AS count FROM ab WHERE to_chord IS NOT NULL GROUP BY from_chord, to_chord HAVING count(*) >= 3"),
     "line_of_fifths": ("dim", C.KEY_PC_DIM, "SELECT c.symbol, k.key_name, k.note, k.lof, k.in_scale FROM chord_dim c JOIN key_pc_dim k ON k.pc = c.root_pc WHERE c.ok"),
 }
 
@@ -58,9 +58,36 @@ def _parts(name: str, d: T.Dialect) -> tuple[list[str], str]:
     return [*_ctes(d, depth), more], select
 
 
+def _view(spark, name: str, ctes: list[str]) -> None:
+    """The relation `name`, worked out once for all that reads it."""
+    materialize(spark.sql(T.query(ctes, f"SELECT * FROM {name}")), name).createOrReplaceTempView(name)
+
+
+def _staged(spark, sf, depth: str) -> list[str]:
+    """What a depth needs beyond the relations that earlier depths leave as views (chord_dim, ch, skeys, section_key, song_key, roman)."""
+    chord_lines(spark, sf).createOrReplaceTempView("lines")
+    dim = T.chord_dim(T.SPARK)
+    _view(spark, "chord_dim", dim[:-1])
+    if depth == "dim":
+        return dim[-1:]
+    _view(spark, "ch", dim[-1:])
+    if depth == "keys":
+        return _SECTION_KEYS
+    _view(spark, "skeys", _SECTION_KEYS)
+    keys = [*T.KEY_DIMS, next(x for x in _SECTION_KEYS if x.startswith("prof AS")), next(x for x in _SECTION_KEYS if x.startswith("profs AS")), *T.song_keys(T.SPARK)]
+    _view(spark, "song_key", keys[:-2])
+    _view(spark, "section_key", [T.KEY_DIMS[1], *keys[-2:]])
+    if depth in ("song", "mods"):
+        return T.modulations() if depth == "mods" else []
+    _view(spark, "roman", T.romanize())
+    return T.relationships(T.SPARK) if depth == "facts" else []
+
+
 def _runner(name: str):
     def run(spark, sf):
-        return T.run(chord_lines(spark, sf), *_parts(name, T.SPARK))
+        depth, *more, select = SPECS.get(name) or _FOUND[name]
+        ctes = [*_staged(spark, sf, depth), *more]
+        return spark.sql(T.query(ctes, select) if ctes else select)
 
     run.__name__ = name
     return run
