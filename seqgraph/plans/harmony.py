@@ -43,7 +43,31 @@ SPECS: dict[str, tuple[str, str]] = {
     "support_by_function": ("roman", "SELECT mode, token, count(*) AS total FROM roman GROUP BY mode, token"),
     "corpus_report": ("facts", "SELECT (SELECT count(DISTINCT song) FROM roman) AS songs, (SELECT count(*) FROM (SELECT DISTINCT song, ordinal FROM roman) x) AS sections, (SELECT count(*) FROM roman) AS tokens, (SELECT count(*) FROM facts) AS labels"),
 }
+# Legacy numerals by interval above the tonic.
+_LEGACY = {"major": "I bII II bIII III IV bV V bVI VI bVII VII", "minor": "I bII II III #III IV bV V VI #VI VII #VII"}
+_LEGACY_DIM = C.values("legacy_dim", "mode, iv, base", [(m, i, x) for m, row in _LEGACY.items() for i, x in enumerate(row.split())])
+_LEGACY_ROWS = f"""{_LEGACY_DIM},
+v1 AS (SELECT c.song, c.ordinal, c.pos, CASE WHEN substr(c.quality, 1, 3) = 'min' THEN lower(l.base) ELSE l.base END AS core, CASE c.quality WHEN 'maj7' THEN 'maj7' WHEN 'min7' THEN '7' WHEN '7' THEN '7' WHEN 'min7b5' THEN '7b5' ELSE '' END AS tail
+  FROM ch c JOIN section_key k ON k.song = c.song AND k.ordinal = c.ordinal JOIN legacy_dim l ON l.mode = k.mode AND l.iv = (c.root_pc - k.tonic + 12) % 12)"""
+# Legacy labels of pairs of numerals.
+_LABELS = [("V", "I", "authentic cadence"), ("V", "I", "dominant resolution"), ("IV", "I", "plagal cadence"), ("iv", "I", "minor plagal cadence"), ("iv", "I", "modal interchange"), ("V", "vi", "deceptive cadence"),
+  ("bII", "I", "tritone substitution"), ("bII", "I", "subV-like resolution"), *[(a, b, "chromatic mediant") for a, b in (("I", "bIII"), ("I", "bVI"), ("i", "III"), ("i", "VI"), ("bIII", "I"), ("bVI", "I"))],
+  *[(a, b, "circle-of-fifths motion") for a, b in (("ii", "V"), ("II", "V"), ("V", "I"), ("vi", "ii"), ("VI", "ii"))]]
+_LABEL_ROWS = _LEGACY_ROWS + ",\n" + C.values("label_dim", "a, b, label", _LABELS) + """,
+v1p AS (SELECT song, ordinal, pos, core AS a, lead(core) OVER (PARTITION BY song, ordinal ORDER BY pos) AS b FROM v1)"""
 _FOUND = {
+    "v1_romanize": ("song", _LEGACY_ROWS, "SELECT song, ordinal, pos, core || tail AS numeral FROM v1"),
+    "v1_labels": ("song", _LABEL_ROWS, "SELECT p.song, p.ordinal, p.pos, d.label FROM v1p p JOIN label_dim d ON d.a = p.a AND d.b = p.b"),
+    "similar_chords": (
+        "roman",
+        """fu AS (SELECT canon AS chord, token, count(*) AS n, max(mask) AS mask FROM roman GROUP BY canon, token),
+tot AS (SELECT chord, sum(n) AS n, CAST(sum(n * n) AS DOUBLE) AS nn, max(mask) AS mask FROM fu GROUP BY chord),
+seed AS (SELECT chord, nn, mask FROM (SELECT *, row_number() OVER (ORDER BY n DESC, chord) AS r FROM tot) x WHERE r <= 5),
+seed_fu AS (SELECT f.chord, f.token, f.n, row_number() OVER (PARTITION BY f.chord ORDER BY f.n DESC, f.token) AS r FROM fu f JOIN seed s ON s.chord = f.chord),
+cand AS (SELECT DISTINCT s.chord AS seed, f.chord FROM seed_fu s JOIN fu f ON f.token = s.token WHERE s.r <= 4 AND f.chord <> s.chord),
+dots AS (SELECT s.chord AS seed, f.chord, CAST(sum(s.n * f.n) AS DOUBLE) AS d FROM seed_fu s JOIN fu f ON f.token = s.token GROUP BY s.chord, f.chord)""",
+        "SELECT c.seed, c.chord, 0.6 * bit_count(s.mask & t.mask) / bit_count(s.mask | t.mask) + 0.4 * d.d / sqrt(s.nn * t.nn) AS score FROM cand c JOIN seed s ON s.chord = c.seed JOIN tot t ON t.chord = c.chord JOIN dots d ON d.seed = c.seed AND d.chord = c.chord",
+    ),
     "relationship_coverage": ("facts", _LABELLED, "SELECT (SELECT count(*) FROM covered) AS covered, (SELECT count(*) FROM rw WHERE b IS NOT NULL) AS transitions"),
     "abs_transitions": ("dim", "ab AS (SELECT canon AS from_chord, lead(canon) OVER (PARTITION BY song, ordinal ORDER BY pos) AS to_chord FROM ch)", "SELECT from_chord, to_chord, count(*) AS count FROM ab WHERE to_chord IS NOT NULL GROUP BY from_chord, to_chord HAVING count(*) >= 3"),
     "line_of_fifths": ("dim", C.KEY_PC_DIM, "SELECT c.symbol, k.key_name, k.note, k.lof, k.in_scale FROM chord_dim c JOIN key_pc_dim k ON k.pc = c.root_pc WHERE c.ok"),
