@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import embed as E
+from ..operators import graph as G
 from ..operators import predict as P
 from ..operators import sequence as S
 from ..operators import theory as T
@@ -65,6 +67,30 @@ def plausibility(spark, sf):
     return E.plausibility(m.dist().select("req", "token", F.log(F.greatest("p", F.lit(1e-9))).alias("logit")), 0.2)
 
 
+def _pattern_vectors(spark, sf):
+    n = event_positions(spark, sf).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return E.pattern_vectors(_found(spark, sf), _token_vectors(spark, sf), n)
+
+
+def similar_progressions_structural(spark, sf):
+    """The 20 patterns whose vectors are nearest to each of the ten most frequent ones."""
+    vectors = materialize(_pattern_vectors(spark, sf), "pattern-vectors")
+    v = vectors.groupBy(F.col("pattern").alias("id")).agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).getField("value").alias("vec")).withColumn("model", F.lit(0))
+    top = _found(spark, sf).orderBy(F.desc("support"), "pattern").limit(10).select(F.col("pattern").alias("id"))
+    near = G.cosine_topk(v.join(top, "id", "left_semi"), v, 200).withColumn("cosine", F.round("cosine", 6))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "id"))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= 20).select("query", "id", "rank", "cosine")
+
+
+def export_projection(spark, sf, functions: int = 500, total: int = 5000):
+    """Points of a map: the first functions, then patterns up to the total, then functions again; coordinates to five places."""
+    point = lambda d, key, kind: d.filter("dim < 2").groupBy(F.col(key).alias("id")).agg(F.round(F.max(F.when(F.col("dim") == 0, F.col("value"))), 5).alias("x"), F.round(F.max(F.when(F.col("dim") == 1, F.col("value"))), 5).alias("y")).withColumn("type", F.lit(kind))
+    both = point(_token_vectors(spark, sf), "token", "function").unionByName(point(_pattern_vectors(spark, sf), "pattern", "pattern"))
+    nth = F.row_number().over(Window.partitionBy("type").orderBy("id"))
+    banded = both.withColumn("n", nth).withColumn("band", F.when((F.col("type") == "function") & (F.col("n") <= functions), 0).when(F.col("type") == "pattern", 1).otherwise(2))
+    return banded.orderBy("band", "id").limit(total).select("type", "id", "x", "y")
+
+
 W_SQL = """
 un AS (SELECT src, dst, sum(count) AS count FROM (SELECT src, dst, count FROM ed WHERE src <> dst UNION ALL SELECT dst, src, count FROM ed WHERE src <> dst) GROUP BY ALL),
 w AS (SELECT src, dst, ln(1 + count) / sum(ln(1 + count)) OVER (PARTITION BY src) AS w FROM un)"""
@@ -73,8 +99,23 @@ r0 AS (SELECT token, dim, CASE WHEN substr(md5(token || ':' || dim), 1, 1) < '8'
 r1 AS (SELECT src AS token, dim, sum(w * x) AS x FROM w JOIN r0 ON r0.token = w.dst GROUP BY ALL), r2 AS (SELECT src AS token, dim, sum(w * x) AS x FROM w JOIN r1 ON r1.token = w.dst GROUP BY ALL), r3 AS (SELECT src AS token, dim, sum(w * x) AS x FROM w JOIN r2 ON r2.token = w.dst GROUP BY ALL),
 rs AS (SELECT token, dim, 0.2 * r0.x + 0.3 * coalesce(r1.x, 0) + 0.3 * coalesce(r2.x, 0) + 0.2 * coalesce(r3.x, 0) AS x FROM r0 LEFT JOIN r1 USING (token, dim) LEFT JOIN r2 USING (token, dim) LEFT JOIN r3 USING (token, dim)),
 rp AS (SELECT token, dim, x / sqrt(sum(x * x) OVER (PARTITION BY token)) AS value FROM rs)"""
-QUERIES = {f.__name__: f for f in (fastrp, pattern_vectors, chord2vec, project_2d, similar_progressions_surface, greedy_diverse_topk, candidate_union, plausibility)}
+QUERIES = {f.__name__: f for f in (fastrp, pattern_vectors, chord2vec, project_2d, similar_progressions_surface, similar_progressions_structural, export_projection, greedy_diverse_topk, candidate_union, plausibility)}
+PV_SQL = (
+    "fr AS (SELECT token, 0.001 / (0.001 + count(*) / sum(count(*)) OVER ()) AS wt FROM seq GROUP BY token)",
+    "pl AS (SELECT pattern, unnest(string_split(pattern, ' ')) AS token, unnest(range(0, len(string_split(pattern, ' ')))) AS place FROM pats)",
+    "mx AS (SELECT pattern, dim, 0.85 * sum(wt * value) / sum(wt) + 0.075 * (max_by(value, place) - min_by(value, place)) AS x FROM pl JOIN rp USING (token) JOIN fr USING (token) GROUP BY ALL)",
+    "pv AS (SELECT pattern, dim, x / sqrt(sum(x * x) OVER (PARTITION BY pattern)) AS value FROM mx)",
+)
 ORACLE = {
+    "similar_progressions_structural": sql(
+        *TRANS, GLOBAL, W_SQL, RP_SQL, KEPT_SQL, PATTERN_SQL, *PV_SQL,
+        "cs AS (SELECT q.pattern AS query, n.pattern AS id, round(sum(q.value * n.value), 6) AS cosine FROM pv q JOIN pv n ON q.dim = n.dim AND q.pattern <> n.pattern WHERE q.pattern IN (SELECT pattern FROM pats ORDER BY support DESC, pattern LIMIT 10) GROUP BY ALL)",
+        "SELECT * FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS rank, cosine FROM cs) WHERE rank <= 20",
+    ),
+    "export_projection": sql(
+        *TRANS, GLOBAL, W_SQL, RP_SQL, KEPT_SQL, PATTERN_SQL, *PV_SQL,
+        "SELECT 'function' AS type, token AS id, round(max(value) FILTER (WHERE dim = 0), 5) AS x, round(max(value) FILTER (WHERE dim = 1), 5) AS y FROM rp GROUP BY token UNION ALL SELECT 'pattern', pattern, round(max(value) FILTER (WHERE dim = 0), 5), round(max(value) FILTER (WHERE dim = 1), 5) FROM pv GROUP BY pattern",
+    ),
     "fastrp": sql(*TRANS, GLOBAL, W_SQL, RP_SQL, "SELECT token, dim, round(value, 6) AS value FROM rp"),
     "pattern_vectors": sql(
         *TRANS, GLOBAL, W_SQL, RP_SQL, KEPT_SQL, PATTERN_SQL,
