@@ -37,8 +37,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each row, read from the token files."""
-    return token_digest(docs)
+    """doc_id, start, n_tokens and ids_crc32 of each row, read from the token files. Workers still hold memory of the stages before, so pieces are few."""
+    return token_digest(docs, pieces=200_000)
 
 
 STAGES = [

@@ -34,7 +34,7 @@ OPTIONS = {
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "1000",
 }
-#: A worker's memory of encoded pieces; it is emptied at this many.
+#: A worker's memory of encoded pieces (about 200 bytes each); it is emptied at this many. A speed-up only.
 PIECES = 1_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -60,9 +60,11 @@ class Encoder:
     letters by the library's model alone. Texts with other white space side by side, or at an end, go to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = PIECES):
         import os
 
+        self.limit = limit
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -104,7 +106,7 @@ class Encoder:
         new = set(parts).difference(self.pieces)
         if any(not p or p[-1].isspace() or (p[0] != " " and p[0].isspace()) for p in new if p != "\n"):  # white space beside white space, or at an end
             return self._whole(text)
-        if len(self.pieces) > PIECES:
+        if len(self.pieces) > self.limit:
             self.pieces.clear()
             new = set(parts)
         for p in new:
@@ -113,12 +115,12 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, limit: int) -> Encoder:
+    return Encoder(path, limit)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, part, at = _encoder(path), TaskContext.get().partitionId(), 0
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, pieces: int) -> Iterator[pa.RecordBatch]:
+    encoder, part, at = _encoder(path, pieces), TaskContext.get().partitionId(), 0
     end = np.array([end_id], "<u4").tobytes()
     for b in batches:
         for lo in range(0, b.num_rows, 512):
@@ -132,14 +134,14 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Itera
             at += int(stops[-1]) if len(n) else 0
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END, pieces: int = PIECES) -> None:
     """Encodes docs and writes them to path in ascending doc_id order (nulls first), one file for each range of ids.
 
     at counts the ids before a document in its file; null texts are empty; repeated rows are written each,
     in the order of their texts; an empty table writes no rows; other columns are dropped.
     """
     ranged = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(partial(_encoded, path=tokenizer or default_tokenizer(), end_id=end_id), FIELDS).write.options(**OPTIONS).parquet(path)
+    ranged.mapInArrow(partial(_encoded, path=tokenizer or default_tokenizer(), end_id=end_id, pieces=pieces), FIELDS).write.options(**OPTIONS).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -162,9 +164,9 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def token_digest(docs: DataFrame, tokenizer: str | None = None, end_id: int = END) -> DataFrame:
+def token_digest(docs: DataFrame, tokenizer: str | None = None, end_id: int = END, pieces: int = PIECES) -> DataFrame:
     """Writes docs' ids to the shared folder, reads them back: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
     path = shared_path(spark, "tokens")
-    write_tokens(docs, path, tokenizer, end_id)
+    write_tokens(docs, path, tokenizer, end_id, pieces)
     return read_tokens(spark, path).mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
