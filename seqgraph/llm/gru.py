@@ -119,7 +119,8 @@ class Gru:
             b /= count
             dO[rows], do[rows] = b.T @ H[at], b.sum(0)
             dH[at] += b @ self.O[rows]
-        dG, dU = np.zeros_like(self.G), np.zeros_like(self.U)
+        dU = np.zeros_like(self.U)
+        gates = []
         parts = np.split(dH, np.cumsum([len(s) for s in states])[:-1])
         after = np.zeros((0, k), np.float32)
         for (x, prev, z, r, n, un), d in zip(reversed(cache), reversed(parts), strict=True):
@@ -128,31 +129,45 @@ class Gru:
             dz = d * (prev - n) * z * (1 - z)
             dr = dn * un * r * (1 - r)
             gate = np.concatenate([dz, dr, dn], 1)
-            np.add.at(dG, x, gate)
+            gates.append(gate)
             inner = np.concatenate([dz, dr, dn * r], 1)
             dU += prev.T @ inner
             after = d * z + inner @ self.U.T
+        dG = np.zeros_like(self.G)
+        read, gate = np.concatenate(xs), np.concatenate(gates[::-1])
+        order = np.argsort(read, kind="stable")
+        firsts = np.flatnonzero(np.diff(read[order], prepend=-1))
+        dG[read[order][firsts]] = np.add.reduceat(gate[order], firsts, axis=0)
         return [dG, dU, dC, dc, dO, do], h, count
 
-    def train(self, docs: list[np.ndarray], first: int, rate: float = 0.01, batch: int = 32, epochs: int = 1, seed: int = 0) -> int:
-        """Adam over windows of WINDOW symbols; documents of like length run side by side. Returns the symbols seen."""
-        moments = [(np.zeros_like(w), np.zeros_like(w)) for w in self.weights()]
-        rng, seen, turn = np.random.default_rng(seed), 0, 0
+    def train(self, docs: list[np.ndarray], first: int, rate: float = 0.01, batch: int = 32, epochs: int = 1, seed: int = 0, moments: list | None = None) -> int:
+        """Adam over windows of WINDOW symbols; documents of like length run side by side. Returns the symbols seen.
+
+        moments (an empty list at first) carries Adam's state from one call to the next.
+        """
+        moments = [] if moments is None else moments
+        if not moments:
+            moments += [0, [(np.zeros_like(w), np.zeros_like(w)) for w in self.weights()]]
+        rng, seen = np.random.default_rng(seed), 0
         by_size = sorted((d for d in docs if len(d)), key=len, reverse=True)
         groups = [by_size[i : i + batch] for i in range(0, len(by_size), batch)]
         for _ in range(epochs):
             for g in rng.permutation(len(groups)).tolist():
                 group, h = groups[g], np.zeros((len(groups[g]), self.hidden), np.float32)
+                sizes = np.array([len(d) for d in group])
+                flat, at = np.concatenate(group).astype(np.int64), np.cumsum(sizes) - sizes
+                live = np.searchsorted(-sizes, -np.arange(len(group[0])), side="left").tolist()  # documents longer than t
+                x = np.full(len(group), first)
                 for lo in range(0, len(group[0]), WINDOW):
                     xs, ys = [], []
                     for t in range(lo, min(lo + WINDOW, len(group[0]))):
-                        live = [d for d in group if len(d) > t]
-                        xs.append(np.array([d[t - 1] if t else first for d in live]))
-                        ys.append(np.array([d[t] for d in live]))
+                        xs.append(x[: live[t]])
+                        x = flat[at[: live[t]] + t]
+                        ys.append(x)
                     grads, h, count = self._gradients(xs, ys, h)
-                    seen, turn = seen + count, turn + 1
-                    size = np.sqrt(sum(float((g * g).sum()) for g in grads))
-                    for w, g_, (m, v) in zip(self.weights(), grads, moments, strict=True):
+                    seen, moments[0] = seen + count, moments[0] + 1
+                    size, turn = np.sqrt(sum(float((g * g).sum()) for g in grads)), moments[0]
+                    for w, g_, (m, v) in zip(self.weights(), grads, moments[1], strict=True):
                         g_ *= min(1.0, 1.0 / (size + 1e-9))
                         m += 0.1 * (g_ - m)
                         v += 0.01 * (g_ * g_ - v)

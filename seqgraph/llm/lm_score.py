@@ -2,11 +2,12 @@
 
 Words are counted over all training documents. The most frequent ones are symbols of a gated recurrent model; every
 other word is one of a few tail symbols (by its first bytes) times its share of that tail. The model is trained in
-several tasks on a growing sample of the training documents, the weights being averaged after each round.
+tasks that pass over all training documents, the weights being averaged after each round.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 import zlib
 from collections import Counter
@@ -28,8 +29,8 @@ from .gru import Gru
 SYMBOLS, TAILS, PER_CLASS = 1024, 64, 32
 #: No word has white space in it, so this can stand for the end of a document.
 END = b"\n"
-#: Sampled training words: this share of all, but no fewer than LEAST words (or all there are).
-SHARE, LEAST, ROUNDS, TASK_WORDS, TASKS = 1 / 40, 400_000, 3, 150_000, 64
+#: Each round passes over all training words, about TASK_WORDS to a file; BATCH documents run side by side.
+ROUNDS, TASK_WORDS, BATCH = 3, 1_000_000, 128
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -102,36 +103,53 @@ def _symbols(text: bytes, v: Vocabulary) -> np.ndarray:
     return np.array([s if (s := get(w)) is not None else v.tails[tail_of(w)] for w in words_of(text)], np.int64)
 
 
-def _sampled(batches: Iterator[pa.RecordBatch], v) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], v) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([_symbols(x, v.value).astype(np.uint16).tobytes() for x in b.column("text").cast(pa.binary()).to_pylist()], pa.binary())], names=["symbols"])
+        symbols = [_symbols(x, v.value).astype(np.uint16).tobytes() for x in b.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("deal"), pa.array(symbols, pa.binary())], names=["deal", "symbols"])
 
 
 def _trained(batches: Iterator[pa.RecordBatch], weights, first: int, rate: float, turn: int) -> Iterator[pa.RecordBatch]:
-    docs = [np.frombuffer(x, np.uint16).astype(np.int64) for b in batches for x in b.column("symbols").to_pylist()]
-    model = pickle.loads(weights.value)
-    seen = model.train(docs, first, rate, seed=turn)
+    model, moments, seen = pickle.loads(weights.value), [], 0
+    for b in batches:
+        docs = [np.frombuffer(x, np.uint16) for x in b.column("symbols").to_pylist()]
+        seen += model.train(docs, first, rate, batch=BATCH, seed=turn, moments=moments)
+    if seen:
+        yield _weighed(seen, model.weights())
+
+
+def _weighed(seen: int, weights: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([pickle.dumps(weights)], pa.binary())], names=["seen", "weights"])
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for all rows of a partition: the mean of the weights by words seen."""
+    seen, sums = 0, None
+    for b in batches:
+        for n, raw in zip(b.column("seen").to_pylist(), b.column("weights").to_pylist(), strict=True):
+            part = [n * w.astype(np.float64) for w in pickle.loads(raw)]
+            seen, sums = seen + n, part if sums is None else [x + y for x, y in zip(sums, part, strict=True)]
     if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([pickle.dumps([w.astype(np.float32) for w in model.weights()])], pa.binary())], names=["seen", "weights"])
+        yield _weighed(seen, [w / seen for w in sums])
 
 
-def train_model(train: DataFrame, v: Vocabulary, share: float = SHARE, least: int = LEAST, rounds: int = ROUNDS) -> Gru:
-    """A model averaged over tasks after each of so many rounds. The sample is the documents whose hash of the text is lowest:
-    `share` of the words, and `least` words at any rate. No training documents: the untrained model."""
+def train_model(train: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Gru:
+    """A model averaged over tasks after each of so many passes over all training documents, which are dealt by a hash
+    and streamed through the tasks. The tasks' weights are averaged in Spark first, so the driver gets about the square root of
+    their number. No training documents: the untrained model."""
     spark, model = train.sparkSession, Gru(v.mass, per_class=PER_CLASS)
-    wanted = min(1.0, max(share, least / max(v.total, 1)))
-    low = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)) < int(wanted * (1 << 20))
-    tasks = min(TASKS, max(2, int(v.total * wanted / TASK_WORDS)))
-    sample = train.filter(low).mapInArrow(partial(_sampled, v=spark.sparkContext.broadcast(v)), "symbols binary")
-    sample = stored(sample.repartition(tasks, F.xxhash64("symbols")), "lm-sample").repartition(tasks, F.xxhash64("symbols"))
+    files = max(2, v.total // TASK_WORDS)
+    symbols = train.select("text", F.xxhash64("text", "doc_id").alias("deal")).mapInArrow(partial(_encoded, v=spark.sparkContext.broadcast(v)), "deal long, symbols binary")
+    symbols = stored(symbols.repartition(files, "deal").sortWithinPartitions("deal", "symbols").select("symbols"), "lm-symbols")
     for turn in range(rounds):
         weights = spark.sparkContext.broadcast(pickle.dumps(model))
-        got = sample.mapInArrow(partial(_trained, weights=weights, first=v.heads[END], rate=0.02 / (1 + turn), turn=turn), "seen long, weights binary").collect()
+        got = symbols.mapInArrow(partial(_trained, weights=weights, first=v.heads[END], rate=0.02 / (1 + turn), turn=turn), "seen long, weights binary")
+        got = got.repartition(math.isqrt(files)).mapInArrow(_averaged, "seen long, weights binary").collect()
         if not got:
             break
         seen = sum(r["seen"] for r in got)
         parts = [(r["seen"] / seen, pickle.loads(bytes(r["weights"]))) for r in got]
-        model.set_weights([sum(np.float32(s) * p[i] for s, p in parts).astype(np.float32) for i in range(len(Gru.NAMES))])
+        model.set_weights([sum(s * p[i] for s, p in parts).astype(np.float32) for i in range(len(Gru.NAMES))])
     return model
 
 

@@ -124,6 +124,23 @@ def test_lm_base_and_score(docs, rows):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_learns_from_every_document(spark, monkeypatch):
+    rnd, seen = random.Random(4), []
+    train = spark.createDataFrame([(i, " ".join(rnd.choice("abcdefgh") for _ in range(1500))) for i in range(400)], "doc_id long, text string")
+    v = lm_score.vocabulary(lm_score.word_counts(train))
+
+    def counted(df, collect=type(train).collect):
+        rows = collect(df)
+        seen.extend([sum(r["seen"] for r in rows)] if "seen" in df.columns else [])
+        return rows
+
+    monkeypatch.setattr(type(train), "collect", counted)
+    before = gru.Gru(v.mass, per_class=lm_score.PER_CLASS)
+    model = lm_score.train_model(train, v)
+    assert v.total == 400 * 1501 and seen == [v.total] * lm_score.ROUNDS
+    assert any((x != y).any() for x, y in zip(model.weights(), before.weights(), strict=True))
+
+
 def test_gru_gradients_and_carried_state():
     model = gru.Gru(np.arange(8, 0, -1).astype(float), hidden=3, per_class=4)
     for k in gru.Gru.NAMES:
