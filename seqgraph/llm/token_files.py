@@ -57,7 +57,8 @@ class Encoder:
     The byte-level pre-tokenizer never joins a space to a non-space before it, so a text falls apart before each
     single space that follows a non-space, and on both sides of a line end between non-spaces; and a run of letters,
     with the space before it, is a pre-token of its own. Such pieces repeat often and are encoded once, a run of
-    letters by the library's model alone. Texts with other white space side by side, or at an end, go to the library whole.
+    letters by the library's model alone. Texts with other white space side by side, or at an end,
+    and texts that hold an added token (such as <|endoftext|>, which is one id wherever it stands), go to the library whole.
     """
 
     def __init__(self, path: str, limit: int = PIECES):
@@ -69,7 +70,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = dict(enumerate(_byte_letters()))
         self.pieces: dict[str, bytes] = {}
 
@@ -100,7 +101,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers, without an end id."""
-        if "\0" in text:
+        if "\0" in text or any(x in text for x in self.added):
             return self._whole(text)
         parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         new = set(parts).difference(self.pieces)

@@ -288,6 +288,21 @@ def test_encoder_equals_the_library():
         assert e.encode(x) == np.array(e.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), repr(x)
 
 
+def test_added_tokens_as_the_library_has_them(spark):
+    from tokenizers import Tokenizer
+
+    plain_tokenizer, e = Tokenizer.from_file(default_tokenizer()), Encoder(default_tokenizer())
+    texts = ["foo<|endoftext|>bar", "a <|endoftext|> b\n<|endoftext|>", "<|endoftext|>", "plain words\nhere", "<|endoftext| >"]
+    want = [plain_tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [21943, 50256, 5657]
+    assert [np.frombuffer(e.encode(x), "<u4").tolist() for x in texts] == want
+    got = sorted(map(tuple, token_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()))
+    at = 0
+    for r, ids in zip(got, want, strict=True):
+        assert r[1:] == (at, len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes()))
+        at += len(ids) + 1
+
+
 def test_classifier(spark):
     rnd = random.Random(2)
     good = lambda: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(60))
