@@ -11,7 +11,7 @@ from seqgraph.llm import gru, lm_score, nbsvm, simhash, suffix_dedup
 from seqgraph.llm.components import connected_components
 from seqgraph.llm.decontaminate import decontaminate
 from seqgraph.llm.line_dedup import CuckooFilter, LineIndex, cuckoo_filters, dedup_lines, update_filters
-from seqgraph.llm.mixing import capped_targets, min_cost_flow, mix, plan_mix
+from seqgraph.llm.mixing import capped_targets, min_cost_flow, mix, mixed_documents, plan_mix
 from seqgraph.llm.quality_rules import judged
 from seqgraph.llm.secrets import joined, scan_secrets, train_markov
 from seqgraph.llm.token_files import Encoder, default_tokenizer, read_tokens, token_digest, write_tokens
@@ -225,6 +225,24 @@ def test_mix(spark, docs, rows):
     assert {tuple(r["pattern"]): r["flow"] for r in plan_mix(both).collect()}.keys() == {("a",), ("a", "b")}
 
 
+def test_mix_of_overlapping_sources(spark):
+    kinds = [["a"], ["b"], ["a", "b"], ["b", "a", "b"]]
+    sources = [kinds[i % 4] for i in range(120)] + [None, []]
+    docs = spark.createDataFrame([(i, s, f"w{i} " * 10) for i, s in enumerate(sources)], "doc_id long, source array<string>, text string")
+    got = {r["doc_id"]: r for r in mix(docs).collect()}
+    # 300 words in a alone, 300 in b alone, 600 in both, 20 in none: targets 5, 2 and 1 parts of 1,820, the last stopping at 3 times 20
+    a, b, none = capped_targets([900, 900, 20], [5.0, 2.0, 1.0])
+    assert len(got) == len(sources)
+    for i, s in enumerate(sources):
+        size, target = (20, none) if not s else (900, b) if s == ["b"] else (900, a)
+        assert got[i]["source_size"] == size and got[i]["target"] == pytest.approx(target)
+    # the flow can give shared documents to either source, so all targets are met together
+    assert abs(sum(r["taken"] for r in got.values()) - (a + b + none)) <= 40
+    times = {r["doc_id"]: r["count"] for r in mixed_documents(docs).groupBy("doc_id").count().collect()}
+    assert times == {i: r["copies"] for i, r in got.items() if r["copies"]}
+    assert {r["doc_id"]: r["source"] for r in mixed_documents(docs).collect()} == {i: sources[i] for i in times}
+
+
 def test_lines(spark, docs, rows):
     got = dedup_lines(docs).collect()
     same(map(tuple, got), brute.lines(plain(rows)))
