@@ -23,6 +23,8 @@ from .components import connected_components
 GROUPS = 8
 #: Cells with more fingerprints than this are split by the fingerprints' own bits before pairs are compared.
 CELL = 16384
+#: Cells up to this size compare all their pairs, many cells at a time; larger ones go by pivots.
+SMALL = 64
 
 
 def shingles(text: bytes, k: int) -> list[bytes]:
@@ -100,10 +102,13 @@ def _linked_cells(cell: np.ndarray, f: np.ndarray, limit: int, forest: _Forest,
     ends = np.append(np.flatnonzero(np.diff(cell)) + 1, len(cell))
     sizes = np.diff(np.concatenate(([0], ends)))
     left = np.repeat(ends, sizes) - np.arange(len(cell)) - 1  # fingerprints after each in its cell
-    if split:
-        left[np.repeat(sizes > CELL, sizes)] = 0
-        for k in np.flatnonzero(sizes > CELL):
-            _split_cell(f[ends[k] - sizes[k] : ends[k]], limit, forest)
+    left[np.repeat(sizes > SMALL, sizes)] = 0
+    for k in np.flatnonzero(sizes > SMALL):
+        some = slice(ends[k] - sizes[k], ends[k])
+        if split and sizes[k] > CELL:
+            _split_cell(f[some], limit, forest)
+        else:
+            _dense_cell(f[some], t[some], limit, forest)
     at, step = np.flatnonzero(left > 0), 1
     while len(at):
         near = _near(f, t, at, at + step, limit)
@@ -113,6 +118,25 @@ def _linked_cells(cell: np.ndarray, f: np.ndarray, limit: int, forest: _Forest,
         at = at[left[at] >= step]
 
 
+def _dense_cell(f: np.ndarray, t: np.ndarray, limit: int, forest: _Forest) -> None:
+    """Links a large cell by pivots: what lies within the limit of a pivot is one component, so only links from it to what lies
+    outside, and within twice the limit of the pivot, are sought, and each outer fingerprint needs just one of them."""
+    while len(f) > 1:
+        apart = np.bitwise_count(f ^ f[0])
+        near = (np.bitwise_count(t ^ t[0]) <= limit) & (apart <= limit)
+        for x in f[near].tolist()[1:]:
+            forest.link(int(f[0]), x)
+        outer = np.flatnonzero(~near & (apart <= 2 * limit))
+        for i in np.flatnonzero(near)[1:].tolist():
+            if not len(outer):
+                break
+            met = (np.bitwise_count(t[outer] ^ t[i]) <= limit) & (np.bitwise_count(f[outer] ^ f[i]) <= limit)
+            for x in f[outer[met]].tolist():
+                forest.link(int(f[i]), x)
+            outer = outer[~met]
+        f, t = f[~near], t[~near]
+
+
 def _split_cell(f: np.ndarray, limit: int, forest: _Forest) -> None:
     """A large cell falls apart by the fingerprints' own bits: within the limit, as many whole bytes agree as groups do."""
     for m in masks(limit):
@@ -174,16 +198,17 @@ def near_duplicates(docs: DataFrame, k: int = 4, limit: int = 4, seed: int = 42)
 def one_of_each(docs: DataFrame, k: int = 4, limit: int = 4, seed: int = 42) -> DataFrame:
     """The rows of docs whose id names their component, one for each component.
 
-    In a component without any id, one row for each text stays; of equal rows (id and text) one stays.
+    In a component without any id, one row for each text stays; of equal rows (id and text) one stays. Columns of any
+    name come through, as a row is carried as one column.
     """
     told = stored(near_duplicates(docs, k, limit, seed), "near-duplicates")
-    gone = stored(told.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("body").alias("_text_hash")).distinct(), "near-duplicates-gone")
-    out = docs.withColumn("_body", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = out.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_body") == F.col("_text_hash")), "left_anti")
+    gone = stored(told.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"), F.col("body").alias("gone_body")).distinct(), "near-duplicates-gone")
+    out = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("body"))
+    out = out.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("body") == F.col("gone_body")), "left_anti")
     kept = told.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     if not kept.groupBy("doc_id", "body").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "_body"])
+        out = out.dropDuplicates(["id", "body"])
     if not kept.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.countDistinct("body").alias("n")).filter("n > 1").isEmpty():
-        least = kept.groupBy("doc_id").agg(F.min("body").alias("_least"))  # texts under one id that are near each other
-        out = out.join(least.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").filter(F.col("_least").isNull() | (F.col("_least") == F.col("_body")))
-    return out.select(*docs.columns)
+        least = kept.groupBy(F.col("doc_id").alias("least_id")).agg(F.min("body").alias("least"))  # texts under one id that are near each other
+        out = out.join(least, F.col("id") == F.col("least_id"), "left").filter(F.col("least").isNull() | (F.col("least") == F.col("body")))
+    return out.select("whole.*")
