@@ -2,7 +2,7 @@
 
 Words are counted over all training documents. The most frequent ones are symbols of a gated recurrent model; every
 other word is one of a few tail symbols (by its first bytes) times its share of that tail. The model is trained in
-tasks that pass over all training documents, the weights being averaged after each round.
+tasks that pass once over all training documents, in rounds after each of which the weights are averaged.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ from .gru import Gru
 SYMBOLS, TAILS, PER_CLASS = 1024, 64, 32
 #: No word has white space in it, so this can stand for the end of a document.
 END = b"\n"
-#: Each round passes over all training words, about TASK_WORDS to a file; BATCH documents run side by side.
-ROUNDS, TASK_WORDS, BATCH = 3, 1_000_000, 128
+#: The pass over all training words has so many rounds, about TASK_WORDS to a file, BATCH pieces of documents side by side.
+ROUNDS, TASK_WORDS, BATCH = 3, 3_000_000, 512
+#: Words of the documents that are scored together, about: the fewer, the more time goes to the last words of the longest.
+SLICE_WORDS = 3_000_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -134,19 +136,21 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train_model(train: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Gru:
-    """A model averaged over tasks after each of so many passes over all training documents, which are dealt by a hash
-    and streamed through the tasks. The tasks' weights are averaged in Spark first, so the driver gets about the square root of
+    """A model averaged over tasks after each of so many rounds; every training document is learned from in one of them. Documents are
+    dealt by a hash, sorted, and streamed through the tasks. The tasks' weights are averaged in Spark first, so the driver gets about the square root of
     their number. No training documents: the untrained model."""
     spark, model = train.sparkSession, Gru(v.mass, per_class=PER_CLASS)
     files = max(2, v.total // TASK_WORDS)
     symbols = train.select("text", F.xxhash64("text", "doc_id").alias("deal")).mapInArrow(partial(_encoded, v=spark.sparkContext.broadcast(v)), "deal long, symbols binary")
-    symbols = stored(symbols.repartition(files, "deal").sortWithinPartitions("deal", "symbols").select("symbols"), "lm-symbols")
+    symbols = symbols.withColumn("round", F.pmod(F.shiftright("deal", 8), F.lit(rounds)).cast("int"))
+    symbols = stored(symbols.repartition(files, "deal").sortWithinPartitions("round", "deal", "symbols").select("round", "symbols"), "lm-symbols")
     for turn in range(rounds):
         weights = spark.sparkContext.broadcast(pickle.dumps(model))
-        got = symbols.mapInArrow(partial(_trained, weights=weights, first=v.heads[END], rate=0.02 / (1 + turn), turn=turn), "seen long, weights binary")
+        part = symbols.filter(F.col("round") == turn).select("symbols")
+        got = part.mapInArrow(partial(_trained, weights=weights, first=v.heads[END], rate=0.02 / (1 + turn), turn=turn), "seen long, weights binary")
         got = got.repartition(math.isqrt(files)).mapInArrow(_averaged, "seen long, weights binary").collect()
-        if not got:
-            break
+        if not got:  # no documents in this round
+            continue
         seen = sum(r["seen"] for r in got)
         parts = [(r["seen"] / seen, pickle.loads(bytes(r["weights"]))) for r in got]
         model.set_weights([sum(s * p[i] for s, p in parts).astype(np.float32) for i in range(len(Gru.NAMES))])
@@ -161,39 +165,45 @@ def _unpack(raw: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], shared, shards: int) -> Iterator[pa.RecordBatch]:
-    """For each batch: what the model and the frequent words give its documents (kept whole), and the tail words by shard."""
-    model, v = shared.value
-    part = TaskContext.get().partitionId()
-    log_head = np.log10(v.head_counts + 0.5)
-    log_tail = np.log10(v.tail_words + 0.5 * (v.tail_kinds + 1))
-    for turn, b in enumerate(batches):
-        index, shift = dict(v.heads), SYMBOLS - len(v.heads)
-        flat, sizes = [], []
-        for text in b.column("text").cast(pa.binary()).to_pylist():
-            words = words_of(text)
-            flat.append(np.array([index.setdefault(w, len(index) + shift) for w in words], np.int32))
-            sizes.append(len(words))
-        if not sizes:
-            continue
-        # frequent words have their symbol's number, others are numbered from SYMBOLS as they come
-        ids, starts = np.concatenate(flat), np.concatenate(([0], np.cumsum(sizes)))
-        new = list(index)[len(v.heads) :]
+class _Slice:
+    """Documents that are scored together. Frequent words have their symbol's number, others are numbered from SYMBOLS as they come."""
+
+    def __init__(self, v: Vocabulary):
+        self.index, self.shift = dict(v.heads), SYMBOLS - len(v.heads)
+        self.ids: list[int | None] = []
+        self.held: list[bool] = []
+        self.sizes: list[int] = []
+        self.flat: list[np.ndarray] = []
+        self.words = 0
+
+    def add(self, doc: int | None, held: bool, text: bytes) -> None:
+        words, index, shift = words_of(text), self.index, self.shift
+        self.flat.append(np.array([index.setdefault(w, len(index) + shift) for w in words], np.int32))
+        self.ids.append(doc)
+        self.held.append(held)
+        self.sizes.append(len(words))
+        self.words += len(words)
+
+    def rows(self, name: str, model: Gru, v: Vocabulary, shards: int) -> pa.RecordBatch:
+        """What the model and the frequent words give the documents (kept whole), and the tail words by shard."""
+        log_head = np.log10(v.head_counts + 0.5)
+        log_tail = np.log10(v.tail_words + 0.5 * (v.tail_kinds + 1))
+        ids, sizes, held = np.concatenate(self.flat), np.array(self.sizes), np.array(self.held)
+        starts, n = np.concatenate(([0], np.cumsum(sizes))), len(sizes)
+        new = list(self.index)[len(v.heads) :]
         tail = np.fromiter(map(tail_of, new), np.int64, len(new))
         is_head = ids < SYMBOLS
         sym = np.where(is_head, ids, 0).astype(np.int64)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
+        doc = np.repeat(np.arange(n), sizes)
         local = ids[~is_head].astype(np.int64) - SYMBOLS
         sym[~is_head] = v.tails[tail[local]] if len(local) else 0
         score = model.score(sym, starts, v.heads[END]) / np.log(10)
-        score -= np.bincount(doc[~is_head], log_tail[tail[local]] if len(local) else None, len(sizes))
-        base = np.bincount(doc[is_head], log_head[sym[is_head]], len(sizes))
-        known = np.bincount(doc[is_head], v.head_counts[sym[is_head]] > 0, len(sizes)).astype(np.int64)
-        name = f"{part}-{turn}"
-        held = b.column("held_out").to_numpy(zero_copy_only=False)
-        own = _pack(b.column("doc_id").to_pylist(), held, np.array(sizes), known, base, score)
-        pair, times = np.unique(local * len(sizes) + doc[~is_head], return_counts=True)
-        word, of = pair // len(sizes), pair % len(sizes)
+        score -= np.bincount(doc[~is_head], log_tail[tail[local]] if len(local) else None, n)
+        base = np.bincount(doc[is_head], log_head[sym[is_head]], n)
+        known = np.bincount(doc[is_head], v.head_counts[sym[is_head]] > 0, n).astype(np.int64)
+        own = _pack(self.ids, held, sizes, known, base, score)
+        pair, times = np.unique(local * n + doc[~is_head], return_counts=True)
+        word, of = pair // n, pair % n
         shard = np.fromiter((zlib.crc32(w) % shards for w in new), np.int64, len(new))
         order = np.argsort(shard[word], kind="stable")
         cuts = np.searchsorted(shard[word][order], np.arange(shards + 1))
@@ -204,7 +214,20 @@ def _scored(batches: Iterator[pa.RecordBatch], shared, shards: int) -> Iterator[
             names.append(s)
             slices.append(name)
             blobs.append(_pack("tail", [new[i] for i in some.tolist()], where.astype(np.uint32), of[at].astype(np.uint32), times[at].astype(np.uint32), held[of[at]]))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(slices), pa.array(blobs, pa.binary())], names=["shard", "slice", "blob"])
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(slices), pa.array(blobs, pa.binary())], names=["shard", "slice", "blob"])
+
+
+def _scored(batches: Iterator[pa.RecordBatch], shared, shards: int) -> Iterator[pa.RecordBatch]:
+    model, v = shared.value
+    part, turn, held = TaskContext.get().partitionId(), 0, _Slice(v)
+    for b in batches:
+        for doc, out, text in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            held.add(doc, out, text)
+            if held.words >= SLICE_WORDS:
+                yield held.rows(f"{part}-{turn}", model, v, shards)
+                turn, held = turn + 1, _Slice(v)
+    if held.words:
+        yield held.rows(f"{part}-{turn}", model, v, shards)
 
 
 def _tail_counts(group: pd.DataFrame) -> pd.DataFrame:
