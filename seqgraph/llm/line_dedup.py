@@ -1,9 +1,9 @@
 """Reversible line dedup: exact reference counts by line, and sharded cuckoo filters in front of them.
 
 The reference-count table holds, for each long enough line key, how many documents have it and the largest
-of them. A cuckoo filter for each shard holds the keys that are common; a line whose key isn't in its
-shard's filter is certainly kept, so only few lines go on to the exact table. Documents can be added to and
-taken from the postings; counts and filters follow.
+of them. A cuckoo filter for each shard holds the keys that are common; lines are dealt to the shards, where their
+filter meets them, and a line whose key isn't in it is certainly kept, so only few lines go on to the exact table.
+Documents can be added to and taken from the postings; counts and filters follow.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from .common import shared_path, stored, texts
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLOTS = 4
-#: Filters are broadcast up to so many bytes in all; beyond it, every line goes to the exact table.
-FILTER_BYTES = 64 << 20
+#: Shards at least, and keys in the filter of a shard, about: their number grows with the keys.
+SHARDS, SHARD_KEYS = 64, 250_000
 
 
 def line_key(line: Column) -> Column:
@@ -132,28 +132,38 @@ def cuckoo_filters(common: DataFrame, shards: int) -> DataFrame:
     return common.select("k1", F.pmod("k1", F.lit(shards)).cast("int").alias("shard")).groupBy("shard").applyInPandas(_filters, "shard int, n_keys long, cuckoo binary")
 
 
-def _passing(batches: Iterator[pa.RecordBatch], filters, shards: int) -> Iterator[pa.RecordBatch]:
-    held = {s: CuckooFilter.from_bytes(raw) for s, raw in filters.value.items()}
-    for b in batches:
-        k = b.column(0).to_numpy(zero_copy_only=False)
-        hit, shard = np.zeros(len(k), bool), np.mod(k, shards)
-        for s in np.unique(shard):
-            if s in held:
-                at = np.flatnonzero(shard == s)
-                hit[at] = held[s].contains(k[at].view(np.uint64))
-        yield b.filter(pa.array(hit))
-
+def shard_loads(common: DataFrame, shards: int) -> DataFrame:
+    """shard, salts: in how many parts the lines of each shard with common keys are dealt, so that no part has much more than the mean shard."""
+    loads = common.groupBy(F.pmod("k1", F.lit(shards)).cast("int").alias("shard")).agg(F.sum("n_docs").alias("load"))
+    mean = loads.agg(F.coalesce(F.sum("load"), F.lit(0)) / shards).first()[0]
+    return loads.select("shard", F.ceil(F.col("load") / max(mean or 1.0, 1.0)).cast("int").alias("salts"))
 
-def maybe_common(lines: DataFrame, filters: DataFrame, shards: int, limit: int = FILTER_BYTES) -> DataFrame:
-    """The lines (first column k1) that some filter may hold; all of them where the filters exceed limit bytes."""
-    size = filters.agg(F.coalesce(F.sum(F.octet_length("cuckoo")), F.lit(0))).first()[0]
-    if size > limit:
-        return lines
-    held = lines.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["cuckoo"]) for r in filters.collect()})
-    return lines.mapInArrow(partial(_passing, filters=held, shards=shards), lines.schema)
 
-
-def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, shards: int = 64, counts: DataFrame | None = None) -> DataFrame:
+def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by shard and salt, a filter before the lines it is for; gives the lines that it may hold. One filter is in memory at a time."""
+    cuckoo = None
+    for b in batches:
+        raw, k = b.column("cuckoo"), b.column("k1").to_numpy(zero_copy_only=False)
+        marks = np.flatnonzero(np.asarray(raw.is_valid())).tolist()
+        hit = np.zeros(len(k), bool)
+        for lo, hi in zip([-1, *marks], [*marks, len(k)], strict=True):
+            if lo >= 0:
+                cuckoo = CuckooFilter.from_bytes(raw[lo].as_py())
+            if lo + 1 < hi:
+                hit[lo + 1 : hi] = cuckoo.contains(k[lo + 1 : hi].astype(np.int64).view(np.uint64))
+        yield b.select([n for n in b.schema.names if n not in ("shard", "salt", "cuckoo")]).filter(pa.array(hit))
+
+
+def maybe_common(lines: DataFrame, filters: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
+    """The lines (with a column k1) that the filter of their shard may hold. Shards with many lines are dealt in parts, their filter to each."""
+    out = lines.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int")).join(loads, "shard")  # a shard without common keys keeps its lines
+    out = out.withColumn("salt", F.pmod(F.xxhash64(*lines.columns), F.col("salts")).cast("int")).select("shard", "salt", *lines.columns, F.lit(None).cast("binary").alias("cuckoo"))
+    each = filters.join(loads, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in lines.schema if f.name != "k1"], F.lit(0).cast("long").alias("k1"), "cuckoo")
+    met = out.unionByName(each).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("cuckoo").isNull())
+    return met.mapInArrow(_passing, lines.schema)
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, shards: int = SHARDS, counts: DataFrame | None = None) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_text of each document.
 
     A key of min_chars code points held by min_docs documents or more stays only in the document with the
@@ -163,11 +173,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, shards:
     """
     counts = reference_counts(postings(docs, min_chars)) if counts is None else counts
     common = stored(counts.filter(F.col("n_docs") >= min_docs), "common-lines")
-    filters = stored(cuckoo_filters(common, shards), "line-filters")
+    shards = max(shards, -(-common.count() // SHARD_KEYS))
+    filters, loads = stored(cuckoo_filters(common, shards), "line-filters"), stored(shard_loads(common, shards), "line-loads")
     body = texts(docs).withColumn("body", F.xxhash64("text"))
     lines = body.select("doc_id", "body", F.posexplode(F.transform(F.split("text", "\n", -1), line_key)).alias("at", "line")).filter(F.char_length("line") >= min_chars)
     lines = lines.select(F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("line"), "line").alias("k2"), "doc_id", "body", "at")
-    doomed = maybe_common(lines, filters, shards).join(common, ["k1", "k2"]).filter(~F.col("doc_id").eqNullSafe(F.col("top_doc")))
+    doomed = maybe_common(lines, filters, loads, shards).join(common, ["k1", "k2"]).filter(~F.col("doc_id").eqNullSafe(F.col("top_doc")))
     doomed = doomed.groupBy(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).agg(F.collect_set("at").alias("drops"))
     out = body.join(doomed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body")), "left")
     split = F.split("text", "\n", -1)
@@ -182,7 +193,7 @@ class LineIndex:
     filter table on by the keys that became or ceased to be common, without looking at the other keys.
     """
 
-    def __init__(self, docs: DataFrame, min_docs: int = 3, min_chars: int = 20, shards: int = 64):
+    def __init__(self, docs: DataFrame, min_docs: int = 3, min_chars: int = 20, shards: int = SHARDS):
         self.spark, self.min_docs, self.min_chars, self.shards = docs.sparkSession, min_docs, min_chars, shards
         self.path = shared_path(self.spark, "line-postings")
         self._append(docs, 1)
@@ -209,7 +220,8 @@ class LineIndex:
 
 
 def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, shards: int, min_docs: int = 3) -> DataFrame:
-    """The filter table for the counts `after`, from the one for `before`: adds and deletes only the keys that changed."""
+    """The filter table for the counts `after`, from the one for `before`: adds and deletes only the keys that changed. A filter that
+    has no place for a key is built anew from all its keys."""
     keys = lambda t: t.filter(F.col("n_docs") >= min_docs).select("k1", "k2")
     changed = keys(after).exceptAll(keys(before)).withColumn("add", F.lit(True)).unionByName(keys(before).exceptAll(keys(after)).withColumn("add", F.lit(False)))
     changed = changed.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int"))
@@ -219,8 +231,10 @@ def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, shar
         n = int(held["n_keys"].iloc[0]) if len(held) else 0
         cuckoo = CuckooFilter.from_bytes(held["cuckoo"].iloc[0]) if n else CuckooFilter(max(4, 2 * len(k)))
         cuckoo.delete(k[~add])
-        if not cuckoo.add(k[add]):
-            raise ValueError(f"shard {key[0]} is full: rebuild it with cuckoo_filters and more shards")
-        return pd.DataFrame({"shard": [key[0]], "n_keys": [n + int(add.sum()) - int((~add).sum())], "cuckoo": [cuckoo.to_bytes()]})
+        fits = cuckoo.add(k[add])
+        return pd.DataFrame({"shard": [key[0]], "n_keys": [n + int(add.sum()) - int((~add).sum())], "cuckoo": [cuckoo.to_bytes() if fits else None]})
 
-    return filters.groupBy("shard").cogroup(changed.groupBy("shard")).applyInPandas(moved, "shard int, n_keys long, cuckoo binary")
+    out = stored(filters.groupBy("shard").cogroup(changed.groupBy("shard")).applyInPandas(moved, "shard int, n_keys long, cuckoo binary"), "line-filters")
+    full = out.filter(F.col("cuckoo").isNull()).select("shard")
+    again = keys(after).withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int")).join(full, "shard", "left_semi")
+    return out.filter(F.col("cuckoo").isNotNull()).unionByName(cuckoo_filters(again, shards))
