@@ -38,7 +38,10 @@ _TABLE = np.random.default_rng(11).integers(1, 2**63, 256, np.uint64)
 
 
 def _induce(s: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, sigma: int) -> np.ndarray:
-    """Induced sorting of all suffixes from leftmost-smaller ones in the order given; a bucket at a time, each in bulk."""
+    """Induced sorting of all suffixes from leftmost-smaller ones in the order given; a bucket at a time, each in bulk.
+
+    Linear: every suffix is placed once, by stable sorts of 16-bit symbols, which numpy does by radix.
+    """
     firsts = s[seeds]
     order = np.argsort(firsts, kind="stable")
     ends = np.searchsorted(firsts[order], np.arange(sigma + 1))
@@ -103,36 +106,33 @@ def _names(s: np.ndarray, at: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.cumsum(new) - 1
 
 
-def _sort_names(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of a string of names, by as many names as depth bytes can hold, doubling at each turn."""
-    n, rank, k = len(names), names.astype(np.int64), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - k if k < n else 0] = rank[k:] + 1
-        key = rank * (rank.max() + 2) + after
-        order = np.argsort(key, kind="stable")
-        step = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
-        rank = np.empty(n, np.int64)
-        rank[order] = step
-        k *= 2
-        if step[-1] == n - 1 or 2 * k > depth + 2:
-            return order
+#: Symbols of a string of names: a name takes as many digits as it needs, so a bucket loop stays short at any length.
+DIGIT_BITS = 11
+
 
+def _sort_names(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a string of names: each name is written in as many digits as the largest needs, the
+    string of digits is sorted by induction in turn, and what begins a name is kept. Two thirds as long as the text at most."""
+    width = max(1, -(-int(names.max()).bit_length() // DIGIT_BITS))
+    digits = (names[:, None] >> (DIGIT_BITS * np.arange(width)[::-1])) & ((1 << DIGIT_BITS) - 1)
+    order = suffix_array(digits.ravel())
+    return order[order % width == 0] // width
 
-def suffix_array(s: np.ndarray, depth: int | None = None, sigma: int | None = None) -> np.ndarray:
-    """Start positions of the suffixes of s (small non-negative integers) in order; with depth, by their first depth at least.
+
+def suffix_array(s: np.ndarray, sigma: int | None = None) -> np.ndarray:
+    """Start positions of the suffixes of s (integers from 0, below 2**15 - 2) in order.
 
     Suffixes are classified, leftmost-smaller substrings are sorted by induction and named, the string of names is
-    sorted in turn, and the order of all suffixes is induced from it.
+    sorted recursively unless all differ, and the order of all suffixes is induced from it.
     """
     sigma = (int(s.max()) + 2 if len(s) else 1) if sigma is None else sigma
     n = len(s) + 1
-    t = np.zeros(n, np.int16 if sigma < 2**15 else np.int64)
-    t[:-1] = s.astype(t.dtype) + 1
+    t = np.zeros(n, np.int16)
+    t[:-1] = s.astype(np.int16) + 1
     if n == 1:
         return np.zeros(0, np.int64)
     rise = np.zeros(n, np.int8)
-    rise[:-1] = np.sign(np.diff(t.astype(np.int64)))
+    rise[:-1] = (t[1:] > t[:-1]).astype(np.int8) - (t[1:] < t[:-1])
     rise[-1] = 1
     where = np.where(rise != 0, np.arange(n), n)  # the next place where it changes decides
     is_s = rise[np.minimum.accumulate(where[::-1])[::-1]] > 0
@@ -148,26 +148,31 @@ def suffix_array(s: np.ndarray, depth: int | None = None, sigma: int | None = No
     names[ordered] = _names(t, ordered, stops[ordered])
     small = names[lms]
     if len(lms) > 1 and small.max() < len(lms) - 1:
-        if small.max() < 2048 and depth is None:
-            order = suffix_array(small)
-        else:
-            order = _sort_names(small, depth if depth is not None else 2 * len(lms))
-        ordered = lms[order]
+        ordered = lms[_sort_names(small)]
     return _induce(t, is_s, ordered, sigma + 1)[1:]
 
 
-def permuted_common(s: np.ndarray, order: np.ndarray, at_least: int) -> np.ndarray:
-    """For each position in text order: is its common prefix with the suffix before it in `order` at_least long? (permuted array)"""
+def permuted_common(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """For each position in text order, the length (up to `most`) of its common prefix with the suffix before it in `order`;
+    the permuted array of longest common prefixes. Eight bytes are compared at a time; 0 for the first and for what isn't in order."""
     before = np.full(len(s), -1, np.int64)
     before[order[1:]] = order[:-1]
-    long = np.zeros(len(s), bool)
-    ok = np.flatnonzero((before >= 0) & (np.arange(len(s)) + at_least <= len(s)))
-    ok = ok[before[ok] + at_least <= len(s)]
-    word = np.ndarray(max(len(s) - 7, 0), "<u8", s.tobytes(), strides=(1,)) if at_least >= 8 else None
-    for k in [*range(0, at_least - 7, 8), at_least - 8] if at_least >= 8 else range(at_least):
-        ok = ok[(word[ok + k] == word[before[ok] + k]) if word is not None else s[ok + k] == s[before[ok] + k]]
-    long[ok] = True
-    return long
+    common = np.zeros(len(s), np.int64)
+    at = np.flatnonzero(before >= 0)
+    padded = np.concatenate([s.astype(np.uint8), np.zeros(8, np.uint8)])
+    word = np.ndarray(len(s) + 1, "<u8", padded.tobytes(), strides=(1,))
+    limit = np.minimum(len(s) - np.maximum(at, before[at]), most)  # common prefixes end with the text
+    k = 0
+    while len(at):
+        here, there = np.minimum(at + k, len(s)), np.minimum(before[at] + k, len(s))
+        differ = word[here] ^ word[there]
+        low = differ & (~differ + np.uint64(1))  # the lowest bit that differs
+        equal = np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)) >> 3)
+        done = (equal < 8) | (k + 8 >= limit)
+        common[at[done]] = np.minimum(k + equal[done], limit[done])
+        at, limit = at[~done], limit[~done]
+        k += 8
+    return common
 
 
 # ---- segments ------------------------------------------------------------------------------------------------------
@@ -352,13 +357,13 @@ def _least(content: list[bytes], least: np.ndarray, length: int) -> list[np.ndar
     sizes = np.array([len(c) for c in content], np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
     s = np.frombuffer(bytes([BREAK]).join(content), np.uint8)
-    order = suffix_array(s, depth=length, sigma=257)
+    order = suffix_array(s, sigma=257)
     windows = sizes - length + 1
     at = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(starts, windows)
     owner = np.full(len(s), -1, np.int64)
     owner[at] = np.repeat(np.arange(len(content)), windows)
     order = order[owner[order] >= 0]
-    same = permuted_common(s, order, length)[order]
+    same = permuted_common(s, order, length)[order] >= length
     group = np.cumsum(~same) - 1
     found = np.full(group[-1] + 1, np.iinfo(np.int64).max)
     np.minimum.at(found, group, least[owner[order]])
