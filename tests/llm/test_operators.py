@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from seqgraph.llm import gru, lm_score, nbsvm, simhash, suffix_dedup
 from seqgraph.llm.components import connected_components
 from seqgraph.llm.decontaminate import decontaminate
-from seqgraph.llm.line_dedup import CuckooFilter, LineIndex, cuckoo_filters, dedup_lines, update_filters
-from seqgraph.llm.mixing import capped_targets, min_cost_flow, mix, mixed_documents, plan_mix
+from seqgraph.llm.line_dedup import CuckooFilter, LineIndex, cuckoo_filters, dedup_lines, maybe_common, shard_loads, update_filters
+from seqgraph.llm.mixing import capped_targets, min_cost_flow, mix, mixed_documents, plan_mix, sized_documents
 from seqgraph.llm.quality_rules import judged
 from seqgraph.llm.secrets import joined, scan_secrets, train_markov
 from seqgraph.llm.token_files import Encoder, default_tokenizer, read_tokens, token_digest, write_tokens
@@ -137,7 +137,7 @@ def test_lm_learns_from_every_document(spark, monkeypatch):
     monkeypatch.setattr(type(train), "collect", counted)
     before = gru.Gru(v.mass, per_class=lm_score.PER_CLASS)
     model = lm_score.train_model(train, v)
-    assert v.total == 400 * 1501 and seen == [v.total] * lm_score.ROUNDS
+    assert v.total == 400 * 1501 and sum(seen) == v.total and len(seen) == lm_score.ROUNDS
     assert any((x != y).any() for x, y in zip(model.weights(), before.weights(), strict=True))
 
 
@@ -199,9 +199,15 @@ def test_targets_and_flow():
     assert capped_targets([1, 10, 10], [5, 2, 1]) == pytest.approx([3.0, 12.0, 6.0])
     assert capped_targets([], []) == [] and capped_targets([0, 0], [5, 2]) == [0, 0]
     # pattern 0 is in source 0 only, pattern 1 in both: the shared one goes where it is needed, at the fewest repetitions
-    flow = min_cost_flow([10, 10], [(0,), (0, 1)], [12.0, 14.0])
-    assert sum(flow[0]) + flow[1][0] == pytest.approx(12) and flow[1][1] == pytest.approx(14)
-    assert max(sum(flow[0]), sum(flow[1])) <= 20 and sum(map(sum, flow)) == pytest.approx(26)
+    many = float("inf")
+    flow = min_cost_flow([10, 10], [{0: 10}, {0: many, 1: many}], [12.0, 14.0])
+    assert flow[0][0] + flow[1][0] == pytest.approx(12) and flow[1][1] == pytest.approx(14)
+    assert max(sum(flow[0].values()), sum(flow[1].values())) <= 20
+    # a text of 10 words with a copy in each source: each may take it three times, yet the own texts of source 0 come first
+    flow = min_cost_flow([40, 10], [{0: 40}, {0: 10, 1: 10}], [30.0, 10.0])
+    assert flow == [{0: pytest.approx(30)}, {0: pytest.approx(0), 1: pytest.approx(10)}]
+    flow = min_cost_flow([10, 10], [{0: 10}, {0: 10, 1: 10}], [60.0, 30.0])
+    assert flow == [{0: pytest.approx(30)}, {0: pytest.approx(30), 1: pytest.approx(30)}]
 
 
 def test_mix(spark, docs, rows):
@@ -221,8 +227,27 @@ def test_mix(spark, docs, rows):
         assert by[n][0]["source_size"] == size and by[n][0]["target"] == pytest.approx(target)
         # whole documents: no nearer than half of the largest, where that is all that is left
         assert abs(sum(r["taken"] for r in by[n]) - target) <= max(0.05 * target + 2, max(r["size"] for r in by[n]) / 2)
-    both = spark.createDataFrame([(1, ["a"], 10, 1), (2, ["a", "b"], 10, 2)], "doc_id long, pattern array<string>, size long, body long")
-    assert {tuple(r["pattern"]): r["flow"] for r in plan_mix(both).collect()}.keys() == {("a",), ("a", "b")}
+
+
+def test_mix_uses_shared_texts_where_they_are_needed(spark):
+    # "a" and "c" have texts of their own; "b" has few beside copies of texts that "a" holds as well
+    rows = [(i, "a", f"own{i} " * 20) for i in range(100)] + [(1000 + i, s, f"both{i} " * 20) for i in range(40) for s in "ab"] + [(2000 + i, "b", f"few{i} " * 20) for i in range(10)]
+    rows = [(i * 2 + (s == "b"), s, t) for i, s, t in rows] + [(9000 + i, "c", f"third{i} " * 20) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mix(docs).collect()
+    by = {s: [r for r in got if {x[0]: x[1] for x in rows}[r["doc_id"]] == s] for s in "abc"}
+    targets = capped_targets([2800, 1000, 6000], [5.0, 2.0, 1.0])
+    for s, t in zip("abc", targets, strict=True):
+        assert by[s][0]["target"] == pytest.approx(t) and abs(sum(r["taken"] for r in by[s]) - t) <= 20
+    shared = {x[0] for x in rows if x[2].startswith("both")}
+    # both targets need more than one use of every text; no document is used more than three times, shared ones at most as often as own ones
+    assert all(r["copies"] <= 3 for r in got)
+    uses = lambda s, some: sum(r["copies"] for r in by[s] if (r["doc_id"] in shared) == some) / max(1, sum((r["doc_id"] in shared) == some for r in by[s]))
+    assert uses("a", True) <= uses("a", False)
+    pools = {r["pool"] for r in plan_mix(sized_documents(docs)).collect()}
+    assert len(pools) == 5 and len({r["pool"] for r in plan_mix(sized_documents(docs, patterns=0)).collect()}) == 3
+    times = {r["doc_id"]: r["count"] for r in mixed_documents(docs).groupBy("doc_id").count().collect()}
+    assert times == {r["doc_id"]: r["copies"] for r in got if r["copies"]}
 
 
 def test_mix_of_overlapping_sources(spark):
@@ -265,6 +290,31 @@ def test_line_index_is_reversible(spark, docs, rows):
     assert cuckoo_filters(before.limit(0), 4).count() == 0
 
 
+def test_filters_meet_the_lines_of_their_shard(spark):
+    # one key has a third of all rows; filters are small, and most keys are in none
+    rows = [(7 if i % 3 == 0 else 1000 + i, i) for i in range(3000)]
+    lines = spark.createDataFrame(rows, "k1 long, doc_id long")
+    common = spark.createDataFrame([(7, 0, 1000, 1), (1001, 0, 3, 1), (-5, 0, 3, 1)], "k1 long, k2 long, n_docs long, top_doc long")
+    filters, loads = cuckoo_filters(common, 8), shard_loads(common, 8)
+    assert {r["shard"]: r["salts"] for r in loads.collect()} == {7: 8, 1: 1, 3: 1}
+    got = maybe_common(lines, filters, loads, 8)
+    found = {tuple(r) for r in got.collect()}
+    assert {r for r in rows if r[0] in (7, 1001)} <= found and len(found) < 1010
+
+
+def test_a_full_filter_is_built_anew(spark):
+    counts = lambda keys, n: spark.createDataFrame([(int(k), 0, n, 1) for k in keys], "k1 long, k2 long, n_docs long, top_doc long")
+    keys = np.random.default_rng(3).integers(-(2**62), 2**62, 400)
+    before, after = counts(keys[:3], 3), counts(keys[3:], 3)
+    moved = update_filters(cuckoo_filters(before, 1), before, after, 1).collect()
+    assert len(moved) == 1 and moved[0]["n_keys"] == 397
+    held = CuckooFilter.from_bytes(bytes(moved[0]["cuckoo"]))
+    assert held.contains(keys[3:].view(np.uint64)).all() and not held.contains(keys[:3].view(np.uint64)).all()
+    gone = update_filters(cuckoo_filters(after, 1), after, counts(keys[3:10], 3), 1).collect()[0]
+    held = CuckooFilter.from_bytes(bytes(gone["cuckoo"]))
+    assert held.contains(keys[3:10].view(np.uint64)).all() and held.contains(keys[10:].view(np.uint64)).mean() < 0.05
+
+
 def test_cuckoo_filter():
     keys = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
     f = CuckooFilter.of(keys)
@@ -354,9 +404,23 @@ def test_suffix_array_and_common_prefixes():
         s = rng.integers(0, int(rng.integers(1, 5)) + 1, int(rng.integers(1, 70)))
         order = suffix_dedup.suffix_array(s)
         assert order.tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
-        long = suffix_dedup.permuted_common(s.astype(np.uint8), order, 3)
-        for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
-            assert long[b] == (len(s) - max(a, b) >= 3 and s[a : a + 3].tolist() == s[b : b + 3].tolist())
+        for most in (3, 100):
+            common = suffix_dedup.permuted_common(s.astype(np.uint8), order, most)
+            for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
+                n = next((k for k in range(len(s)) if max(a, b) + k >= len(s) or s[a + k] != s[b + k]), len(s))
+                assert common[b] == min(n, most)
+
+
+def test_suffix_arrays_of_many_names(monkeypatch):
+    rng, deep = np.random.default_rng(2), []
+    monkeypatch.setattr(suffix_dedup, "DIGIT_BITS", 3)  # names take several digits, and the recursion several levels
+    whole = suffix_dedup._sort_names
+    monkeypatch.setattr(suffix_dedup, "_sort_names", lambda names: deep.append(len(names)) or whole(names))
+    for _ in range(20):
+        part = rng.integers(0, 4, 150)
+        s = np.concatenate([part, rng.integers(0, 4, 100), part, part[:70]])
+        assert suffix_dedup.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    assert len(deep) > 40
 
 
 def test_rules(docs, rows):
@@ -366,11 +430,23 @@ def test_rules(docs, rows):
 
 
 def test_hosts(spark):
-    fine = " ".join(f"w{i}" for i in range(60))
-    rows = [(i, fine if i % 10 else "short", "clean") for i in range(100)] + [(200 + i, fine if i == 0 else "short", "bad") for i in range(50)] + [(300, fine, "one"), (301, fine + " # # # # # # # # #", "clean"), (302, None, None)]
+    fine, odd = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(60)) + " # # # # # # # # #"
+    rows = [(i, fine if i % 10 else "short", "clean") for i in range(100)] + [(200 + i, fine if i == 0 else "short", "bad") for i in range(50)] + [(300, fine, "one"), (302, None, None)]
+    rows += [(1000 + 100 * h + i, fine if i % 3 else "short", f"usual{h}") for h in range(6) for i in range(90)] + [(301, odd, "clean"), (303, odd, "usual1"), (304, fine, "usual1"), (305, odd, "new")]
     got = {r["doc_id"]: r for r in judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert got[1]["kept"] and got[300]["kept"] and not got[10]["kept"] and not got[200]["kept"] and not got[301]["kept"] and not got[302]["kept"]
-    assert got[200]["host_verdict"] == "blocked" and 0 < got[300]["host_rate"] < 0.5
+    assert {r["source"]: r["host_verdict"] for r in judged(spark.createDataFrame(rows, "doc_id long, text string, source string"), keep=("doc_id", "source")).collect() if r["source"] in ("clean", "bad", "one", "new", "usual1")} == {"clean": "trusted", "bad": "blocked", "one": "mixed", "new": "mixed", "usual1": "mixed"}
+    assert got[1]["kept"] and got[300]["kept"] and got[304]["kept"] and not got[10]["kept"] and not got[302]["kept"]
+    # the verdict turns documents: odd ones stay on a trusted host alone, and fine ones go from a blocked host
+    assert got[301]["kept"] and not got[303]["kept"] and not got[305]["kept"] and got[301]["soft_failed"]
+    assert not got[200]["kept"] and not got[200]["base_failed"] and not got[200]["soft_failed"]
+    assert 0 < got[300]["host_rate"] < 0.5
+
+
+def test_hosts_that_differ_by_chance_alone_are_all_mixed(spark):
+    fine, rnd = " ".join(f"w{i}" for i in range(60)), random.Random(5)
+    rows = [(i, fine if rnd.random() < 0.8 else "short", f"h{i % 10}") for i in range(800)]
+    got = judged(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert got.filter("host_verdict <> 'mixed'").count() <= 80 and not got.filter("host_verdict = 'blocked'").count()
 
 
 def test_components(spark):
