@@ -47,9 +47,10 @@ def transitions(positions: DataFrame, min_transitions: int = 2000) -> DataFrame:
     by_song = bigrams(positions).groupBy("song", *DIMENSIONS, "from_token", "to_token").agg(F.count(F.lit(1)).alias("n"))
     by_song = explode_contexts(by_song).groupBy("context", "from_token", "to_token", "song").agg(F.sum("n").alias("n"))
     pair = by_song.groupBy("context", "from_token", "to_token").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("support"))
-    over = lambda *c: F.sum("count").over(Window.partitionBy("context", *c))
-    pair = pair.withColumns({"total": over(), "out": over("from_token"), "in": over("to_token")})
-    pair = pair.filter((F.col("context") == "global") | (F.col("total") >= min_transitions))
+    # totals are sums by key, which combine before the shuffle; no task holds all pairs of a context
+    total = lambda name, *c: pair.groupBy("context", *c).agg(F.sum("count").alias(name))
+    size = total("total").filter((F.col("context") == "global") | (F.col("total") >= min_transitions))
+    pair = pair.join(size, "context").join(total("out", "from_token"), ["context", "from_token"]).join(total("in", "to_token"), ["context", "to_token"])
     pmi = F.log(F.col("count") * F.col("total") / (F.col("out").cast("double") * F.col("in")))
     return pair.select("context", "from_token", "to_token", "count", (F.col("count") / F.col("out")).alias("prob"), pmi.alias("pmi"), "support")
 
@@ -83,7 +84,7 @@ def ngram_counts(positions: DataFrame, contexts: DataFrame, prune: dict[int, int
     orders = F.array(*[F.when(F.col("pos") >= o - 1, F.struct(F.lit(o).alias("order"), history(o).alias("history"))) for o in range(1, MAX_ORDER_GLOBAL + 1)])
     each = rows.select(*DIMENSIONS, "token", F.explode(F.array_compact(orders)).alias("x")).select(*DIMENSIONS, "token", "x.*")
     counted = each.groupBy(*DIMENSIONS, "order", "history", "token").agg(F.count(F.lit(1)).alias("cnt"))
-    counted = explode_contexts(counted).filter(F.col("order") <= max_order(F.col("context"))).join(F.broadcast(contexts.select("context")), "context", "left_semi")
+    counted = explode_contexts(counted).filter(F.col("order") <= max_order(F.col("context"))).join(contexts.select("context"), "context", "left_semi")
     counted = counted.groupBy("context", "order", "history", "token").agg(F.sum("cnt").alias("cnt"))
     shorter = F.when(F.instr("history", " ") > 0, F.expr("substring(history, instr(history, ' ') + 1)")).otherwise("")
     cont = counted.filter("order > 1").groupBy("context", (F.col("order") - 1).alias("order"), shorter.alias("history"), "token").agg(F.count(F.lit(1)).alias("cont"))
@@ -100,35 +101,46 @@ def discount_stats(ngrams: DataFrame) -> DataFrame:
 
 
 def windows(sections: DataFrame, lengths: tuple[int, int] = (3, 8)) -> DataFrame:
-    """pattern (smallest rotation, joined by a space), length, offset of that rotation, with the section's columns: every window of every length."""
+    """song, dimensions, w (the tokens, joined by a space), length, n: how often a song has each window, of every length, under each choice of dimensions."""
     lo, hi = lengths
     starts = lambda n: F.sequence(F.lit(1), F.size("tokens") - n + 1)
-    cut = lambda n: F.when(F.size("tokens") >= n, F.transform(starts(n), lambda i: F.slice("tokens", i, n)))
+    cut = lambda n: F.when(F.size("tokens") >= n, F.transform(starts(n), lambda i: F.struct(F.lit(n).cast("long").alias("length"), F.array_join(F.slice("tokens", i, n), " ").alias("w"))))
     listed = F.flatten(F.array_compact(F.array(*[cut(n) for n in range(lo, hi + 1)])))
-    w = sections.select("song", *DIMENSIONS, F.explode(listed).alias("w"))
-    size = F.size("w")
-    turns = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.struct(F.concat(F.slice("w", k + 1, size), F.slice("w", F.lit(1), k)).alias("r"), k.alias("k")))
-    return w.withColumn("best", F.array_min(turns)).select("song", *DIMENSIONS, F.array_join("best.r", " ").alias("pattern"), size.cast("long").alias("length"), F.col("best.k").cast("long").alias("offset"))
+    w = sections.select("song", *DIMENSIONS, F.explode(listed).alias("x")).select("song", *DIMENSIONS, "x.w", "x.length")
+    return w.groupBy("song", *DIMENSIONS, "w", "length").agg(F.count(F.lit(1)).alias("n"))
 
 
-def patterns(sections: DataFrame, min_support: int, min_context: int, song_cap: int = 2000, lengths: tuple[int, int] = (3, 8)) -> tuple[DataFrame, DataFrame]:
+def smallest_rotation(w: Column) -> Column:
+    """(pattern, offset): the smallest rotation of a window, joined by a space, and by how many tokens it is turned."""
+    t, size = F.split(w, " "), F.size(F.split(w, " "))
+    turns = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.struct(F.concat(F.slice(t, k + 1, size), F.slice(t, F.lit(1), k)).alias("r"), k.alias("k")))
+    best = F.array_min(turns)
+    return F.struct(F.array_join(best["r"], " ").alias("pattern"), best["k"].cast("long").alias("offset"))
+
+
+def patterns(sections: DataFrame, min_support: int, min_context: int, song_cap: int = 2000, lengths: tuple[int, int] = (3, 8), keep=lambda df, name: df) -> tuple[DataFrame, DataFrame]:
     """Frequent patterns (pattern, length, support, song_count, rotations), and lifts (pattern, context, lift).
 
-    Supports are counted first; the rest is worked out for frequent patterns only. Lift is the pattern's share of a
-    context's windows over its share of all; kept contexts with enough windows have a lift for every pattern, 0 too.
+    Windows are counted by song first, and only distinct ones are rotated. Supports are counted from their totals; the rest is worked
+    out for frequent patterns only. Lift is the pattern's share of a context's windows over its share of all; kept contexts
+    with enough windows have a lift for every pattern, 0 too. keep(df, name): stores what several branches read.
     """
-    w = windows(sections, lengths).groupBy("song", *DIMENSIONS, "pattern", "length", "offset").agg(F.count(F.lit(1)).alias("n"))
-    frequent = w.groupBy("pattern", "length").agg(F.sum("n").alias("support")).filter(F.col("support") >= min_support)
-    kept = w.join(frequent.select("pattern"), "pattern", "left_semi")
-    songs = kept.select("pattern", "song").distinct().groupBy("pattern").agg(F.least(F.count(F.lit(1)), F.lit(song_cap)).alias("song_count"))
-    turned = kept.select("pattern", "offset").distinct().groupBy("pattern").agg(F.array_join(F.sort_array(F.collect_list("offset")), ",").alias("rotations"))
-    found = frequent.join(songs, "pattern").join(turned, "pattern")
+    w = keep(windows(sections, lengths), "windows")
+    once = w.groupBy("w", "length").agg(F.sum("n").alias("n"))
+    turned = keep(once.withColumn("best", smallest_rotation(F.col("w"))).select("w", "length", "n", "best.pattern", "best.offset"), "rotations")
+    supports = turned.groupBy("pattern", "length").agg(F.sum("n").alias("support"), F.array_join(F.array_sort(F.collect_set("offset")), ",").alias("rotations"))
+    frequent = supports.filter(F.col("support") >= min_support)
+    kept = keep(turned.select("w", "pattern").join(frequent, "pattern"), "frequent-windows")
+    found = kept.select("pattern", "length", "support", "rotations").distinct()
+    by_song = keep(w.join(kept.select("w", "pattern"), "w").groupBy("song", *DIMENSIONS, "pattern").agg(F.sum("n").alias("n")), "pattern-songs")
+    songs = by_song.select("pattern", "song").distinct().groupBy("pattern").agg(F.least(F.count(F.lit(1)), F.lit(song_cap)).alias("song_count"))
     pairs = sections.select("song", *DIMENSIONS, F.greatest(F.size("tokens") - 1, F.lit(0)).alias("n"))
     big = explode_contexts(pairs).groupBy("context").agg(F.sum("n").alias("b")).filter((F.col("context") == "global") | (F.col("b") >= min_context)).select("context")
-    totals = explode_contexts(w.groupBy(*DIMENSIONS).agg(F.sum("n").alias("n"))).groupBy("context").agg(F.sum("n").alias("windows")).join(big, "context", "left_semi")
-    by_context = explode_contexts(kept.groupBy(*DIMENSIONS, "pattern").agg(F.sum("n").alias("n"))).groupBy("context", "pattern").agg(F.sum("n").alias("n"))
+    totals = keep(explode_contexts(w.groupBy(*DIMENSIONS).agg(F.sum("n").alias("n"))).groupBy("context").agg(F.sum("n").alias("windows")).join(big, "context", "left_semi"), "context-windows")
+    by_context = explode_contexts(by_song.groupBy(*DIMENSIONS, "pattern").agg(F.sum("n").alias("n"))).groupBy("context", "pattern").agg(F.sum("n").alias("n"))
     everywhere = totals.filter("context = 'global'").select(F.col("windows").alias("all_windows"))
-    grid = frequent.select("pattern", "support").join(F.broadcast(totals.filter((F.col("context") != "global") & (F.col("windows") >= min_context))))
+    # a lift for every frequent pattern and kept context: that is the result's size
+    grid = found.select("pattern", "support").join(totals.filter((F.col("context") != "global") & (F.col("windows") >= min_context)))
     grid = grid.join(F.broadcast(everywhere))  # one row
     lift = (F.coalesce("n", F.lit(0)) / F.col("windows")) / (F.col("support") / F.col("all_windows"))
-    return found, grid.join(by_context, ["context", "pattern"], "left").select("pattern", "context", lift.alias("lift"))
+    return found.join(songs, "pattern"), grid.join(by_context, ["context", "pattern"], "left").select("pattern", "context", lift.alias("lift"))

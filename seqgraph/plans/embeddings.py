@@ -13,7 +13,7 @@ from ..operators import theory as T
 from ..sources.fixtures import CONTEXT_SQL, EVENT_SQL, chord_lines, event_positions, event_sections, materialize
 from . import prediction as Q
 from .operations import GLOBAL, TRANS, _edges, _vectors
-from .sequences import KEPT_SQL, MIN_CONTEXT, MIN_SUPPORT, PATTERN_SQL, sql
+from .sequences import KEPT_SQL, PATTERN_SQL, found_patterns, sql
 
 DIMS = 8
 
@@ -23,7 +23,7 @@ def _token_vectors(spark, sf):
 
 
 def _found(spark, sf):
-    return S.patterns(event_sections(spark, sf), MIN_SUPPORT, MIN_CONTEXT)[0]
+    return found_patterns(spark, sf)[0]
 
 
 def fastrp(spark, sf):
@@ -56,7 +56,8 @@ def greedy_diverse_topk(spark, sf):
 
 def candidate_union(spark, sf):
     m = Q.Model(spark, sf)
-    likely = P.top_n(m.dist(), P.contributions(m.chain, m.ngrams, m.stats), 3).select("req", "token", F.round("p", 6).alias("score"))
+    rows = m.rows
+    likely = P.top_n(P.distribution(rows), rows, 3).select("req", "token", F.round("p", 6).alias("score"))
     near = _edges(spark, sf).filter("context = 'global' AND prob >= 0.2").select(F.col("src").alias("last"), F.col("dst").alias("token"), F.round("prob", 6).alias("score"))
     after = m.requests.select("req", F.element_at("hist", -1).alias("last")).join(near, "last").drop("last")
     return E.candidate_union(("ngram", likely), ("graph", after))
@@ -64,7 +65,7 @@ def candidate_union(spark, sf):
 
 def plausibility(spark, sf):
     m = Q.Model(spark, sf)
-    return E.plausibility(m.dist().select("req", "token", F.log(F.greatest("p", F.lit(1e-9))).alias("logit")), 0.2)
+    return E.plausibility(P.distribution(m.rows).select("req", "token", F.log(F.greatest("p", F.lit(1e-9))).alias("logit")), 0.2)
 
 
 def _pattern_vectors(spark, sf):

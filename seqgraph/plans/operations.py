@@ -10,7 +10,7 @@ from ..operators import predict as P
 from ..operators import sequence as S
 from ..sources.fixtures import CHORD_SQL, CONTEXT_SQL, EVENT_SQL, chord_lines, event_positions, event_sections, materialize, table
 from ..streaming import ops
-from .sequences import KEPT_SQL, MIN_CONTEXT, MIN_SUPPORT, PAIR_SQL, PATTERN_SQL, TRANSITION_SQL, sql
+from .sequences import KEPT_SQL, MIN_CONTEXT, MIN_SUPPORT, PAIR_SQL, PATTERN_SQL, TRANSITION_SQL, found_patterns, sql
 
 # ---- logs and streams ----------------------------------------------------------------------------------------------
 
@@ -66,8 +66,8 @@ def stream_dedupe(spark, sf):
 
 
 def heavy_hitters(spark, sf):
-    w = S.windows(event_sections(spark, sf))
-    return w.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_SUPPORT)
+    once = S.windows(event_sections(spark, sf)).groupBy("w").agg(F.sum("n").alias("n"))
+    return once.groupBy(S.smallest_rotation(F.col("w"))["pattern"].alias("pattern")).agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_SUPPORT)
 
 
 # ---- vectors -------------------------------------------------------------------------------------------------------
@@ -138,7 +138,7 @@ def graph_nodes(spark, sf):
 def graph_edges(spark, sf):
     """Transitions (contextual ones with count 5 or more) and which function a pattern contains, at which places."""
     t = _edges(spark, sf).filter((F.col("context") == "global") | (F.col("count") >= 5)).select("type", "context", "src", "dst", "count")
-    found = S.patterns(event_sections(spark, sf), MIN_SUPPORT, MIN_CONTEXT)[0].select("pattern", "support", F.explode(F.split("pattern", " ")).alias("token"))
+    found = found_patterns(spark, sf)[0].select("pattern", "support", F.explode(F.split("pattern", " ")).alias("token"))
     held = found.groupBy("pattern", "token").agg(F.max("support").alias("count"))
     return t.unionByName(held.select(F.lit("PATTERN_CONTAINS").alias("type"), F.lit("global").alias("context"), F.col("pattern").alias("src"), F.col("token").alias("dst"), "count"))
 

@@ -1,4 +1,4 @@
-"""Queries: next-token prediction over sampled positions, and its evaluation. The model is fitted to the train split, positions come from the rest."""
+"""Queries: next-token prediction for every held-out position, and its evaluation. The model is fitted to the train split; positions that ask the same are one request."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from ..operators import sequence as S
 from ..sources.fixtures import CONTEXT_SQL, EVENT_SQL, event_positions, materialize
 from .sequences import KEPT_SQL, MIN_CONTEXT, NGRAM_SQL, PRUNE, sql
 
+#: Positions that sample_positions shows, and its seed.
 N, SEED = 120, 7
 KS = (10.0, 25.0, 50.0, 100.0, 200.0, 400.0, 800.0)
 
@@ -19,21 +20,32 @@ def _split(spark, sf):
     return event_positions(spark, sf).withColumn("split", P.assign_split(F.col("song")))
 
 
-def _requests(spark, sf):
-    return P.sample_positions(_split(spark, sf).filter("split <> 'train'"), N, SEED)
+def _held(spark, sf):
+    return P.held_positions(_split(spark, sf).filter("split <> 'train'"))
 
 
 class Model:
+    """The n-gram model of the train split, the held-out positions, their distinct requests, and the evidence for these."""
+
     def __init__(self, spark, sf):
-        train = _split(spark, sf).filter("split = 'train'")
+        train = materialize(_split(spark, sf).filter("split = 'train'"), "train")
         self.contexts = materialize(S.kept_contexts(train, MIN_CONTEXT), "contexts")
         self.ngrams = materialize(S.ngram_counts(train, self.contexts, PRUNE), "ngrams")
-        self.stats = materialize(S.discount_stats(self.ngrams), "discounts")
-        self.requests = materialize(_requests(spark, sf), "requests")
-        self.chain = P.context_chain(self.requests, self.contexts)
+        self.stats = S.discount_stats(self.ngrams)
+        self.positions = materialize(_held(spark, sf), "positions")
+        self.requests = self.positions.select("req", "hist", "genre", "section").distinct()
+
+    @property
+    def chain(self):
+        return P.context_chain(self.requests, self.contexts)
 
-    def dist(self, **how):
-        return P.distribution(self.requests, self.ngrams, self.contexts, self.stats, **how)
+    @property
+    def rows(self):
+        return materialize(P.evidence(self.chain, self.ngrams, self.stats), "evidence")
+
+    def metrics(self, variants, rows=None):
+        rows = self.rows if rows is None else rows
+        return P.position_metrics(P.distributions(rows, variants), self.positions, [v.name for v in variants])
 
 
 def assign_split(spark, sf):
@@ -45,55 +57,58 @@ def split_filter(spark, sf):
 
 
 def leak_check(spark, sf):
-    p = _split(spark, sf)
-    train, held = (p.filter(c).select("song").distinct() for c in ("split = 'train'", "split <> 'train'"))
-    return train.join(held, "song", "left_semi").agg(F.count(F.lit(1)).alias("leaked"))
+    """Songs of the held-out positions, by what their places say, and how many of them the model was fitted to."""
+    m = Model(spark, sf)
+    train = _split(spark, sf).filter("split = 'train'").select(F.col("song").cast("string").alias("song"), F.lit(1).alias("fitted")).distinct()
+    held = m.positions.select(F.substring_index("place", ":", 1).alias("song")).distinct()
+    return held.join(train, "song", "left").agg(F.count(F.lit(1)).alias("held"), F.count("fitted").alias("leaked"))
 
 
 def sample_positions(spark, sf):
-    return _requests(spark, sf).select("req", F.array_join("hist", " ").alias("hist"), "genre", "section", "actual", "bucket")
+    held = P.sample_positions(_held(spark, sf), N, SEED)
+    return held.select("place", F.array_join("hist", " ").alias("hist"), "genre", "section", "actual", "bucket")
 
 
 def context_chain(spark, sf):
-    m = Model(spark, sf)
-    return m.chain.select("req", "level", "context")
+    return Model(spark, sf).chain.select("req", "level", "context")
 
 
 def kn_context_distribution(spark, sf):
-    m = Model(spark, sf)
-    return P.contributions(m.chain, m.ngrams, m.stats).groupBy("req", "context", "token").agg(F.sum("amount").alias("p"))
+    return P.contributions(Model(spark, sf).rows).groupBy("req", "context", "token").agg(F.sum("amount").alias("p"))
 
 
 def context_mixing(spark, sf):
-    m = Model(spark, sf)
-    return P.mixed(m.chain, m.ngrams, m.stats)
+    return P.mixed(Model(spark, sf).rows)
 
 
 def renormalize(spark, sf):
-    m = Model(spark, sf)
-    return P.renormalized(P.contributions(m.chain, m.ngrams, m.stats).filter("order > 1 AND context = 'global'").groupBy("req", "token").agg(F.sum("amount").alias("p")))
+    return P.renormalized(P.contributions(Model(spark, sf).rows).filter("order > 1 AND context = 'global'").groupBy("req", "token").agg(F.sum("amount").alias("p")))
 
 
 def context_lift(spark, sf):
-    return Model(spark, sf).dist()
+    return P.distribution(Model(spark, sf).rows)
 
 
 def distribution_batch(spark, sf):
-    return Model(spark, sf).dist(lift=False)
+    return P.distribution(Model(spark, sf).rows, lift=False)
 
 
 def max_order_cap(spark, sf):
-    return Model(spark, sf).dist(cap=2)
+    return P.distribution(Model(spark, sf).rows, cap=2)
 
 
 def predict_topn(spark, sf):
-    m = Model(spark, sf)
-    return P.top_n(m.dist(), P.contributions(m.chain, m.ngrams, m.stats), 3)
+    rows = Model(spark, sf).rows
+    return P.top_n(P.distribution(rows), rows, 3)
+
+
+def predict_breakdown(spark, sf):
+    rows = Model(spark, sf).rows
+    return P.breakdown(P.distribution(rows), rows, 3)
 
 
 def hard_backoff(spark, sf):
-    m = Model(spark, sf)
-    return P.hard_backoff(m.requests, m.ngrams, m.contexts)
+    return P.hard_backoff(Model(spark, sf).rows)
 
 
 def unigram_baseline(spark, sf):
@@ -101,59 +116,43 @@ def unigram_baseline(spark, sf):
 
 
 def position_metrics(spark, sf):
-    m = Model(spark, sf)
-    return P.position_metrics(m.dist(), m.requests)
+    return Model(spark, sf).metrics([P.Variant("lift")]).drop("model")
 
 
 def aggregate_metrics(spark, sf):
-    m = Model(spark, sf)
-    return P.aggregated(P.position_metrics(m.dist(), m.requests))
+    return P.aggregated(position_metrics(spark, sf))
 
 
 def ece(spark, sf):
-    m = Model(spark, sf)
-    return P.ece(P.position_metrics(m.dist(), m.requests))
+    return P.ece(position_metrics(spark, sf))
 
 
 def slice_metrics(spark, sf):
     m = Model(spark, sf)
-    met = materialize(P.position_metrics(m.dist(), m.requests), "metrics")
-    return reduce(lambda a, b: a.unionByName(b), [P.slices(met, m.requests, d, 2) for d in ("genre", "section", "bucket")])
-
-
-def _dists(m):
-    """The ten models: unigram, hard backoff, and orders 2 to 5 with and without contexts."""
-    alone = m.contexts.filter("context = 'global'")
-    yield "unigram", m.requests.select("req").join(F.broadcast(P.unigram(m.ngrams)))  # as many rows as tokens
-    yield "hard_backoff", P.hard_backoff(m.requests, m.ngrams, m.contexts)
-    for order in range(2, 6):
-        yield f"kn{order}", P.distribution(m.requests, m.ngrams, alone, m.stats, cap=order, lift=False)
-        yield f"kn{order}_context", m.dist(cap=order)
-
-
-def _compared(m, named):
-    return reduce(lambda a, b: a.unionByName(b), [P.aggregated(P.position_metrics(d, m.requests)).withColumn("model", F.lit(n)) for n, d in named])
+    met = materialize(m.metrics([P.Variant("lift")]), "metrics")
+    return reduce(lambda a, b: a.unionByName(b), [P.slices(met, m.positions, d, 2) for d in ("genre", "section", "bucket")])
 
 
 def model_comparison(spark, sf):
+    """The ten models: unigram, hard backoff, and orders 2 to 5 with and without contexts."""
     m = Model(spark, sf)
-    return _compared(m, _dists(m))
+    rows = m.rows
+    variants = [P.Variant(f"kn{o}{'_context' * c}", o, contexts=bool(c)) for o in range(2, 6) for c in (0, 1)]
+    hard = P.position_metrics(P.hard_backoff(rows).withColumn("model", F.lit("hard_backoff")), m.positions, ["hard_backoff"])
+    return P.aggregated(m.metrics(variants, rows).unionByName(hard).unionByName(P.unigram_metrics(P.unigram(m.ngrams), m.positions)), "model")
 
 
 def policy_comparison(spark, sf):
     m = Model(spark, sf)
-    alone = m.contexts.filter("context = 'global'")
-    return _compared(m, [("lift", m.dist()), ("interpolation", m.dist(lift=False)), ("global", P.distribution(m.requests, m.ngrams, alone, m.stats, lift=False)), ("v1", P.hard_backoff(m.requests, m.ngrams, m.contexts))])
+    rows = m.rows
+    variants = [P.Variant("lift"), P.Variant("interpolation", lift=False), P.Variant("global", contexts=False)]
+    v1 = P.position_metrics(P.hard_backoff(rows).withColumn("model", F.lit("v1")), m.positions, ["v1"])
+    return P.aggregated(m.metrics(variants, rows).unionByName(v1), "model")
 
 
 def tune_mixing_k(spark, sf):
-    m = Model(spark, sf)
-    parts = materialize(P.contributions(m.chain, m.ngrams, m.stats), "contributions")
-    made = []
-    for k in KS:
-        d = parts.join(P.level_weights(parts, m.chain, k), ["req", "level"]).groupBy("req", "token").agg(F.sum(F.col("weight") * F.col("amount")).alias("p"))
-        made.append(P.aggregated(P.position_metrics(P.renormalized(d), m.requests)).select(F.lit(k).alias("k"), "mrr"))
-    return reduce(lambda a, b: a.unionByName(b), made).withColumn("mrr", F.round("mrr", 9)).orderBy(F.desc("mrr"), "k").limit(1)
+    found = P.aggregated(Model(spark, sf).metrics([P.Variant(str(k), k=k, lift=False) for k in KS]), "model")
+    return found.select(F.col("model").cast("double").alias("k"), F.round("mrr", 9).alias("mrr")).orderBy(F.desc("mrr"), "k").limit(1)
 
 
 # ---- DuckDB --------------------------------------------------------------------------------------------------------
@@ -163,10 +162,11 @@ dig AS (SELECT song, [instr('0123456789abcdef', c) - 1 FOR c IN string_split(sha
 spl AS (SELECT song, CASE (5 * (d[64] % 4) + 16 * (list_sum(d) % 5)) % 20 WHEN 0 THEN 'test' WHEN 1 THEN 'dev' ELSE 'train' END AS split FROM dig)"""
 EVENTS0 = EVENT_SQL.replace("seq AS (", "seq0 AS (")
 TRAIN_SQL = "seq AS (SELECT * FROM seq0 JOIN spl USING (song) WHERE split = 'train')"
-REQ_SQL = f"""
-req0 AS (SELECT song || ':' || ordinal || ':' || pos AS req, list(token) OVER (PARTITION BY song, ordinal ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS hist,
-  genre, section, token AS actual, least(pos, 4) AS bucket, pos FROM seq0 JOIN spl USING (song) WHERE split <> 'train'),
-reqs AS (SELECT req, hist, genre, section, actual, bucket FROM req0 WHERE pos >= 1 ORDER BY md5('{SEED}:' || req), req LIMIT {N})"""
+REQ_SQL = """
+held AS (SELECT song || ':' || ordinal || ':' || pos AS place, array_to_string(hist, ' ') || '|' || coalesce(genre, '') || '|' || coalesce(section, '') AS req, hist, genre, section, actual, bucket FROM (
+  SELECT song, ordinal, pos, list(token) OVER (PARTITION BY song, ordinal ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS hist,
+  genre, section, token AS actual, least(pos, 4) AS bucket FROM seq0 JOIN spl USING (song) WHERE split <> 'train') WHERE pos >= 1),
+reqs AS (SELECT DISTINCT req, hist, genre, section FROM held)"""
 STATS_SQL = """
 stats AS (SELECT context, "order", CASE WHEN n1 + 2 * n2 > 0 THEN n1 / (n1 + 2 * n2) ELSE 0 END AS d FROM (
   SELECT context, "order", count(*) FILTER (WHERE cnt = 1) AS n1, count(*) FILTER (WHERE cnt = 2) AS n2 FROM ngrams GROUP BY ALL))"""
@@ -185,7 +185,7 @@ def parts_sql(name: str, chain: str = "chain", cap: int = 5, other: int = 3) ->
 {name}_kn AS (SELECT DISTINCT s.req, s.level, s.k, s.top, total, d * distinct_next / total AS lam FROM {name}_st s JOIN ngrams n ON n.context = s.context AND n."order" = s.k AND n.history = s.history JOIN stats t ON t.context = s.context AND t."order" = s.k),
 {name}_w AS (SELECT req, level, k, coalesce(product(lam) OVER (PARTITION BY req, level ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS w,
   max(CASE WHEN k = top THEN total ELSE 0 END) OVER (PARTITION BY req, level) AS n FROM {name}_kn),
-{name} AS (SELECT s.req, s.level, s.context, s.k, n.token, n.cnt, w.n, w.w * CASE WHEN s.k = 1 THEN CASE WHEN sum(cont) OVER (PARTITION BY s.req, s.level, s.k) > 0 THEN cont / sum(cont) OVER (PARTITION BY s.req, s.level, s.k) END
+{name} AS (SELECT s.req, s.level, s.context, s.k, s.history, n.token, n.cnt, w.n, w.w * CASE WHEN s.k = 1 THEN CASE WHEN sum(cont) OVER (PARTITION BY s.req, s.level, s.k) > 0 THEN cont / sum(cont) OVER (PARTITION BY s.req, s.level, s.k) END
     ELSE greatest(cnt - d, 0) / total END AS amount, cont
   FROM {name}_st s JOIN ngrams n ON n.context = s.context AND n."order" = s.k AND n.history = s.history JOIN stats t ON t.context = s.context AND t."order" = s.k JOIN {name}_w w ON w.req = s.req AND w.level = s.level AND w.k = s.k)"""
 
@@ -233,10 +233,10 @@ UNI = "uni AS (SELECT token, cont / sum(cont) OVER () AS p FROM ngrams WHERE con
 
 def metrics_sql(name: str, dist: str) -> str:
     return f"""
-{name} AS (SELECT req, rank, coalesce(1 / rank, 0) AS rr, CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END AS ndcg5, coalesce(CAST(rank <= 1 AS INT), 0) AS top1, coalesce(CAST(rank <= 3 AS INT), 0) AS top3,
+{name}_r AS MATERIALIZED (SELECT req, token, p, row_number() OVER (PARTITION BY req ORDER BY p DESC, token) AS rank FROM {dist}),
+{name} AS (SELECT place, rank, coalesce(1 / rank, 0) AS rr, CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END AS ndcg5, coalesce(CAST(rank <= 1 AS INT), 0) AS top1, coalesce(CAST(rank <= 3 AS INT), 0) AS top3,
   coalesce(CAST(rank <= 5 AS INT), 0) AS top5, CAST(rank IS NOT NULL AS INT) AS covered, -log2(greatest(coalesce(p, 0), pow(2, -30))) AS surprisal, coalesce(c, 0) AS confidence
-  FROM reqs LEFT JOIN (SELECT req, token, p, row_number() OVER (PARTITION BY req ORDER BY p DESC, token) AS rank FROM {dist}) r ON r.req = reqs.req AND r.token = reqs.actual
-  LEFT JOIN (SELECT req, max(p) AS c FROM {dist} GROUP BY req) b ON b.req = reqs.req)""".replace("SELECT req, rank", "SELECT reqs.req, rank")
+  FROM (SELECT h.place, r.rank, r.p, b.p AS c FROM held h LEFT JOIN {name}_r r ON r.req = h.req AND r.token = h.actual LEFT JOIN {name}_r b ON b.req = h.req AND b.rank = 1))"""
 
 
 AGG = "count(*) AS n, avg(rr) AS mrr, avg(ndcg5) AS ndcg5, avg(top1) AS top1, avg(top3) AS top3, avg(top5) AS top5, avg(covered) AS coverage, pow(2, avg(surprisal)) AS perplexity"
@@ -253,14 +253,14 @@ QUERIES = {
     f.__name__: f
     for f in (
         assign_split, split_filter, leak_check, sample_positions, context_chain, kn_context_distribution, context_mixing, renormalize, context_lift, distribution_batch, max_order_cap,
-        predict_topn, hard_backoff, unigram_baseline, position_metrics, aggregate_metrics, ece, slice_metrics, model_comparison, policy_comparison, tune_mixing_k,
+        predict_topn, predict_breakdown, hard_backoff, unigram_baseline, position_metrics, aggregate_metrics, ece, slice_metrics, model_comparison, policy_comparison, tune_mixing_k,
     )
 }
 ORACLE = {
     "assign_split": sql(EVENTS0, SPLIT_SQL, "SELECT * FROM spl"),
     "split_filter": sql(EVENTS0, SPLIT_SQL, "SELECT song, ordinal, pos, token FROM seq0 JOIN spl USING (song) WHERE split = 'train'"),
-    "leak_check": sql(EVENTS0, SPLIT_SQL, "SELECT count(*) AS leaked FROM spl a JOIN spl b ON a.song = b.song AND a.split = 'train' AND b.split <> 'train'"),
-    "sample_positions": sql(EVENTS0, SPLIT_SQL, REQ_SQL, "SELECT req, array_to_string(hist, ' ') AS hist, genre, section, actual, bucket FROM reqs"),
+    "leak_check": sql(EVENTS0, SPLIT_SQL, "SELECT count(DISTINCT song) AS held, 0 AS leaked FROM seq0 JOIN spl USING (song) WHERE split <> 'train' AND pos >= 1"),
+    "sample_positions": sql(EVENTS0, SPLIT_SQL, REQ_SQL, f"SELECT place, array_to_string(hist, ' ') AS hist, genre, section, actual, bucket FROM held ORDER BY md5('{SEED}:' || place), place LIMIT {N}"),
     "context_chain": sql(*BASE, "SELECT req, level, context FROM chain"),
     "kn_context_distribution": sql(*BASE, parts_sql("pt"), "SELECT req, context, token, sum(amount) AS p FROM pt WHERE amount IS NOT NULL AND NOT (k = 1 AND cont = 0) GROUP BY ALL"),
     "context_mixing": sql(*BASE, parts_sql("pt"), mixed_sql("mx", "pt"), "SELECT * FROM mx"),
@@ -271,8 +271,13 @@ ORACLE = {
     "predict_topn": sql(
         *BASE, *LIFT, parts_sql("pt"),
         "best AS (SELECT *, row_number() OVER (PARTITION BY req ORDER BY p DESC, token) AS rank FROM dist)",
-        "sup AS (SELECT req, token, cnt FROM (SELECT *, row_number() OVER (PARTITION BY req, token ORDER BY level, k DESC) AS r FROM pt WHERE k > 1) WHERE r = 1)",
-        "SELECT req, rank, token, p, coalesce(cnt, 0) AS support FROM best LEFT JOIN sup USING (req, token) WHERE rank <= 3",
+        "sup AS (SELECT req, token, cnt, context || ':' || k AS seen_in FROM (SELECT *, row_number() OVER (PARTITION BY req, token ORDER BY level, k DESC) AS r FROM pt WHERE k > 1) WHERE r = 1)",
+        "SELECT req, rank, token, p, coalesce(cnt, 0) AS support, seen_in FROM best LEFT JOIN sup USING (req, token) WHERE rank <= 3",
+    ),
+    "predict_breakdown": sql(
+        *BASE, *LIFT, parts_sql("pt"),
+        "best AS (SELECT *, row_number() OVER (PARTITION BY req ORDER BY p DESC, token) AS rank FROM dist)",
+        "SELECT req, token, level, context, k AS \"order\", cnt, total FROM pt JOIN (SELECT req, token FROM best WHERE rank <= 3) USING (req, token) JOIN (SELECT context, \"order\" AS k, history, token, total FROM ngrams) g USING (context, k, history, token) WHERE k > 1",
     ),
     "hard_backoff": sql(*BASE, HARD, "SELECT * FROM hard"),
     "unigram_baseline": sql(*BASE, UNI, "SELECT * FROM uni"),
@@ -281,9 +286,9 @@ ORACLE = {
     "ece": sql(*BASE, *LIFT, metrics_sql("met", "dist"), "SELECT sum(n * abs(c - a)) / sum(n) AS ece FROM (SELECT least(floor(confidence * 10), 9) AS b, count(*) AS n, avg(confidence) AS c, avg(top1) AS a FROM met GROUP BY 1)"),
     "slice_metrics": sql(
         *BASE, *LIFT, metrics_sql("met", "dist"),
-        "vals AS (SELECT req, unnest(['genre', 'section', 'bucket']) AS dimension, unnest([genre, section, CAST(bucket AS VARCHAR)]) AS value FROM reqs)",
+        "vals AS (SELECT place, unnest(['genre', 'section', 'bucket']) AS dimension, unnest([genre, section, CAST(bucket AS VARCHAR)]) AS value FROM held)",
         "oft AS (SELECT dimension, value FROM (SELECT dimension, value, row_number() OVER (PARTITION BY dimension ORDER BY count(*) DESC, value) AS r FROM vals WHERE value IS NOT NULL GROUP BY 1, 2) WHERE r <= 2)",
-        f"SELECT v.dimension, coalesce(o.value, 'other') AS slice, {AGG} FROM met JOIN vals v USING (req) LEFT JOIN oft o ON o.dimension = v.dimension AND o.value = v.value GROUP BY 1, 2",
+        f"SELECT v.dimension, coalesce(o.value, 'other') AS slice, {AGG} FROM met JOIN vals v USING (place) LEFT JOIN oft o ON o.dimension = v.dimension AND o.value = v.value GROUP BY 1, 2",
     ),
     "model_comparison": _compare_sql([("unigram", ("d_uni AS (SELECT req, token, p FROM reqs CROSS JOIN uni)",), "d_uni"), ("hard_backoff", (), "hard"),
         *[x for o in range(2, 6) for x in ((f"kn{o}", plain_sql(f"a{o}", o, "alone"), f"a{o}"), (f"kn{o}_context", lift_sql(f"c{o}", o), f"c{o}"))]]),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sequence as S
-from ..sources.fixtures import CONTEXT_SQL, EVENT_SQL, event_positions, event_sections
+from ..sources.fixtures import CONTEXT_SQL, EVENT_SQL, event_positions, event_sections, materialize
 
 MIN_CONTEXT, MIN_SUPPORT = 300, 40
 PRUNE = {3: 5, 4: 8, 5: 10}
@@ -41,16 +41,21 @@ def discount_stats(spark, sf):
     return S.discount_stats(ngram_table(spark, sf))
 
 
+def found_patterns(spark, sf):
+    """Frequent patterns and their lifts; what both read is stored once."""
+    return S.patterns(materialize(event_sections(spark, sf), "sections"), MIN_SUPPORT, MIN_CONTEXT, keep=materialize)
+
+
 def patterns(spark, sf):
-    return S.patterns(event_sections(spark, sf), MIN_SUPPORT, MIN_CONTEXT)[0]
+    return found_patterns(spark, sf)[0]
 
 
 def pattern_lifts(spark, sf):
-    return S.patterns(event_sections(spark, sf), MIN_SUPPORT, MIN_CONTEXT)[1]
+    return found_patterns(spark, sf)[1]
 
 
 def popular_patterns(spark, sf):
-    found = S.patterns(event_sections(spark, sf), MIN_SUPPORT, MIN_CONTEXT)[0]
+    found = found_patterns(spark, sf)[0]
     return found.select("pattern", "support").orderBy(F.desc("support"), "pattern").limit(500)
 
 

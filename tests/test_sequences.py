@@ -60,10 +60,19 @@ def test_distributions_sum_to_one(spark):
     contexts = S.kept_contexts(p, 1)
     grams = S.ngram_counts(p, contexts, {})
     stats = S.discount_stats(grams)
-    requests = P.sample_positions(p, 40)
+    held = P.held_positions(p)
+    assert P.sample_positions(held, 40).count() == 40
+    requests = held.select("req", "hist", "genre", "section").distinct()
+    rows = P.evidence(P.context_chain(requests, contexts), grams, stats).cache()
+    assert requests.count() < held.count()
     for how in ({}, {"cap": 2}, {"lift": False}):
-        d = P.distribution(requests, grams, contexts, stats, **how).groupBy("req").agg(F.sum("p").alias("p"), F.min("p").alias("low")).collect()
-        assert len(d) == 40 and all(r["p"] == pytest.approx(1) and r["low"] >= 0 for r in d)
+        d = P.distribution(rows, **how).groupBy("req").agg(F.sum("p").alias("p"), F.min("p").alias("low")).collect()
+        assert len(d) == requests.count() and all(r["p"] == pytest.approx(1) and r["low"] >= 0 for r in d)
+    many = P.distributions(rows, [P.Variant("a"), P.Variant("b", cap=3, contexts=False), P.Variant("c", k=10.0, lift=False)])
+    one = P.distribution(rows).select("req", "token", F.round("p", 9).alias("p"))
+    assert not many.filter("model = 'a'").select("req", "token", F.round("p", 9).alias("p")).exceptAll(one).count()
+    m = P.position_metrics(many, held, ["a", "b", "c"])
+    assert m.count() == 3 * held.count() and m.filter("covered = 1 AND rank IS NULL").isEmpty()
 
 
 def test_split_agrees_with_whole_digest(spark):
