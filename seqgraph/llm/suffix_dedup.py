@@ -106,39 +106,62 @@ def _names(s: np.ndarray, at: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.cumsum(new) - 1
 
 
-#: Symbols of a string of names: a name takes as many digits as it needs, so a bucket loop stays short at any length.
-DIGIT_BITS = 11
-
-
-def _sort_names(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names: each name is written in as many digits as the largest needs, the
-    string of digits is sorted by induction in turn, and what begins a name is kept. Two thirds as long as the text at most."""
-    width = max(1, -(-int(names.max()).bit_length() // DIGIT_BITS))
-    digits = (names[:, None] >> (DIGIT_BITS * np.arange(width)[::-1])) & ((1 << DIGIT_BITS) - 1)
-    order = suffix_array(digits.ravel())
-    return order[order % width == 0] // width
+def _induce_each(s: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, sigma: int) -> np.ndarray:
+    """The same, a suffix at a time: for alphabets so large that buckets hold a few suffixes each."""
+    sizes = np.bincount(s, minlength=sigma)
+    stops = np.cumsum(sizes)
+    text, smaller, out = s.tolist(), is_s.tolist(), [-1] * len(s)
+    ends = stops.tolist()
+    for i in seeds[::-1].tolist():
+        ends[text[i]] -= 1
+        out[ends[text[i]]] = i
+    heads = (stops - sizes).tolist()
+    for i in range(len(out)):
+        j = out[i] - 1
+        if j >= 0 and not smaller[j]:
+            out[heads[text[j]]] = j
+            heads[text[j]] += 1
+    ends = stops.tolist()
+    for i in range(len(out) - 1, -1, -1):
+        j = out[i] - 1
+        if j >= 0 and smaller[j]:
+            ends[text[j]] -= 1
+            out[ends[text[j]]] = j
+    return np.array(out)
+
+
+#: Largest alphabet that is induced a bucket at a time.
+BUCKETS = 512
+
+
+def _leftmost_smaller(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which suffixes of t (its last symbol is the smallest) are smaller than the next one, and where such runs begin."""
+    n = len(t)
+    rise = np.zeros(n, np.int8)
+    rise[:-1] = (t[1:] > t[:-1]).astype(np.int8) - (t[1:] < t[:-1])
+    rise[-1] = 1
+    where = np.where(rise != 0, np.arange(n), n)  # the next place where it changes decides
+    is_s = rise[np.minimum.accumulate(where[::-1])[::-1]] > 0
+    is_s[-1], is_s[-2] = True, False
+    return is_s, np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
 
 
 def suffix_array(s: np.ndarray, sigma: int | None = None) -> np.ndarray:
-    """Start positions of the suffixes of s (integers from 0, below 2**15 - 2) in order.
+    """Start positions of the suffixes of s (integers from 0) in order.
 
     Suffixes are classified, leftmost-smaller substrings are sorted by induction and named, the string of names is
-    sorted recursively unless all differ, and the order of all suffixes is induced from it.
+    sorted recursively unless all differ, and the order of all suffixes is induced from it. A string of names is at most
+    half as long as its text, so all levels together are linear.
     """
-    sigma = (int(s.max()) + 2 if len(s) else 1) if sigma is None else sigma
+    sigma = (int(s.max()) + 1 if len(s) else 1) + 1 if sigma is None else sigma + 1
     n = len(s) + 1
-    t = np.zeros(n, np.int16)
-    t[:-1] = s.astype(np.int16) + 1
     if n == 1:
         return np.zeros(0, np.int64)
-    rise = np.zeros(n, np.int8)
-    rise[:-1] = (t[1:] > t[:-1]).astype(np.int8) - (t[1:] < t[:-1])
-    rise[-1] = 1
-    where = np.where(rise != 0, np.arange(n), n)  # the next place where it changes decides
-    is_s = rise[np.minimum.accumulate(where[::-1])[::-1]] > 0
-    is_s[-1], is_s[-2] = True, False
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    first = _induce(t, is_s, lms, sigma + 1)
+    t = np.zeros(n, np.int16 if sigma <= BUCKETS else np.int64)
+    t[:-1] = s.astype(t.dtype) + 1
+    induce = _induce if sigma <= BUCKETS else _induce_each
+    is_s, lms = _leftmost_smaller(t)
+    first = induce(t, is_s, lms, sigma)
     marked = np.zeros(n, bool)
     marked[lms] = True
     ordered = first[marked[first]]
@@ -148,8 +171,8 @@ def suffix_array(s: np.ndarray, sigma: int | None = None) -> np.ndarray:
     names[ordered] = _names(t, ordered, stops[ordered])
     small = names[lms]
     if len(lms) > 1 and small.max() < len(lms) - 1:
-        ordered = lms[_sort_names(small)]
-    return _induce(t, is_s, ordered, sigma + 1)[1:]
+        ordered = lms[suffix_array(small)]
+    return induce(t, is_s, ordered, sigma)[1:]
 
 
 def permuted_common(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:

@@ -411,16 +411,18 @@ def test_suffix_array_and_common_prefixes():
                 assert common[b] == min(n, most)
 
 
-def test_suffix_arrays_of_many_names(monkeypatch):
+@pytest.mark.parametrize("buckets", [512, 8, 1])
+def test_suffix_arrays_of_many_names(monkeypatch, buckets):
+    """By buckets and a suffix at a time, over several levels."""
     rng, deep = np.random.default_rng(2), []
-    monkeypatch.setattr(suffix_dedup, "DIGIT_BITS", 3)  # names take several digits, and the recursion several levels
-    whole = suffix_dedup._sort_names
-    monkeypatch.setattr(suffix_dedup, "_sort_names", lambda names: deep.append(len(names)) or whole(names))
-    for _ in range(20):
+    monkeypatch.setattr(suffix_dedup, "BUCKETS", buckets)
+    whole = suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda s, sigma=None: deep.append(len(s)) or whole(s, sigma))
+    for k in range(20):
         part = rng.integers(0, 4, 150)
-        s = np.concatenate([part, rng.integers(0, 4, 100), part, part[:70]])
+        s = np.concatenate([part, rng.integers(0, 4, 100), part, part[:70], np.tile(part[: 2 + k], 3)])
         assert suffix_dedup.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
-    assert len(deep) > 40
+    assert len(deep) > 50
 
 
 def test_rules(docs, rows):
