@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import texts
+from .common import stored, texts
 
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -22,12 +22,14 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Characters of the models; any other is the last state.
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
 STATES = len(ALPHABET) + 1
-#: Runs that the models judge: long enough, and with a digit, without which a word can't be told from a password.
-RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}"
+#: Runs that the models judge: as long as the shortest value that an assignment counts with.
+LEAST = 12
+RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: The models are trained on the words of so many documents (those with the smallest hash of their id), and on so many base values.
 SAMPLE_DOCS, SAMPLE_VALUES = 2_000, 20_000
-#: A run is a secret if the ratio (natural log) is over the first in all and over the second for each pair of characters.
-TOTAL, MEAN = 6.0, 0.3
+#: A run is a secret if the ratio (natural log) is over the first in all and over the second for each character. The first is the odds
+#: against a secret among ordinary runs, about a thousand to one; the second keeps long runs from adding up to it by small leanings.
+TOTAL, MEAN = 7.0, 0.5
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -57,7 +59,7 @@ def value_of(hit: Column, kind: Column) -> Column:
 
 
 def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_values: int = SAMPLE_VALUES) -> DataFrame:
-    """text, secret: what the base patterns found (true); words of documents in which they found nothing (false).
+    """text, secret: what the base patterns found (true); words of documents in which they found nothing, too short to be a secret (false).
 
     As many strings that are random for certain, base64 of the words' hashes, are labelled true as well, so
     that the random model knows all characters even where the corpus holds few secrets.
@@ -67,8 +69,9 @@ def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_val
     hit = F.col("text").substr(F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
     values = found.select(F.when(F.col("s.kind") == 0, F.regexp_extract(hit, ASSIGN, 1)).otherwise(hit).alias("text")).distinct().orderBy(F.xxhash64("text"), "text").limit(sample_values)
     ids = d.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    some = d.join(F.broadcast(ids), "doc_id", "left_semi").filter(F.size(base_spans(F.col("text"))) == 0)
-    words = some.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("text")).distinct()
+    # stored, as the patterns would else be sought in every document once more
+    some = stored(d.join(F.broadcast(ids), "doc_id", "left_semi"), "sample-texts").filter(F.size(base_spans(F.col("text"))) == 0)
+    words = some.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("text")).filter(F.char_length("text") < LEAST).distinct()
     made = words.select(F.base64(F.unhex(F.sha2("text", 256))).alias("text"), F.lit(True).alias("secret"))
     return values.withColumn("secret", F.lit(True)).unionByName(words.withColumn("secret", F.lit(False))).unionByName(made)
 
@@ -80,7 +83,8 @@ def _pairs(text: Column) -> Column:
 
 
 def train_markov(samples: DataFrame) -> list[float]:
-    """The log-likelihood ratio of each pair of states, random against ordinary, in the order of _pairs(); half a count is added to each.
+    """The log-likelihood ratio of each pair of states, random against ordinary, in the order of _pairs(). Half a count for each state is
+    added, shared out as the second states occur overall, so that what follows a rare character is judged by how common it is.
 
     samples: text, secret (null texts and labels count for neither). Without samples all ratios are 0.
     """
@@ -88,21 +92,35 @@ def train_markov(samples: DataFrame) -> list[float]:
     seen = pair.groupBy("pair").agg(F.count_if(F.col("secret")).alias("r"), F.count_if(~F.col("secret")).alias("w"))
     grid = samples.sparkSession.range(STATES * STATES).select(F.col("id").cast("int").alias("pair")).join(seen, "pair", "left").fillna(0, ["r", "w"])
     after = Window.partitionBy(F.floor(F.col("pair") / STATES))
-    log_p = lambda n: F.log((F.col(n) + 0.5) / (F.sum(n).over(after) + 0.5 * STATES))
+    into, every = Window.partitionBy(F.col("pair") % STATES), Window.partitionBy(F.lit(0))  # a row for each pair of states
+    overall = lambda n: (F.sum(n).over(into) + 0.5) / (F.sum(n).over(every) + 0.5 * STATES)
+    log_p = lambda n: F.log((F.col(n) + 0.5 * STATES * overall(n)) / (F.sum(n).over(after) + 0.5 * STATES))
     return [r[0] for r in grid.select((log_p("r") - log_p("w")).alias("llr"), "pair").orderBy("pair").collect()]
 
 
+def outside(run: Column, base: Column) -> Column:
+    """The parts of a run that no base span covers, as (start, end, hit); the run itself where none meets it."""
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    part = lambda a, b: F.when(a < b, F.array(F.struct(a.alias("start"), b.alias("end"), run["hit"].substr(a - run["start"] + 1, b - a).alias("hit")))).otherwise(none)
+    start = F.struct(run["start"].alias("at"), none.alias("out"))
+    met = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], part(acc["at"], b["start"])).alias("out"))
+    cut = F.aggregate(met, start, step, lambda acc: F.concat(acc["out"], part(acc["at"], run["end"])))
+    return F.when(F.size(met) == 0, F.array(run)).otherwise(cut)
+
+
 def scan_secrets(docs: DataFrame, model: list[float] | None = None, total: float = TOTAL, mean: float = MEAN) -> DataFrame:
     """doc_id, text and found (array of start, kind as index into KINDS, end) for each row of docs, by start.
 
     model: of train_markov(); else it is trained from docs. Null texts are empty and have no spans; repeated rows
-    are scanned each; an empty table gives no rows; other columns are dropped. Markov spans never overlap base ones.
+    are scanned each; an empty table gives no rows; other columns are dropped. Markov spans never overlap base ones: what these leave of a run is judged.
     """
     ratios = F.from_json(F.lit(str(model if model is not None else train_markov(labelled_samples(docs)))), "array<double>")
-    score = lambda hit: F.aggregate(_pairs(hit), F.lit(0.0), lambda acc, i: acc + F.get(ratios, i))
+    one = lambda hit: F.aggregate(_pairs(hit), F.lit(0.0), lambda acc, i: acc + F.get(ratios, i))
+    score = lambda hit: F.when(hit.rlike("[a-z]"), one(hit)).otherwise(F.least(one(hit), one(F.lower(hit))))  # noqa: E731  a word in capitals is still a word
     out = texts(docs).withColumn("base", base_spans(F.col("text")))
-    apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    runs = F.transform(F.filter(spans(F.col("text"), RUN), apart), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), score(x["hit"]).alias("score")))
+    pieces = F.flatten(F.transform(spans(F.col("text"), RUN), lambda x: outside(x, F.col("base"))))
+    runs = F.transform(F.filter(pieces, lambda x: F.char_length(x["hit"]) >= LEAST), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), score(x["hit"]).alias("score")))
     likely = F.filter(runs, lambda x: (x["score"] > total) & (x["score"] > mean * (x["end"] - x["start"])))
     extra = F.transform(likely, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
     return out.select("doc_id", "text", "base", F.array_sort(F.concat("base", extra)).alias("found"))
