@@ -27,6 +27,10 @@ class Dialect:
             return f"array_join(array_sort(collect_list(named_struct('o', {order}, 'v', {expr}))).v, ' ')"
         return f"string_agg({expr}, ' ' ORDER BY {order})"
 
+    def quantile(self, expr: str, q: float) -> str:
+        """Linear interpolation between the values around the quantile."""
+        return f"percentile({expr}, {q})" if self.name == "spark" else f"quantile_cont({expr}, {q})"
+
     def times(self, n: str) -> str:
         return f"explode(sequence(1, CAST({n} AS INT)))" if self.name == "spark" else f"unnest(range(1, {n} + 1))"
 

@@ -56,16 +56,6 @@ _LABELS = [("V", "I", "authentic cadence"), ("V", "I", "dominant resolution"), (
 _LABEL_ROWS = _LEGACY_ROWS + ",\n" + C.values("label_dim", "a, b, label", _LABELS) + """,
 v1p AS (SELECT song, ordinal, pos, core AS a, lead(core) OVER (PARTITION BY song, ordinal ORDER BY pos) AS b FROM v1)"""
 _FOUND = {
-    "token_dim": (
-        "roman",
-        T.DEGREE_DIM + """,
-tk AS (SELECT DISTINCT mode, token, substr(token, 3) AS body FROM roman),
-tp AS (SELECT mode, token, CASE WHEN instr(body, '/') > 0 THEN substr(body, 1, instr(body, '/') - 1) ELSE body END AS own, CASE WHEN instr(body, '/') > 0 THEN substr(body, instr(body, '/') + 1) END AS aim FROM tk),
-ta AS (SELECT mode, token, own, CASE WHEN aim IS NULL AND substr(own, 1, 4) <> 'subV' THEN own ELSE coalesce(aim, 'I') END AS num, CASE WHEN substr(own, 1, 4) = 'subV' THEN 1 WHEN aim IS NULL THEN 0 WHEN substr(own, 1, 3) = 'vii' THEN 11 ELSE 7 END AS up FROM tp),
-tn AS (SELECT mode, token, up, regexp_extract(num, '^([b#]?)([IViv]+)', 1) AS acc, upper(regexp_extract(num, '^([b#]?)([IViv]+)', 2)) AS numeral FROM ta),
-dg AS (SELECT mode, acc, numeral, min(iv) AS iv FROM degree_dim GROUP BY mode, acc, numeral)""",
-        "SELECT t.mode, t.token, (d.iv + t.up) % 12 AS interval_above_tonic FROM tn t JOIN dg d ON d.mode = t.mode AND d.acc = t.acc AND d.numeral = t.numeral",
-    ),
     "v1_romanize": ("song", _LEGACY_ROWS, "SELECT song, ordinal, pos, core || tail AS numeral FROM v1"),
     "v1_labels": ("song", _LABEL_ROWS, "SELECT p.song, p.ordinal, p.pos, d.label FROM v1p p JOIN label_dim d ON d.a = p.a AND d.b = p.b"),
     "similar_chords": (
