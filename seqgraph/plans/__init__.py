@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sequences", "prediction", "harmony", "color", "operations", "embeddings")
+MODULES = ("sequences", "prediction", "harmony", "color", "operations", "embeddings", "reports")
 
 
 def _merged(name: str) -> dict:

@@ -71,6 +71,21 @@ def _colored(spark, sf, facts: bool) -> None:
     _view(spark, "color", [C.TONE_DIM, C.KEY_PC_DIM, K.QUALITY_EXT, *K.color_axes()])
 
 
+def _profiled(spark, sf) -> None:
+    """Views of _colored() with facts, and subj and p_color."""
+    _colored(spark, sf, True)
+    known = [C.QUALITY_DIM, T.DEGREE_DIM, *K.realized("roman"), *K.subjects()]
+    for relation in ("subj", "pch", "pkeys"):
+        _view(spark, relation, known)
+    steps = [C.QUALITY_DIM, C.TONE_DIM, C.KEY_PC_DIM, K.QUALITY_EXT, K._MIDI, "ext_dim AS (SELECT quality, n_ext FROM quality_ext)", T.DEGREE_DIM, T.DIATONIC_DIM, T.BORROWED_DIM, *_profile_steps()]
+    at = next(i for i, x in enumerate(steps) if x.startswith("p_cseq AS"))
+    _view(spark, "p_roman", [x for x in steps[:at] if not x.startswith("p_v")])
+    _view(spark, "p_vopt", [C.QUALITY_DIM, C.TONE_DIM, K._MIDI, *[x for x in steps[:at] if x.startswith(("p_ch ", "p_v"))]])
+    _view(spark, "p_cseq", [steps[at]])
+    _view(spark, "p_vlead", steps[at + 1 : at + 4])
+    _view(spark, "p_color", [C.TONE_DIM, C.KEY_PC_DIM, K.QUALITY_EXT, "ext_dim AS (SELECT quality, n_ext FROM quality_ext)", *steps[at + 4 :]])
+
+
 def _spark(name: str):
     def run(spark, sf):
         if name == "voice_leading_edges":
@@ -84,18 +99,10 @@ def _spark(name: str):
         if name == "token_dim":
             _staged(spark, sf, "roman")
             return spark.sql(T.query([C.QUALITY_DIM, T.DEGREE_DIM, *K.realized("roman")], SELECTS[name]))
-        _colored(spark, sf, _NEED.get(name) == "arc")
         if name == "color_profiles":
-            known = [C.QUALITY_DIM, T.DEGREE_DIM, *K.realized("roman"), *K.subjects()]
-            for relation in ("subj", "pch", "pkeys"):
-                _view(spark, relation, known)
-            steps = [C.QUALITY_DIM, C.TONE_DIM, C.KEY_PC_DIM, K.QUALITY_EXT, K._MIDI, "ext_dim AS (SELECT quality, n_ext FROM quality_ext)", T.DEGREE_DIM, T.DIATONIC_DIM, T.BORROWED_DIM, *_profile_steps()]
-            at = next(i for i, x in enumerate(steps) if x.startswith("p_cseq AS"))
-            _view(spark, "p_roman", [x for x in steps[:at] if not x.startswith("p_v")])
-            _view(spark, "p_vopt", [C.QUALITY_DIM, C.TONE_DIM, K._MIDI, *[x for x in steps[:at] if x.startswith(("p_ch ", "p_v"))]])
-            _view(spark, "p_cseq", [steps[at]])
-            _view(spark, "p_vlead", steps[at + 1 : at + 4])
-            return spark.sql(T.query([C.TONE_DIM, C.KEY_PC_DIM, K.QUALITY_EXT, "ext_dim AS (SELECT quality, n_ext FROM quality_ext)", *steps[at + 4 :]], SELECTS[name]))
+            _profiled(spark, sf)
+            return spark.sql(SELECTS[name])
+        _colored(spark, sf, _NEED.get(name) == "arc")
         if _NEED.get(name) == "arc":
             _view(spark, "arc", K.color_arc())
             return spark.sql(SELECTS[name])

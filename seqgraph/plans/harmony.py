@@ -29,9 +29,8 @@ _LABELLED = "covered AS (SELECT DISTINCT song, ordinal, i FROM (SELECT song, ord
 #: name: (depth, select in both dialects)
 SPECS: dict[str, tuple[str, str]] = {
     "canonical_chords": ("dim", "SELECT symbol, ok, canon, quality, qclass, root_pc, bass_pc, mask, inversion, ext FROM chord_dim"),
-    "display_chord": ("dim", "SELECT symbol, CASE WHEN ok THEN root || CASE quality WHEN 'maj' THEN '' WHEN 'min' THEN 'm' WHEN 'min7' THEN 'm7' ELSE quality END || CASE WHEN bass_pc <> root_pc OR instr(canon, '/') > 0 THEN substr(canon, instr(canon, '/')) ELSE '' END END AS display FROM chord_dim"),
+    "display_chord": ("dim", "SELECT symbol, CASE WHEN ok THEN root || CASE quality WHEN 'maj' THEN '' WHEN 'min' THEN 'm' WHEN 'min7' THEN 'm7' WHEN 'minmaj7' THEN 'mMaj7' ELSE quality END || CASE WHEN bass_pc <> root_pc OR instr(canon, '/') > 0 THEN substr(canon, instr(canon, '/')) ELSE '' END END AS display FROM chord_dim"),
     "pitch_set_features": ("dim", "SELECT symbol, mask, bit_count(mask) AS tones, " + ", ".join(f"bit_count(mask & {T.rotated('mask', str(k))}) {'/ 2' if k == 6 else ''} AS ic{k}" for k in range(1, 7)).replace(" / 2 AS", " AS") + ", inversion, qclass, ext FROM chord_dim WHERE ok"),
-    "vocab_report": ("dim", "SELECT count(*) AS symbols, sum(CASE WHEN d.ok THEN 1 ELSE 0 END) AS parsed, max(CASE WHEN NOT d.ok THEN l.symbol END) AS unparsed_example FROM lines l JOIN chord_dim d ON d.symbol = l.symbol"),
     "salience": ("keys", "SELECT song, ordinal, pc, v AS weight FROM skeys_sal"),
     "estimate_keys": ("keys", T.best_keys("skeys")),
     "song_key": ("song", "SELECT song, ordinal, key_name, p FROM section_key"),
@@ -41,7 +40,6 @@ SPECS: dict[str, tuple[str, str]] = {
     "relationship_facts": ("facts", "SELECT song, ordinal, from_index, to_index, rule FROM facts"),
     "functions": ("roman", "SELECT canon AS chord, mode, token, count(*) AS count FROM roman GROUP BY canon, mode, token"),
     "support_by_function": ("roman", "SELECT mode, token, count(*) AS total FROM roman GROUP BY mode, token"),
-    "corpus_report": ("facts", "SELECT (SELECT count(DISTINCT song) FROM roman) AS songs, (SELECT count(*) FROM (SELECT DISTINCT song, ordinal FROM roman) x) AS sections, (SELECT count(*) FROM roman) AS tokens, (SELECT count(*) FROM facts) AS labels"),
 }
 # Legacy numerals by interval above the tonic.
 _LEGACY = {"major": "I bII II bIII III IV bV V bVI VI bVII VII", "minor": "I bII II III #III IV bV V VI #VI VII #VII"}

@@ -24,10 +24,20 @@ def request_metrics_24h(spark, sf):
 
 
 def usage_by_model(spark, sf):
-    e = table(spark, sf, "events").select(F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0)).alias("k"))
-    usage = F.from_json(F.concat(F.lit('{"m'), (F.col("k") % 3).cast("string"), F.lit('": {"calls": 1, "cost": "0.00'), F.col("k").cast("string"), F.lit('"}}')), "map<string, struct<calls:int, cost:decimal(12,8)>>")
-    each = e.select(F.explode(usage).alias("model", "u"))
-    return each.groupBy("model").agg(F.sum("u.calls").alias("calls"), F.sum("u.cost").cast("double").alias("cost"))
+    """Calls, cost and tokens by model: the per-row map where there is one, else the row's flat columns (every tenth k has none); and how many rows fell back."""
+    e = table(spark, sf, "events").select(F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0)).alias("k"), "event_type")
+    k = F.col("k").cast("string")
+    usage = F.when(F.col("k") % 10 != 0, F.concat(F.lit('{"m'), (F.col("k") % 3).cast("string"), F.lit('": {"calls": 1, "cost": "0.00'), k, F.lit('", "tokens": '), k, F.lit("}}")))
+    parsed = F.from_json(usage, "map<string, struct<calls:int, cost:decimal(12,8), tokens:int>>")
+    flat = F.create_map(F.concat(F.lit("flat-"), F.col("event_type")), F.struct(F.lit(1).alias("calls"), F.lit("0.01").cast("decimal(12,8)").alias("cost"), F.lit(0).alias("tokens")))
+    each = e.select(usage.isNull().cast("int").alias("fell_back"), F.explode(F.coalesce(parsed, flat)).alias("model", "u"))
+    return each.groupBy("model").agg(F.sum("u.calls").alias("calls"), F.sum("u.cost").cast("double").alias("cost"), F.sum("u.tokens").alias("tokens"), F.sum("fell_back").alias("fell_back"))
+
+
+def tool_counts(spark, sf):
+    """How often each tool is called; a row lists the tools it called."""
+    tools = F.split(F.concat_ws(",", F.col("event_type"), F.when(F.col("value") > 50, F.lit("search")), F.when(F.col("user_id") % 2 == 0, F.lit("lookup"))), ",")
+    return table(spark, sf, "events").select(F.explode(tools).alias("tool")).groupBy("tool").agg(F.count(F.lit(1)).alias("n"))
 
 
 def daily_cost(spark, sf):
@@ -65,6 +75,11 @@ def stream_dedupe(spark, sf):
     return kept.groupBy("event_type").agg(F.countDistinct("key").alias("keys"))
 
 
+def dedupe_within(spark, sf):
+    """Of each key (user and type), the rows that come seven days or more after the last one kept."""
+    return ops.kept_within(table(spark, sf, "events").withColumn("key", F.concat_ws(":", "user_id", "event_type")), "key", 7 * 86400).select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
 def heavy_hitters(spark, sf):
     once = S.windows(event_sections(spark, sf)).groupBy("w").agg(F.sum("n").alias("n"))
     return once.groupBy(S.smallest_rotation(F.col("w"))["pattern"].alias("pattern")).agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_SUPPORT)
@@ -84,7 +99,7 @@ def cosine_topk(spark, sf):
 
 def similar_edges(spark, sf):
     v = _vectors(spark, sf)
-    return G.cosine_topk(v, v, 3).select(F.col("query").alias("src"), F.col("id").alias("dst"), F.col("cosine").alias("weight"))
+    return G.cosine_topk(v, v, 10).select(F.col("query").alias("src"), F.col("id").alias("dst"), F.col("cosine").alias("weight"))
 
 
 def seed_neighbors(spark, sf):
@@ -94,9 +109,10 @@ def seed_neighbors(spark, sf):
 
 
 def pairwise_cosine(spark, sf):
+    """Each vector whose id is divisible by 50 against all others of its model."""
     v = G.normalized(_vectors(spark, sf))
-    q = v.filter("id = 0").select(F.col("model"), F.col("vec").alias("q"))
-    return v.join(F.broadcast(q), "model").select("id", F.round(G.dot("q", "vec"), 9).alias("cosine"))  # one query vector
+    q = v.filter("id % 50 = 0").select(F.col("id").alias("query"), F.col("model"), F.col("vec").alias("q"))
+    return v.join(q, "model").select("query", "id", F.round(G.dot("q", "vec"), 9).alias("cosine"))
 
 
 def l2_normalize(spark, sf):
@@ -128,21 +144,6 @@ def _edges(spark, sf):
     return t.select(F.lit("TRANSITIONS_TO").alias("type"), "context", F.col("from_token").alias("src"), F.col("to_token").alias("dst"), "count", "prob", "support")
 
 
-def graph_nodes(spark, sf):
-    p = event_positions(spark, sf)
-    kinds = [("function", "token"), ("genre", "genre"), ("section", "section"), ("era", "decade")]
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("type"), F.col(c).alias("label")) for k, c in kinds])).alias("x")
-    return p.select(rows).select("x.*").filter("label IS NOT NULL").distinct().select(F.concat_ws(":", "type", "label").alias("id"), "type", "label")
-
-
-def graph_edges(spark, sf):
-    """Transitions (contextual ones with count 5 or more) and which function a pattern contains, at which places."""
-    t = _edges(spark, sf).filter((F.col("context") == "global") | (F.col("count") >= 5)).select("type", "context", "src", "dst", "count")
-    found = found_patterns(spark, sf)[0].select("pattern", "support", F.explode(F.split("pattern", " ")).alias("token"))
-    held = found.groupBy("pattern", "token").agg(F.max("support").alias("count"))
-    return t.unionByName(held.select(F.lit("PATTERN_CONTAINS").alias("type"), F.lit("global").alias("context"), F.col("pattern").alias("src"), F.col("token").alias("dst"), "count"))
-
-
 def facts(spark, sf):
     e = _edges(spark, sf).filter("context = 'global'")
     return e.select(F.concat_ws(":", F.lit("transition"), "src", "dst").alias("fact_id"), "count", "prob")
@@ -153,10 +154,6 @@ def fact_exists(spark, sf):
     return wanted.join(facts(spark, sf), "fact_id", "left_semi")
 
 
-def adjacent_edges(spark, sf):
-    return _edges(spark, sf).filter("context IN ('global', 'section:verse') AND src = 'view'").select("context", "src", "dst", "count", "prob")
-
-
 def graph_filter(spark, sf):
     e = _edges(spark, sf)
     nodes = e.select(F.col("src").alias("id")).distinct().filter("id <> 'error'")
@@ -168,10 +165,6 @@ def neighborhood(spark, sf):
     return G.neighborhood(e, e.select(F.col("src").alias("id")).distinct(), 2, 0.1, 12)
 
 
-def explain_edge(spark, sf):
-    return G.explain_edge(_edges(spark, sf), "view", "click")
-
-
 def k_best_paths(spark, sf):
     e = materialize(_edges(spark, sf).filter("context = 'global'"), "edges")
     ends = e.select("src").distinct()
@@ -186,18 +179,6 @@ def merge_graphs(spark, sf):
     return G.merged(first, second, key)
 
 
-def node_edge_census(spark, sf):
-    return graph_edges(spark, sf).groupBy("type").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("sources"))
-
-
-def export_snapshot(spark, sf):
-    e = _edges(spark, sf).filter("context = 'global'")
-    total = e.select(F.col("src").alias("id"), "count").unionByName(e.select(F.col("dst").alias("id"), "count")).groupBy("id").agg(F.sum("count").alias("n"))
-    top = total.orderBy(F.desc("n"), "id").limit(4).select("id")
-    kept = e.join(top.withColumnRenamed("id", "src"), "src", "left_semi").join(top.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return kept.orderBy(F.desc("count"), "src", "dst").limit(12).select("src", "dst", "count")
-
-
 # ---- examples ------------------------------------------------------------------------------------------------------
 
 
@@ -321,16 +302,11 @@ def publish_version(spark, sf):
     return versions.join(F.broadcast(active), "version")  # one row
 
 
-def quality_metrics(spark, sf):
-    lines = chord_lines(spark, sf)
-    return lines.groupBy("genre").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("symbol") == "H?").alias("unparsed"), F.countDistinct("symbol").alias("symbols"))
-
-
 NAMES = (
-    request_metrics_24h, usage_by_model, daily_cost, status_census, hourly_counts, stream_transitions, stream_dedupe, heavy_hitters, cosine_topk, similar_edges, seed_neighbors, pairwise_cosine, l2_normalize, vector_checks,
-    embedding_eval, graph_nodes, graph_edges, facts, fact_exists, adjacent_edges, graph_filter, neighborhood, explain_edge, k_best_paths, merge_graphs, node_edge_census, export_snapshot, transition_examples, song_refs,
+    request_metrics_24h, usage_by_model, tool_counts, daily_cost, status_census, hourly_counts, stream_transitions, stream_dedupe, dedupe_within, heavy_hitters, cosine_topk, similar_edges, seed_neighbors, pairwise_cosine, l2_normalize, vector_checks,
+    embedding_eval, facts, fact_exists, graph_filter, neighborhood, k_best_paths, merge_graphs, transition_examples, song_refs,
     examples_lookup, sample_songs, dedupe_sections, ingest_summary, split_section_markers, scan_corpus_csv, scan_corpus_jsonl, limit_songs, tokenize_progression, content_fingerprint, table_size_budget, validate_artifacts,
-    publish_version, quality_metrics,
+    publish_version,
 )
 QUERIES = {f.__name__: f for f in NAMES}
 
@@ -354,35 +330,34 @@ ge AS (SELECT 'TRANSITIONS_TO' AS type, context, from_token AS src, to_token AS
 
 ORACLE = {
     "request_metrics_24h": "SELECT count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS errors, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 24 HOURS FROM events)",
-    "usage_by_model": "SELECT 'm' || (k % 3) AS model, count(*) AS calls, CAST(sum(CAST('0.00' || k AS DECIMAL(12, 8))) AS DOUBLE) AS cost FROM (SELECT coalesce(CAST(json_extract_string(props, '$.k') AS INT), 0) AS k FROM events) GROUP BY 1",
+    "usage_by_model": """SELECT CASE WHEN k % 10 <> 0 THEN 'm' || (k % 3) ELSE 'flat-' || event_type END AS model, count(*) AS calls, CAST(sum(CASE WHEN k % 10 <> 0 THEN CAST('0.00' || k AS DECIMAL(12, 8)) ELSE 0.01 END) AS DOUBLE) AS cost,
+  CAST(sum(CASE WHEN k % 10 <> 0 THEN k ELSE 0 END) AS BIGINT) AS tokens, CAST(sum(CASE WHEN k % 10 <> 0 THEN 0 ELSE 1 END) AS BIGINT) AS fell_back FROM (SELECT event_type, coalesce(CAST(json_extract_string(props, '$.k') AS INT), 0) AS k FROM events) GROUP BY 1""",
+    "tool_counts": "SELECT tool, count(*) AS n FROM (SELECT event_type AS tool FROM events UNION ALL SELECT 'search' FROM events WHERE value > 50 UNION ALL SELECT 'lookup' FROM events WHERE user_id % 2 = 0) GROUP BY tool",
     "daily_cost": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(sum(value), 4) AS cost, count(*) AS n FROM events GROUP BY 1",
     "status_census": "SELECT CASE event_type WHEN 'error' THEN 500 ELSE 200 END AS status, event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS slow FROM events GROUP BY ALL",
     "hourly_counts": "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, count(*) AS n, count(*) > 4 AS over_limit, CAST(epoch(date_trunc('hour', max(ts)) + INTERVAL 1 HOUR) - floor(epoch(max(ts))) AS BIGINT) AS seconds_left FROM events GROUP BY 1, 2",
     "stream_transitions": "SELECT from_token, to_token, count(*) AS count FROM (SELECT event_type AS from_token, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS to_token FROM events) WHERE to_token IS NOT NULL GROUP BY ALL",
     "stream_dedupe": "SELECT event_type, count(DISTINCT user_id) AS keys FROM events GROUP BY 1",
+    "dedupe_within": """WITH RECURSIVE e AS (SELECT user_id || ':' || event_type AS key, date_trunc('second', ts) AS ts FROM events),
+kept AS (SELECT key, min(ts) AS ts FROM e GROUP BY key UNION ALL SELECT key, ts FROM (SELECT k.key, e.ts, row_number() OVER (PARTITION BY k.key ORDER BY e.ts) AS r FROM kept k JOIN e ON e.key = k.key AND e.ts >= k.ts + INTERVAL 7 DAYS) WHERE r = 1)
+SELECT key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM kept""",
     "heavy_hitters": sql(EVENT_SQL, CONTEXT_SQL, KEPT_SQL, PATTERN_SQL, "SELECT pattern, support AS n FROM pats"),
     "cosine_topk": sql(VEC, TOP("q.id % 50 = 0", 10), "SELECT * FROM tk"),
-    "similar_edges": sql(VEC, TOP("true", 3), "SELECT query AS src, id AS dst, cosine AS weight FROM tk"),
+    "similar_edges": sql(VEC, TOP("true", 10), "SELECT query AS src, id AS dst, cosine AS weight FROM tk"),
     "seed_neighbors": sql(VEC, TOP("q.id % 50 = 0", 10), "SELECT id, max(cosine) AS similarity FROM tk GROUP BY id ORDER BY similarity DESC, id LIMIT 50"),
-    "pairwise_cosine": sql(VEC, f"SELECT n.id, {COS} AS cosine FROM nv q JOIN nv n ON q.model = n.model WHERE q.id = 0"),
+    "pairwise_cosine": sql(VEC, f"SELECT q.id AS query, n.id, {COS} AS cosine FROM nv q JOIN nv n ON q.model = n.model WHERE q.id % 50 = 0"),
     "l2_normalize": sql(VEC, "SELECT id, round(list_sum(v), 6) AS total, round(list_sum([x * x FOR x IN v]), 6) AS norm FROM nv"),
     "vector_checks": "SELECT label AS model, count(*) AS n, 0 AS not_finite, count(*) FILTER (WHERE len(embedding) <> 64) AS wrong_size, count(*) FILTER (WHERE sqrt(list_sum([CAST(x AS DOUBLE) * x FOR x IN embedding])) NOT BETWEEN 0.99 AND 1.01) AS not_unit FROM embeddings GROUP BY 1",
     "embedding_eval": sql(VEC, TOP("q.id % 50 = 0", 5, "true"), "SELECT avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END) AS purity FROM tk JOIN embeddings a ON a.vec_id = tk.query JOIN embeddings b ON b.vec_id = tk.id"),
-    "graph_nodes": sql(EVENT_SQL, "SELECT DISTINCT type || ':' || label AS id, type, label FROM (SELECT 'function' AS type, token AS label FROM seq UNION SELECT 'genre', genre FROM seq UNION SELECT 'section', section FROM seq UNION SELECT 'era', decade FROM seq) WHERE label IS NOT NULL"),
-    "graph_edges": sql(*TRANS, KEPT_SQL, PATTERN_SQL, GRAPH_EDGES, "SELECT * FROM ge"),
-    "node_edge_census": sql(*TRANS, KEPT_SQL, PATTERN_SQL, GRAPH_EDGES, "SELECT type, count(*) AS edges, count(DISTINCT src) AS sources FROM ge GROUP BY type"),
     "facts": sql(*TRANS, "SELECT 'transition:' || from_token || ':' || to_token AS fact_id, count, prob FROM trans WHERE context = 'global'"),
     "fact_exists": sql(*TRANS, "SELECT DISTINCT 'transition:' || token || ':purchase' AS fact_id FROM seq WHERE token IN (SELECT from_token FROM trans WHERE context = 'global' AND to_token = 'purchase')"),
-    "adjacent_edges": sql(*TRANS, "SELECT context, from_token AS src, to_token AS dst, count, prob FROM trans WHERE context IN ('global', 'section:verse') AND from_token = 'view'"),
     "graph_filter": sql(*TRANS, "SELECT context, from_token AS src, to_token AS dst, count FROM trans WHERE prob >= 0.2 AND from_token <> 'error' AND to_token <> 'error'"),
     "neighborhood": sql(*TRANS, GLOBAL, "e AS (SELECT * FROM ed WHERE prob >= 0.1)", "h1 AS (SELECT src AS seed, 1 AS hop, src, dst, prob FROM e)", "f1 AS (SELECT DISTINCT seed, dst AS node FROM h1 WHERE dst <> seed)", "h2 AS (SELECT f1.seed, 2 AS hop, e.src, e.dst, e.prob FROM f1 JOIN e ON e.src = f1.node)",
         "SELECT seed, hop, src, dst, prob FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY prob DESC, hop, src, dst) AS r FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2)) WHERE r <= 12"),
-    "explain_edge": sql(*TRANS, "SELECT string_agg(DISTINCT context, ',' ORDER BY context) AS contexts, CAST(sum(count) AS BIGINT) AS count, CAST(sum(support) AS BIGINT) AS support FROM trans WHERE from_token = 'view' AND to_token = 'click'"),
     "k_best_paths": "WITH RECURSIVE " + sql(*TRANS, GLOBAL, "pr AS (SELECT DISTINCT a.src AS s, b.src AS d FROM ed a JOIN ed b ON a.src < b.src)",
         "walk AS (SELECT s, d, [s] AS path, CAST(0 AS DOUBLE) AS cost FROM pr UNION ALL SELECT s, d, list_append(path, dst), cost - ln(prob) FROM walk JOIN ed ON ed.src = path[len(path)] WHERE len(path) <= 4 AND path[len(path)] <> d AND NOT list_contains(path, dst))",
         "SELECT * FROM (SELECT s AS src, d AS dst, row_number() OVER (PARTITION BY s, d ORDER BY round(cost, 9), array_to_string(path, ' ')) AS rank, array_to_string(path, ' ') AS path, round(cost, 9) AS cost FROM walk WHERE path[len(path)] = d) WHERE rank <= 3")[5:],
     "merge_graphs": sql(*TRANS, "SELECT src, dst, context, count FROM (SELECT from_token AS src, to_token AS dst, context, count, row_number() OVER (PARTITION BY from_token, to_token ORDER BY context DESC) AS r FROM trans WHERE context IN ('global', 'section:verse')) WHERE r = 1"),
-    "export_snapshot": sql(*TRANS, GLOBAL, "tp AS (SELECT id FROM (SELECT src AS id, count FROM ed UNION ALL SELECT dst, count FROM ed) GROUP BY id ORDER BY sum(count) DESC, id LIMIT 4)", "SELECT src, dst, count FROM ed WHERE src IN (SELECT id FROM tp) AND dst IN (SELECT id FROM tp) ORDER BY count DESC, src, dst LIMIT 12"),
     "transition_examples": sql(EVENT_SQL, EX, "SELECT from_token, to_token, song, ordinal, pos, rank FROM ex"),
     "song_refs": sql(EVENT_SQL, EX, SONG, "SELECT * FROM sg WHERE song IN (SELECT song FROM ex)"),
     "examples_lookup": sql(EVENT_SQL, EX, SONG, "SELECT from_token, to_token, song, rank, decade FROM ex JOIN sg USING (song) WHERE rank <= 2 AND genre = 'g1'"),
@@ -399,5 +374,4 @@ ORACLE = {
     "table_size_budget": "SELECT count(*) * (avg(strlen(event_type)) + avg(strlen(props)) + 28) * 1.4 / 1e6 AS mb FROM events",
     "validate_artifacts": sql(*TRANS, "SELECT count(*) AS rows, 0 AS missing_columns, true AS complete FROM trans"),
     "publish_version": sql(*TRANS, "SELECT 'b' AS version, context, from_token, to_token, count FROM trans"),
-    "quality_metrics": sql(CHORD_SQL, "SELECT genre, count(*) AS tokens, count(*) FILTER (WHERE symbol = 'H?') AS unparsed, count(DISTINCT symbol) AS symbols FROM lines GROUP BY genre"),
 }
