@@ -146,33 +146,57 @@ def _leftmost_smaller(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return is_s, np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
 
 
+def _sort_substrings(t: np.ndarray, is_s: np.ndarray, at: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Names, by rank, of the substrings from at up to and with stops, for large alphabets: by two symbols at a time (each with its type), ties on."""
+    value = 2 * t.astype(np.int64) + is_s + 1
+    base, names = int(value.max()) + 1, np.zeros(len(at), np.int64)
+    step = lambda i, k: np.where(at[i] + k <= stops[i], value[np.minimum(at[i] + k, stops[i])], 0)
+    open_, k = np.arange(len(at)), 0
+    while len(open_):
+        key = (names[open_] * base + step(open_, k)) * base + step(open_, k + 1)
+        order = np.argsort(key)
+        ranked, first = key[order], np.concatenate(([True], np.diff(key[order]) != 0))
+        group = np.flatnonzero(first)
+        # a group's rank is how many substrings come before it: its old rank, and those of the same old rank with smaller keys
+        old = names[open_][order]
+        start = np.concatenate(([True], np.diff(old) != 0))
+        within = np.arange(len(order)) - np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
+        names[open_[order]] = old + within[group][np.cumsum(first) - 1]
+        k += 2
+        sizes = np.diff(np.append(group, len(ranked)))
+        open_ = open_[order[np.repeat(sizes > 1, sizes)]]
+        open_ = open_[at[open_] + k <= stops[open_]]
+    return np.unique(names, return_inverse=True)[1]
+
+
 def suffix_array(s: np.ndarray, sigma: int | None = None) -> np.ndarray:
     """Start positions of the suffixes of s (integers from 0) in order.
 
-    Suffixes are classified, leftmost-smaller substrings are sorted by induction and named, the string of names is
-    sorted recursively unless all differ, and the order of all suffixes is induced from it. A string of names is at most
-    half as long as its text, so all levels together are linear.
+    Suffixes are classified, leftmost-smaller substrings are sorted (by induction; in large alphabets by their symbols) and named, the
+    string of names is sorted recursively unless all differ, and the order of all suffixes is induced from it. A string of
+    names is at most half as long as its text, so all levels together are linear.
     """
     sigma = (int(s.max()) + 1 if len(s) else 1) + 1 if sigma is None else sigma + 1
     n = len(s) + 1
     if n == 1:
         return np.zeros(0, np.int64)
-    t = np.zeros(n, np.int16 if sigma <= BUCKETS else np.int64)
+    small = sigma <= BUCKETS
+    t = np.zeros(n, np.int16 if small else np.int64)
     t[:-1] = s.astype(t.dtype) + 1
-    induce = _induce if sigma <= BUCKETS else _induce_each
     is_s, lms = _leftmost_smaller(t)
-    first = induce(t, is_s, lms, sigma)
-    marked = np.zeros(n, bool)
-    marked[lms] = True
-    ordered = first[marked[first]]
     stops = np.full(n, n - 1)
     stops[lms[:-1]] = lms[1:]
-    names = np.empty(n, np.int64)
-    names[ordered] = _names(t, ordered, stops[ordered])
-    small = names[lms]
-    if len(lms) > 1 and small.max() < len(lms) - 1:
-        ordered = lms[suffix_array(small)]
-    return induce(t, is_s, ordered, sigma)[1:]
+    if small:
+        first, marked = _induce(t, is_s, lms, sigma), np.zeros(n, bool)
+        marked[lms] = True
+        ordered = first[marked[first]]
+        named = np.empty(n, np.int64)
+        named[ordered] = _names(t, ordered, stops[ordered])
+        names = named[lms]
+    else:
+        names = _sort_substrings(t, is_s, lms, stops[lms])
+    ordered = lms[np.argsort(names) if int(names.max()) == len(lms) - 1 else suffix_array(names)]
+    return (_induce if small else _induce_each)(t, is_s, ordered, sigma)[1:]
 
 
 def permuted_common(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
