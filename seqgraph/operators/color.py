@@ -53,7 +53,7 @@ _NOTES = ("b", "u0", "u1", "u2")
 
 def _d(x: float) -> str:
     """A double literal in both dialects."""
-    return f"{x}e0"
+    return f"{x}" if "e" in f"{x}" else f"{x}e0"
 
 
 def voicings(chords: str = "ch") -> list[str]:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sequences", "prediction", "harmony", "color", "operations", "embeddings", "reports")
+MODULES = ("sequences", "prediction", "harmony", "color", "operations", "embeddings", "reports", "recommend")
 
 
 def _merged(name: str) -> dict:

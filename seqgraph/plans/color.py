@@ -77,6 +77,11 @@ def _profiled(spark, sf) -> None:
     known = [C.QUALITY_DIM, T.DEGREE_DIM, *K.realized("roman"), *K.subjects()]
     for relation in ("subj", "pch", "pkeys"):
         _view(spark, relation, known)
+    _profile_views(spark)
+
+
+def _profile_views(spark) -> None:
+    """View p_color over the views pch and pkeys."""
     steps = [C.QUALITY_DIM, C.TONE_DIM, C.KEY_PC_DIM, K.QUALITY_EXT, K._MIDI, "ext_dim AS (SELECT quality, n_ext FROM quality_ext)", T.DEGREE_DIM, T.DIATONIC_DIM, T.BORROWED_DIM, *_profile_steps()]
     at = next(i for i, x in enumerate(steps) if x.startswith("p_cseq AS"))
     _view(spark, "p_roman", [x for x in steps[:at] if not x.startswith("p_v")])
