@@ -40,21 +40,19 @@ def mask(tones) -> int:
     return sum(1 << t for t in {t % 12 for t in tones})
 
 
+#: What a class needs of a chord's intervals; the first that fits names it. A chord without a third is suspended.
+_CLASSES = (
+    ("dim7", {3, 6, 9}), ("hdim7", {3, 6, 10}), ("min7", {3, 10}), ("minmaj7", {3, 11}), ("dom7", {4, 10}), ("maj7", {4, 11}), ("dim", {3, 6}), ("min", {3}), ("aug", {4, 8}), ("maj", {4}),
+)
+
+
 def quality_class(intervals: tuple[int, ...]) -> tuple[str, list[str]]:
-    """Class and extension labels: the third decides suspended, minor or major, the fifth diminished or augmented, a fourth tone the seventh."""
-    if intervals == (0, 7):
+    """Class, and labels of the tones beyond the triad that aren't the class's own."""
+    tones = set(intervals)
+    if tones == {0, 7}:
         return "power", []
-    third, fifth = intervals[1], intervals[2]
-    fourth = intervals[3] if len(intervals) > 3 else None
-    sevenths = {9: "dim7", 10: "hdim7"} if (third, fifth) == (3, 6) else {10: "min7", 11: "minmaj7"} if third == 3 else {10: "dom7", 11: "maj7"}
-    seventh = fourth if fourth in sevenths else None
-    if third in (2, 5):
-        name = "sus"
-        seventh = fourth if fourth in (10, 11) else None
-    else:
-        name = sevenths.get(seventh) or ("dim" if (third, fifth) == (3, 6) else "min" if third == 3 else "aug" if fifth == 8 else "maj")
-    rest = intervals[3:] if seventh is None else intervals[4:]
-    return name, [EXTENSIONS[t] for t in rest if t in EXTENSIONS]
+    name, own = next(((n, need) for n, need in _CLASSES if need <= tones), ("sus", {10, 11}))
+    return name, [EXTENSIONS[t] for t in intervals[3:] if t not in own and t in EXTENSIONS]
 
 
 def suffix(quality: str) -> str:
@@ -65,28 +63,22 @@ def suffix(quality: str) -> str:
     return {"maj7": "maj7", "minmaj7": "maj7", "dim": "o", "hdim7": "h7", "dim7": "o7", "dom7": "7", "min7": "7", "aug": "+", "power": "5"}.get(name, "")
 
 
-def spelled(pc: int, letter: str) -> tuple[str, int]:
-    """The note on a letter, smallest accidental, and its signed accidental."""
-    delta = (pc - NATURALS[letter]) % 12
-    delta = delta - 12 if delta > 6 else delta
-    return letter + ("#" * delta if delta > 0 else "b" * -delta), delta
+def fifths_note(index: int) -> str:
+    """The note so many fifths above C."""
+    sharps = (index + 1) // 7
+    return "FCGDAEB"[(index + 1) % 7] + ("#" * sharps if sharps > 0 else "b" * -sharps)
 
 
 def key_spelling(tonic: str, mode: str) -> list[tuple[int, str, int, bool]]:
-    """pitch class, note, line-of-fifths index and whether it is in the scale, for the twelve pitch classes in a key."""
-    root, order = NOTES[tonic], "CDEFGAB"
-    at = order.index(tonic[0])
-    own = {(root + step) % 12: order[(at + i) % 7] for i, step in enumerate(SCALES[mode])}
-    sharp = FIFTHS[tonic[0]] + 7 * (tonic.count("#") - tonic.count("b")) - (3 if mode == "minor" else 0) >= 0
-    out = []
-    for pc in range(12):
-        if pc in own:
-            note, _ = spelled(pc, own[pc])
-        else:
-            ranked = sorted((abs(d), 0 if d == 0 or (d > 0) == sharp else 1, 0 if d >= 0 else 1, i, n) for i, (n, d) in enumerate(spelled(pc, x) for x in order))
-            note = ranked[0][4]
-        out.append((pc, note, FIFTHS[note[0]] + 7 * (note.count("#") - note.count("b")), pc in own))
-    return out
+    """pitch class, note, line-of-fifths index and whether it is in the scale, for the twelve pitch classes in a key.
+
+    A scale is seven neighbours on the line of fifths, from one below the tonic of its relative major. Other tones are naturals, or
+    else lie on the side of the key: sharps where that tonic is C or above it, flats below.
+    """
+    home = FIFTHS[tonic[0]] + 7 * (tonic.count("#") - tonic.count("b")) - (3 if mode == "minor" else 0)
+    scale, naturals, side = range(home - 1, home + 6), range(-1, 6), range(6, 11) if home >= 0 else range(-6, -1)
+    index = {7 * i % 12: i for i in (*side, *naturals, *scale)}
+    return [(pc, fifths_note(index[pc]), index[pc], index[pc] in scale) for pc in range(12)]
 
 
 def _literal(x) -> str:
