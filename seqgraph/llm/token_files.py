@@ -36,6 +36,8 @@ OPTIONS = {
 }
 #: A worker's memory of encoded pieces (about 200 bytes each); it is emptied at this many. A speed-up only.
 PIECES = 1_000_000
+#: Longer pieces than this aren't remembered, so the memory has a bound in bytes too.
+LONG = 64
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -80,6 +82,8 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         """One pre-token."""
         found = self.pieces.get(word)
+        if found is None and len(word) > LONG:
+            return self._whole(word)
         if found is None:
             symbols = word.encode().decode("latin-1").translate(self.letters)
             found = self.pieces[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
@@ -96,7 +100,9 @@ class Encoder:
             return self._whole(piece)
         rest = self.pieces.get(tail)
         if rest is None:
-            rest = self.pieces[tail] = self._whole(tail)
+            rest = self._whole(tail)
+            if len(tail) <= LONG:
+                self.pieces[tail] = rest
         return self._word(stem) + rest
 
     def encode(self, text: str) -> bytes:
@@ -112,7 +118,11 @@ class Encoder:
             new = set(parts)
         for p in new:
             self.pieces[p] = self._whole(p) if p == "\n" else self._piece(p)
-        return b"".join(map(self.pieces.__getitem__, parts))
+        out = b"".join(map(self.pieces.__getitem__, parts))
+        for p in new:
+            if len(p) > LONG:
+                del self.pieces[p]
+        return out
 
 
 @lru_cache(maxsize=1)

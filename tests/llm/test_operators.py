@@ -376,7 +376,7 @@ def test_tokens(spark, docs, rows, tmp_path):
 
 def test_encoder_equals_the_library():
     e, rnd = Encoder(default_tokenizer()), random.Random(1)
-    odd = ["", " ", "  a", "a  b", "a \n b", "don't we're 'tis", "x²y a1b2 c3", "é è  z", "end ", "a　 b", "<|endoftext|> hi", "a\x00 b", "a b.\nC d"]
+    odd = ["", " ", "  a", "a  b", "a \n b", "don't we're 'tis", "x²y a1b2 c3", "é è  z", "end ", "a　 b", "<|endoftext|> hi", "a\x00 b", "a b.\nC d", "ab" * 60 + " x " + "ab" * 60 + " y", "a" + "1" * 99 + " a" + "1" * 99]
     odd += ["".join(rnd.choice(" ab1.,'s\n\té²_-<|> \x1d") for _ in range(rnd.randint(0, 25))) for _ in range(1500)]
     for x in odd:
         assert e.encode(x) == np.array(e.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), repr(x)
