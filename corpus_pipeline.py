@@ -24,10 +24,12 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated, without the words that are hit; n_chars follows the text."""
+    """Documents that aren't contaminated, without the words that are hit; n_chars, where there is one, follows the text."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     found = decontaminate(docs, load(spark, sf_dir, "benchmark"), keep=rest).filter(~F.col("contaminated"))
-    text = {"text": F.col("clean_text"), "n_chars": F.char_length("clean_text").cast(docs.schema["n_chars"].dataType)}
+    text = {"text": F.col("clean_text")}
+    if "n_chars" in docs.columns:
+        text["n_chars"] = F.char_length("clean_text").cast(docs.schema["n_chars"].dataType)
     return found.select(*[text.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
