@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import artifacts as A
 from ..operators import graph as G
 from ..operators import predict as P
 from ..operators import sequence as S
@@ -286,27 +289,45 @@ def table_size_budget(spark, sf):
     return e.agg((F.count(F.lit(1)) * (F.avg(F.octet_length("event_type")) + F.avg(F.octet_length("props")) + 28) * 1.4 / 1e6).alias("mb"))
 
 
+_KEY = ["context", "from_token", "to_token", "count"]
+
+
+def write_artifact(spark, sf):
+    """The transitions as a versioned artifact; its manifest."""
+    return A.write_artifact(S.transitions(event_positions(spark, sf), MIN_CONTEXT), _checkpoint(spark) + "/artifacts", "transitions", "a", _KEY)
+
+
 def validate_artifacts(spark, sf):
-    """Required columns and rows of a written artifact against its manifest row."""
+    """A written artifact against its manifest."""
+    told = write_artifact(spark, sf)
+    rows = spark.read.parquet(f"{_checkpoint(spark)}/artifacts/transitions/version=a/rows")
+    return A.validated(rows, told, [*_KEY, "prob", "pmi", "support"], _KEY, 100.0)
+
+
+def _attempts(spark, sf):
     t = materialize(S.transitions(event_positions(spark, sf), MIN_CONTEXT), "transitions")
-    need = ("context", "from_token", "to_token", "count", "prob", "pmi", "support")
-    missing = [c for c in need if c not in t.columns]
-    return t.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(missing)).alias("missing_columns"), (F.count_if(F.col("prob").isNull()) == 0).alias("complete"))
+    world = t.filter("context = 'global'")
+    given = [(1, "a", world), (2, "a", world), (3, "a", t), (4, "b", t)]
+    rows = [A.manifest(d, "transitions", v, _KEY).select(F.lit(i).alias("step"), "version", "rows", "fingerprint") for i, v, d in given]
+    versions = world.withColumn("version", F.lit("a")).unionByName(t.withColumn("version", F.lit("b")))
+    return versions, A.published(reduce(lambda a, b: a.unionByName(b), rows))
+
+
+def publish_outcomes(spark, sf):
+    """A version, the same again, the same name with other rows, and another version."""
+    return _attempts(spark, sf)[1]
 
 
 def publish_version(spark, sf):
-    """Two versions side by side, one active: reads see the active one only."""
-    t = S.transitions(event_positions(spark, sf), MIN_CONTEXT).select("context", "from_token", "to_token", "count")
-    versions = t.filter("context = 'global'").withColumn("version", F.lit("a")).unionByName(t.withColumn("version", F.lit("b")))
-    active = spark.range(1).select(F.lit("b").alias("version"))
-    return versions.join(F.broadcast(active), "version")  # one row
+    """Reads see the active version only."""
+    return A.read_active(*_attempts(spark, sf)).select("version", "context", "from_token", "to_token", "count")
 
 
 NAMES = (
     request_metrics_24h, usage_by_model, tool_counts, daily_cost, status_census, hourly_counts, stream_transitions, stream_dedupe, dedupe_within, heavy_hitters, cosine_topk, similar_edges, seed_neighbors, pairwise_cosine, l2_normalize, vector_checks,
     embedding_eval, facts, fact_exists, graph_filter, neighborhood, k_best_paths, merge_graphs, transition_examples, song_refs,
-    examples_lookup, sample_songs, dedupe_sections, ingest_summary, split_section_markers, scan_corpus_csv, scan_corpus_jsonl, limit_songs, tokenize_progression, content_fingerprint, table_size_budget, validate_artifacts,
-    publish_version,
+    examples_lookup, sample_songs, dedupe_sections, ingest_summary, split_section_markers, scan_corpus_csv, scan_corpus_jsonl, limit_songs, tokenize_progression, content_fingerprint, table_size_budget, write_artifact, validate_artifacts,
+    publish_outcomes, publish_version,
 )
 QUERIES = {f.__name__: f for f in NAMES}
 
@@ -328,6 +349,8 @@ GRAPH_EDGES = """
 ge AS (SELECT 'TRANSITIONS_TO' AS type, context, from_token AS src, to_token AS dst, count FROM trans WHERE context = 'global' OR count >= 5
   UNION ALL SELECT 'PATTERN_CONTAINS', 'global', pattern, token, max(support) FROM (SELECT pattern, support, unnest(string_split(pattern, ' ')) AS token FROM pats) GROUP BY pattern, token)"""
 
+MANIFEST = lambda rel, name: f"{name} AS (SELECT count(*) AS rows, CAST(coalesce(sum(CAST('0x' || substr(md5(context || '|' || from_token || '|' || to_token || '|' || count), 1, 8) AS BIGINT)), 0) AS BIGINT) AS fingerprint FROM {rel})"
+
 ORACLE = {
     "request_metrics_24h": "SELECT count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS errors, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 24 HOURS FROM events)",
     "usage_by_model": """SELECT CASE WHEN k % 10 <> 0 THEN 'm' || (k % 3) ELSE 'flat-' || event_type END AS model, count(*) AS calls, CAST(sum(CASE WHEN k % 10 <> 0 THEN CAST('0.00' || k AS DECIMAL(12, 8)) ELSE 0.01 END) AS DOUBLE) AS cost,
@@ -372,6 +395,10 @@ SELECT key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM kept""",
     "tokenize_progression": sql(CHORD_SQL, CBODY, "SELECT song, row_number() OVER (PARTITION BY song ORDER BY ordinal) - 1 AS ordinal, len(string_split(body, ' ')) AS n, body AS tokens FROM cb"),
     "content_fingerprint": "SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(event_id || '|' || user_id || '|' || event_type), 1, 8) AS BIGINT)) AS BIGINT) AS fingerprint FROM events",
     "table_size_budget": "SELECT count(*) * (avg(strlen(event_type)) + avg(strlen(props)) + 28) * 1.4 / 1e6 AS mb FROM events",
-    "validate_artifacts": sql(*TRANS, "SELECT count(*) AS rows, 0 AS missing_columns, true AS complete FROM trans"),
+    "write_artifact": sql(*TRANS, MANIFEST("trans", "m"), "SELECT 'transitions' AS name, 'a' AS version, rows, fingerprint, 'context,from_token,to_token,count,prob,pmi,support' AS columns FROM m"),
+    "validate_artifacts": sql(*TRANS, MANIFEST("trans", "m"), """SELECT 'columns' AS name, 7.0 AS wanted, 7.0 AS found, true AS ok UNION ALL SELECT 'rows', rows, rows, true FROM m UNION ALL SELECT 'fingerprint', fingerprint, fingerprint, true FROM m
+  UNION ALL SELECT 'size', 100.0, round(sum(strlen(context) + strlen(from_token) + strlen(to_token) + strlen(CAST(count AS VARCHAR)) + 56) * 1.4 / 1e6, 6), sum(56) * 1.4 / 1e6 <= 100 FROM trans"""),
+    "publish_outcomes": sql(*TRANS, "w AS (SELECT * FROM trans WHERE context = 'global')", MANIFEST("w", "m1"), MANIFEST("trans", "m2"), """SELECT 1 AS step, 'a' AS version, rows, 'published' AS outcome, 'a' AS active, false AS kept FROM m1 UNION ALL SELECT 2, 'a', rows, 'unchanged', 'a', false FROM m1
+  UNION ALL SELECT 3, 'a', m2.rows, CASE WHEN m1.rows = m2.rows AND m1.fingerprint = m2.fingerprint THEN 'unchanged' ELSE 'refused' END, 'a', false FROM m1, m2 UNION ALL SELECT 4, 'b', rows, 'published', 'b', true FROM m2"""),
     "publish_version": sql(*TRANS, "SELECT 'b' AS version, context, from_token, to_token, count FROM trans"),
 }
