@@ -76,8 +76,9 @@ def key_scores(rows: str, out: str, by: str = "song, ordinal") -> list[str]:
   sum(CASE WHEN (c.root_pc - k.tonic + 12) % 12 = 7 AND c.qclass IN ('dom7', 'maj', 'aug') AND c.nroot = k.tonic THEN 1 ELSE 0 END) AS cad, sum(CASE WHEN c.down = 1 AND c.root_pc = k.tonic THEN 1 ELSE 0 END) AS fin,
   sum(CASE WHEN c.up = 1 AND c.root_pc = k.tonic THEN 1 ELSE 0 END) AS fst, sum(CASE WHEN c.root_pc = (k.tonic + 5) % 12 AND c.qclass IN ('min', 'min7') AND c.nroot = k.tonic AND c.nclass IN ('maj', 'maj7') THEN 1 ELSE 0 END) AS plag,
   max(CASE WHEN c.down = 1 THEN c.root_pc END) AS last_pc FROM {out}_nx c CROSS JOIN key_dim k GROUP BY {by}, k.key_no)""",
-        f"""{out}_s AS (SELECT {by}, key_no, n, fit, last_pc, round({w['profile']} * CASE WHEN (12 * svv - sv * sv) * (12 * sww - sw * sw) > 1e-9 THEN (12 * svw - sv * sw) / sqrt((12 * svv - sv * sv) * (12 * sww - sw * sw)) ELSE CAST(0 AS DOUBLE) END
-  + {w['fit']} * fit + {w['cadence']} * cad + {w['final']} * fin + {w['first']} * fst + {w['plagal']} * plag, 9) AS score FROM {out}_f JOIN {out}_dot USING ({by}, key_no) JOIN {out}_tot USING ({by}) JOIN profs USING (key_no))""",
+        f"""{out}_x AS (SELECT {by}, key_no, n, fit, last_pc, cad, fin, fst, plag, CASE WHEN (12 * svv - sv * sv) * (12 * sww - sw * sw) > 1e-9 THEN (12 * svw - sv * sw) / sqrt((12 * svv - sv * sv) * (12 * sww - sw * sw)) ELSE CAST(0 AS DOUBLE) END AS corr
+  FROM {out}_f JOIN {out}_dot USING ({by}, key_no) JOIN {out}_tot USING ({by}) JOIN profs USING (key_no))""",
+        f"{out}_s AS (SELECT *, round({w['profile']} * corr + {w['fit']} * fit + {w['cadence']} * cad + {w['final']} * fin + {w['first']} * fst + {w['plagal']} * plag, 9) AS score FROM {out}_x)",
         f"{out}_e AS (SELECT *, exp((score - max(score) OVER (PARTITION BY {by})) / ({C.TEMPERATURE} * least(2.0, greatest(1.0, CAST(n AS DOUBLE) / 8)))) AS e FROM {out}_s)",
         f"{out} AS (SELECT {by}, key_no, tonic, mode, key_name, n, fit, last_pc, e / sum(e) OVER (PARTITION BY {by}) AS p, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, key_no) AS rk FROM {out}_e JOIN key_dim USING (key_no))",
     ]
@@ -96,6 +97,25 @@ def best_keys(keys: str, by: str = "song, ordinal") -> str:
   FROM {keys} WHERE rk <= 2 GROUP BY {by}"""
 
 
+def key_grid(features: str, labels: str) -> list[str]:
+    """grid_eval: weights of profile, fit and final chord, temperature, top1, top2, ece, best — every point of a grid, held against labelled keys.
+
+    features: {out}_x of key_scores(), labels: a relation (song, key_no). The best point has the largest top1, then the least error of calibration.
+    """
+    points = [(i, *x) for i, x in enumerate((p, f, l, t) for p in (1.0, 1.5, 2.0) for f in (0.5, 1.0) for l in (0.3, 0.6) for t in (0.1, 0.2))]
+    of = "PARTITION BY song, ordinal, point"
+    return [
+        C.values("grid_dim", "point, w_profile, w_fit, w_final, temperature", points),
+        f"g0 AS (SELECT x.song, x.ordinal, x.key_no, x.n, g.point, CAST(g.temperature AS DOUBLE) AS temperature, round(CAST(g.w_profile AS DOUBLE) * x.corr + CAST(g.w_fit AS DOUBLE) * x.fit + CAST(g.w_final AS DOUBLE) * x.fin + 0.2e0 * x.fst + 0.8e0 * x.plag, 9) AS score FROM {features} x CROSS JOIN grid_dim g)",
+        f"g1 AS (SELECT *, exp((score - max(score) OVER ({of})) / (temperature * least(2.0e0, greatest(1.0e0, n / 8.0e0)))) AS e FROM g0)",
+        f"g2 AS (SELECT song, ordinal, point, key_no, e / sum(e) OVER ({of}) AS p, row_number() OVER ({of} ORDER BY score DESC, key_no) AS rk FROM g1)",
+        f"g3 AS (SELECT g.song, g.ordinal, g.point, max(CASE WHEN g.rk = 1 THEN g.p END) AS p, max(CASE WHEN g.rk = 1 AND g.key_no = l.key_no THEN 1.0e0 ELSE 0.0e0 END) AS top1, max(CASE WHEN g.key_no = l.key_no THEN 1.0e0 ELSE 0.0e0 END) AS top2 FROM g2 g JOIN {labels} l ON l.song = g.song WHERE g.rk <= 2 GROUP BY g.song, g.ordinal, g.point)",
+        "g4 AS (SELECT point, least(floor(round(p, 9) * 10), 9) AS bin, count(*) AS n, avg(p) AS p, avg(top1) AS top1, sum(top1) AS hits, sum(top2) AS seconds FROM g3 GROUP BY point, least(floor(round(p, 9) * 10), 9))",
+        "g5 AS (SELECT point, sum(hits) / sum(n) AS top1, sum(seconds) / sum(n) AS top2, sum(n * abs(p - top1)) / sum(n) AS ece FROM g4 GROUP BY point)",
+        "grid_eval AS (SELECT d.*, round(g.top1, 9) AS top1, round(g.top2, 9) AS top2, round(g.ece, 9) AS ece, row_number() OVER (ORDER BY round(g.top1, 9) DESC, round(g.ece, 9), g.point) = 1 AS best FROM g5 g JOIN grid_dim d ON d.point = g.point)",
+    ]
+
+
 def song_keys(d: Dialect) -> list[str]:
     """song_key (song, key_no, p), section_key (song, ordinal, key_no, key_name, tonic, mode, p), over skeys of sections. Equal sections count once, repeated side by side."""
     rep = d.times("reps")

@@ -72,6 +72,16 @@ dots AS (SELECT s.chord AS seed, f.chord, CAST(sum(s.n * f.n) AS DOUBLE) AS d FR
 }
 
 
+_GRID = "SELECT point, CAST(w_profile AS DOUBLE) AS w_profile, CAST(w_fit AS DOUBLE) AS w_fit, CAST(w_final AS DOUBLE) AS w_final, CAST(temperature AS DOUBLE) AS temperature, top1, top2, ece, best FROM grid_eval"
+
+
+def key_grid_search(spark, sf):
+    """Grid points of the key score, held against the keys of the songs."""
+    _staged(spark, sf, "song")
+    _view(spark, "skeys_x", _SECTION_KEYS)
+    return spark.sql(T.query(T.key_grid("skeys_x", "song_key"), _GRID))
+
+
 def _parts(name: str, d: T.Dialect) -> tuple[list[str], str]:
     if name in SPECS:
         depth, select = SPECS[name]
@@ -119,3 +129,5 @@ def _runner(name: str):
 NAMES = (*SPECS, *_FOUND)
 QUERIES = {n: _runner(n) for n in NAMES}
 ORACLE = {n: T.query([CHORD_SQL, *_parts(n, T.DUCK)[0]], _parts(n, T.DUCK)[1]) for n in NAMES}
+QUERIES["key_grid_search"] = key_grid_search
+ORACLE["key_grid_search"] = T.query([CHORD_SQL, *_ctes(T.DUCK, "song"), *T.key_grid("skeys_x", "song_key")], _GRID)
