@@ -69,7 +69,12 @@ class Variant:
     lift: bool = True
 
 
-_LEVEL, _REQ = Window.partitionBy("req", "level"), Window.partitionBy("req")
+def _level() -> Window:
+    return Window.partitionBy("req", "level")
+
+
+def _req() -> Window:
+    return Window.partitionBy("req")
 
 
 def _amounts(rows: DataFrame, caps: set[int]) -> DataFrame:
@@ -77,8 +82,8 @@ def _amounts(rows: DataFrame, caps: set[int]) -> DataFrame:
 
     The weight of an order is the product of the longer orders' back-off shares; orders without evidence are passed over.
     """
-    share = {k: F.coalesce(F.max(F.when(F.col("order") == k, F.col("d") * F.col("distinct_next") / F.col("total"))).over(_LEVEL), F.lit(1.0)) for k in range(2, MAX_ORDER_GLOBAL + 1)}
-    all_cont = F.sum(F.when(F.col("order") == 1, F.col("cont"))).over(_LEVEL)
+    share = {k: F.coalesce(F.max(F.when(F.col("order") == k, F.col("d") * F.col("distinct_next") / F.col("total"))).over(_level()), F.lit(1.0)) for k in range(2, MAX_ORDER_GLOBAL + 1)}
+    all_cont = F.sum(F.when(F.col("order") == 1, F.col("cont"))).over(_level())
     own = F.when(F.col("order") == 1, F.when((all_cont > 0) & (F.col("cont") > 0), F.col("cont") / all_cont)).otherwise(F.greatest(F.col("cnt") - F.col("d"), F.lit(0.0)) / F.col("total"))
     out = rows.withColumns({"own": own, **{f"s{k}": x for k, x in share.items()}})
     made = {}
@@ -88,13 +93,13 @@ def _amounts(rows: DataFrame, caps: set[int]) -> DataFrame:
         for k in range(2, cap + 1):
             weight = weight * F.when((F.col("order") < k) & (F.lit(k) <= limit), F.col(f"s{k}")).otherwise(1.0)
         made[f"amount_{cap}"] = F.when(F.col("order") <= limit, weight * F.col("own"))
-        made[f"n_{cap}"] = F.coalesce(F.max(F.when(F.col("order") == F.least(F.col("depth"), limit - 1) + 1, F.col("total"))).over(_LEVEL), F.lit(0))
+        made[f"n_{cap}"] = F.coalesce(F.max(F.when(F.col("order") == F.least(F.col("depth"), limit - 1) + 1, F.col("total"))).over(_level()), F.lit(0))
     return out.withColumns(made)
 
 
 def _level_weight(cap: int, k: float) -> Column:
     """n / (n + k) at each level, times what the more specific levels leave; the last level takes the rest."""
-    levels = F.array_sort(F.collect_set(F.struct("level", F.col(f"n_{cap}").alias("n"))).over(_REQ))
+    levels = F.array_sort(F.collect_set(F.struct("level", F.col(f"n_{cap}").alias("n"))).over(_req()))
     beta = lambda level, n: F.when(level == F.col("last"), 1.0).when(n + k > 0, n / (n + F.lit(float(k)))).otherwise(0.0)
     before = F.filter(levels, lambda x: x["level"] < F.col("level"))
     left = F.aggregate(before, F.lit(1.0), lambda acc, x: acc * (1 - beta(x["level"], x["n"])))
@@ -120,7 +125,7 @@ def _normal(p: Column, by: Window) -> Column:
 
 
 def renormalized(dist: DataFrame, p: str = "p") -> DataFrame:
-    return dist.withColumn(p, _normal(F.col(p), _REQ))
+    return dist.withColumn(p, _normal(F.col(p), _req()))
 
 
 def distributions(rows: DataFrame, variants: list[Variant]) -> DataFrame:
@@ -135,7 +140,7 @@ def distributions(rows: DataFrame, variants: list[Variant]) -> DataFrame:
     mixes = sorted({(v.cap, v.k) for v in variants if v.contexts} | {(low(v), v.k) for v in lifted})
     at = {m: i for i, m in enumerate(mixes)}
     out = out.withColumns({f"w{i}": _level_weight(*m) for m, i in at.items()})
-    levels = F.size(F.collect_set("level").over(_REQ))
+    levels = F.size(F.collect_set("level").over(_req()))
     out = out.withColumns({"levels": levels})
     sums = {f"mix{i}": F.sum(F.col(f"w{i}") * F.col(f"amount_{cap}")) for (cap, _), i in at.items()}
     sums |= {f"world{c}": F.sum(F.when(F.col("level") == 3, F.col(f"amount_{c}"))) for c in {v.cap for v in variants} | {low(v) for v in lifted}}
@@ -148,13 +153,13 @@ def distributions(rows: DataFrame, variants: list[Variant]) -> DataFrame:
         elif v not in lifted:
             first[f"p{i}"] = F.col(f"mix{at[v.cap, v.k]}")
         else:
-            full, short = (_normal(F.col(f"world{c}"), _REQ) for c in (v.cap, low(v)))
+            full, short = (_normal(F.col(f"world{c}"), _req()) for c in (v.cap, low(v)))
             ratio = full * floor(F.col(f"mix{at[low(v), v.k]}")) / floor(short)
             rises = (F.col("levels") > 1) & (F.col("last") == 3) & (F.least(F.col("depth") + 1, F.lit(v.cap)) > MAX_ORDER_OTHER)
             first[f"p{i}"] = F.when(rises, ratio).otherwise(F.col(f"mix{at[v.cap, v.k]}"))
-            second[f"p{i}"] = F.when(rises, F.col(f"p{i}") / F.sum(f"p{i}").over(_REQ)).otherwise(F.col(f"p{i}"))
+            second[f"p{i}"] = F.when(rises, F.col(f"p{i}") / F.sum(f"p{i}").over(_req())).otherwise(F.col(f"p{i}"))
     out = out.withColumns(first).withColumns(second) if second else out.withColumns(first)
-    out = out.withColumns({f"p{i}": _normal(F.col(f"p{i}"), _REQ) for i in range(len(variants))})
+    out = out.withColumns({f"p{i}": _normal(F.col(f"p{i}"), _req()) for i in range(len(variants))})
     each = F.explode(F.array(*[F.struct(F.lit(v.name).alias("model"), F.col(f"p{i}").alias("p")) for i, v in enumerate(variants)])).alias("x")
     return out.select("req", "token", each).select("x.model", "req", "token", "x.p").filter("p IS NOT NULL")
 
@@ -180,7 +185,7 @@ def breakdown(dist: DataFrame, rows: DataFrame, n: int) -> DataFrame:
 
 def hard_backoff(rows: DataFrame) -> DataFrame:
     """req, token, p: relative bigram counts of the first context in the chain that has seen the last token."""
-    pairs = rows.filter("order = 2").withColumn("first", F.min("level").over(_REQ)).filter("level = first")
+    pairs = rows.filter("order = 2").withColumn("first", F.min("level").over(_req())).filter("level = first")
     return pairs.select("req", "token", (F.col("cnt") / F.col("total")).alias("p"))
 
 

@@ -143,4 +143,5 @@ def patterns(sections: DataFrame, min_support: int, min_context: int, song_cap:
     grid = found.select("pattern", "support").join(totals.filter((F.col("context") != "global") & (F.col("windows") >= min_context)))
     grid = grid.join(F.broadcast(everywhere))  # one row
     lift = (F.coalesce("n", F.lit(0)) / F.col("windows")) / (F.col("support") / F.col("all_windows"))
-    return found.join(songs, "pattern"), grid.join(by_context, ["context", "pattern"], "left").select("pattern", "context", lift.alias("lift"))
+    found = found.join(songs, "pattern").select("pattern", "length", "support", "song_count", "rotations")
+    return found, grid.join(by_context, ["context", "pattern"], "left").select("pattern", "context", lift.alias("lift"))
