@@ -104,6 +104,13 @@ def test_paths_against_all_walks(spark):
             assert got[s, d, i + 1] == (path, cost)
 
 
+def test_paths_that_never_step_down(spark):
+    e = spark.createDataFrame([("TRANSITIONS_TO", "a", "b", 0.9), ("TRANSITIONS_TO", "b", "d", 0.9), ("TRANSITIONS_TO", "a", "c", 0.2), ("TRANSITIONS_TO", "c", "d", 0.2), ("OTHER", "a", "d", 0.5)], "type string, src string, dst string, prob double")
+    pairs, level = spark.createDataFrame([("a", "d")], "src string, dst string"), spark.createDataFrame([("a", 1), ("b", 0), ("c", 2), ("d", 3)], "id string, level int")
+    assert [r["path"] for r in G.k_best_paths(e, pairs, 3, 4).orderBy("rank").collect()] == ["a b d", "a d", "a c d"]
+    assert [r["path"] for r in G.k_best_paths(e, pairs, 3, 4, level).orderBy("rank").collect()] == ["a d", "a c d"]
+
+
 def test_graph_filter_and_merge(spark):
     nodes = spark.createDataFrame([("a",), ("b",)], "id string")
     e = spark.createDataFrame([("T", "a", "b", 0.5), ("T", "a", "c", 0.9), ("T", "b", "a", None)], "type string, src string, dst string, prob double")
