@@ -13,6 +13,7 @@ from .line_dedup import dedup_lines
 from .lm_score import score_documents
 from .mixing import mix
 from .nbsvm import score, train
+from .prefix_hash import as_text, fingerprint_documents
 from .quality_rules import judged
 from .secrets import joined, scan_secrets
 from .simhash import near_duplicates
@@ -65,6 +66,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint_documents(load(spark, sf_dir, "documents"))
+    return found.withColumns({c: as_text(c) for c in ("fingerprint", "edited_fingerprint")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_neardup": op2_simhash_neardup,
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_fingerprints": op11_fingerprints,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"

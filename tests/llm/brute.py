@@ -147,3 +147,26 @@ def rules(docs):
                 m |= {i, i + 1, i + 2}
         out.append((d["doc_id"], len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(ls) - len(set(ls)), len(m), len(w) < 50 or 100 * len(m) > 50 * len(w)))
     return out
+
+
+def edited(docs):
+    """doc_id, code points, hash of the edited text, common prefixes, and the true likeness of span sets with the edited and the next text."""
+    def spans(t, k=8):
+        return {t[i : i + k] for i in range(len(t) - k + 1)} if len(t) >= k else {t} if t else set()
+
+    def like(a, b):
+        x, y = spans(a), spans(b)
+        return 1.0 if a == b else len(x & y) / max(1, len(x | y))
+
+    def same(a, b):
+        return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+    def body(t):
+        h = xxhash.xxh64_intdigest(t.encode(), 42)
+        return h - (1 << 64) if h >> 63 else h
+
+    rows = sorted(((d["doc_id"], d["text"] or "") for d in docs), key=lambda r: (r[0] is not None, r[0] or 0, body(r[1])))
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        m = len(t) // 4
+        e = t[: len(t) - m] + after[:m]
+        yield i, len(t), sha(e), same(t, e), same(t, after), like(t, e), like(t, after)
