@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load
+from .conversation_repair import repair_conversations
 from .decontaminate import decontaminate
 from .line_dedup import dedup_lines
 from .lm_score import score_documents
@@ -71,6 +72,10 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: as_text(c) for c in ("fingerprint", "edited_fingerprint")})
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(load(spark, sf_dir, "conversations")).drop("n_repaired")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_neardup": op2_simhash_neardup,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_fingerprints": op11_fingerprints,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -114,6 +120,35 @@ q AS (SELECT *, CASE WHEN spread > 1e-9 THEN greatest(1, mean * (1 - mean) / spr
 v AS (SELECT source, mean, greatest(0.5, mean + sqrt(mean * (1 - mean) / (weight + 1))) AS bar, (bad + mean * weight) / (n + weight) AS rate, 2 * sqrt((bad + mean * weight) / (n + weight) * (1 - (bad + mean * weight) / (n + weight)) / (n + weight + 1)) AS off FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (rate - off > bar) AND NOT (soft AND NOT (rate + off < mean)) AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE crc AS (SELECT [list_reduce([CAST(x AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END) FOR x IN range(256)] AS tab),
+src AS (SELECT row_number() OVER () AS r, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+keyed AS (SELECT src.*, xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ord(x) AS BIGINT) FOR x IN string_split(k, '')]), lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)]))) % 20 AS fate FROM src, crc),
+hurt AS (SELECT r, conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM keyed WHERE fate <> 0),
+told AS (SELECT *, row_number() OVER w AS pos, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, r, copy) > 1 AS again, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, lag(role[1]) OVER w || role[1] AS pair
+  FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, r, copy)),
+seen AS (SELECT *, body = '' AS blank, body <> '' AND again AS duplicate, body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS truncated, body <> '' AND right(body, 1) NOT IN ('.', '!', '?') AS late FROM told),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated,
+  count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM seen GROUP BY conv_id),
+-- z: nothing yet, s, u, a: the cheapest edits so far to each state, as cost, audit and repaired rows
+paths AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, {'c': CAST(0 AS BIGINT), 'e': '', 'o': ''} AS z, {'c': CAST(1000000000 AS BIGINT), 'e': '', 'o': ''} AS s, {'c': CAST(2 AS BIGINT), 'e': 'I', 'o': chr(10) || 'user:'} AS u, {'c': CAST(4 AS BIGINT), 'e': 'II', 'o': chr(10) || 'user:' || chr(10) || 'assistant:'} AS a FROM stats
+  UNION ALL
+  SELECT conv_id, pos, z, s, least(u, {'c': a.c + 2, 'e': a.e || 'I', 'o': a.o || chr(10) || 'user:'}), a FROM (
+  SELECT conv_id, pos, z, s, u, least(a, {'c': u.c + 2, 'e': u.e || 'I', 'o': u.o || chr(10) || 'assistant:'}) AS a FROM (
+  SELECT conv_id, pos, z, s, least(u, {'c': z.c + 2, 'e': z.e || 'I', 'o': z.o || chr(10) || 'user:'}, {'c': s.c + 2, 'e': s.e || 'I', 'o': s.o || chr(10) || 'user:'}) AS u, a FROM (
+  SELECT p.conv_id, t.pos, {'c': z.c + 3, 'e': z.e || 'D', 'o': z.o} AS z,
+    least({'c': s.c + 3, 'e': s.e || 'D', 'o': s.o}, {'c': z.c + x.ks, 'e': z.e || 'K', 'o': z.o || x.kept}) AS s,
+    least({'c': u.c + 3, 'e': u.e || 'D', 'o': u.o}, {'c': z.c + x.ku, 'e': z.e || 'K', 'o': z.o || x.kept}, {'c': s.c + x.ku, 'e': s.e || 'K', 'o': s.o || x.kept}, {'c': a.c + x.ku, 'e': a.e || 'K', 'o': a.o || x.kept},
+      {'c': z.c + x.rr, 'e': z.e || 'R', 'o': z.o || x.ruser}, {'c': s.c + x.rr, 'e': s.e || 'R', 'o': s.o || x.ruser}, {'c': a.c + x.rr, 'e': a.e || 'R', 'o': a.o || x.ruser}) AS u,
+    least({'c': a.c + 3, 'e': a.e || 'D', 'o': a.o}, {'c': u.c + x.ka, 'e': u.e || 'K', 'o': u.o || x.kept}, {'c': u.c + x.rr, 'e': u.e || 'R', 'o': u.o || x.rasst}) AS a
+  FROM paths p JOIN (SELECT conv_id, pos, {'kept': chr(10) || role || ':' || text, 'ruser': chr(10) || 'user:' || text, 'rasst': chr(10) || 'assistant:' || text,
+      'ks': CASE WHEN blank OR duplicate OR role[1] <> 's' THEN 1000000000 WHEN late THEN 1 ELSE 0 END, 'ku': CASE WHEN blank OR duplicate OR role[1] <> 'u' THEN 1000000000 WHEN late THEN 1 ELSE 0 END,
+      'ka': CASE WHEN blank OR duplicate OR role[1] <> 'a' THEN 1000000000 WHEN late THEN 1 ELSE 0 END, 'rr': CASE WHEN blank OR duplicate THEN 1000000000 WHEN late THEN 3 ELSE 2 END} AS x FROM seen) t
+    ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.pos = p.pos + 1)))),
+best AS (SELECT stats.*, least(z, a) AS b FROM paths JOIN stats ON paths.conv_id IS NOT DISTINCT FROM stats.conv_id AND pos = n)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost, coalesce(b.e, '') AS audit, sha256(coalesce(b.o[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN best ON i.conv_id IS NOT DISTINCT FROM best.conv_id""",
     "op6_line_dedup": r"""
 WITH rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS idx FROM rows),

@@ -170,3 +170,50 @@ def edited(docs):
         m = len(t) // 4
         e = t[: len(t) - m] + after[:m]
         yield i, len(t), sha(e), same(t, e), same(t, after), like(t, e), like(t, after)
+
+
+def repairs(rows):
+    """op12's columns for rows (conv_id, turn, role, text): the least of all cheapest strings, carried from row to row."""
+    convs = {}
+    for conv, turn, role, text in rows:
+        got = convs.setdefault(conv, [])
+        role, text = " " if role is None else role, " " if text is None else text
+        fate = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        text = "" if fate == 1 else re.sub("[.!?]", "", text) if fate == 2 else text
+        got += [(turn, "user" if fate == 4 else role, text)] * (0 if fate == 0 else 2 if fate == 3 else 1)
+    for conv, got in convs.items():
+        got.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+        seen, kinds = set(), []
+        for _, role, text in got:
+            body = text.rstrip(" \t\n\x0b\x0c\r")
+            kinds.append("blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else "")
+            seen.add((role, text))
+        turns = [t for t, _, _ in got if t is not None]
+        pairs = [a[1][:1] + b[1][:1] for a, b in zip(got, got[1:], strict=False)]
+        best = {"": (0, "", [])}  # by initials so far, shortened to what decides what may follow
+
+        def add(out, state, cost, edits, lines):
+            if state not in out or (cost, edits) < out[state][:2]:
+                out[state] = (cost, edits, lines)
+
+        def inserts(out):
+            for _ in range(3):
+                for state, (cost, edits, lines) in list(out.items()):
+                    name = "assistant" if state == "u" else "user"
+                    add(out, name[0], cost + 2, edits + "I", [*lines, name + ":"])
+            return out
+
+        inserts(best)
+        for (_, role, text), kind in zip(got, kinds, strict=True):
+            after = {}
+            for state, (cost, edits, lines) in best.items():
+                add(after, state, cost + 3, edits + "D", lines)
+                if kind in ("blank", "duplicate"):
+                    continue
+                late, name = int(kind == "truncated"), "assistant" if state == "u" else "user"
+                add(after, name[0], cost + 2 + late, edits + "R", [*lines, f"{name}:{text}"])
+                if role[:1] == name[0] or (role[:1] == "s" and not state):
+                    add(after, role[0], cost + late, edits + "K", [*lines, f"{role}:{text}"])
+            best = inserts(after)
+        cost, edits, lines = min((best[s] for s in ("", "a") if s in best), key=lambda x: x[:2])
+        yield conv, max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, kinds.count("blank"), kinds.count("duplicate"), kinds.count("truncated"), sum(p not in ("su", "ua", "au") for p in pairs), cost, edits, sha("\n".join(lines))
