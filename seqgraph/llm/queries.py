@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import load
 from .conversation_repair import repair_conversations
 from .decontaminate import decontaminate
+from .hard_negatives import hard_negatives
 from .line_dedup import dedup_lines
 from .lm_score import score_documents
 from .mixing import mix
@@ -76,6 +77,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(load(spark, sf_dir, "conversations")).drop("n_repaired")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(load(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_neardup": op2_simhash_neardup,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_fingerprints": op11_fingerprints,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -149,6 +155,13 @@ paths AS (
 best AS (SELECT stats.*, least(z, a) AS b FROM paths JOIN stats ON paths.conv_id IS NOT DISTINCT FROM stats.conv_id AND pos = n)
 SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost, coalesce(b.e, '') AS audit, sha256(coalesce(b.o[2:], '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN best ON i.conv_id IS NOT DISTINCT FROM best.conv_id""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([y FOR y IN embedding IF y IS NULL OR NOT isfinite(y)]) = 0),
+s AS (SELECT a.r AS ar, a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_sum([z[1] * z[2] FOR z IN list_zip(a.x, b.x)]) AS BIGINT) AS s FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT ar, a, b, s, row_number() OVER (PARTITION BY ar ORDER BY s DESC, b NULLS LAST) AS k FROM s WHERE same QUALIFY k <= 5),
+n AS (SELECT p.ar, p.a, p.b, p.s, s.b AS neg, s.s AS ns, row_number() OVER (PARTITION BY p.ar, p.k ORDER BY s.s DESC, s.b NULLS LAST) AS rank FROM p JOIN s ON p.ar = s.ar AND NOT s.same AND 80 * p.s <= 100 * s.s AND 100 * s.s <= 100 * p.s QUALIFY rank <= 5)
+SELECT a AS anchor_id, b AS positive_id, CAST(rank AS INTEGER) AS rank, neg AS negative_id, s AS positive_score, ns AS negative_score FROM n""",
     "op6_line_dedup": r"""
 WITH rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS idx FROM rows),
