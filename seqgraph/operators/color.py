@@ -46,6 +46,12 @@ CURATED = [
     ("M:iv M:bVII7 M:I", 0.8, {"nostalgia": 0.6, "cinematic": 0.55}),
 ]
 AXES = ("chromaticity", "brightness", "tension", "stability", "smoothness", "complexity", "resolution", "finality")
+#: The axes measured with a sequence model.
+MEASURED = ("chromaticity", "brightness", "tension", "stability", "surprise", "smoothness", "complexity", "resolution", "finality")
+# The least probability that surprise is taken of, and the shares of the cadence and of the model in resolution.
+SURPRISE_FLOOR, CADENCE_SHARE, MODEL_SHARE = 1e-06, 0.7, 0.3
+# Bases of numerals that are tonic.
+TONIC_BASES = ("I", "i", "vi", "VI", "iii", "III")
 _MIDI = C.values("midi", "n", [(n,) for n in range(BASS[0], UPPER[1] + 1)])
 _KIND = ("quality", "root_pc", "bass_pc")
 _NOTES = ("b", "u0", "u1", "u2")
@@ -152,12 +158,13 @@ def color_axes() -> list[str]:
   {_d(0.6)} * greatest({_d(-1.0)}, least({_d(1.0)}, l.lof / 7)) + {_d(0.4)} * CASE WHEN c.qclass IN ('maj', 'maj7', 'dom7', 'aug') THEN 1 WHEN c.qclass IN ('sus', 'power') THEN 0 ELSE -1 END AS brightness,
   CASE c.func WHEN 'D' THEN {_d(1.0)} WHEN 'PD' THEN {_d(0.5)} WHEN 'T' THEN {_d(0.0)} ELSE {_d(0.25)} END AS drive, CASE c.func WHEN 'T' THEN {_d(1.0)} WHEN 'PD' THEN {_d(0.5)} WHEN 'D' THEN {_d(0.0)} ELSE {_d(0.25)} END AS rest,
   CASE WHEN c.idx > 0 THEN 1 - least({_d(1.0)}, CAST(m.total AS DOUBLE) / {FULL_MOTION}) END AS smoothness,
-  CASE WHEN c.idx = 0 THEN NULL WHEN c.pbase IN ('V', 'vii') AND c.base IN ('I', 'i') THEN {_d(0.95)} WHEN c.pbase = 'IV' AND c.base IN ('I', 'i') THEN {_d(0.75)} WHEN c.pbase = 'V' AND c.base IN ('vi', 'VI', 'bVI') THEN {_d(0.45)} WHEN c.base = 'V' AND c.pbase NOT IN ('V', 'vii') THEN {_d(0.3)} ELSE {_d(0.0)} END AS resolution
+  CASE WHEN c.idx = 0 THEN NULL WHEN c.pbase IN ('V', 'vii') AND c.base IN ('I', 'i') THEN {_d(0.95)} WHEN c.pbase = 'IV' AND c.base IN ('I', 'i') THEN {_d(0.75)} WHEN c.pbase = 'V' AND c.base IN ('vi', 'VI', 'bVI') THEN {_d(0.45)} WHEN c.base = 'V' AND c.pbase NOT IN ('V', 'vii') THEN {_d(0.3)} ELSE {_d(0.0)} END AS resolution,
+  CASE WHEN c.degree = 1 AND c.acc = '' AND c.applied_to IS NULL AND c.inversion = 'root' THEN 1 ELSE 0 END AS arrival
   FROM c1 c JOIN clof l ON l.key_name = c.key_name AND l.quality = c.quality AND l.root_pc = c.root_pc JOIN ext_dim e ON e.quality = c.quality
   LEFT JOIN vlead m ON {' AND '.join(f'm.f_{k} = c.p_{k} AND m.t_{k} = c.{k}' for k in _KIND)})""",
         f"""color AS (SELECT song, ordinal, idx, token, chromaticity, brightness, {_d(0.4)} * rough + {_d(0.3)} * drive + {_d(0.2)} * out_share + CASE inversion WHEN 'second' THEN {_d(0.1)} ELSE {_d(0.0)} END AS tension,
   (rest + CASE inversion WHEN 'root' THEN 1 ELSE 0 END + (1 - out_share) + (1 - rough)) / {_d(4.0)} AS stability, smoothness, greatest({_d(0.0)}, least({_d(1.0)}, (nt - 3) / {_d(4.0)} + {_d(0.15)} * n_ext)) AS complexity, resolution,
-  resolution * CASE WHEN degree = 1 AND acc = '' AND applied_to IS NULL AND inversion = 'root' THEN 1 ELSE 0 END AS finality,
+  arrival, resolution * arrival AS finality,
   CASE kind WHEN 'modal_mixture' THEN 1 ELSE 0 END AS borrowed, CASE WHEN kind IN ('chromatic_mediant', 'other') THEN 1 ELSE 0 END AS chromatic, CASE WHEN n_ext > 0 THEN 1 ELSE 0 END AS extended,
   idx = max(idx) OVER (PARTITION BY song, ordinal) AS final FROM c2)""",
     ]
@@ -166,18 +173,32 @@ def color_axes() -> list[str]:
 QUALITY_EXT = C.values("quality_ext", "quality, n_ext", [(q, len(C.quality_class(t)[1])) for q, t in C.QUALITIES.items()])
 
 
-def color_norms(d: Dialect, rows: str = "color") -> list[str]:
+def tonic(token: str = "token") -> str:
+    """Is a token's numeral tonic?"""
+    return f"regexp_extract(substr({token}, 3), '^[b#]*[ivIV]+', 0) IN ({', '.join(repr(x) for x in TONIC_BASES)})"
+
+
+def expected_axes() -> list[str]:
+    """color9: color with surprise, and resolution and finality as the model sees them; over color and told (song, ordinal, idx, p_token, p_class: that a tonic comes next)."""
+    resolution = f"{_d(CADENCE_SHARE)} * c.resolution + {_d(MODEL_SHARE)} * greatest({_d(0.0)}, least({_d(1.0)}, t.p_class))"
+    kept = ", ".join(f"c.{a}" for a in MEASURED if a not in ("surprise", "resolution", "finality"))
+    return [f"color9 AS (SELECT c.song, c.ordinal, c.idx, c.token, {kept}, -log2(greatest(t.p_token, {_d(SURPRISE_FLOOR)})) AS surprise, {resolution} AS resolution, ({resolution}) * c.arrival AS finality FROM color c JOIN told t ON t.song = c.song AND t.ordinal = c.ordinal AND t.idx = c.idx)"]
+
+
+def color_norms(d: Dialect, rows: str = "color9", axes: tuple[str, ...] = MEASURED) -> list[str]:
     """norms: axis, subject_type (chord where nothing comes before, else transition), count, percentiles, mean, std."""
-    each = " UNION ALL ".join(f"SELECT '{a}' AS axis, CASE WHEN idx = 0 THEN 'chord' ELSE 'transition' END AS subject_type, {a} AS v FROM {rows} WHERE {a} IS NOT NULL" for a in AXES)
     q = ", ".join(f"{d.quantile('v', p)} AS p{round(100 * p):02d}" for p in (0.05, 0.25, 0.5, 0.75, 0.95))
-    return [f"axis_rows AS ({each})", f"norms AS (SELECT axis, subject_type, count(*) AS count, {q}, avg(v) AS mean, coalesce(stddev_samp(v), 0) AS std FROM axis_rows GROUP BY axis, subject_type)"]
+    return [
+        f"axis_each AS (SELECT CASE WHEN idx = 0 THEN 'chord' ELSE 'transition' END AS subject_type, {d.unpivoted({a: a for a in axes})} AS x FROM {rows})",
+        f"norms AS (SELECT axis, subject_type, count(*) AS count, {q}, avg(v) AS mean, coalesce(stddev_samp(v), 0) AS std FROM (SELECT subject_type, x.axis AS axis, x.v AS v FROM axis_each) y WHERE v IS NOT NULL GROUP BY axis, subject_type)",
+    ]
 
 
 def normalized(raw: str, norm: str = "n") -> str:
     return f"CASE WHEN {norm}.p95 - {norm}.p05 <= 0 THEN {_d(0.5)} ELSE greatest({_d(0.0)}, least({_d(1.0)}, ({raw} - {norm}.p05) / ({norm}.p95 - {norm}.p05))) END"
 
 
-def color_arc(rows: str = "color", facts: str = "facts") -> list[str]:
+def color_arc(d: Dialect, rows: str = "color", facts: str = "facts") -> list[str]:
     """arc: song, ordinal, idx, axis, value, confidence, source: the perceived axes of each section up to every position. A curated run of
     tokens that has occurred is blended with what the features give; of several, the surest."""
     of = "PARTITION BY song, ordinal ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
@@ -194,8 +215,9 @@ def color_arc(rows: str = "color", facts: str = "facts") -> list[str]:
         f"""feat AS (SELECT c.song, c.ordinal, c.idx, {mean('c.chromaticity')} AS mean_chromaticity, {mean(f'(c.brightness + 1) / 2')} AS mean_brightness01, {mean('c.tension')} AS mean_tension, {mean('c.stability')} AS mean_stability,
   {mean('c.smoothness', '0.5e0')} AS mean_smoothness, {mean('c.complexity')} AS mean_complexity, {mean('c.resolution')} AS mean_resolution, coalesce(max(c.finality) OVER ({of}), {_d(0.0)}) AS max_finality,
   max(c.borrowed) OVER ({of}) AS any_borrowed, max(c.chromatic) OVER ({of}) AS any_chromatic, max(c.extended) OVER ({of}) AS has_extension, max(coalesce(f.modal, 0)) OVER ({of}) AS has_modal_cadence, max(coalesce(f.deceptive, 0)) OVER ({of}) AS has_deceptive
-  FROM {rows} c LEFT JOIN fx f USING (song, ordinal, idx))""".replace(f"OVER ({of})", f"OVER ({of})"),
-        "felt AS (" + " UNION ALL ".join(f"SELECT song, ordinal, idx, '{a}' AS axis, {value(a)} AS derived FROM feat" for a in axes) + ")",
+  FROM {rows} c LEFT JOIN fx f USING (song, ordinal, idx))""",
+        f"felt0 AS (SELECT song, ordinal, idx, {d.unpivoted({a: value(a) for a in axes})} AS x FROM feat)",
+        "felt AS (SELECT song, ordinal, idx, x.axis AS axis, x.v AS derived FROM felt0)",
         f"trip AS (SELECT song, ordinal, idx, token AS a, lead(token) OVER ({w}) AS b, lead(token, 2) OVER ({w}) AS c FROM {rows})",
         "met AS (SELECT t.song, t.ordinal, t.idx + CASE WHEN r.t2 IS NULL THEN 1 ELSE 2 END AS idx, r.run FROM trip t JOIN run_dim r ON r.t0 = t.a AND r.t1 = t.b AND (r.t2 IS NULL OR r.t2 = t.c))",
         # sureness in hundredths, then the first of the runs, in one number
@@ -220,10 +242,13 @@ def color_summary(rows: str = "color") -> str:
 REALIZED = [("", True, "maj"), ("", False, "min"), ("7", True, "7"), ("7", False, "min7"), ("maj7", True, "maj7"), ("maj7", False, "minmaj7"), *[(s, up, q) for s, q in (("o", "dim"), ("o7", "dim7"), ("h7", "min7b5"), ("+", "aug"), ("sus2", "sus2"), ("sus4", "sus4"), ("5", "no3")) for up in (True, False)]]
 REALIZED_DIM = C.values("realized_dim", "suffix, upper_case, quality", REALIZED)
 REFERENCE_DIM = C.values("reference_dim", "mode, key_name, tonic", [("major", "C major", 0), ("minor", "A minor", 9)])
+#: Letters from C on: pitch class and place on the line of fifths; and each pitch class with at most one accidental, a sharp rather than a flat.
+LETTER_DIM = C.values("letter_dim", "step, pc, lof", [(i, C.NATURALS[x], C.FIFTHS[x]) for i, x in enumerate("CDEFGAB")])
+PLAIN_DIM = C.values("plain_dim", "pc, lof", [(pc, next(C.FIFTHS[x] + 7 * (pc != p) for x, p in C.NATURALS.items() if p in (pc, pc - 1))) for pc in range(12)])
 
 
 def realized(tokens: str) -> list[str]:
-    """token_dim: mode, token, iv (root above the tonic), quality, root_pc, mask in the reference key. tokens: a relation (mode, token); what can't be realized is absent."""
+    """token_dim: mode, token, iv (root above the tonic), quality, root_pc, mask and lof (the root's place on the line of fifths, spelled with the letter of its degree) in the reference key. tokens: a relation (mode, token); what can't be realized is absent."""
     return [
         f"tk AS (SELECT DISTINCT mode, token, substr(token, 3) AS body FROM {tokens})",
         "tp AS (SELECT mode, token, CASE WHEN instr(body, '/') > 0 THEN substr(body, 1, instr(body, '/') - 1) ELSE body END AS own, CASE WHEN instr(body, '/') > 0 THEN substr(body, instr(body, '/') + 1) END AS aim FROM tk)",
@@ -231,10 +256,12 @@ def realized(tokens: str) -> list[str]:
   CASE WHEN aim IS NULL THEN regexp_extract(own, '^([b#]?)([IViv]+)(.*)$', 3) WHEN substr(own, 1, 4) = 'subV' THEN substr(own, 5) WHEN substr(own, 1, 3) = 'vii' THEN substr(own, 4) ELSE substr(own, 2) END AS suffix,
   CASE WHEN aim IS NULL THEN regexp_extract(own, '^([b#]?)([IViv]+)', 2) = upper(regexp_extract(own, '^([b#]?)([IViv]+)', 2)) ELSE substr(own, 1, 3) <> 'vii' END AS upper_case FROM tp)""",
         "tn AS (SELECT mode, token, up, suffix, upper_case, regexp_extract(num, '^([b#]?)([IViv]+)', 1) AS acc, upper(regexp_extract(num, '^([b#]?)([IViv]+)', 2)) AS numeral FROM ta)",
-        "dg AS (SELECT mode, acc, numeral, min(iv) AS iv FROM degree_dim GROUP BY mode, acc, numeral)",
-        REALIZED_DIM, REFERENCE_DIM,
-        f"""token_dim AS (SELECT t.mode, t.token, (d.iv + t.up) % 12 AS iv, r.quality, (d.iv + t.up + k.tonic) % 12 AS root_pc, {rotated('q.rel_mask', '(d.iv + t.up + k.tonic) % 12')} AS mask
-  FROM tn t JOIN dg d ON d.mode = t.mode AND d.acc = t.acc AND d.numeral = t.numeral JOIN realized_dim r ON r.suffix = t.suffix AND r.upper_case = t.upper_case JOIN reference_dim k ON k.mode = t.mode JOIN quality_dim q ON q.quality = r.quality)""",
+        "dg AS (SELECT mode, acc, numeral, min(iv) AS iv, min(degree) AS degree FROM degree_dim GROUP BY mode, acc, numeral)",
+        REALIZED_DIM, REFERENCE_DIM, LETTER_DIM, PLAIN_DIM,
+        f"""token_dim AS (SELECT t.mode, t.token, (d.iv + t.up) % 12 AS iv, r.quality, (d.iv + t.up + k.tonic) % 12 AS root_pc, {rotated('q.rel_mask', '(d.iv + t.up + k.tonic) % 12')} AS mask,
+  CASE WHEN abs((d.iv + t.up + k.tonic - l.pc + 30) % 12 - 6) <= 1 THEN l.lof + 7 * ((d.iv + t.up + k.tonic - l.pc + 30) % 12 - 6) ELSE n.lof END AS lof
+  FROM tn t JOIN dg d ON d.mode = t.mode AND d.acc = t.acc AND d.numeral = t.numeral JOIN realized_dim r ON r.suffix = t.suffix AND r.upper_case = t.upper_case JOIN reference_dim k ON k.mode = t.mode JOIN quality_dim q ON q.quality = r.quality
+  JOIN letter_dim l ON l.step = (CASE t.mode WHEN 'major' THEN 0 ELSE 5 END + d.degree - 1 + CASE t.up WHEN 7 THEN 4 WHEN 11 THEN 6 ELSE t.up END) % 7 JOIN plain_dim n ON n.pc = (d.iv + t.up + k.tonic) % 12)""",
     ]
 
 

@@ -26,12 +26,16 @@ def assign_split(song: Column) -> Column:
     return F.when(bucket == 0, "test").when(bucket == 1, "dev").otherwise("train")
 
 
+def request_key(hist: str) -> Column:
+    """What a row with genre and section asks, as one string."""
+    return F.concat_ws("|", F.array_join(hist, " "), F.coalesce("genre", F.lit("")), F.coalesce("section", F.lit("")))
+
+
 def held_positions(positions: DataFrame, depth: int = 4) -> DataFrame:
     """Every position after the first of its section: place, req (what it asks: hist, genre and section), hist (depth tokens at most), genre, section, actual, bucket."""
     back = Window.partitionBy("song", "ordinal").orderBy("pos").rowsBetween(-depth, -1)
     p = positions.withColumn("hist", F.collect_list("token").over(back)).filter("pos >= 1")
-    req = F.concat_ws("|", F.array_join("hist", " "), F.coalesce("genre", F.lit("")), F.coalesce("section", F.lit("")))
-    return p.select(F.concat_ws(":", "song", "ordinal", "pos").alias("place"), req.alias("req"), "hist", "genre", "section", F.col("token").alias("actual"), F.least("pos", F.lit(4)).alias("bucket"))
+    return p.select(F.concat_ws(":", "song", "ordinal", "pos").alias("place"), request_key("hist").alias("req"), "hist", "genre", "section", F.col("token").alias("actual"), F.least("pos", F.lit(4)).alias("bucket"))
 
 
 def sample_positions(held: DataFrame, n: int, seed: int = 7) -> DataFrame:

@@ -31,6 +31,12 @@ class Dialect:
         """Linear interpolation between the values around the quantile."""
         return f"percentile({expr}, {q})" if self.name == "spark" else f"quantile_cont({expr}, {q})"
 
+    def unpivoted(self, values: dict[str, str]) -> str:
+        """A row for each value, as a struct of axis and v."""
+        if self.name == "spark":
+            return "explode(array(" + ", ".join(f"named_struct('axis', '{a}', 'v', CAST({v} AS DOUBLE))" for a, v in values.items()) + "))"
+        return "unnest([" + ", ".join(f"{{'axis': '{a}', 'v': CAST({v} AS DOUBLE)}}" for a, v in values.items()) + "])"
+
     def times(self, n: str) -> str:
         return f"explode(sequence(1, CAST({n} AS INT)))" if self.name == "spark" else f"unnest(range(1, {n} + 1))"
 

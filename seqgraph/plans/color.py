@@ -4,31 +4,36 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 from ..functions import chords as C
 from ..operators import color as K
+from ..operators import likelihood as L
 from ..operators import theory as T
-from ..sources.fixtures import CHORD_SQL
+from ..sources.fixtures import CHORD_SQL, CONTEXT_SQL, isolated, materialize
 from .harmony import _ctes, _staged, _view
+from .prediction import CHAIN_SQL, STATS_SQL
+from .sequences import KEPT_SQL, MIN_CONTEXT, NGRAM_SQL, PRUNE, sql
 
 _ABST = [
     "ab AS (SELECT canon AS from_chord, lead(canon) OVER (PARTITION BY song, ordinal ORDER BY pos) AS to_chord FROM ch)",
     "abst AS (SELECT from_chord, to_chord, count(*) AS count FROM ab WHERE to_chord IS NOT NULL GROUP BY from_chord, to_chord HAVING count(*) >= 3)",
 ]
-_AXES = ", ".join(f"round({a}, 9) + 0e0 AS {a}" for a in K.AXES)
-_LAST = "SELECT a.song, a.ordinal, a.axis, round(a.value, 9) AS value, round(a.confidence, 9) + 0e0 AS confidence, a.source FROM arc a JOIN color c ON c.song = a.song AND c.ordinal = a.ordinal AND c.idx = a.idx WHERE c.final"
+_AXES = ", ".join(f"round({a}, 9) + 0e0 AS {a}" for a in K.MEASURED)
+_LAST = "arc_end AS (SELECT a.song, a.ordinal, a.axis, round(a.value, 9) AS value, round(a.confidence, 9) + 0e0 AS confidence, a.source FROM arc a JOIN color c ON c.song = a.song AND c.ordinal = a.ordinal AND c.idx = a.idx WHERE c.final)"
 SELECTS = {
     "voice_leading_edges": K.LEADING,
     "token_dim": "SELECT mode, token, iv AS interval_above_tonic, quality, root_pc, mask FROM token_dim",
-    "color_axes": f"SELECT song, ordinal, idx, token, {_AXES} FROM color",
+    "color_axes": f"SELECT song, ordinal, idx, token, {_AXES} FROM color9",
     "color_norms": "SELECT axis, subject_type, count, " + ", ".join(f"round({x}, 9) + 0e0 AS {x}" for x in ("p05", "p25", "p50", "p75", "p95", "mean", "std")) + " FROM norms",
-    "normalize_axes": "SELECT c.song, c.ordinal, c.idx, " + ", ".join(f"round(max(CASE WHEN n.axis = '{a}' AND c.{a} IS NOT NULL THEN {K.normalized(f'c.{a}')} END), 9) + 0e0 AS {a}" for a in K.AXES) + " FROM color c JOIN norms n ON n.subject_type = CASE WHEN c.idx = 0 THEN 'chord' ELSE 'transition' END GROUP BY c.song, c.ordinal, c.idx",
-    "perceptual_axes": _LAST,
+    "normalize_axes": "SELECT c.song, c.ordinal, c.idx, " + ", ".join(f"round(max(CASE WHEN n.axis = '{a}' AND c.{a} IS NOT NULL THEN {K.normalized(f'c.{a}')} END), 9) + 0e0 AS {a}" for a in K.MEASURED) + " FROM color9 c JOIN norms n ON n.subject_type = CASE WHEN c.idx = 0 THEN 'chord' ELSE 'transition' END GROUP BY c.song, c.ordinal, c.idx",
+    "perceptual_axes": "SELECT * FROM arc_end",
     "color_arc": "SELECT song, ordinal, idx, axis, round(value, 9) AS value, round(confidence, 9) + 0e0 AS confidence, source FROM arc",
     "color_summary": K.color_summary(),
-    "color_compare": "SELECT a.song, a.ordinal, a.axis, round(b.value - a.value, 9) + 0e0 AS delta FROM (" + _LAST + ") a JOIN (" + _LAST + ") b ON b.song = a.song AND b.ordinal = a.ordinal + 1 AND b.axis = a.axis",
+    "color_compare": "SELECT a.song, a.ordinal, a.axis, round(b.value - a.value, 9) + 0e0 AS delta FROM arc_end a JOIN arc_end b ON b.song = a.song AND b.ordinal = a.ordinal + 1 AND b.axis = a.axis",
     "color_profiles": "SELECT s.subject_type, s.subject_id, s.support, " + ", ".join(f"round(c.{a}, 9) + 0e0 AS {a}" for a in K.AXES) + " FROM subj s JOIN p_color c ON c.song = s.subject_type || ' ' || s.subject_id WHERE c.final",
 }
-_NEED = {"color_norms": "norms", "normalize_axes": "norms", "perceptual_axes": "arc", "color_arc": "arc", "color_compare": "arc"}
+_NEED = {"color_axes": "color9", "color_norms": "norms", "normalize_axes": "norms", "perceptual_axes": "arc", "color_arc": "arc", "color_compare": "arc"}
 _OWN = ("ch", "section_key", "r0", "r1", "r2", "r3", "roman", "cseq", "vpairs", "vbest", "vlead", "c1", "clof", "c2", "color", "vk", "vup", "vtri", "vall", "vset", "vrank", "vclose", "vroot", "vboth", "vone", "vopt")
 
 
@@ -45,6 +50,46 @@ def _profile_steps() -> list[str]:
     return _renamed(["ch AS (SELECT * FROM pch)", "section_key AS (SELECT * FROM pkeys)", *mine, *voices, *K.successive(), *K.motions(), *color])
 
 
+def likelihood_sql(asked: str = "asked", classes: str = "kinds") -> list[str]:
+    """likely: req, token, p for the relation asked (req, token), over ngrams, stats, chain and classes (token, class); what is not there is 0."""
+    steps = "unnest(range(1, least(len(hist), CASE context WHEN 'global' THEN 4 ELSE 2 END) + 2))"
+    return [
+        'heads AS (SELECT context, "order" AS k, history, any_value(total) AS total, any_value(distinct_next) AS dn FROM ngrams GROUP BY ALL)',
+        f"""lst AS (SELECT r.req, r.level, r.context, r.depth, r.k, r.history, h.total, t.d * h.dn / h.total AS share FROM (SELECT *, CASE WHEN k = 1 THEN '' ELSE array_to_string(hist[len(hist) - k + 2:], ' ') END AS history FROM (SELECT req, hist, level, context, len(hist) AS depth, {steps} AS k FROM chain)) r
+  JOIN heads h ON h.context = r.context AND h.k = r.k AND h.history = r.history JOIN stats t ON t.context = r.context AND t."order" = r.k)""",
+        """lw AS (SELECT *, coalesce(product(CASE WHEN k <= 3 THEN share ELSE 1 END) OVER w, 1) AS low, coalesce(product(share) OVER w, 1) AS whole, max(CASE WHEN k = least(depth, 2) + 1 THEN total ELSE 0 END) OVER (PARTITION BY req, level) AS n
+  FROM lst WINDOW w AS (PARTITION BY req, level ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+        "lb AS (SELECT req, level, CASE WHEN level = 3 THEN 1 ELSE any_value(n) / (any_value(n) + 100e0) END AS beta FROM lw GROUP BY req, level)",
+        "lc AS (SELECT *, beta * coalesce(product(1 - beta) OVER (PARTITION BY req ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS weight, count(*) OVER (PARTITION BY req) AS levels FROM lb)",
+        "lq AS (SELECT w.*, levels > 1 AND depth > 2 AS lifted, CASE WHEN levels = 1 THEN whole WHEN k <= 3 THEN weight * low ELSE 0 END AS wm, CASE WHEN level = 3 THEN whole ELSE 0 END AS wf, CASE WHEN level = 3 AND k <= 3 THEN low ELSE 0 END AS ws FROM lw w JOIN lc USING (req, level))",
+        'own AS (SELECT context, "order" AS k, history, token, CASE WHEN "order" = 1 THEN cont / sum(cont) OVER (PARTITION BY context, "order", history) ELSE greatest(cnt - d, 0) / total END AS v FROM ngrams JOIN stats USING (context, "order"))',
+        "aft AS (SELECT DISTINCT req, token FROM lq JOIN own USING (context, k, history) WHERE k > 3 AND lifted AND v > 0)",
+        f"owns AS (SELECT context, k, history, token, v FROM own UNION ALL SELECT context, k, history, class, sum(v) FROM own JOIN {classes} USING (token) GROUP BY ALL)",
+        f"pts AS (SELECT req, token FROM {asked} UNION SELECT req, token FROM aft)",
+        "got AS (SELECT req, token, sum(wm * v) AS mix, sum(wf * v) AS wl, sum(ws * v) AS sh FROM pts JOIN lq USING (req) JOIN owns USING (context, k, history, token) GROUP BY ALL)",
+        "rat AS (SELECT *, wl * greatest(mix, 1e-9) / greatest(sh, 1e-9) AS ratio FROM got)",
+        "lng AS (SELECT req, sum(ratio) AS r, sum(mix) AS m FROM rat JOIN aft USING (req, token) GROUP BY req)",
+        f"lngc AS (SELECT req, class AS token, sum(ratio) AS rt, sum(mix) AS mt FROM rat JOIN aft USING (req, token) JOIN {classes} USING (token) GROUP BY ALL)",
+        "lgq AS (SELECT req, any_value(lifted) AS lifted, coalesce(product(CASE WHEN level = 3 AND k > 3 THEN share END), 1) AS lg FROM lq GROUP BY req)",
+        f"""likely AS (SELECT req, token, CASE WHEN NOT lifted THEN mix ELSE CASE WHEN token IN (SELECT class FROM {classes}) THEN coalesce(rt, 0) + lg * (mix - coalesce(mt, 0)) ELSE ratio END / (coalesce(r, 0) + lg * (1 - coalesce(m, 0))) END AS p
+  FROM rat JOIN lgq USING (req) LEFT JOIN lng USING (req) LEFT JOIN lngc USING (req, token))""",
+    ]
+
+
+_EXPECTED = [
+    "seq AS (SELECT song, ordinal, section, genre, decade, idx AS pos, token FROM cseq)", CONTEXT_SQL, KEPT_SQL, NGRAM_SQL, STATS_SQL,
+    "backs AS (SELECT song, ordinal, pos, token, genre, section, coalesce(list(token) OVER (PARTITION BY song, ordinal ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), []) AS before, list(token) OVER (PARTITION BY song, ordinal ORDER BY pos ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS upto FROM seq)",
+    "asks AS (SELECT song, ordinal, pos, before AS hist, genre, section, token FROM backs UNION ALL SELECT song, ordinal, pos, upto, genre, section, '<T>' FROM backs WHERE pos > 0)",
+    "asked AS (SELECT *, array_to_string(hist, ' ') || '|' || coalesce(genre, '') || '|' || coalesce(section, '') AS req FROM asks)",
+    "reqs AS (SELECT DISTINCT req, hist, genre, section FROM asked)", CHAIN_SQL,
+    f"kinds AS (SELECT DISTINCT token, '<T>' AS class FROM seq WHERE {K.tonic()})",
+    *likelihood_sql(),
+    "SELECT song, ordinal, pos AS idx, max(CASE WHEN token <> '<T>' THEN coalesce(p, 0) END) AS p_token, max(CASE WHEN token = '<T>' THEN coalesce(p, 0) END) AS p_class FROM asked LEFT JOIN likely USING (req, token) GROUP BY ALL",
+]
+#: DuckDB: told, over cseq; its steps are its own.
+EXPECTED_SQL = ["told AS (" + sql(*_EXPECTED) + ")"]
+
+
 def _duck(name: str) -> str:
     d = T.DUCK
     if name == "voice_leading_edges":
@@ -55,7 +100,10 @@ def _duck(name: str) -> str:
         ctes = [*_ctes(d, "facts"), C.KEY_PC_DIM, K.QUALITY_EXT, *K.voicings(), *K.successive(), *K.motions(), *K.color_axes()]
         if name == "color_profiles":
             ctes += [*K.realized("roman"), *[x.replace("STRING", "VARCHAR") for x in K.subjects()], *_profile_steps()]
-        ctes += K.color_norms(d) if _NEED.get(name) == "norms" else K.color_arc() if _NEED.get(name) == "arc" else []
+        if _NEED.get(name) in ("color9", "norms"):
+            ctes += [*EXPECTED_SQL, *K.expected_axes(), *K.color_norms(d)]
+        elif _NEED.get(name) == "arc":
+            ctes += [*K.color_arc(d), _LAST]
     return T.query([CHORD_SQL, *ctes], SELECTS[name])
 
 
@@ -71,6 +119,19 @@ def _colored(spark, sf, facts: bool) -> None:
     _view(spark, "color", [C.TONE_DIM, C.KEY_PC_DIM, K.QUALITY_EXT, *K.color_axes()])
 
 
+def chord_model(spark, rows):
+    """The sequence model of rows (song, ordinal, idx, token, genre, section, decade) of numerals."""
+    return L.fit(rows.withColumn("pos", F.col("idx").cast("long")), MIN_CONTEXT, PRUNE, keep=materialize)
+
+
+def _measured(spark) -> None:
+    """View color9, over the views cseq and color."""
+    rows = spark.table("cseq").select("song", "ordinal", "idx", "token", "genre", "section", "decade")
+    classes = rows.select("token").distinct().filter(K.tonic()).withColumn("class", F.lit("<T>"))
+    materialize(L.expected(rows, chord_model(spark, rows), classes, "<T>", keep=materialize), "told").createOrReplaceTempView("told")
+    _view(spark, "color9", K.expected_axes())
+
+
 def _profiled(spark, sf) -> None:
     """Views of _colored() with facts, and subj and p_color."""
     _colored(spark, sf, True)
@@ -80,19 +141,20 @@ def _profiled(spark, sf) -> None:
     _profile_views(spark)
 
 
-def _profile_views(spark) -> None:
-    """View p_color over the views pch and pkeys."""
+def _profile_views(spark, only: tuple[str, ...] = ("p_roman", "p_vopt", "p_cseq", "p_vlead", "p_color")) -> None:
+    """Views over the views pch and pkeys: p_color and what it needs, or those asked for."""
     steps = [C.QUALITY_DIM, C.TONE_DIM, C.KEY_PC_DIM, K.QUALITY_EXT, K._MIDI, "ext_dim AS (SELECT quality, n_ext FROM quality_ext)", T.DEGREE_DIM, T.DIATONIC_DIM, T.BORROWED_DIM, *_profile_steps()]
     at = next(i for i, x in enumerate(steps) if x.startswith("p_cseq AS"))
-    _view(spark, "p_roman", [x for x in steps[:at] if not x.startswith("p_v")])
-    _view(spark, "p_vopt", [C.QUALITY_DIM, C.TONE_DIM, K._MIDI, *[x for x in steps[:at] if x.startswith(("p_ch ", "p_v"))]])
-    _view(spark, "p_cseq", [steps[at]])
-    _view(spark, "p_vlead", steps[at + 1 : at + 4])
-    _view(spark, "p_color", [C.TONE_DIM, C.KEY_PC_DIM, K.QUALITY_EXT, "ext_dim AS (SELECT quality, n_ext FROM quality_ext)", *steps[at + 4 :]])
+    voiced = [C.QUALITY_DIM, C.TONE_DIM, K._MIDI, *[x for x in steps[:at] if x.startswith(("p_ch ", "p_v"))]]
+    known = {"p_roman": [x for x in steps[:at] if not x.startswith("p_v")], "p_vroot": voiced, "p_vopt": voiced, "p_cseq": [steps[at]], "p_vlead": steps[at + 1 : at + 4]}
+    known["p_color"] = [C.TONE_DIM, C.KEY_PC_DIM, K.QUALITY_EXT, "ext_dim AS (SELECT quality, n_ext FROM quality_ext)", *steps[at + 4 :]]
+    for relation in only:
+        _view(spark, relation, known[relation])
 
 
 def _spark(name: str):
     def run(spark, sf):
+        spark = isolated(spark)
         if name == "voice_leading_edges":
             ctes = _staged(spark, sf, "dim")
             _view(spark, "ch", ctes)
@@ -109,9 +171,12 @@ def _spark(name: str):
             return spark.sql(SELECTS[name])
         _colored(spark, sf, _NEED.get(name) == "arc")
         if _NEED.get(name) == "arc":
-            _view(spark, "arc", K.color_arc())
-            return spark.sql(SELECTS[name])
-        return spark.sql(T.query(K.color_norms(T.SPARK), SELECTS[name]) if name in _NEED else SELECTS[name])
+            _view(spark, "arc", K.color_arc(T.SPARK))
+            _view(spark, "arc_end", [_LAST])
+        elif name in _NEED:
+            _measured(spark)
+            return spark.sql(T.query(K.color_norms(T.SPARK), SELECTS[name]) if _NEED[name] == "norms" else SELECTS[name])
+        return spark.sql(SELECTS[name])
 
     run.__name__ = name
     return run

@@ -95,11 +95,18 @@ def export_projection(spark, sf, functions: int = 500, total: int = 5000):
 W_SQL = """
 un AS (SELECT src, dst, sum(count) AS count FROM (SELECT src, dst, count FROM ed WHERE src <> dst UNION ALL SELECT dst, src, count FROM ed WHERE src <> dst) GROUP BY ALL),
 w AS (SELECT src, dst, ln(1 + count) / sum(ln(1 + count)) OVER (PARTITION BY src) AS w FROM un)"""
-RP_SQL = f"""
-r0 AS (SELECT token, dim, CASE WHEN substr(md5(token || ':' || dim), 1, 1) < '8' THEN 1.0 ELSE -1.0 END AS x FROM (SELECT DISTINCT src AS token FROM ed UNION SELECT DISTINCT dst FROM ed), (SELECT unnest(range(0, {DIMS})) AS dim)),
+
+
+def rp_sql(dims: int) -> str:
+    """rp: token, dim, value, over w and ed."""
+    return f"""
+r0 AS (SELECT token, dim, CASE WHEN substr(md5(token || ':' || dim), 1, 1) < '8' THEN 1.0 ELSE -1.0 END AS x FROM (SELECT DISTINCT src AS token FROM ed UNION SELECT DISTINCT dst FROM ed), (SELECT unnest(range(0, {dims})) AS dim)),
 r1 AS (SELECT src AS token, dim, sum(w * x) AS x FROM w JOIN r0 ON r0.token = w.dst GROUP BY ALL), r2 AS (SELECT src AS token, dim, sum(w * x) AS x FROM w JOIN r1 ON r1.token = w.dst GROUP BY ALL), r3 AS (SELECT src AS token, dim, sum(w * x) AS x FROM w JOIN r2 ON r2.token = w.dst GROUP BY ALL),
 rs AS (SELECT token, dim, 0.2 * r0.x + 0.3 * coalesce(r1.x, 0) + 0.3 * coalesce(r2.x, 0) + 0.2 * coalesce(r3.x, 0) AS x FROM r0 LEFT JOIN r1 USING (token, dim) LEFT JOIN r2 USING (token, dim) LEFT JOIN r3 USING (token, dim)),
 rp AS (SELECT token, dim, x / sqrt(sum(x * x) OVER (PARTITION BY token)) AS value FROM rs)"""
+
+
+RP_SQL = rp_sql(DIMS)
 QUERIES = {f.__name__: f for f in (fastrp, pattern_vectors, chord2vec, project_2d, similar_progressions_surface, similar_progressions_structural, export_projection, greedy_diverse_topk, candidate_union, plausibility)}
 PV_SQL = (
     "fr AS (SELECT token, 0.001 / (0.001 + count(*) / sum(count(*)) OVER ()) AS wt FROM seq GROUP BY token)",

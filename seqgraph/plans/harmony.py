@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import chords as C
 from ..operators import theory as T
-from ..sources.fixtures import CHORD_SQL, chord_lines, materialize
+from ..sources.fixtures import CHORD_SQL, chord_lines, isolated, materialize
 
 _SECTION_KEYS = [*T.KEY_DIMS, *T.key_scores("ch", "skeys")]
 
@@ -77,6 +77,7 @@ _GRID = "SELECT point, CAST(w_profile AS DOUBLE) AS w_profile, CAST(w_fit AS DOU
 
 def key_grid_search(spark, sf):
     """Grid points of the key score, held against the keys of the songs."""
+    spark = isolated(spark)
     _staged(spark, sf, "song")
     _view(spark, "skeys_x", _SECTION_KEYS)
     return spark.sql(T.query(T.key_grid("skeys_x", "song_key"), _GRID))
@@ -118,6 +119,7 @@ def _staged(spark, sf, depth: str) -> list[str]:
 
 def _runner(name: str):
     def run(spark, sf):
+        spark = isolated(spark)
         depth, *more, select = SPECS.get(name) or _FOUND[name]
         ctes = [*_staged(spark, sf, depth), *more]
         return spark.sql(T.query(ctes, select) if ctes else select)

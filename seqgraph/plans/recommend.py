@@ -1,25 +1,36 @@
-"""Queries: candidates for the next function after frequent histories, their features, plausibility, intents, substitutes and an evaluation.
+"""Queries: candidates for the next function, their features, plausibility, intents and substitutes, the fit of plausibility and an evaluation.
 
-Requests are the most frequent two-chord histories. What stands for the sequence model here is half the history's own continuation shares and
-half those of its last chord. SQL for Spark and DuckDB alike; in Spark, what several steps read is stored.
+The sequence model and the requests are DataFrames (operators.likelihood, operators.predict): it is fitted to the train split, and what is asked are the positions of
+the test split (those of the dev split, for the fit). The rest is SQL for Spark and DuckDB alike; in Spark, what several steps read is stored.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
 from ..functions import chords as C
 from ..operators import color as K
+from ..operators import embed as E
+from ..operators import likelihood as L
+from ..operators import plausibility as W
+from ..operators import predict as P
 from ..operators import theory as T
-from ..sources.fixtures import CHORD_SQL
-from .color import _colored, _profile_steps, _profile_views
+from ..sources.fixtures import CHORD_SQL, CONTEXT_SQL, isolated, materialize
+from .color import EXPECTED_SQL, _colored, _measured, _profile_steps, _profile_views, chord_model, likelihood_sql
+from .embeddings import W_SQL, rp_sql
 from .harmony import _ctes, _view
+from .prediction import CHAIN_SQL, LIFT, SPLIT_SQL, STATS_SQL, TRAIN_SQL, plain_sql
 from .reports import transitions
+from .sequences import KEPT_SQL, NGRAM_SQL, sql
 
-REQUESTS = 50
+#: Dimensions of the functions' vectors.
+DIMS = 64
 # The theory vocabulary by mode, the targets of applied chords, and the tokens that come right after the likeliest ones.
-_BASIC = {"M": "I ii iii IV V vi vii", "m": "i iio III iv V VI VII"}
-_BORROWED = {"M": "iv bVI bVII bIII i iio bVImaj7", "m": "IV V7 bVI bVII I II"}
-_MEDIANTS = {"M": "bIII bVI III VI", "m": "III VI bIII bVI"}
-_TARGETS = {"M": "I ii iii IV V vi", "m": "i ii III iv V VI"}
+DIATONIC_FIGURES = {"M": "I ii iii IV V vi vii", "m": "i iio III iv V VI VII"}
+MIXTURE_FIGURES = {"M": "iv bVI bVII bIII i iio bVImaj7", "m": "IV V7 bVI bVII I II"}
+THIRD_FIGURES = {"M": "bIII bVI III VI", "m": "III VI bIII bVI"}
+APPLIED_TO = {"M": "I ii iii IV V vi", "m": "i ii III iv V VI"}
 _PRIORITY = ("ii", "iv", "vi", "bVII", "bVImaj7", "V7")
 # Figures that count as borrowed by mode, and as mediants.
 _AS_BORROWED = {"M": ("iv", "bVI", "bVII", "bIII", "i"), "m": ("IV", "V", "I", "II")}
@@ -43,8 +54,8 @@ _W = "PARTITION BY song, ordinal ORDER BY pos"
 def _theory() -> list[tuple[str, str]]:
     rows = set()
     for m in "Mm":
-        rows |= {(m, f"{m}:{f}") for f in f"{_BASIC[m]} {_BORROWED[m]} {_MEDIANTS[m]}".split()}
-        rows |= {(m, f"{m}:{x}/{t}") for t in _TARGETS[m].split() for x in ("V7", "viio7", "subV7")}
+        rows |= {(m, f"{m}:{f}") for f in f"{DIATONIC_FIGURES[m]} {MIXTURE_FIGURES[m]} {THIRD_FIGURES[m]}".split()}
+        rows |= {(m, f"{m}:{x}/{t}") for t in APPLIED_TO[m].split() for x in ("V7", "viio7", "subV7")}
     return sorted(rows)
 
 
@@ -56,30 +67,23 @@ def _names(values: tuple[str, ...] | str) -> str:
     return "(" + ", ".join(f"'{x}'" for x in (values.split() if isinstance(values, str) else values)) + ")"
 
 
-def requests() -> list[str]:
-    """alltok (mode, token), h3 (continuations of histories), hreq (req, h2, h1, n, m), over roman and rtr."""
-    return [
-        C.values("theory_dim", "m, token", _theory()),
-        "alltok AS (SELECT mode, token FROM roman UNION SELECT CASE m WHEN 'M' THEN 'major' ELSE 'minor' END, token FROM theory_dim)",
-        f"hw AS (SELECT token AS h2, lead(token) OVER ({_W}) AS h1, lead(token, 2) OVER ({_W}) AS nxt FROM roman)",
-        "h3 AS (SELECT h2, h1, nxt, count(*) AS n FROM hw WHERE nxt IS NOT NULL GROUP BY h2, h1, nxt)",
-        *K.realized("alltok"),
-        "hn AS (SELECT h2, h1, sum(n) AS n FROM h3 GROUP BY h2, h1)",
-        f"hreq AS (SELECT h.h2 || ' ' || h.h1 AS req, h.h2, h.h1, h.n, substr(h.h1, 1, 1) AS m FROM hn h JOIN token_dim a ON a.token = h.h2 JOIN token_dim b ON b.token = h.h1 WHERE substr(h.h1, 1, 1) = substr(h.h2, 1, 1) ORDER BY h.n DESC, h.h2, h.h1 LIMIT {REQUESTS})",
-    ]
+def vocabulary() -> list[str]:
+    """token_dim of all functions that occur and of the theory vocabulary (theory_dim), over roman."""
+    return [C.values("theory_dim", "m, token", _theory()), "alltok AS (SELECT mode, token FROM roman UNION SELECT CASE m WHEN 'M' THEN 'major' ELSE 'minor' END, token FROM theory_dim)", *K.realized("alltok")]
+
+
+def histories(requests: str = "reqs") -> list[str]:
+    """hreq: req, h1 (the last token), h2 (the one before it, null if there is none) and the mode of the requests whose last chords can be realised."""
+    return [f"hreq AS (SELECT r.req, r.h1, r.h2, substr(r.h1, 1, 1) AS m FROM {requests} r JOIN token_dim a ON a.token = r.h1 LEFT JOIN token_dim b ON b.token = r.h2 WHERE r.h2 IS NULL OR b.token IS NOT NULL)"]
 
 
 def candidates(cap: int = 64) -> list[str]:
-    """cand: req, token, ngram_p, graph_p, similarity, sources, place: the union of what the model, the graph, theory and similar functions give, in order."""
+    """cand: req, token, ngram_p, graph_p, similarity, sources, place: the union of what the model, the graph, theory and similar functions give, in order.
+
+    Over hreq, ngt (req, token, p, rk: the model's tokens by rank), rg (a, b, prob: the graph), sims (t1, t2, s, rk: nearest functions), theory_dim and token_dim.
+    """
     return [
-        "rg AS (SELECT a, b, count, prob FROM rtr WHERE context = 'global')",
-        f"ng AS (SELECT r.req, g.b AS token, {_d(0.5)} * coalesce(CAST(t.n AS DOUBLE) / r.n, {_d(0.0)}) + {_d(0.5)} * g.prob AS p FROM hreq r JOIN rg g ON g.a = r.h1 LEFT JOIN h3 t ON t.h2 = r.h2 AND t.h1 = r.h1 AND t.nxt = g.b)",
-        "ngt AS (SELECT req, token, p, row_number() OVER (PARTITION BY req ORDER BY round(p, 12) DESC, token) AS rk FROM ng)",
-        "grt AS (SELECT r.req, g.b AS token, g.prob AS p, row_number() OVER (PARTITION BY r.req ORDER BY g.prob DESC, g.b) AS rk FROM hreq r JOIN rg g ON g.a = r.h1)",
-        "lens AS (SELECT a, sqrt(sum(CAST(count AS DOUBLE) * count)) AS len FROM rg GROUP BY a)",
-        "seeds AS (SELECT DISTINCT token FROM ngt WHERE rk <= 5)",
-        "dots AS (SELECT s.a AS t1, o.a AS t2, sum(CAST(s.count AS DOUBLE) * o.count) AS x FROM rg s JOIN seeds k ON k.token = s.a JOIN rg o ON o.b = s.b WHERE o.a <> s.a GROUP BY s.a, o.a)",
-        "sims AS (SELECT t1, t2, s, row_number() OVER (PARTITION BY t1 ORDER BY s DESC, t2) AS rk FROM (SELECT d.t1, d.t2, round(d.x / (p.len * q.len), 9) AS s FROM dots d JOIN lens p ON p.a = d.t1 JOIN lens q ON q.a = d.t2) y)",
+        "grt AS (SELECT r.req, g.b AS token, g.prob AS p, row_number() OVER (PARTITION BY r.req ORDER BY g.prob DESC, g.b) AS rk FROM hreq r JOIN rg g ON g.a = r.h1 WHERE substr(g.b, 1, 1) = r.m)",
         "emb AS (SELECT req, token, s, row_number() OVER (PARTITION BY req ORDER BY s DESC, token) AS rk FROM (SELECT n.req, s.t2 AS token, max(s.s) AS s FROM ngt n JOIN sims s ON s.t1 = n.token WHERE n.rk <= 5 AND s.rk <= 10 GROUP BY n.req, s.t2) z)",
         f"""offers AS (SELECT req, token, p, {_d(0.0)} AS g, CAST(NULL AS DOUBLE) AS s, 'ngram' AS source FROM ngt WHERE rk <= 30 UNION ALL SELECT req, token, {_d(0.0)}, p, CAST(NULL AS DOUBLE), 'graph' FROM grt WHERE rk <= 100 AND p >= 0.005
   UNION ALL SELECT r.req, t.token, {_d(0.0)}, {_d(0.0)}, CAST(NULL AS DOUBLE), 'theory' FROM hreq r JOIN theory_dim t ON t.m = r.m UNION ALL SELECT req, token, {_d(0.0)}, {_d(0.0)}, s, 'embedding' FROM emb WHERE rk <= 50)""",
@@ -95,22 +99,28 @@ def candidates(cap: int = 64) -> list[str]:
     ]
 
 
-def progressions() -> list[str]:
-    """pch, pkeys: the pairs whose color is asked for, as two-chord progressions in the reference key."""
+def progressions(runs: str) -> list[str]:
+    """pch, pkeys: runs of one to three functions (relation, a query of a, b) as progressions in the reference key."""
     return [
-        f"ht AS (SELECT h2 AS l, h1 AS o, nxt AS r, n FROM h3 WHERE substr(h2, 1, 1) = substr(h1, 1, 1) AND substr(h1, 1, 1) = substr(nxt, 1, 1) ORDER BY n DESC, h2, h1, nxt LIMIT {REQUESTS})",
-        "hs AS (SELECT t.l, t.o, t.r, t.n, g.b AS token, g.prob AS p, row_number() OVER (PARTITION BY t.l, t.o, t.r ORDER BY g.prob DESC, g.b) AS rk FROM ht t JOIN rg g ON g.a = t.l JOIN token_dim d ON d.token = g.b WHERE substr(g.b, 1, 1) = substr(t.l, 1, 1))",
-        "hp AS (SELECT h2 AS a, h1 AS b FROM hreq UNION SELECT r.h1, c.token FROM cand c JOIN hreq r ON r.req = c.req UNION SELECT l, token FROM hs WHERE rk <= 24 UNION SELECT token, r FROM hs WHERE rk <= 24 UNION SELECT l, o FROM ht UNION SELECT o, r FROM ht)",
-        "spos AS (SELECT a || '>' || b AS song, 0 AS pos, a AS token FROM hp UNION ALL SELECT a || '>' || b, 1, b FROM hp)",
+        f"hp AS ({runs})",
+        "spos AS (SELECT CASE WHEN b IS NULL THEN a ELSE a || '>' || b END AS song, 0 AS pos, a AS token FROM hp UNION ALL SELECT a || '>' || b, 1, b FROM hp WHERE b IS NOT NULL)",
         f"pch AS (SELECT s.song, 0 AS ordinal, s.pos, t.mode AS key_mode, q.qclass, q.suffix, q.ext, 'root' AS inversion, t.root_pc, t.root_pc AS bass_pc, t.mask, {T.rotated('q.core_rel', 't.root_pc')} AS core, t.quality FROM spos s JOIN token_dim t ON t.token = s.token JOIN quality_dim q ON q.quality = t.quality)",
         "pkeys AS (SELECT DISTINCT c.song, c.ordinal, k.key_name, k.tonic, k.mode, CAST(1 AS DOUBLE) AS p FROM pch c JOIN reference_dim k ON k.mode = c.key_mode)",
     ]
 
 
-def features() -> list[str]:
-    """cf: req, token and the features of each candidate, over cand, hreq, p_color, norms and token_dim; cl: with logit, p, z and whether it stays."""
+_PAIRS = "SELECT h2 AS a, h1 AS b FROM hreq WHERE h2 IS NOT NULL UNION SELECT h1, CAST(NULL AS STRING) FROM hreq WHERE h2 IS NULL UNION SELECT r.h1, c.token FROM cand c JOIN hreq r ON r.req = c.req"
+
+
+def features(corpus: bool = True) -> list[str]:
+    """cf: req, token and the features of each candidate, over cand, hreq, p_color and token_dim; cl: with logit, p, z and whether it stays.
+
+    With corpus, colors are normalised (norms) and the graph's shares (rg) and those of all functions (uni) count; without, raw colors are clipped and these features are empty.
+    """
     bound = ", ".join(f"max(CASE WHEN axis = '{a}' THEN {q} END) AS {a}_{q}" for a in _COLORS for q in ("p05", "p95"))
-    level = lambda t, a: f"coalesce(CASE WHEN {t}.{a} IS NULL THEN {_d(0.0)} WHEN m.{a}_p95 - m.{a}_p05 <= 0 THEN {_d(0.5)} ELSE {_clip(f'({t}.{a} - m.{a}_p05) / (m.{a}_p95 - m.{a}_p05)', 0.0)} END, {_d(0.0)})"
+    scaled = lambda t, a: f"coalesce(CASE WHEN {t}.{a} IS NULL THEN {_d(0.0)} WHEN m.{a}_p95 - m.{a}_p05 <= 0 THEN {_d(0.5)} ELSE {_clip(f'({t}.{a} - m.{a}_p05) / (m.{a}_p95 - m.{a}_p05)', 0.0)} END, {_d(0.0)})"
+    plain = lambda t, a: f"coalesce({f'({_clip(f"{t}.{a}")} + 1) / 2' if a == 'brightness' else _clip(f'{t}.{a}', 0.0)}, {_d(0.0)})"
+    level = scaled if corpus else plain
     delta = lambda a: _clip(f"{level('y', a)} - {level('x', a)}")
     base = "regexp_extract(substr(c.token, 3), '^((b|#)?(VII|VI|IV|III|II|I|V|vii|vi|iv|iii|ii|i|v))', 1)"
     applied = "instr(c.token, '/') > 0"
@@ -118,22 +128,26 @@ def features() -> list[str]:
     flag = lambda x: f"CASE WHEN {x} THEN {_d(1.0)} ELSE {_d(0.0)} END"
     log = lambda x: f"ln(greatest({x}, {_d(1e-06)}))"
     surprise = _clip(f"-{log('c.ngram_p')} / ln({_d(2.0)}) / 16", 0.0)
+    seen, alone = (f"coalesce(g.prob, {_d(0.0)})", f"coalesce(u.p, {_d(0.0)})") if corpus else (_d(0.0), _d(0.0))
     made = {
-        "log_p_ngram": f"{log('c.ngram_p')} / 14", "log_p_global_bigram": f"{log(f'coalesce(g.prob, {_d(0.0)})')} / 14",
-        "pmi": _clip(f"ln(greatest(coalesce(g.prob, {_d(0.0)}), {_d(1e-06)}) / greatest(coalesce(u.p, {_d(0.0)}), {_d(1e-06)})) / 6"),
+        "log_p_ngram": f"{log('c.ngram_p')} / 14", "log_p_global_bigram": f"{log(seen)} / 14",
+        "pmi": _clip(f"ln(greatest({seen}, {_d(1e-06)}) / greatest({alone}, {_d(1e-06)})) / 6"),
         "diatonic": flag(f"NOT ({applied}) AND NOT ({borrowed}) AND y.chromatic = 0"), "borrowed": flag(borrowed), "applied": flag(applied), "tritone_sub": flag("substr(c.token, 3, 4) = 'subV'"),
         "chromatic_mediant": flag(f"NOT {applied} AND {base} IN {_names(_AS_MEDIANT)}"), "vl_cost": f"1 - {level('y', 'smoothness')}", "common_tones": "bit_count(d.mask & e.mask) / CAST(bit_count(d.mask) AS DOUBLE)",
-        "emb_cos": f"coalesce(c.similarity, {_d(0.0)})", "tonal_distance": _clip("abs(kd.lof - ke.lof) / CAST(7 AS DOUBLE)", 0.0), "surprise": surprise, "genre_section_fit": _d(0.0), "graph_probability": "c.graph_p",
+        "emb_cos": f"coalesce(c.similarity, {_d(0.0)})", "tonal_distance": _clip("abs(d.lof - e.lof) / CAST(7 AS DOUBLE)", 0.0), "surprise": surprise, "genre_section_fit": _d(0.0), "graph_probability": "c.graph_p",
         **{f"delta_{a}": delta(a) for a in ("brightness", "tension")}, "delta_surprise": surprise, **{f"delta_{a}": delta(a) for a in ("complexity", "resolution", "smoothness")},
     }
     logit = " + ".join(f"{_d(w)} * {k}" for k, w in WEIGHTS.items() if w)
     of = "PARTITION BY req"
-    return [
+    more = "LEFT JOIN rg g ON g.a = r.h1 AND g.b = c.token LEFT JOIN uni u ON u.token = c.token CROSS JOIN nm m" if corpus else ""  # nm is one row
+    known = [
         f"nm AS (SELECT {bound} FROM norms WHERE subject_type = 'transition')",
         "uni AS (SELECT token, n / CAST(sum(n) OVER (PARTITION BY 1) AS DOUBLE) AS p FROM (SELECT token, count(*) AS n FROM roman GROUP BY token) q)",
+    ]
+    return [
+        *(known if corpus else []),
         "cf AS (SELECT c.req, c.token, c.place, " + ", ".join(f"{x} AS {k}" for k, x in made.items()) + """ FROM cand c JOIN hreq r ON r.req = c.req JOIN token_dim d ON d.token = c.token JOIN token_dim e ON e.token = r.h1
-  JOIN p_color x ON x.song = r.h2 || '>' || r.h1 AND x.idx = 1 JOIN p_color y ON y.song = r.h1 || '>' || c.token AND y.idx = 1 JOIN reference_dim k ON k.mode = d.mode JOIN key_pc_dim kd ON kd.key_name = k.key_name AND kd.pc = d.root_pc JOIN key_pc_dim ke ON ke.key_name = k.key_name AND ke.pc = e.root_pc
-  LEFT JOIN rg g ON g.a = r.h1 AND g.b = c.token LEFT JOIN uni u ON u.token = c.token CROSS JOIN nm m)""",
+  JOIN p_color x ON x.song = CASE WHEN r.h2 IS NULL THEN r.h1 ELSE r.h2 || '>' || r.h1 END AND x.final JOIN p_color y ON y.song = r.h1 || '>' || c.token AND y.idx = 1 """ + more + ")",
         f"cx AS (SELECT *, {logit} AS logit FROM cf)",
         f"cs AS (SELECT *, exp(logit - max(logit) OVER ({of})) AS ex, avg(logit) OVER ({of}) AS mid, stddev_pop(logit) OVER ({of}) AS spread, count(*) OVER ({of}) AS size FROM cx)",
         f"cp AS (SELECT *, ex / sum(ex) OVER ({of}) AS p, row_number() OVER ({of} ORDER BY round(logit, 12), token DESC) AS low FROM cs)",
@@ -142,18 +156,17 @@ def features() -> list[str]:
     ]
 
 
-def _intents() -> str:
-    """Select: the score of each candidate that stays, for each of INTENTS."""
+def _score(i: str = "i") -> str:
+    """The score of a candidate (c, of cl) for the sliders and preset of a row of intent_dim."""
     incoming = _clip("1 - c.vl_cost", 0.0)
     major7 = "CASE WHEN substr(c.token, length(c.token) - 3) = 'maj7' AND instr(c.token, '/') = 0 THEN 1 ELSE 0 END"
     aim = {
         "darker_brighter": f"c.delta_brightness - {_d(0.4)} * c.borrowed * (1 + c.chromatic_mediant)", "tense_relaxed": "-c.delta_tension", "common_surprising": "c.delta_surprise", "simple_complex": "c.delta_complexity", "resolved_open": "-c.delta_resolution", "smooth": "c.delta_smoothness",
         "dreamy": f"{_d(0.75)} * c.borrowed * c.chromatic_mediant * {major7} + {_d(0.15)} * {incoming} + {_d(0.1)} * greatest({_d(0.0)}, -c.delta_tension)",
     }
-    intent = " + ".join(f"CAST(i.{a} AS DOUBLE) * ({x})" for a, x in aim.items())
-    magnitude = " + ".join(f"abs(CAST(i.{a} AS DOUBLE))" for a in AXES)
-    score = f"CAST(i.w_p AS DOUBLE) * c.z + 6 * CAST(i.w_i AS DOUBLE) * ({intent}) / greatest({_d(1.0)}, {magnitude}) + CAST(i.w_d AS DOUBLE) * ((1 - c.common_tones) / 2 + c.tonal_distance / 2) + CASE WHEN i.preset = 'adventurous' THEN {_d(0.08)} * c.surprise ELSE {_d(0.0)} END"
-    return f"SELECT i.name AS intent, c.req, c.token, round({score}, 9) + 0e0 AS score FROM cl c CROSS JOIN intent_dim i"
+    intent = " + ".join(f"CAST({i}.{a} AS DOUBLE) * ({x})" for a, x in aim.items())
+    magnitude = " + ".join(f"abs(CAST({i}.{a} AS DOUBLE))" for a in AXES)
+    return f"CAST({i}.w_p AS DOUBLE) * c.z + 6 * CAST({i}.w_i AS DOUBLE) * ({intent}) / greatest({_d(1.0)}, {magnitude}) + CAST({i}.w_d AS DOUBLE) * ((1 - c.common_tones) / 2 + c.tonal_distance / 2) + CASE WHEN {i}.preset = 'adventurous' THEN {_d(0.08)} * c.surprise ELSE {_d(0.0)} END"
 
 
 _INTENT_DIM = C.values("intent_dim", "name, preset, w_p, w_i, w_d, " + ", ".join(AXES), [(n, p, *PRESETS[p], *(float(x.get(a, 0.0)) for a in AXES)) for n, p, x in INTENTS])
@@ -161,53 +174,259 @@ SELECTS = {
     "candidate_sources": "SELECT req, token, round(ngram_p, 9) AS ngram_p, round(graph_p, 9) AS graph_p, similarity, trim(sources) AS sources, place FROM cand",
     "candidate_features": "SELECT req, token, " + ", ".join(f"round({k}, 9) + 0e0 AS {k}" for k in WEIGHTS) + " FROM cf",
     "candidate_plausibility": "SELECT req, token, round(logit, 9) + 0e0 AS logit, round(p, 9) AS p, round(z, 9) + 0e0 AS z FROM cl",
-    "intent_score": _intents(),
+    "intent_score": f"SELECT i.name AS intent, c.req, c.token, round({_score()}, 9) + 0e0 AS score FROM cl c CROSS JOIN intent_dim i",
     # for a chord between two others: likelihood on both sides, the same function, and little motion
-    "substitutes": f"""SELECT l, o, r, token, score, row_number() OVER (PARTITION BY l, o, r ORDER BY score DESC, token) AS rank FROM (SELECT s.l, s.o, s.r, s.token,
-  round(ln(greatest(s.p, {_d(1e-09)})) + ln(greatest(coalesce(g.prob, {_d(0.0)}), {_d(1e-09)})) + CASE WHEN f.func = q.func THEN {_d(0.75)} ELSE {_d(0.0)} END - {_d(0.025)} * {K.FULL_MOTION} * ((1 - a.smoothness) + (1 - b.smoothness)), 9) AS score
-  FROM hs s JOIN (SELECT token, min(func) AS func FROM roman GROUP BY token) f ON f.token = s.token JOIN (SELECT token, min(func) AS func FROM roman GROUP BY token) q ON q.token = s.o
-  JOIN p_color a ON a.song = s.l || '>' || s.token AND a.idx = 1 JOIN p_color b ON b.song = s.token || '>' || s.r AND b.idx = 1 LEFT JOIN rg g ON g.a = s.token AND g.b = s.r WHERE s.rk <= 24 AND s.token <> s.o) x""",
-    # mean reciprocal rank of what followed, by the model alone and by plausibility; how many tokens the first five hold, and how many of them the model alone hasn't there
-    "recommend_eval": """SELECT round(sum(h.n / CAST(e.by_model AS DOUBLE)) / sum(h.n), 9) AS mrr_model, round(sum(h.n / CAST(e.by_logit AS DOUBLE)) / sum(h.n), 9) AS mrr_plausibility, (SELECT count(DISTINCT token) FROM ev WHERE by_logit <= 5) AS coverage,
-  (SELECT count(*) FROM ev WHERE by_logit <= 5 AND by_model > 5) AS novel FROM ev e JOIN hreq r ON r.req = e.req JOIN h3 h ON h.h2 = r.h2 AND h.h1 = r.h1 AND h.nxt = e.token""",
+    "substitutes": "SELECT req, o, r, keep_function, smooth, surprising, token, score, motion, rank FROM sranked WHERE rank <= 10",
+    "recommend_eval": "SELECT metric, round(value, 9) + 0e0 AS value FROM report",
 }
-_EV = "ev AS (SELECT req, token, row_number() OVER (PARTITION BY req ORDER BY round(log_p_ngram, 12) DESC, token) AS by_model, row_number() OVER (PARTITION BY req ORDER BY round(logit, 12) DESC, token) AS by_logit FROM cx)"
+
+
+def plain_candidates(cap: int) -> list[str]:
+    """cand from the model and theory alone, as fit and evaluation take them: the likeliest tokens, then the priority ones, then the rest."""
+    return [
+        "cu AS (SELECT r.req, x.token, max(x.p) AS ngram_p FROM (SELECT req, token, p FROM ngt WHERE rk <= 30 UNION ALL SELECT h.req, t.token, 0e0 FROM hreq h JOIN theory_dim t ON t.m = h.m) x JOIN hreq r ON r.req = x.req JOIN token_dim d ON d.token = x.token WHERE substr(x.token, 1, 1) = r.m GROUP BY r.req, x.token)",
+        "cr AS (SELECT *, row_number() OVER (PARTITION BY req ORDER BY round(ngram_p, 12) DESC, token) AS rk FROM cu)",
+        f"co AS (SELECT *, row_number() OVER (PARTITION BY req ORDER BY CASE WHEN rk <= 16 THEN 0 WHEN substr(token, 3) IN {_names(_PRIORITY)} THEN 1 ELSE 2 END, rk) AS place FROM cr)",
+        f"cand AS (SELECT req, token, ngram_p, {_d(0.0)} AS graph_p, CAST(NULL AS DOUBLE) AS similarity, place FROM co WHERE place <= {cap})",
+    ]
+
+
+def substitutes() -> list[str]:
+    """sranked: over sreq (sid, req, l, o, r, keep_function, smooth, surprising), ngt, sright (sid, token, p: of r after the token), p_roman, p_vroot and cand (24 candidates for each req)."""
+    moved = " + ".join(f"abs(a.{n} - b.{n})" for n in ("b", "u0", "u1", "u2"))
+    log = lambda x: f"ln(greatest({x}, {_d(1e-09)}))"
+    return [
+        "sfunc AS (SELECT song AS token, func FROM p_roman WHERE len = 1)",
+        "svoice AS (SELECT t.token, v.b, v.u0, v.u1, v.u2 FROM p_vroot v JOIN token_dim t ON t.quality = v.quality AND t.root_pc = v.root_pc AND v.bass_pc = v.root_pc)",
+        "sall AS (SELECT s.sid, c.token, FALSE AS own FROM sreq s JOIN cand c ON c.req = s.req WHERE c.token <> s.o AND substr(c.token, 1, 1) = substr(s.o, 1, 1) UNION ALL SELECT sid, o, TRUE FROM sreq)",
+        f"sin AS (SELECT x.sid, x.token, {moved} AS cost FROM sall x JOIN sreq s ON s.sid = x.sid JOIN svoice a ON a.token = s.l JOIN svoice b ON b.token = x.token)",
+        f"sout AS (SELECT x.sid, x.token, {moved} AS cost FROM sall x JOIN sreq s ON s.sid = x.sid JOIN svoice a ON a.token = x.token JOIN svoice b ON b.token = s.r)",
+        "smove AS (SELECT x.sid, x.token, x.own, i.cost + coalesce(u.cost, 0) AS motion FROM sall x JOIN sin i ON i.sid = x.sid AND i.token = x.token LEFT JOIN sout u ON u.sid = x.sid AND u.token = x.token)",
+        f"""sscore AS (SELECT s.sid, s.req, s.o, s.r, s.keep_function, s.smooth, s.surprising, m.token, m.motion, {log(f'coalesce(n.p, {_d(0.0)})')} + CASE WHEN s.r IS NULL THEN {_d(0.0)} ELSE {log(f'coalesce(w.p, {_d(0.0)})')} END
+  + CASE WHEN f.func = g.func THEN {_d(0.75)} ELSE {_d(0.0)} END - {_d(0.025)} * m.motion - CASE WHEN s.surprising THEN {_d(0.15)} * {log(f'coalesce(n.p, {_d(0.0)})')} ELSE {_d(0.0)} END AS score
+  FROM smove m JOIN sreq s ON s.sid = m.sid JOIN smove k ON k.sid = m.sid AND k.own JOIN sfunc f ON f.token = m.token JOIN sfunc g ON g.token = s.o LEFT JOIN ngt n ON n.req = s.req AND n.token = m.token AND n.rk <= 100 LEFT JOIN sright w ON w.sid = s.sid AND w.token = m.token
+  WHERE NOT m.own AND (NOT s.keep_function OR f.func = g.func) AND (NOT s.smooth OR m.motion <= k.motion + 3))""",
+        "sranked AS (SELECT req, o, r, keep_function, smooth, surprising, token, round(score, 9) + 0e0 AS score, CAST(motion AS BIGINT) AS motion, row_number() OVER (PARTITION BY sid ORDER BY round(score, 9) DESC, token) AS rank FROM sscore)",
+    ]
+
+
+#: What the evaluation asks for: an intent's sliders, the color they should move and which way.
+BENCHMARK = [("darker", {"darker_brighter": -1.0}, "brightness", -1), ("brighter", {"darker_brighter": 1.0}, "brightness", 1), ("surprising", {"common_surprising": 1.0}, "surprise", 1), ("smoother", {"smooth": 1.0}, "smoothness", 1)]
+BENCHMARKED = 30
+_EVAL_DIM = C.values("intent_dim", "name, preset, w_p, w_i, w_d, " + ", ".join(AXES), [(n, p, *PRESETS[p], *(float(x.get(a, 0.0)) for a in AXES)) for n, p, x in [("plain", "plausible", {}), ("neutral", "balanced", {}), *[(n, "balanced", x) for n, x, _, _ in BENCHMARK]]])
+
+
+def scored_queries() -> list[str]:
+    """squery: query (intent and req), token, score, mask of the candidates of cl: all requests for the plain ranking, those of bench (req) for the intents."""
+    return [f"squery AS (SELECT i.name || ' ' || c.req AS query, c.token, round({_score()}, 9) + 0e0 AS score, CAST(t.mask AS INT) AS mask FROM cl c JOIN token_dim t ON t.token = c.token LEFT JOIN bench b ON b.req = c.req JOIN intent_dim i ON i.name = 'plain' OR b.req IS NOT NULL)"]
+
+
+def evaluation() -> list[str]:
+    """report: metric, value; over held (req, actual, n), bench, cx and cl, and picked (query, rank, token: candidates in order, unlike ones first)."""
+    rate = lambda n, axis, way: f"""SELECT 'intent_{n}' AS metric, avg(CASE WHEN {way} * (i.d - u.d) > 1e-9 THEN 1e0 ELSE 0e0 END) AS value FROM five i JOIN five u ON u.req = i.req AND u.name = 'neutral' AND u.axis = i.axis WHERE i.name = '{n}' AND i.axis = '{axis}'"""
+    axes = sorted({a for _, _, a, _ in BENCHMARK})
+    five = " UNION ALL ".join(f"SELECT p.req, p.name, '{a}' AS axis, sum(c.delta_{a}) / 5 AS d FROM place p JOIN cx c ON c.req = p.req AND c.token = p.token WHERE p.rank <= 5 AND p.name <> 'plain' GROUP BY p.req, p.name" for a in axes)
+    return [
+        "place AS (SELECT substr(query, 1, instr(query, ' ') - 1) AS name, substr(query, instr(query, ' ') + 1) AS req, rank, token FROM picked)",
+        "bymodel AS (SELECT req, token, row_number() OVER (PARTITION BY req ORDER BY round(log_p_ngram, 12) DESC, token) AS rank FROM cx)",
+        "asked AS (SELECT h.req, h.actual, h.n, m.rank AS by_model, p.rank AS by_logit FROM held h JOIN hreq r ON r.req = h.req LEFT JOIN bymodel m ON m.req = h.req AND m.token = h.actual LEFT JOIN place p ON p.req = h.req AND p.token = h.actual AND p.name = 'plain')",
+        "fresh AS (SELECT p.req, count(*) AS n FROM place p JOIN bymodel m ON m.req = p.req AND m.token = p.token WHERE p.name = 'plain' AND p.rank <= 5 AND m.rank > 5 GROUP BY p.req)",
+        f"five AS ({five})",
+        """told AS (SELECT 'n' AS metric, CAST(sum(n) AS DOUBLE) AS value FROM asked UNION ALL SELECT 'ngram_mrr', sum(n * coalesce(1e0 / by_model, 0e0)) / sum(n) FROM asked UNION ALL SELECT 'hybrid_mrr', sum(n * coalesce(1e0 / by_logit, 0e0)) / sum(n) FROM asked
+  UNION ALL SELECT 'coverage_baseline', CAST(count(DISTINCT token) AS DOUBLE) FROM bymodel WHERE rank <= 5 UNION ALL SELECT 'coverage_hybrid', CAST(count(DISTINCT token) AS DOUBLE) FROM place WHERE name = 'plain' AND rank <= 5
+  UNION ALL SELECT 'novel_top5_per_query', sum(a.n * coalesce(f.n, 0) * 1e0) / sum(a.n) FROM asked a LEFT JOIN fresh f ON f.req = a.req UNION ALL """ + " UNION ALL ".join(rate(n, a, w) for n, _, a, w in BENCHMARK) + ")",
+        # the gates that published weights must pass
+        """gate AS (SELECT max(CASE metric WHEN 'n' THEN value END) AS n, max(CASE metric WHEN 'ngram_mrr' THEN value END) AS a, max(CASE metric WHEN 'hybrid_mrr' THEN value END) AS b, max(CASE metric WHEN 'coverage_baseline' THEN value END) AS c, max(CASE metric WHEN 'coverage_hybrid' THEN value END) AS d,
+  max(CASE metric WHEN 'novel_top5_per_query' THEN value END) AS e, min(CASE WHEN substr(metric, 1, 7) = 'intent_' THEN value END) AS f FROM told)""",
+        "report AS (SELECT metric, value FROM told UNION ALL SELECT 'gate_mrr', CASE WHEN n > 0 AND b >= a - 0.02e0 THEN 1e0 ELSE 0e0 END FROM gate UNION ALL SELECT 'gate_coverage', CASE WHEN d > c THEN 1e0 ELSE 0e0 END FROM gate UNION ALL SELECT 'gate_novelty', CASE WHEN e > 0 THEN 1e0 ELSE 0e0 END FROM gate UNION ALL SELECT 'gate_intent', CASE WHEN f >= 0.8e0 THEN 1e0 ELSE 0e0 END FROM gate)",
+    ]
+
+
+# ---- DuckDB --------------------------------------------------------------------------------------------------------
+
+_KEY = "array_to_string(hist, ' ') || '|' || coalesce(genre, '') || '|' || coalesce(section, '')"
+MODEL_SQL = ["seq0 AS (SELECT song, ordinal, section, genre, decade, idx AS pos, token FROM cseq)", SPLIT_SQL, TRAIN_SQL, CONTEXT_SQL, KEPT_SQL, NGRAM_SQL, STATS_SQL]
+_ASKED = f"askedpos AS (SELECT *, {_KEY} AS req, song || ':' || ordinal || ':' || pos AS place FROM (SELECT song, ordinal, pos, token, lead(token) OVER (PARTITION BY song, ordinal ORDER BY pos) AS r, genre, section, list(token) OVER (PARTITION BY song, ordinal ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS hist FROM seq0 JOIN spl USING (song) WHERE split = 'test') WHERE pos >= 1)"
+_HELD = "held AS (SELECT req, token AS actual, count(*) AS n FROM askedpos GROUP BY ALL)"
+_NGT = "ngt AS (SELECT req, token, p, row_number() OVER (PARTITION BY req ORDER BY round(p, 12) DESC, token) AS rk FROM {0})"
+_REQS = "reqs AS (SELECT DISTINCT req, hist, genre, section, hist[-1] AS h1, CASE WHEN len(hist) > 1 THEN hist[-2] END AS h2 FROM askedpos)"
+_SIMS = "sims AS (" + sql(
+    "ed AS (SELECT a AS src, b AS dst, count FROM rg)", W_SQL, rp_sql(DIMS),
+    "SELECT t1, t2, s, row_number() OVER (PARTITION BY t1 ORDER BY s DESC, t2) AS rk FROM (SELECT x.token AS t1, y.token AS t2, round(sum(x.value * y.value), 9) AS s FROM rp x JOIN rp y ON x.dim = y.dim AND x.token <> y.token AND substr(x.token, 1, 1) = substr(y.token, 1, 1) GROUP BY ALL) z",
+) + ")"
+_RG = "rg AS (SELECT a, b, count, prob FROM rtr WHERE context = 'global')"
+
+
+def greedy_sql(name: str, src: str, k: int) -> str:
+    """name: query, rank, token of src (query, token, score, mask): at each step the score less 0.8 times the largest overlap with those chosen."""
+    jac = "coalesce(bit_count(x.mask & m) / nullif(bit_count(x.mask | m), 0), 0)"
+    return f"""{name}_l AS (SELECT query, list({{'token': token, 'score': score, 'mask': mask}}) AS c FROM {src} GROUP BY query),
+{name}_s AS (SELECT query, c, CAST([] AS VARCHAR[]) AS tokens, CAST([] AS INT[]) AS masks, 0 AS k FROM {name}_l
+  UNION ALL SELECT query, c, list_append(tokens, best.token), list_append(masks, best.mask), k + 1 FROM (SELECT *, list_sort([{{'w': -(x.score - 0.8e0 * coalesce(list_max([{jac} FOR m IN masks]), 0)), 'token': x.token, 'mask': x.mask}} FOR x IN c IF NOT list_contains(tokens, x.token)])[1] AS best FROM {name}_s WHERE k < {k} AND len(tokens) < len(c))),
+{name} AS (SELECT query, unnest(range(1, len(tokens) + 1)) AS rank, unnest(tokens) AS token FROM (SELECT query, arg_max(tokens, k) AS tokens FROM {name}_s GROUP BY query))"""
 
 
 def _duck(name: str) -> str:
     d = T.DUCK
-    ctes = [*_ctes(d, "facts"), C.KEY_PC_DIM, K.QUALITY_EXT, *K.voicings(), *K.successive(), *K.motions(), *K.color_axes(), *K.color_norms(d), *transitions(d), *requests(), *candidates()]
+    ctes = [*_ctes(d, "roman"), C.KEY_PC_DIM, K.QUALITY_EXT, *K.voicings(), *K.successive(), *K.motions(), *K.color_axes()]
+    if name in ("candidate_features", "candidate_plausibility", "intent_score"):
+        ctes += [*EXPECTED_SQL, *K.expected_axes(), *K.color_norms(d)]
+    ctes += [*vocabulary(), *MODEL_SQL, _ASKED]
+    if name == "substitutes":
+        ctes += [
+            "reqs AS (SELECT DISTINCT array_to_string(hist, ' ') || '||' AS req, hist, hist[-1] AS h1, CAST(NULL AS VARCHAR) AS h2 FROM askedpos)", *histories(), "lchain AS (SELECT req, hist, 3 AS level, 'global' AS context FROM reqs)", *plain_sql("fwd", 5, "lchain"), _NGT.format("fwd"), *plain_candidates(24),
+            "sreq AS (SELECT *, row_number() OVER () AS sid FROM (SELECT DISTINCT array_to_string(p.hist, ' ') || '||' AS req, p.hist, p.hist[-1] AS l, p.token AS o, p.r, p.pos % 2 = 0 AS keep_function, p.pos % 3 = 0 AS smooth, p.pos % 5 = 0 AS surprising FROM askedpos p JOIN token_dim a ON a.token = p.hist[-1] JOIN token_dim b ON b.token = p.token LEFT JOIN token_dim c ON c.token = p.r WHERE p.r IS NULL OR c.token IS NOT NULL))",
+            "sask AS (SELECT s.sid, c.token AS cand, list_append(s.hist, c.token)[-4:] AS hist, s.r AS token FROM sreq s JOIN cand c ON c.req = s.req WHERE s.r IS NOT NULL)", "asked AS (SELECT *, array_to_string(hist, ' ') || '||' AS req FROM sask)",
+            "chain AS (SELECT DISTINCT req, hist, 3 AS level, 'global' AS context FROM asked)", "kinds AS (SELECT token, token AS class FROM seq WHERE FALSE)", *likelihood_sql(), "sright AS (SELECT a.sid, a.cand AS token, k.p FROM asked a JOIN likely k ON k.req = a.req AND k.token = a.token)",
+            *progressions("SELECT token AS a, CAST(NULL AS VARCHAR) AS b FROM cand UNION SELECT l, NULL FROM sreq UNION SELECT o, NULL FROM sreq UNION SELECT r, NULL FROM sreq WHERE r IS NOT NULL"), *_profile_steps(), *substitutes(),
+        ]
+        return T.query([CHORD_SQL, *ctes], SELECTS[name])
+    ctes += [*transitions(d), _RG, _HELD, _REQS, CHAIN_SQL, *LIFT, *histories(), _NGT.format("dist")]
+    if name == "recommend_eval":
+        ctes += [*plain_candidates(30), *progressions(_PAIRS), *_profile_steps(), *features(False), f"bench AS (SELECT DISTINCT req FROM (SELECT req FROM askedpos JOIN hreq USING (req) ORDER BY md5('{BENCH_SEED}:' || place), place LIMIT {BENCHMARKED}))", _EVAL_DIM, *scored_queries(), greedy_sql("picked", "squery", 30), *evaluation()]
+        return T.query([CHORD_SQL, *ctes], SELECTS[name]).replace("WITH", "WITH RECURSIVE", 1)
+    ctes += [_SIMS, *candidates()]
     if name != "candidate_sources":
-        ctes += [*progressions(), *_profile_steps(), *features(), _INTENT_DIM, _EV]
+        ctes += [*progressions(_PAIRS), *_profile_steps(), *features(), _INTENT_DIM]
     return T.query([CHORD_SQL, *ctes], SELECTS[name])
 
 
+#: Seed of the positions that the intents are tried on.
+BENCH_SEED = 53
+
+
+# ---- Spark ---------------------------------------------------------------------------------------------------------
+
+
+class _Asked:
+    """The model of the train split, the asked positions of a split, and their requests; views hreq, ngt, theory_dim's tokens."""
+
+    def __init__(self, spark, split: str = "test", contexts: bool = True):
+        rows = spark.table("cseq").select("song", "ordinal", "idx", "token", "genre", "section", "decade").withColumn("split", P.assign_split(F.col("song")))
+        self.model = chord_model(spark, rows.filter("split = 'train'"))
+        held = rows.filter(F.col("split") == split).withColumn("r", F.lead("token").over(Window.partitionBy("song", "ordinal").orderBy("idx"))).withColumn("pos", F.col("idx").cast("long"))
+        places = held.select(F.concat_ws(":", "song", "ordinal", "pos").alias("place"), "pos", "r")
+        if not contexts:
+            held = held.withColumn("genre", F.lit(None).cast("string")).withColumn("section", F.lit(None).cast("string"))
+        self.positions = materialize(P.held_positions(held).join(places, "place"), "asked")
+        ends = {"h1": F.element_at("hist", -1), "h2": F.try_element_at("hist", F.lit(-2))}
+        self.requests = materialize(self.positions.select("req", "hist", "genre", "section").distinct().withColumns(ends), "requests")
+        self.requests.createOrReplaceTempView("reqs")
+        for relation in ("theory_dim", "token_dim"):
+            _view(spark, relation, [C.QUALITY_DIM, T.DEGREE_DIM, *vocabulary()])
+        _view(spark, "hreq", histories())
+        known = self.requests.join(spark.table("hreq").select("req"), "req", "left_semi")
+        p = P.distribution(materialize(self.model.evidence(known), "evidence"))
+        by = Window.partitionBy("req").orderBy(F.desc(F.round("p", 12)), "token")
+        materialize(p.withColumn("rk", F.row_number().over(by)), "ngt").createOrReplaceTempView("ngt")
+
+
+def _graph(spark) -> None:
+    """Views rg and sims: the global graph, and the functions nearest to each by vectors of it."""
+    _view(spark, "rtr", transitions(T.SPARK))
+    _view(spark, "rg", [_RG])
+    v = materialize(E.fastrp(spark.sql("SELECT a AS src, b AS dst, count FROM rg"), DIMS), "function-vectors")
+    other = v.select(F.col("token").alias("t2"), "dim", F.col("value").alias("y"))
+    met = v.join(other, "dim").filter((F.col("token") != F.col("t2")) & (F.col("token").substr(1, 1) == F.col("t2").substr(1, 1)))  # functions by functions: a vocabulary
+    s = met.groupBy(F.col("token").alias("t1"), "t2").agg(F.round(F.sum(F.col("value") * F.col("y")), 9).alias("s"))
+    materialize(s.withColumn("rk", F.row_number().over(Window.partitionBy("t1").orderBy(F.desc("s"), "t2"))), "sims").createOrReplaceTempView("sims")
+
+
+def _spark_features(spark, corpus: bool) -> None:
+    """Views cx (cf) and cl, over cand."""
+    known = [C.QUALITY_DIM, K.REFERENCE_DIM, *progressions(_PAIRS)]
+    for relation in ("pch", "pkeys"):
+        _view(spark, relation, known)
+    _profile_views(spark)
+    steps = [C.KEY_PC_DIM, K.REFERENCE_DIM, *features(corpus)]
+    late = ("cs AS", "cp AS", "cl AS")
+    _view(spark, "cx", [x for x in steps if not x.startswith(late)])
+    _view(spark, "cl", [x for x in steps if x.startswith(late)])
+    spark.table("cx").createOrReplaceTempView("cf")
+
+
+def _substitutes(spark, sf):
+    asked = _Asked(spark, contexts=False)
+    _view(spark, "cand", plain_candidates(24))
+    real = spark.table("token_dim").select("token")
+    s = asked.positions.select("req", "hist", F.element_at("hist", -1).alias("l"), F.col("actual").alias("o"), "r", (F.col("pos") % 2 == 0).alias("keep_function"), (F.col("pos") % 3 == 0).alias("smooth"), (F.col("pos") % 5 == 0).alias("surprising")).distinct()
+    s = s.join(real.withColumnRenamed("token", "l"), "l", "left_semi").join(real.withColumnRenamed("token", "o"), "o", "left_semi").join(real.select(F.col("token").alias("r"), F.lit(1).alias("known")), "r", "left").filter("r IS NULL OR known = 1").drop("known")
+    s = materialize(s.withColumn("sid", F.concat_ws("|", "req", "o", F.coalesce("r", F.lit("")), "keep_function", "smooth", "surprising")), "places")
+    s.createOrReplaceTempView("sreq")
+    null = F.lit(None).cast("string")
+    after = s.filter("r IS NOT NULL").join(spark.table("cand").select("req", F.col("token").alias("cand")), "req").select("sid", "cand", F.slice(F.concat("hist", F.array("cand")), F.greatest(F.lit(1), F.size("hist") - 2), 4).alias("hist"), F.col("r").alias("token"), null.alias("genre"), null.alias("section"))
+    after = materialize(after.withColumn("req", P.request_key("hist")), "asks-after")
+    p = L.likelihoods(after.select("req", "hist", "genre", "section").distinct(), after, asked.model, keep=materialize)
+    materialize(after.join(p, ["req", "token"]).select("sid", F.col("cand").alias("token"), "p"), "sright").createOrReplaceTempView("sright")
+    singles = "SELECT token AS a, CAST(NULL AS STRING) AS b FROM cand UNION SELECT l, NULL FROM sreq UNION SELECT o, NULL FROM sreq UNION SELECT r, NULL FROM sreq WHERE r IS NOT NULL"
+    for relation in ("pch", "pkeys"):
+        _view(spark, relation, [C.QUALITY_DIM, K.REFERENCE_DIM, *progressions(singles)])
+    _profile_views(spark, ("p_roman", "p_vroot"))
+    _view(spark, "sall", substitutes()[2:3])
+    _view(spark, "svoice", substitutes()[1:2])
+    return spark.sql(T.query([substitutes()[0], *substitutes()[3:]], SELECTS["substitutes"]))
+
+
+def _held(asked: _Asked):
+    return asked.positions.groupBy("req", "actual").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _evaluated(spark, sf):
+    asked = _Asked(spark)
+    _view(spark, "cand", plain_candidates(30))
+    _spark_features(spark, False)
+    materialize(_held(asked), "held").createOrReplaceTempView("held")
+    real = asked.positions.join(spark.table("hreq").select("req"), "req", "left_semi")
+    materialize(P.sample_positions(real, BENCHMARKED, BENCH_SEED).select("req").distinct(), "bench").createOrReplaceTempView("bench")
+    _view(spark, "squery", [_EVAL_DIM, *scored_queries()])
+    materialize(E.greedy_diverse(spark.table("squery"), 30), "picked").createOrReplaceTempView("picked")
+    return spark.sql(T.query(evaluation(), SELECTS["recommend_eval"]))
+
+
+def fit_plausibility(spark, sf, cap: int = 14):
+    """feature, weight, fitted to the positions of the dev split (even songs; shrinkage and epochs are chosen on odd ones), with the losses on the test split before and after."""
+    spark = isolated(spark)
+    _colored(spark, sf, False)
+    made = {}
+    for split in ("dev", "test"):
+        asked = _Asked(spark, split)
+        _view(spark, "base", [*plain_candidates(cap)[:-1], plain_candidates(cap)[-1].replace("cand AS", "base AS")])
+        actual = asked.positions.select("req", F.col("actual").alias("token"), (F.substring_index("place", ":", 1).cast("long") % 2).alias("odd")).groupBy("req", "token", "odd").agg(F.count(F.lit(1)).alias("n"))
+        materialize(actual, "actual").createOrReplaceTempView("actual")
+        # the actual token is a candidate too, where it can be realised in the mode
+        observed = "SELECT DISTINCT a.req, a.token FROM actual a JOIN hreq r ON r.req = a.req JOIN token_dim t ON t.token = a.token LEFT ANTI JOIN base b ON b.req = a.req AND b.token = a.token WHERE substr(a.token, 1, 1) = r.m"
+        _view(spark, "cand", [f"cand AS (SELECT req, token, ngram_p, graph_p, similarity, place FROM base UNION ALL SELECT o.req, o.token, coalesce(n.p, 0e0), 0e0, CAST(NULL AS DOUBLE), 0 FROM ({observed}) o LEFT JOIN ngt n ON n.req = o.req AND n.token = o.token)"])
+        _spark_features(spark, False)
+        rows = spark.table("cx").alias("c").join(spark.table("actual").select("req", F.col("token").alias("actual"), "odd", "n"), "req").filter("place > 0 OR token = actual")
+        rows = rows.withColumn("query", F.concat_ws("|", "req", "actual", "odd")).withColumn("is_actual", F.col("token") == F.col("actual"))
+        made[split] = materialize(W.examples(rows, list(WEIGHTS), "odd"), f"examples-{split}")
+    prior = [6.0 if f == "log_p_ngram" else 0.0 for f in WEIGHTS]
+    weights, _ = W.fit(made["dev"].filter("odd = 0"), made["dev"].filter("odd = 1"), prior)
+    before, after = W.step(made["test"], prior)[0], W.step(made["test"], weights)[0]
+    return spark.createDataFrame([(f, round(w, 8), round(before, 8), round(after, 8)) for f, w in zip(WEIGHTS, weights, strict=True)], "feature string, weight double, test_loss_prior double, test_loss double")
+
+
 def _spark(name: str):
     def run(spark, sf):
-        _colored(spark, sf, True)
-        _view(spark, "norms", K.color_norms(T.SPARK))
-        _view(spark, "rtr", transitions(T.SPARK))
-        asked = [C.QUALITY_DIM, T.DEGREE_DIM, *requests()]
-        for relation in ("h3", "token_dim", "hreq"):
-            _view(spark, relation, asked)
-        found = candidates()
-        _view(spark, "rg", found[:1])
-        _view(spark, "cand", [asked[2], *found[1:]])
-        if name == "candidate_sources":
-            return spark.sql(SELECTS[name])
-        known = [C.QUALITY_DIM, K.REFERENCE_DIM, *progressions()]
-        for relation in ("hs", "pch", "pkeys"):
-            _view(spark, relation, known)
-        _profile_views(spark)
-        steps = [C.KEY_PC_DIM, K.REFERENCE_DIM, *features()]
-        _view(spark, "cx", [x for x in steps if not x.startswith(("cs AS", "cp AS", "cl AS"))])
-        _view(spark, "cl", [x for x in steps if x.startswith(("cs AS", "cp AS", "cl AS"))])
-        spark.table("cx").createOrReplaceTempView("cf")
-        return spark.sql(T.query([_INTENT_DIM, _EV], SELECTS[name]))
+        spark = isolated(spark)
+        _colored(spark, sf, False)
+        if name == "substitutes":
+            return _substitutes(spark, sf)
+        if name == "recommend_eval":
+            return _evaluated(spark, sf)
+        if name != "candidate_sources":
+            _measured(spark)
+            _view(spark, "norms", K.color_norms(T.SPARK))
+        _Asked(spark)
+        _graph(spark)
+        _view(spark, "cand", candidates())
+        if name != "candidate_sources":
+            _spark_features(spark, True)
+        return spark.sql(T.query([_INTENT_DIM], SELECTS[name]))
 
     run.__name__ = name
     return run
 
 
-QUERIES = {n: _spark(n) for n in SELECTS}
+QUERIES = {n: _spark(n) for n in SELECTS} | {"fit_plausibility": fit_plausibility}
 ORACLE = {n: _duck(n) for n in SELECTS}

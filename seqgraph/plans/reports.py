@@ -7,7 +7,7 @@ from ..operators import color as K
 from ..operators import graph as G
 from ..operators import sequence as S
 from ..operators import theory as T
-from ..sources.fixtures import CHORD_SQL, CONTEXT_SQL, materialize
+from ..sources.fixtures import CHORD_SQL, CONTEXT_SQL, isolated, materialize
 from .color import _ABST, _colored, _profile_steps
 from .harmony import _ctes, _staged, _view
 from .operations import TOP, VEC, _vectors
@@ -177,6 +177,7 @@ def _graph_views(spark, sf, colored: bool) -> None:
 
 def _spark(name: str):
     def run(spark, sf):
+        spark = isolated(spark)
         if name in REPORTS:
             depth, ctes, select = REPORTS[name]
             rules = _staged(spark, sf, depth)

@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def isolated(spark: SparkSession) -> SparkSession:
+    """A session with the same settings and views of its own, so that queries meet neither each other's views nor the user's."""
+    own = spark.newSession()
+    for row in spark.sql("SET").collect():
+        if spark.conf.isModifiable(row["key"]):
+            own.conf.set(row["key"], row["value"])
+    return own
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder (spark.checkpoint.dir), for results that several branches read."""
     spark = df.sparkSession

@@ -30,6 +30,9 @@ def test_realised_tokens(spark):
     tokens = [("major", "M:V7/V"), ("major", "M:ii"), ("minor", "m:VII"), ("major", "M:viio7/vi"), ("major", "M:subV7/V"), ("major", "M:?"), ("major", "M:bVImaj7")]
     spark.createDataFrame(tokens, "mode string, token string").createOrReplaceTempView("some_tokens")
     got = {r["token"]: (r["root_pc"], r["quality"]) for r in spark.sql(T.query([C.QUALITY_DIM, T.DEGREE_DIM, *K.realized("some_tokens")], SELECTS["token_dim"])).collect()}
+    lof = {r["token"]: r["lof"] for r in spark.sql(T.query([C.QUALITY_DIM, T.DEGREE_DIM, *K.realized("some_tokens")], "SELECT token, lof FROM token_dim")).collect()}
+    # D, D, G, G# (the leading tone of A), Ab (above G), Ab
+    assert lof == {"M:V7/V": 2, "M:ii": 2, "m:VII": 1, "M:viio7/vi": 8, "M:subV7/V": -4, "M:bVImaj7": -4}
     assert got == {"M:V7/V": (2, "7"), "M:ii": (2, "min"), "m:VII": (7, "maj"), "M:viio7/vi": (8, "dim7"), "M:subV7/V": (8, "7"), "M:bVImaj7": (8, "maj7")}
 
 
@@ -52,3 +55,23 @@ def test_normalised_by_percentiles(spark, value, want):
     got = spark.sql(f"SELECT {K.normalized(value)} AS x FROM (SELECT 0.0e0 AS p05, 10.0e0 AS p95) n").first()["x"]
     assert got == pytest.approx(want)
     assert spark.sql(f"SELECT {K.normalized(value)} AS x FROM (SELECT 3.0e0 AS p05, 3.0e0 AS p95) n").first()["x"] == 0.5
+
+
+def test_axes_with_a_model(spark):
+    """Surprise in bits; a cadence makes seven tenths of resolution, the chance of a tonic the rest."""
+    own = spark.newSession()
+    axes = "chromaticity double, brightness double, tension double, stability double, smoothness double, complexity double, resolution double, arrival int"
+    own.createDataFrame([(1, 0, 0, "M:V", 0.0, 0.1, 0.2, 0.3, None, 0.0, None, 0), (1, 0, 1, "M:I", 0.0, 0.1, 0.2, 0.3, 0.5, 0.0, 0.95, 1), (1, 0, 2, "M:vi", 0.0, 0.1, 0.2, 0.3, 0.5, 0.0, 0.0, 0)], "song long, ordinal long, idx int, token string, " + axes).createOrReplaceTempView("color")
+    own.createDataFrame([(1, 0, 0, 0.25, None), (1, 0, 1, 0.5, 0.4), (1, 0, 2, 0.0, 1.0)], "song long, ordinal long, idx int, p_token double, p_class double").createOrReplaceTempView("told")
+    got = [(r["surprise"], r["resolution"], r["finality"]) for r in own.sql(T.query(K.expected_axes(), "SELECT * FROM color9 ORDER BY idx")).collect()]
+    assert got[0] == (2.0, None, None)
+    assert got[1] == pytest.approx((1.0, 0.7 * 0.95 + 0.3 * 0.4, 0.7 * 0.95 + 0.3 * 0.4))
+    assert got[2] == pytest.approx((19.931568569, 0.3, 0.0))
+    norms = {(r["axis"], r["subject_type"]): r for r in own.sql(T.query([*K.expected_axes(), *K.color_norms(T.SPARK)], "SELECT * FROM norms")).collect()}
+    assert norms["surprise", "transition"]["count"] == 2 and norms["surprise", "chord"]["mean"] == 2.0 and ("smoothness", "chord") not in norms
+
+
+def test_tonic_numerals(spark):
+    tokens = {"M:I": True, "M:Imaj7": True, "m:i7": True, "M:vi7": True, "m:III": True, "M:V7/vi": False, "M:bVI": False, "M:viio7/ii": False, "M:iii": True, "m:bIII": False}
+    got = spark.createDataFrame([(t,) for t in tokens], "token string").selectExpr("token", f"{K.tonic()} AS t").collect()
+    assert {r["token"]: r["t"] for r in got} == tokens
