@@ -72,10 +72,32 @@ def stream_transitions(spark, sf):
     return pairs.groupBy("from_token", "to_token").agg(F.count(F.lit(1)).alias("count"))
 
 
+#: Micro-batches that the events come in, by quarters of their time.
+BATCHES = 4
+
+
+def _quartered(spark, sf):
+    """Events with the quarter of the table's time that they fall in."""
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    bounds = e.agg(F.min(F.unix_timestamp("ts")).alias("lo"), F.max(F.unix_timestamp("ts")).alias("hi"))  # one row
+    part = F.floor(BATCHES * (F.unix_timestamp("ts") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1)))
+    return e.join(F.broadcast(bounds)).withColumn("slot", F.least(F.lit(BATCHES - 1), part)).drop("lo", "hi")
+
+
+def stream_hourly_counts(spark, sf):
+    """The last count told of each type and hour; of the first quarter, every 50th event comes with the last batch, far behind the watermark, and is dropped."""
+    late = (F.col("event_id") % 50 == 0) & (F.col("slot") == 0)
+    rows = _quartered(spark, sf).withColumn("slot", F.when(late, BATCHES - 1).otherwise(F.col("slot"))).select("event_type", "ts", "slot")
+    told = ops.run_updates(ops.hourly_counts(ops.in_batches(rows, "slot", BATCHES, _checkpoint(spark)), 4), _checkpoint(spark))
+    last = told.groupBy("event_type", "hour").agg(F.max_by(F.struct("n", "over_limit", "seconds_left"), "batch").alias("x"))
+    return last.select("event_type", F.date_format("hour", "yyyy-MM-dd HH:mm").alias("hour"), "x.*")
+
+
 def stream_dedupe(spark, sf):
-    e = _event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("key", F.concat_ws(":", "user_id", "event_type"))
-    kept = ops.run_available(ops.deduplicated(e, "key", "60 days"), _checkpoint(spark))
-    return kept.groupBy("event_type").agg(F.countDistinct("key").alias("keys"))
+    """dedupe_within() over a stream of several batches."""
+    rows = _quartered(spark, sf).withColumn("key", F.concat_ws(":", "user_id", "event_type")).select("key", "ts", "slot")
+    kept = ops.run_available(ops.stream_kept_within(ops.in_batches(rows, "slot", BATCHES, _checkpoint(spark)), "key", 7 * 86400), _checkpoint(spark))
+    return kept.select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
 def dedupe_within(spark, sf):
@@ -324,7 +346,7 @@ def publish_version(spark, sf):
 
 
 NAMES = (
-    request_metrics_24h, usage_by_model, tool_counts, daily_cost, status_census, hourly_counts, stream_transitions, stream_dedupe, dedupe_within, heavy_hitters, cosine_topk, similar_edges, seed_neighbors, pairwise_cosine, l2_normalize, vector_checks,
+    request_metrics_24h, usage_by_model, tool_counts, daily_cost, status_census, hourly_counts, stream_hourly_counts, stream_transitions, stream_dedupe, dedupe_within, heavy_hitters, cosine_topk, similar_edges, seed_neighbors, pairwise_cosine, l2_normalize, vector_checks,
     embedding_eval, facts, fact_exists, graph_filter, neighborhood, k_best_paths, merge_graphs, transition_examples, song_refs,
     examples_lookup, sample_songs, dedupe_sections, ingest_summary, split_section_markers, scan_corpus_csv, scan_corpus_jsonl, limit_songs, tokenize_progression, content_fingerprint, table_size_budget, write_artifact, validate_artifacts,
     publish_outcomes, publish_version,
@@ -360,7 +382,8 @@ ORACLE = {
     "status_census": "SELECT CASE event_type WHEN 'error' THEN 500 ELSE 200 END AS status, event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS slow FROM events GROUP BY ALL",
     "hourly_counts": "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, count(*) AS n, count(*) > 4 AS over_limit, CAST(epoch(date_trunc('hour', max(ts)) + INTERVAL 1 HOUR) - floor(epoch(max(ts))) AS BIGINT) AS seconds_left FROM events GROUP BY 1, 2",
     "stream_transitions": "SELECT from_token, to_token, count(*) AS count FROM (SELECT event_type AS from_token, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS to_token FROM events) WHERE to_token IS NOT NULL GROUP BY ALL",
-    "stream_dedupe": "SELECT event_type, count(DISTINCT user_id) AS keys FROM events GROUP BY 1",
+    "stream_hourly_counts": """SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, count(*) AS n, count(*) > 4 AS over_limit, CAST(epoch(date_trunc('hour', max(ts)) + INTERVAL 1 HOUR) - floor(epoch(max(ts))) AS BIGINT) AS seconds_left
+  FROM (SELECT *, 4 * (floor(epoch(ts)) - min(floor(epoch(ts))) OVER ()) / greatest(max(floor(epoch(ts))) OVER () - min(floor(epoch(ts))) OVER (), 1) AS part FROM events) WHERE NOT (event_id % 50 = 0 AND part < 1) GROUP BY 1, 2""",
     "dedupe_within": """WITH RECURSIVE e AS (SELECT user_id || ':' || event_type AS key, date_trunc('second', ts) AS ts FROM events),
 kept AS (SELECT key, min(ts) AS ts FROM e GROUP BY key UNION ALL SELECT key, ts FROM (SELECT k.key, e.ts, row_number() OVER (PARTITION BY k.key ORDER BY e.ts) AS r FROM kept k JOIN e ON e.key = k.key AND e.ts >= k.ts + INTERVAL 7 DAYS) WHERE r = 1)
 SELECT key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM kept""",
@@ -402,3 +425,4 @@ SELECT key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM kept""",
   UNION ALL SELECT 3, 'a', m2.rows, CASE WHEN m1.rows = m2.rows AND m1.fingerprint = m2.fingerprint THEN 'unchanged' ELSE 'refused' END, 'a', false FROM m1, m2 UNION ALL SELECT 4, 'b', rows, 'published', 'b', true FROM m2"""),
     "publish_version": sql(*TRANS, "SELECT 'b' AS version, context, from_token, to_token, count FROM trans"),
 }
+ORACLE["stream_dedupe"] = ORACLE["dedupe_within"]

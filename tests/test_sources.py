@@ -63,3 +63,30 @@ def test_diverse_choice(spark):
     rows = [("q", "a", 1.0, 7), ("q", "b", 0.95, 7), ("q", "c", 0.5, 56), ("r", "x", 1.0, 0)]
     got = {(r["query"], r["rank"]): r["token"] for r in E.greedy_diverse(spark.createDataFrame(rows, "query string, token string, score double, mask int"), 3).collect()}
     assert got == {("q", 1): "a", ("q", 2): "c", ("q", 3): "b", ("r", 1): "x"}
+
+
+def test_hourly_counts_over_batches_with_late_rows(spark):
+    """Four batches; an old row in the second is still within the watermark, one in the last is not and is dropped."""
+    t0 = datetime.datetime(2024, 1, 1, 10)
+    at = lambda h, m: t0 + datetime.timedelta(hours=h, minutes=m)
+    rows = [("a", at(0, m), 0) for m in range(3)] + [("b", at(1, 30), 0), ("a", at(2, 0), 1), ("a", at(0, 50), 1), ("a", at(9, 0), 1), ("b", at(9, 5), 2), ("b", at(9, 6), 3), ("b", at(1, 31), 3), ("a", at(9, 59), 3)]
+    df = spark.createDataFrame(rows, "event_type string, ts timestamp, slot int")
+    out = spark.conf.get("spark.checkpoint.dir")
+    told = ops.run_updates(ops.hourly_counts(ops.in_batches(df, "slot", 4, out), 3, "2 hours"), out).orderBy("batch", "event_type", "hour").collect()
+    got = [(r["event_type"], (r["hour"] - t0).seconds // 3600, r["n"], r["over_limit"]) for r in told]
+    # the first hour of a is told twice, and over its limit only once the second batch is there
+    assert got == [("a", 0, 3, False), ("b", 1, 1, False), ("a", 0, 4, True), ("a", 2, 1, False), ("a", 9, 1, False), ("b", 9, 1, False), ("a", 9, 2, False), ("b", 9, 2, False)]
+    assert told[0]["batch"] < told[2]["batch"] < told[6]["batch"]
+
+
+def test_stream_keeps_what_a_batch_keeps(spark):
+    day = datetime.timedelta(days=1)
+    t0 = datetime.datetime(2024, 1, 1)
+    days = {"a": [0, 1, 6, 7, 8, 13, 14, 15, 40], "b": [3, 4, 5, 11, 30], "c": [20]}
+    rows = [(k, t0 + d * day, min(3, d // 7)) for k, ds in days.items() for d in ds] + [("a", t0 + 2 * day, 3)]  # the last is late: 41 days behind, and a duplicate
+    df = spark.createDataFrame(rows, "key string, ts timestamp, slot int")
+    out = spark.conf.get("spark.checkpoint.dir")
+    kept = ops.run_available(ops.stream_kept_within(ops.in_batches(df, "slot", 4, out), "key", 7 * 86400), out)
+    got = sorted((r["key"], (r["ts"] - t0).days) for r in kept.collect())
+    assert got == sorted((r["key"], (r["ts"] - t0).days) for r in ops.kept_within(df, "key", 7 * 86400).collect())
+    assert got == [("a", 0), ("a", 7), ("a", 14), ("a", 40), ("b", 3), ("b", 11), ("b", 30), ("c", 20)]
