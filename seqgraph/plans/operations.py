@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..operators import artifacts as A
 from ..operators import graph as G
+from ..operators import neighbors as N
 from ..operators import predict as P
 from ..operators import sequence as S
 from ..sources.fixtures import CHORD_SQL, CONTEXT_SQL, EVENT_SQL, chord_lines, event_positions, event_sections, materialize, table
@@ -119,17 +120,33 @@ def _vectors(spark, sf):
 
 def cosine_topk(spark, sf):
     v = _vectors(spark, sf)
-    return G.cosine_topk(v.filter("id % 50 = 0"), v, 10)
+    return N.exact(v.filter("id % 50 = 0"), v, 10).select("query", "id", "cosine", "rank")
+
+
+def cosine_topk_index(spark, sf):
+    """The ten nearest of all labels for each vector whose id is divisible by 50, by the index."""
+    v = _vectors(spark, sf).withColumn("model", F.lit(0))
+    index = N.fit_index(v)
+    return N.approximate(index, v.filter("id % 50 = 0"), materialize(N.indexed(index, v), "indexed"), 10).select("query", "id", "cosine", "rank")
+
+
+def index_recall(spark, sf):
+    """How many of the exact ten nearest the index finds, how many cells it has, and how many a query looks into."""
+    v = _vectors(spark, sf).withColumn("model", F.lit(0))
+    index = N.fit_index(v)
+    q = v.filter("id % 50 = 0")
+    found = N.approximate(index, q, materialize(N.indexed(index, v), "indexed"), 10)
+    return N.recall(found, N.exact(q, v, 10)).withColumns({"cells": F.lit(len(index.centroids)), "probes": F.lit(index.probes)})
 
 
 def similar_edges(spark, sf):
     v = _vectors(spark, sf)
-    return G.cosine_topk(v, v, 10).select(F.col("query").alias("src"), F.col("id").alias("dst"), F.col("cosine").alias("weight"))
+    return N.exact(v, v, 10).select(F.col("query").alias("src"), F.col("id").alias("dst"), F.col("cosine").alias("weight"))
 
 
 def seed_neighbors(spark, sf):
     v = _vectors(spark, sf)
-    near = G.cosine_topk(v.filter("id % 50 = 0"), v, 10)
+    near = N.exact(v.filter("id % 50 = 0"), v, 10)
     return near.groupBy("id").agg(F.max("cosine").alias("similarity")).orderBy(F.desc("similarity"), "id").limit(50)
 
 
@@ -155,7 +172,7 @@ def vector_checks(spark, sf):
 def embedding_eval(spark, sf):
     """Share of the five nearest vectors (any label) with the query's label."""
     v = _vectors(spark, sf).withColumnRenamed("model", "label").withColumn("model", F.lit(0))
-    near = G.cosine_topk(v.filter("id % 50 = 0"), v, 5)
+    near = N.exact(v.filter("id % 50 = 0"), v, 5)
     label = v.select("id", "label")
     hit = near.join(label, "id").join(label.select(F.col("id").alias("query"), F.col("label").alias("own")), "query")
     return hit.agg(F.avg((F.col("label") == F.col("own")).cast("double")).alias("purity"))
@@ -346,7 +363,7 @@ def publish_version(spark, sf):
 
 
 NAMES = (
-    request_metrics_24h, usage_by_model, tool_counts, daily_cost, status_census, hourly_counts, stream_hourly_counts, stream_transitions, stream_dedupe, dedupe_within, heavy_hitters, cosine_topk, similar_edges, seed_neighbors, pairwise_cosine, l2_normalize, vector_checks,
+    request_metrics_24h, usage_by_model, tool_counts, daily_cost, status_census, hourly_counts, stream_hourly_counts, stream_transitions, stream_dedupe, dedupe_within, heavy_hitters, cosine_topk, cosine_topk_index, index_recall, similar_edges, seed_neighbors, pairwise_cosine, l2_normalize, vector_checks,
     embedding_eval, facts, fact_exists, graph_filter, neighborhood, k_best_paths, merge_graphs, transition_examples, song_refs,
     examples_lookup, sample_songs, dedupe_sections, ingest_summary, split_section_markers, scan_corpus_csv, scan_corpus_jsonl, limit_songs, tokenize_progression, content_fingerprint, table_size_budget, write_artifact, validate_artifacts,
     publish_outcomes, publish_version,
