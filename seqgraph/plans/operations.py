@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import artifacts as A
+from ..operators import examples as X
 from ..operators import graph as G
 from ..operators import neighbors as N
 from ..operators import predict as P
 from ..operators import sequence as S
 from ..sources.fixtures import CHORD_SQL, CONTEXT_SQL, EVENT_SQL, chord_lines, event_positions, event_sections, materialize, table
 from ..streaming import ops
+from .prediction import SPLIT_SQL
 from .sequences import KEPT_SQL, MIN_CONTEXT, MIN_SUPPORT, PAIR_SQL, PATTERN_SQL, TRANSITION_SQL, found_patterns, sql
 
 # ---- logs and streams ----------------------------------------------------------------------------------------------
@@ -111,6 +113,16 @@ def heavy_hitters(spark, sf):
     return once.groupBy(S.smallest_rotation(F.col("w"))["pattern"].alias("pattern")).agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_SUPPORT)
 
 
+def heavy_hitters_sketch(spark, sf):
+    """Of the windows by a summary of bounded size: how many occur often, how many of these the summary misses, and how many counts lie outside its bounds."""
+    w = materialize(S.windows(event_sections(spark, sf)).select(F.col("w").alias("item"), "n"), "windows")
+    exact = w.groupBy("item").agg(F.sum("n").alias("n"))
+    both = exact.join(X.heavy_hitters(w, MIN_SUPPORT), "item", "full_outer")
+    often = F.col("n") >= MIN_SUPPORT
+    return both.agg(F.count_if(often).alias("frequent"), F.count_if(often & F.col("low").isNull()).alias("missed"), F.count_if(F.col("low").isNotNull() & ((F.col("n") < F.col("low")) | (F.col("n") > F.col("high")))).alias("outside"))
+
+
+
 # ---- vectors -------------------------------------------------------------------------------------------------------
 
 
@@ -224,13 +236,20 @@ def merge_graphs(spark, sf):
 # ---- examples ------------------------------------------------------------------------------------------------------
 
 
-def transition_examples(spark, sf, seed: int = 5, first: int = 20, keep: int = 5):
-    """For each pair: of its first places in corpus order, the ones with an external id first, then by seeded hash."""
+def transition_examples(spark, sf, top: int = 50):
+    """For each of the most frequent pairs: of its first places in corpus order, the ones with an external id first, then by seeded hash."""
     b = S.bigrams(event_positions(spark, sf)).select("from_token", "to_token", "song", "ordinal", "pos", F.when(F.col("song") % 3 != 0, F.col("song")).alias("external"))
-    pair = Window.partitionBy("from_token", "to_token")
-    early = b.withColumn("o", F.row_number().over(pair.orderBy("song", "ordinal", "pos"))).filter(F.col("o") <= first)
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), "from_token", "to_token", "song", "ordinal", "pos"))
-    return early.withColumn("rank", F.row_number().over(pair.orderBy(F.col("external").isNull(), order))).filter(F.col("rank") <= keep).select("from_token", "to_token", "song", "ordinal", "pos", "rank")
+    often = b.groupBy("from_token", "to_token").count().orderBy(F.desc("count"), "from_token", "to_token").limit(top)
+    b = b.join(F.broadcast(often.drop("count")), ["from_token", "to_token"], "left_semi")  # top rows
+    return X.chosen(b, "from_token", "to_token").select("from_token", "to_token", "song", "ordinal", "pos", "rank")
+
+
+def pattern_examples(spark, sf):
+    """Five places of each frequent pattern, chosen as those of transitions."""
+    sections = materialize(event_sections(spark, sf), "sections")
+    found = S.patterns(sections, MIN_SUPPORT, MIN_CONTEXT, keep=materialize)[0]
+    places = X.pattern_places(sections, found, keep=materialize).withColumn("external", F.when(F.col("song") % 3 != 0, F.col("song")))
+    return X.chosen(places, "pattern").select("pattern", "song", "ordinal", "section", "pos", F.col("offset").alias("turned"), "rank")
 
 
 def song_refs(spark, sf):
@@ -238,8 +257,20 @@ def song_refs(spark, sf):
     return event_positions(spark, sf).select("song", "genre", "decade").distinct().join(used, "song", "left_semi")
 
 
+def _example_requests(spark, sf):
+    """A request for each pair, section name, genre and decade that follow each other in the test split: what it gives of the three goes by the first place."""
+    p = event_positions(spark, sf).withColumn("split", P.assign_split(F.col("song"))).filter("split = 'test'")
+    b = S.bigrams(p).groupBy("from_token", "to_token", "genre", "section", "decade").agg(F.min("pos").alias("at"))
+    some = lambda c, *kinds: F.when((F.col("at") % 5).isin(*kinds), F.col(c)).alias(c)
+    asked = b.select("from_token", "to_token", some("genre", 1, 4), some("section", 2, 4), some("decade", 3), F.lit(3).alias("limit")).distinct()
+    return asked.withColumn("req", F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("from_token", "to_token", "genre", "section", "decade")]))
+
+
 def examples_lookup(spark, sf):
-    return transition_examples(spark, sf).join(song_refs(spark, sf), "song").filter("rank <= 2 AND genre = 'g1'").select("from_token", "to_token", "song", "rank", "decade")
+    """The three best examples for each request."""
+    sections = event_positions(spark, sf).select("song", "ordinal", "section").distinct()
+    known = transition_examples(spark, sf).join(song_refs(spark, sf), "song").join(sections, ["song", "ordinal"])
+    return X.by_context(_example_requests(spark, sf), materialize(known, "examples"), "from_token", "to_token").select("req", "from_token", "to_token", "song", "ordinal", "pos", "rank", "nth")
 
 
 def sample_songs(spark, sf):
@@ -363,8 +394,8 @@ def publish_version(spark, sf):
 
 
 NAMES = (
-    request_metrics_24h, usage_by_model, tool_counts, daily_cost, status_census, hourly_counts, stream_hourly_counts, stream_transitions, stream_dedupe, dedupe_within, heavy_hitters, cosine_topk, cosine_topk_index, index_recall, similar_edges, seed_neighbors, pairwise_cosine, l2_normalize, vector_checks,
-    embedding_eval, facts, fact_exists, graph_filter, neighborhood, k_best_paths, merge_graphs, transition_examples, song_refs,
+    request_metrics_24h, usage_by_model, tool_counts, daily_cost, status_census, hourly_counts, stream_hourly_counts, stream_transitions, stream_dedupe, dedupe_within, heavy_hitters, heavy_hitters_sketch, cosine_topk, cosine_topk_index, index_recall, similar_edges, seed_neighbors, pairwise_cosine, l2_normalize, vector_checks,
+    embedding_eval, facts, fact_exists, graph_filter, neighborhood, k_best_paths, merge_graphs, transition_examples, pattern_examples, song_refs,
     examples_lookup, sample_songs, dedupe_sections, ingest_summary, split_section_markers, scan_corpus_csv, scan_corpus_jsonl, limit_songs, tokenize_progression, content_fingerprint, table_size_budget, write_artifact, validate_artifacts,
     publish_outcomes, publish_version,
 )
@@ -423,7 +454,17 @@ SELECT key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM kept""",
     "merge_graphs": sql(*TRANS, "SELECT src, dst, context, count FROM (SELECT from_token AS src, to_token AS dst, context, count, row_number() OVER (PARTITION BY from_token, to_token ORDER BY context DESC) AS r FROM trans WHERE context IN ('global', 'section:verse')) WHERE r = 1"),
     "transition_examples": sql(EVENT_SQL, EX, "SELECT from_token, to_token, song, ordinal, pos, rank FROM ex"),
     "song_refs": sql(EVENT_SQL, EX, SONG, "SELECT * FROM sg WHERE song IN (SELECT song FROM ex)"),
-    "examples_lookup": sql(EVENT_SQL, EX, SONG, "SELECT from_token, to_token, song, rank, decade FROM ex JOIN sg USING (song) WHERE rank <= 2 AND genre = 'g1'"),
+    "pattern_examples": sql(EVENT_SQL, CONTEXT_SQL, KEPT_SQL, PATTERN_SQL,
+        """plc AS (SELECT t.song, t.ordinal, q.section, t.pos, t.k, array_to_string(t.best.r, ' ') AS pattern FROM (SELECT *, best.k AS k, i - 1 AS pos FROM (SELECT *, list_sort([{'r': list_concat(w[z + 1:], w[1:z]), 'k': z} FOR z IN range(0, length)])[1] AS best FROM (
+  SELECT song, ordinal, n AS length, i, toks[i:i + n - 1] AS w FROM (SELECT *, unnest(range(1, len(toks) - n + 2)) AS i FROM secs, (SELECT unnest([3, 4, 5, 6, 7, 8]) AS n))))) t JOIN (SELECT DISTINCT song, ordinal, section FROM seq) q USING (song, ordinal))""",
+        "erl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY song, ordinal, pos) AS o FROM plc WHERE pattern IN (SELECT pattern FROM pats)) WHERE o <= 20)",
+        "SELECT pattern, song, ordinal, section, pos, k AS turned, rank FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY song % 3 = 0, md5('5:' || pattern || ':' || song || ':' || ordinal || ':' || pos)) AS rank FROM erl) WHERE rank <= 5"),
+    "heavy_hitters_sketch": sql(EVENT_SQL, CONTEXT_SQL, KEPT_SQL, PATTERN_SQL, f"SELECT count(*) AS frequent, 0 AS missed, 0 AS outside FROM (SELECT w FROM wins GROUP BY w HAVING count(*) >= {MIN_SUPPORT})"),
+    "examples_lookup": sql(EVENT_SQL.replace("seq AS (", "seq0 AS ("), SPLIT_SQL, "seq AS (SELECT * FROM seq0)", EX, SONG,
+        "tb AS (SELECT from_token, to_token, genre, section, decade, min(pos) % 5 AS z FROM (SELECT token AS from_token, lead(token) OVER (PARTITION BY song, ordinal ORDER BY pos) AS to_token, genre, section, decade, pos FROM seq0 JOIN spl USING (song) WHERE split = 'test') WHERE to_token IS NOT NULL GROUP BY ALL)",
+        "ask AS (SELECT DISTINCT from_token, to_token, CASE WHEN z IN (1, 4) THEN genre END AS genre, CASE WHEN z IN (2, 4) THEN section END AS section, CASE WHEN z = 3 THEN decade END AS decade FROM tb)",
+        "fnd AS (SELECT concat_ws('|', a.from_token, a.to_token, coalesce(a.genre, ''), coalesce(a.section, ''), coalesce(a.decade, '')) AS req, e.from_token, e.to_token, e.song, e.ordinal, e.pos, e.rank FROM ask a JOIN (SELECT ex.*, sg.genre, sg.decade, s.section FROM ex JOIN sg USING (song) JOIN (SELECT DISTINCT song, ordinal, section FROM seq0) s USING (song, ordinal)) e ON e.from_token = a.from_token AND e.to_token = a.to_token AND (a.genre IS NULL OR a.genre = e.genre) AND (a.section IS NULL OR a.section = e.section) AND (a.decade IS NULL OR a.decade = e.decade))",
+        "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY req ORDER BY rank, song, ordinal, pos) AS nth FROM fnd) WHERE nth <= 3"),
     "sample_songs": sql(EVENT_SQL, SECS, "SELECT song, ordinal, body AS tokens FROM sc WHERE song IN (SELECT song FROM (SELECT DISTINCT song FROM sc) ORDER BY md5('9:' || song) LIMIT 5)"),
     "dedupe_sections": sql(EVENT_SQL, SECS, DEDUP, "SELECT song, body, section, repeat_count, row_number() OVER (PARTITION BY song ORDER BY f) - 1 AS ordinal FROM dd"),
     "ingest_summary": sql(EVENT_SQL.replace("seq AS (", "seq0 AS ("), "dig AS (SELECT song, [instr('0123456789abcdef', c) - 1 FOR c IN string_split(sha256(CAST(song AS VARCHAR)), '')] AS d FROM (SELECT DISTINCT song FROM seq0))",
