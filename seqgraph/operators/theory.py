@@ -93,6 +93,53 @@ def key_scores(rows: str, out: str, by: str = "song, ordinal") -> list[str]:
 KEY_DIMS = [C.TONE_DIM, C.KEY_DIM, C.PROFILE_DIM]
 
 
+def key_scores_wide(rows: str, out: str, by: str = "song, ordinal") -> list[str]:
+    """The relations {out}_sal, {out}_x and {out} of key_scores(), in Spark's SQL: a sequence's sums for all keys in one aggregate, and its keys ranked as one array.
+
+    Chord rows never meet the 24 keys; windows and the aggregate need one shuffle, as they group by the same columns.
+    """
+    w, t12, half = C.KEY_WEIGHTS, range(12), {"major": C.mask(C.SCALES["major"]), "minor": C.mask(C.SCALES["minor"]), "union": C.mask(C.SCALES["minor_union"])}
+    turned = lambda m, by_: ((m << by_) | (m >> (12 - by_))) & 4095
+    outside = {(name, t): 4095 - turned(m, t) for name, m in half.items() for t in t12}
+    keys = [(2 * t + k, t, mode) for t in t12 for k, mode in enumerate(("major", "minor"))]
+    weights = {q: [0.0] * 12 for q in C.QUALITIES}
+    for q, tones in C.QUALITIES.items():
+        for i, step in enumerate(tones):
+            weights[q][step % 12] += C.POSITION_WEIGHTS[min(i, 6)]
+    sal = ", ".join(f"sum(v[{i} + 12 - root_pc] + CASE WHEN bass_pc = {i} THEN {C.BASS_WEIGHT}D ELSE 0D END)" for i in t12)
+    fits = ", ".join(f"sum(CASE WHEN core & {outside['major', t]} = 0 THEN 1 ELSE 0 END)" if mode == "major" else f"sum(CASE WHEN core & CASE WHEN soft OR root_pc = {(t + 7) % 12} THEN {outside['union', t]} ELSE {outside['minor', t]} END = 0 THEN 1 ELSE 0 END)" for _, t, mode in keys)
+    cads = ", ".join(f"sum(CASE WHEN root_pc = {(t + 7) % 12} AND nroot = {t} AND qclass IN ('dom7', 'maj', 'aug') THEN 1 ELSE 0 END)" for t in t12)
+    plags = ", ".join(f"sum(CASE WHEN root_pc = {(t + 5) % 12} AND nroot = {t} AND qclass IN ('min', 'min7') AND nclass IN ('maj', 'maj7') THEN 1 ELSE 0 END)" for t in t12)
+    profile = {no: [C.PROFILES[mode][(pc - t) % 12] for pc in t12] for no, t, mode in keys}
+    # written out for each key: plain arithmetic stays in generated code, lambdas don't
+    dots = ", ".join(" + ".join(f"{x}D * sal[{i}]" for i, x in enumerate(profile[no])) for no, _, _ in keys)
+
+    def found(no: int, t: int) -> dict[str, str]:
+        sw, sww = sum(profile[no]), sum(x * x for x in profile[no])
+        corr = f"CASE WHEN (12 * svv - sv * sv) * {12 * sww - sw * sw}D > 1e-9 THEN (12 * dots[{no}] - sv * {sw}D) / sqrt((12 * svv - sv * sv) * {12 * sww - sw * sw}D) ELSE 0D END"
+        return {"key_no": f"{no}", "fit": f"fits[{no}] / n", "cad": f"cads[{t}]", "fin": f"CASE WHEN last_pc = {t} THEN 1 ELSE 0 END", "fst": f"CASE WHEN first_pc = {t} THEN 1 ELSE 0 END", "plag": f"plags[{t}]", "corr": corr}
+
+    def ranked(no: int, t: int) -> str:
+        x = found(no, t)
+        score = f"{w['profile']}D * {x['corr']} + {w['fit']}D * ({x['fit']}) + {w['cadence']}D * {x['cad']} + {w['final']}D * {x['fin']} + {w['first']}D * {x['fst']} + {w['plagal']}D * {x['plag']}"
+        return f"named_struct('less', -round({score}, 9), 'key_no', {no}, 'fit', {x['fit']})"
+
+    features = ", ".join("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in found(no, t).items()) + ")" for no, t, _ in keys)
+    order = f"PARTITION BY {by} ORDER BY pos"
+    return [
+        C.values("tone_vec", "quality, " + ", ".join(f"r{i}" for i in t12), [(q, *x) for q, x in weights.items()]),
+        f"{out}_nx AS (SELECT {by}, root_pc, bass_pc, core, qclass, quality, qclass IN ('dim', 'dim7', 'hdim7') AS soft, lead(root_pc) OVER ({order}) AS nroot, lead(qclass) OVER ({order}) AS nclass, row_number() OVER ({order}) AS up FROM {rows})",
+        f"{out}_v AS (SELECT c.*, CAST(array({', '.join(f't.r{i}' for i in (*t12, *t12))}) AS ARRAY<DOUBLE>) AS v FROM {out}_nx c JOIN tone_vec t ON t.quality = c.quality)",
+        f"{out}_a0 AS (SELECT {by}, count(*) AS n, array({sal}) AS sal, array({fits}) AS fits, array({cads}) AS cads, array({plags}) AS plags, max(CASE WHEN nroot IS NULL THEN root_pc END) AS last_pc, max(CASE WHEN up = 1 THEN root_pc END) AS first_pc FROM {out}_v GROUP BY {by})",
+        f"{out}_a AS (SELECT *, {' + '.join(f'sal[{i}]' for i in t12)} AS sv, {' + '.join(f'sal[{i}] * sal[{i}]' for i in t12)} AS svv, array({dots}) AS dots FROM {out}_a0)",
+        f"{out}_sal AS (SELECT {by}, pc, v FROM {out}_a0 LATERAL VIEW posexplode(sal) AS pc, v WHERE v > 0)",
+        f"{out}_x AS (SELECT {by}, n, last_pc, k.* FROM (SELECT {by}, n, last_pc, explode(array({features})) AS k FROM {out}_a) y)",
+        f"{out}_r AS (SELECT {by}, n, last_pc, sort_array(array({', '.join(ranked(no, t) for no, t, _ in keys)})) AS r FROM {out}_a)",
+        f"{out}_p AS (SELECT {by}, n, last_pc, r, transform(r, x -> exp((r[0].less - x.less) / ({C.TEMPERATURE}D * least(2D, greatest(1D, n / 8D))))) AS e FROM {out}_r)",
+        f"{out} AS (SELECT {by}, d.key_no, d.tonic, d.mode, d.key_name, n, x.r.fit AS fit, last_pc, x.e / total AS p, CAST(i + 1 AS INT) AS rk FROM (SELECT {by}, n, last_pc, i, x, total FROM (SELECT *, aggregate(e, 0D, (a, b) -> a + b) AS total FROM {out}_p) y LATERAL VIEW posexplode(arrays_zip(r, e)) AS i, x) z JOIN key_dim d ON d.key_no = z.x.r.key_no)",
+    ]
+
+
 def best_keys(keys: str, by: str = "song, ordinal") -> str:
     """by, key_name, p, second_key, second_p, n, ambiguous: close margin, a relative pair, or too short a phrase."""
     return f"""SELECT {by}, max(CASE WHEN rk = 1 THEN key_name END) AS key_name, max(CASE WHEN rk = 1 THEN p END) AS p, max(CASE WHEN rk = 2 THEN key_name END) AS second_key, max(CASE WHEN rk = 2 THEN p END) AS second_p, max(n) AS n,
@@ -130,7 +177,7 @@ def song_keys(d: Dialect) -> list[str]:
         "uniq AS (SELECT song, min(ordinal) AS ordinal, count(*) AS reps FROM sig GROUP BY song, sg)",
         f"reps AS (SELECT song, ordinal, {rep} AS turn FROM uniq)",
         "allch AS (SELECT c.song, row_number() OVER (PARTITION BY c.song ORDER BY c.ordinal, r.turn, c.pos) AS pos, c.root_pc, c.bass_pc, c.core, c.qclass, c.quality FROM ch c JOIN reps r ON r.song = c.song AND r.ordinal = c.ordinal)",
-        *[x for x in key_scores("allch", "gkeys", "song") if not x.startswith(("prof AS", "profs AS"))],
+        *(key_scores_wide("allch", "gkeys", "song") if d.name == "spark" else [x for x in key_scores("allch", "gkeys", "song") if not x.startswith(("prof AS", "profs AS"))]),
         "nsec AS (SELECT song, count(DISTINCT ordinal) AS ns FROM ch GROUP BY song)",
         "vote0 AS (SELECT song, key_no, sum(p) AS v FROM skeys GROUP BY song, key_no)",
         "vote1 AS (SELECT v.song, v.key_no, round(v.v / n.ns, 9) AS v FROM vote0 v JOIN nsec n USING (song))",

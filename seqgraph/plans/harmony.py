@@ -7,6 +7,8 @@ from ..operators import theory as T
 from ..sources.fixtures import CHORD_SQL, chord_lines, isolated, materialize
 
 _SECTION_KEYS = [*T.KEY_DIMS, *T.key_scores("ch", "skeys")]
+#: The same in Spark: one aggregate for each section.
+_WIDE_KEYS = [C.KEY_DIM, *T.key_scores_wide("ch", "skeys")]
 
 
 def _ctes(d: T.Dialect, depth: str) -> list[str]:
@@ -79,7 +81,7 @@ def key_grid_search(spark, sf):
     """Grid points of the key score, held against the keys of the songs."""
     spark = isolated(spark)
     _staged(spark, sf, "song")
-    _view(spark, "skeys_x", _SECTION_KEYS)
+    _view(spark, "skeys_x", _WIDE_KEYS)
     return spark.sql(T.query(T.key_grid("skeys_x", "song_key"), _GRID))
 
 
@@ -106,11 +108,11 @@ def _staged(spark, sf, depth: str) -> list[str]:
         return dim[-1:]
     _view(spark, "ch", dim[-1:])
     if depth == "keys":
-        return _SECTION_KEYS
-    _view(spark, "skeys", _SECTION_KEYS)
-    keys = [*T.KEY_DIMS, next(x for x in _SECTION_KEYS if x.startswith("prof AS")), next(x for x in _SECTION_KEYS if x.startswith("profs AS")), *T.song_keys(T.SPARK)]
+        return _WIDE_KEYS
+    _view(spark, "skeys", _WIDE_KEYS)
+    keys = [C.KEY_DIM, *T.song_keys(T.SPARK)]
     _view(spark, "song_key", keys[:-2])
-    _view(spark, "section_key", [T.KEY_DIMS[1], *keys[-2:]])
+    _view(spark, "section_key", [C.KEY_DIM, *keys[-2:]])
     if depth in ("song", "mods"):
         return T.modulations() if depth == "mods" else []
     _view(spark, "roman", T.romanize())
