@@ -45,7 +45,7 @@ def project_2d(spark, sf):
 
 def similar_progressions_surface(spark, sf):
     found = materialize(_found(spark, sf).orderBy(F.desc("support"), "pattern").limit(500), "patterns")
-    return E.surface_similarity(found.orderBy(F.desc("support"), "pattern").limit(10), found)
+    return E.surface_similarity(found, found)
 
 
 def greedy_diverse_topk(spark, sf):
@@ -74,10 +74,10 @@ def _pattern_vectors(spark, sf):
 
 
 def similar_progressions_structural(spark, sf):
-    """The 20 patterns whose vectors are nearest to each of the ten most frequent ones."""
+    """The 20 patterns whose vectors are nearest to each of the 500 most frequent ones."""
     vectors = materialize(_pattern_vectors(spark, sf), "pattern-vectors")
     v = vectors.groupBy(F.col("pattern").alias("id")).agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).getField("value").alias("vec")).withColumn("model", F.lit(0))
-    top = _found(spark, sf).orderBy(F.desc("support"), "pattern").limit(10).select(F.col("pattern").alias("id"))
+    top = _found(spark, sf).orderBy(F.desc("support"), "pattern").limit(500).select(F.col("pattern").alias("id"))
     near = G.cosine_topk(v.join(top, "id", "left_semi"), v, 200).withColumn("cosine", F.round("cosine", 6))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= 20).select("query", "id", "rank", "cosine")
@@ -117,7 +117,7 @@ PV_SQL = (
 ORACLE = {
     "similar_progressions_structural": sql(
         *TRANS, GLOBAL, W_SQL, RP_SQL, KEPT_SQL, PATTERN_SQL, *PV_SQL,
-        "cs AS (SELECT q.pattern AS query, n.pattern AS id, round(sum(q.value * n.value), 6) AS cosine FROM pv q JOIN pv n ON q.dim = n.dim AND q.pattern <> n.pattern WHERE q.pattern IN (SELECT pattern FROM pats ORDER BY support DESC, pattern LIMIT 10) GROUP BY ALL)",
+        "cs AS (SELECT q.pattern AS query, n.pattern AS id, round(sum(q.value * n.value), 6) AS cosine FROM pv q JOIN pv n ON q.dim = n.dim AND q.pattern <> n.pattern WHERE q.pattern IN (SELECT pattern FROM pats ORDER BY support DESC, pattern LIMIT 500) GROUP BY ALL)",
         "SELECT * FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS rank, cosine FROM cs) WHERE rank <= 20",
     ),
     "export_projection": sql(
@@ -136,7 +136,7 @@ ORACLE = {
         EVENT_SQL, CONTEXT_SQL, KEPT_SQL, PATTERN_SQL,
         "tp AS (SELECT pattern, row_number() OVER (ORDER BY support DESC, pattern) AS r FROM pats QUALIFY r <= 500)",
         "tk AS (SELECT pattern, r, token, count(*) AS n FROM (SELECT pattern, r, unnest(string_split(pattern, ' ')) AS token FROM tp) GROUP BY ALL)",
-        "mt AS (SELECT q.pattern AS query, p.pattern, sum(least(q.n, p.n)) AS common, count(*) AS shared FROM tk q JOIN tk p ON q.token = p.token AND q.pattern <> p.pattern WHERE q.r <= 10 GROUP BY ALL)",
+        "mt AS (SELECT q.pattern AS query, p.pattern, sum(least(q.n, p.n)) AS common, count(*) AS shared FROM tk q JOIN tk p ON q.token = p.token AND q.pattern <> p.pattern GROUP BY ALL)",
         "SELECT query, pattern, common / (len(string_split(query, ' ')) + len(string_split(pattern, ' ')) - common) AS overlap, shared, len(string_split(query, ' ')) = len(string_split(pattern, ' ')) AND contains(' ' || query || ' ' || query || ' ', ' ' || pattern || ' ') AS rotation FROM mt",
     ),
     "candidate_union": sql(

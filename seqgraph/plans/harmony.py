@@ -62,7 +62,7 @@ _FOUND = {
         "roman",
         """fu AS (SELECT canon AS chord, token, count(*) AS n, max(mask) AS mask FROM roman GROUP BY canon, token),
 tot AS (SELECT chord, sum(n) AS n, CAST(sum(n * n) AS DOUBLE) AS nn, max(mask) AS mask FROM fu GROUP BY chord),
-seed AS (SELECT chord, nn, mask FROM (SELECT *, row_number() OVER (ORDER BY n DESC, chord) AS r FROM tot) x WHERE r <= 5),
+seed AS (SELECT chord, nn, mask FROM tot),
 seed_fu AS (SELECT f.chord, f.token, f.n, row_number() OVER (PARTITION BY f.chord ORDER BY f.n DESC, f.token) AS r FROM fu f JOIN seed s ON s.chord = f.chord),
 cand AS (SELECT DISTINCT s.chord AS seed, f.chord FROM seed_fu s JOIN fu f ON f.token = s.token WHERE s.r <= 4 AND f.chord <> s.chord),
 dots AS (SELECT s.chord AS seed, f.chord, CAST(sum(s.n * f.n) AS DOUBLE) AS d FROM seed_fu s JOIN fu f ON f.token = s.token GROUP BY s.chord, f.chord)""",

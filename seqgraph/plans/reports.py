@@ -68,14 +68,14 @@ def nodes() -> list[str]:
 
 
 _TOPF = "topf AS (SELECT id, n FROM (SELECT id, sum(count) AS n FROM (SELECT src AS id, count FROM cedges WHERE type = 'TRANSITIONS_TO' AND context = 'global' UNION ALL SELECT dst, count FROM cedges WHERE type = 'TRANSITIONS_TO' AND context = 'global') x GROUP BY id) y ORDER BY n DESC, id LIMIT 120)"
-_TOPIC = "ask AS (SELECT id FROM topf ORDER BY n DESC, id LIMIT 20)"
+_FUNCTIONS = "ask AS (SELECT id FROM cnodes WHERE type = 'function')"
 GRAPH = {
     "graph_nodes": ([], "SELECT id, type, label, chromaticity FROM cnodes"),
     "graph_edges": ([], "SELECT type, context, src, dst, count, round(prob, 9) AS prob, round(weight, 9) + 0e0 AS weight FROM cedges"),
     "node_edge_census": ([], """SELECT kind, type, n, loose FROM (SELECT 'node' AS kind, type, count(*) AS n, CAST(0 AS BIGINT) AS loose FROM cnodes GROUP BY type
   UNION ALL SELECT 'edge', e.type, count(*), sum(CASE WHEN s.id IS NULL OR t.id IS NULL THEN 1 ELSE 0 END) FROM cedges e LEFT JOIN cnodes s ON s.id = e.src LEFT JOIN cnodes t ON t.id = e.dst GROUP BY e.type) x"""),
-    # both directions of the most used functions, every type and context
-    "adjacent_edges": ([_TOPF, _TOPIC], "SELECT 'out' AS direction, e.type, e.context, e.src, e.dst, e.count, round(e.prob, 9) AS prob FROM cedges e JOIN ask a ON a.id = e.src UNION ALL SELECT 'in', e.type, e.context, e.src, e.dst, e.count, round(e.prob, 9) FROM cedges e JOIN ask a ON a.id = e.dst"),
+    # both directions of every function, every type and context
+    "adjacent_edges": ([_FUNCTIONS], "SELECT 'out' AS direction, e.type, e.context, e.src, e.dst, e.count, round(e.prob, 9) AS prob FROM cedges e JOIN ask a ON a.id = e.src UNION ALL SELECT 'in', e.type, e.context, e.src, e.dst, e.count, round(e.prob, 9) FROM cedges e JOIN ask a ON a.id = e.dst"),
     "explain_edge": ([], """SELECT src, dst, count(*) AS edges, sum(count) AS count, max(CASE WHEN type = 'TRANSITIONS_TO' AND context = 'global' THEN 'transition:' || substr(src, 10) || '->' || substr(dst, 10) || ':global' END) AS fact_id, count(DISTINCT context) AS contexts
   FROM cedges GROUP BY src, dst"""),
 }
