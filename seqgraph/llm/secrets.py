@@ -8,6 +8,7 @@ model is reported as a span of kind markov. All of it is DataFrame functions.
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,18 +33,38 @@ SAMPLE_DOCS, SAMPLE_VALUES = 2_000, 20_000
 TOTAL, MEAN = 7.0, 0.5
 
 
+#: Matches that are put in place at a time: arrays grow by appending within a chunk only, so a text with many matches takes time in proportion to them.
+CHUNK = 64
+_SPANS = "array<struct<start:int,end:int,hit:string>>"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _chunks(items: Column) -> Column:
+    """An array cut to arrays of at most CHUNK; null if it is empty."""
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK)), lambda c: F.slice(x, (c * CHUNK + 1).cast("int"), F.lit(CHUNK)))
+    return _let(items, lambda x: F.when(F.size(x) > 0, cut(x)))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Array of (start, end, hit) of the pattern's matches, from what split() leaves between them; code points, end exclusive."""
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         lo = acc["at"] + F.char_length(x["gap"])
         hi = lo + F.char_length(x["hit"])
         return F.struct(hi.alias("at"), F.concat(acc["out"], F.array(F.struct(lo.alias("start"), hi.alias("end"), x["hit"].alias("hit")))).alias("out"))
 
-    found = F.aggregate(F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda x: x["hit"].isNotNull()), start, step)["out"]
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
+    # places within each chunk, then where each chunk begins
+    local = F.transform(_chunks(F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda x: x["hit"].isNotNull())), lambda chunk: F.aggregate(chunk, start, step))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    begins = lambda chunks: F.aggregate(F.transform(chunks, lambda x: x["at"]), first, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+    moved = lambda x, at: F.transform(x["out"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["hit"].alias("hit")))
+    return F.when(text.rlike(pattern), _let(local, lambda chunks: F.flatten(F.zip_with(chunks, begins(chunks), moved)))).otherwise(F.array().cast(_SPANS))
 
 
 def base_spans(text: Column) -> Column:
@@ -98,15 +119,21 @@ def train_markov(samples: DataFrame) -> list[float]:
     return [r[0] for r in grid.select((log_p("r") - log_p("w")).alias("llr"), "pair").orderBy("pair").collect()]
 
 
+def chunked(base: Column) -> Column:
+    """Spans in order of their starts, as chunks with the least start and the largest end."""
+    return F.transform(_chunks(base), lambda c: F.struct(F.element_at(c, 1)["start"].alias("start"), F.array_max(F.transform(c, lambda x: x["end"])).alias("end"), c.alias("spans")))
+
+
 def outside(run: Column, base: Column) -> Column:
-    """The parts of a run that no base span covers, as (start, end, hit); the run itself where none meets it."""
-    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    """The parts of a run that no span of chunked() base covers, as (start, end, hit); the run itself where none meets it."""
+    none = F.array().cast(_SPANS)
     part = lambda a, b: F.when(a < b, F.array(F.struct(a.alias("start"), b.alias("end"), run["hit"].substr(a - run["start"] + 1, b - a).alias("hit")))).otherwise(none)
     start = F.struct(run["start"].alias("at"), none.alias("out"))
-    met = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    meets = lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"])
+    found = F.flatten(F.transform(F.filter(base, meets), lambda c: F.filter(c["spans"], meets)))
     step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], part(acc["at"], b["start"])).alias("out"))
-    cut = F.aggregate(met, start, step, lambda acc: F.concat(acc["out"], part(acc["at"], run["end"])))
-    return F.when(F.size(met) == 0, F.array(run)).otherwise(cut)
+    cut = lambda met: F.aggregate(met, start, step, lambda acc: F.concat(acc["out"], part(acc["at"], run["end"])))
+    return _let(found, lambda met: F.when(F.coalesce(F.size(met), F.lit(0)) == 0, F.array(run)).otherwise(cut(met)))
 
 
 def scan_secrets(docs: DataFrame, model: list[float] | None = None, total: float = TOTAL, mean: float = MEAN) -> DataFrame:
@@ -119,7 +146,7 @@ def scan_secrets(docs: DataFrame, model: list[float] | None = None, total: float
     one = lambda hit: F.aggregate(_pairs(hit), F.lit(0.0), lambda acc, i: acc + F.get(ratios, i))
     score = lambda hit: F.when(hit.rlike("[a-z]"), one(hit)).otherwise(F.least(one(hit), one(F.lower(hit))))  # noqa: E731  a word in capitals is still a word
     out = texts(docs).withColumn("base", base_spans(F.col("text")))
-    pieces = F.flatten(F.transform(spans(F.col("text"), RUN), lambda x: outside(x, F.col("base"))))
+    pieces = _let(chunked(F.col("base")), lambda chunks: F.flatten(F.transform(spans(F.col("text"), RUN), lambda x: outside(x, chunks))))
     runs = F.transform(F.filter(pieces, lambda x: F.char_length(x["hit"]) >= LEAST), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), score(x["hit"]).alias("score")))
     likely = F.filter(runs, lambda x: (x["score"] > total) & (x["score"] > mean * (x["end"] - x["start"])))
     extra = F.transform(likely, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -101,6 +102,13 @@ def test_what_a_base_span_leaves_of_a_run_is_judged(spark):
     assert sorted(map(tuple, found)) == [(2, "0123456789abcdef0123"), (2, "deadbeefdeadbeef00"), (3, "Kz8QwXm2LpRt"), (3, "Qz9XwLmK2pRtVbNjHs")]
 
 
+def test_a_text_of_many_runs(spark):
+    """Tens of thousands of runs and base spans in one text: each is found where it stands."""
+    text = " ".join(f"{i:016x}" if i % 3 else f"plainword{'x' * (i % 7)}" for i in range(30_000)) + " token=" + "a1" * 10
+    found = scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), model=[0.0] * 4761).first()
+    assert [(x["start"], x["kind"], x["end"]) for x in found["found"]] == [(m.start(), 2, m.end()) for m in re.finditer(r"(?<![0-9a-f])[0-9a-f]{16,}", text)][:-1] + [(text.index("token="), 0, len(text)), (len(text) - 20, 2, len(text))]
+
+
 def test_markov_model_by_hand(spark):
     empty = spark.createDataFrame([], "text string, secret boolean")
     assert set(train_markov(empty)) == {0.0}
