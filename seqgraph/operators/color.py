@@ -265,16 +265,29 @@ def realized(tokens: str) -> list[str]:
     ]
 
 
-def subjects() -> list[str]:
-    """pch, pkeys: functions and transitions between functions of one mode as short progressions in the reference key, one chord each in root position; subj: their supports. Over roman and token_dim."""
+def color_drivers(rows: str = "color") -> str:
+    """Select: song, ordinal, idx, token, reason, weight: what weighs more in a section's summary. Its last chord, and each borrowed or else chromatic one."""
+    return f"""SELECT song, ordinal, idx, token, 'final_cadence' AS reason, {_d(FINAL_BONUS)} AS weight FROM {rows} WHERE final UNION ALL
+  SELECT song, ordinal, idx, token, CASE WHEN borrowed = 1 THEN 'borrowed_chord' ELSE 'chromatic_chord' END, CASE WHEN borrowed = 1 THEN {_d(BORROWED_BONUS)} ELSE {_d(CHROMATIC_BONUS)} END FROM {rows} WHERE borrowed = 1 OR chromatic = 1"""
+
+
+def subjects(patterns: bool = False) -> list[str]:
+    """pch, pkeys: functions, transitions between functions of one mode and, if asked, patterns as short progressions in the reference key, one chord each in root position; subj: their supports.
+
+    Over roman, token_dim and, for patterns, rpats (pattern, support) and rspots (pattern, pos, token). Subjects with a token that can't be
+    realized, or with tokens of both modes, are in subj alone.
+    """
+    more = " UNION ALL SELECT 'pattern', pattern, CAST(NULL AS STRING), CAST(NULL AS STRING), support FROM rpats" if patterns else ""
+    spots = " UNION ALL SELECT 'pattern', pattern, pos, token FROM rspots" if patterns else ""
     w = "PARTITION BY song, ordinal ORDER BY pos"
     chord = f"q.qclass, q.suffix, q.ext, 'root' AS inversion, t.root_pc, t.root_pc AS bass_pc, t.mask, {rotated('q.core_rel', 't.root_pc')} AS core, t.quality"
     return [
         f"follow AS (SELECT token AS a, lead(token) OVER ({w}) AS b FROM roman)",
-        "subj AS (SELECT 'function' AS subject_type, token AS subject_id, token AS a, CAST(NULL AS STRING) AS b, count(*) AS support FROM roman GROUP BY token UNION ALL SELECT 'transition', a || '>' || b, a, b, count(*) FROM follow WHERE b IS NOT NULL AND substr(a, 1, 1) = substr(b, 1, 1) GROUP BY a, b)",
-        "spos AS (SELECT subject_type, subject_id, 0 AS pos, a AS token FROM subj UNION ALL SELECT subject_type, subject_id, 1, b FROM subj WHERE b IS NOT NULL)",
+        "subj AS (SELECT 'function' AS subject_type, token AS subject_id, token AS a, CAST(NULL AS STRING) AS b, count(*) AS support FROM roman GROUP BY token UNION ALL SELECT 'transition', a || '>' || b, a, b, count(*) FROM follow WHERE b IS NOT NULL AND substr(a, 1, 1) = substr(b, 1, 1) GROUP BY a, b" + more + ")",
+        "spos AS (SELECT subject_type, subject_id, 0 AS pos, a AS token FROM subj WHERE a IS NOT NULL UNION ALL SELECT subject_type, subject_id, 1, b FROM subj WHERE b IS NOT NULL" + spots + ")",
+        "slen AS (SELECT subject_type, subject_id, count(*) AS n FROM spos WHERE token IS NOT NULL GROUP BY subject_type, subject_id)",
         f"pch0 AS (SELECT s.subject_type, s.subject_id, s.pos, t.mode, {chord} FROM spos s JOIN token_dim t ON t.token = s.token JOIN quality_dim q ON q.quality = t.quality)",
-        "whole AS (SELECT subject_type, subject_id FROM pch0 GROUP BY subject_type, subject_id HAVING count(*) = CASE subject_type WHEN 'function' THEN 1 ELSE 2 END)",
+        "whole AS (SELECT p.subject_type, p.subject_id FROM pch0 p JOIN slen s ON s.subject_type = p.subject_type AND s.subject_id = p.subject_id GROUP BY p.subject_type, p.subject_id HAVING count(*) = max(s.n) AND count(DISTINCT p.mode) = 1)",
         "pch AS (SELECT p.subject_type || ' ' || p.subject_id AS song, 0 AS ordinal, p.pos, p.mode AS key_mode, p.qclass, p.suffix, p.ext, p.inversion, p.root_pc, p.bass_pc, p.mask, p.core, p.quality FROM pch0 p JOIN whole w ON w.subject_type = p.subject_type AND w.subject_id = p.subject_id)",
         "pkeys AS (SELECT DISTINCT c.song, c.ordinal, k.key_name, k.tonic, k.mode, CAST(1 AS DOUBLE) AS p FROM pch c JOIN reference_dim k ON k.mode = c.key_mode)",
     ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -31,29 +32,40 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, hops: int = 2, min_prob: fl
     return all_found.withColumn("r", rank).filter(F.col("r") <= limit).drop("r")
 
 
-def k_best_paths(edges: DataFrame, pairs: DataFrame, k: int = 3, max_edges: int = 4, rising: DataFrame | None = None) -> DataFrame:
+def k_best_paths(edges: DataFrame, pairs: DataFrame, k: int = 3, max_edges: int = 6, levels: DataFrame | None = None, rising: bool = False, max_level: float | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda d, name: d) -> DataFrame:
     """src, dst, rank, path, cost: the k cheapest simple paths of up to max_edges edges, cost the sum of -ln prob (half more for edges that aren't transitions).
 
     A first pass gives each node's least cost to the targets within the edges left (a bound); partial paths survive
-    while cost plus bound is at most the cost that k complete paths of the pair already have. rising: id, level of
-    nodes; paths then never step to a lower level.
+    while cost plus bound is at most the cost that k complete paths of the pair already have. levels: id, level of nodes, 0
+    where there is none. With rising, no step goes to a lower level; with max_level, none goes to a level above it (the first node
+    may lie above). Both are settled on the edges, so the bounds know them too and pruning stays exact. keep stores what
+    each step hands on; without it the plan grows with every edge.
     """
+    if (rising or max_level is not None) and levels is None:
+        raise ValueError("constraints on levels need levels")
     cost = -F.log("prob") + F.when(F.col("type") == "TRANSITIONS_TO", 0.0).otherwise(0.5)
     e = edges.filter("prob > 0").groupBy("src", "dst").agg(F.min(cost).alias("c"))
-    if rising is not None:
-        level = lambda c: rising.select(F.col("id").alias(c), F.col("level").alias(f"level_{c}"))
-        e = e.join(level("src"), "src").join(level("dst"), "dst").filter("level_src <= level_dst").select("src", "dst", "c")
+    if levels is not None:
+        level = lambda c: levels.select(F.col("id").alias(c), F.col("level").alias(f"level_{c}"))
+        e = e.join(level("src"), "src", "left").join(level("dst"), "dst", "left").na.fill(0, ["level_src", "level_dst"])
+        if rising:
+            e = e.filter("level_src <= level_dst")
+        if max_level is not None:
+            e = e.filter(F.col("level_dst") <= max_level)
+        e = e.select("src", "dst", "c")
+    e = keep(e, "path-edges")
     bound = pairs.select(F.col("dst").alias("goal"), F.col("dst").alias("node")).distinct().withColumn("b", F.lit(0.0))
     bounds = [bound]
     for _ in range(max_edges - 1):
         step = bound.join(e.withColumnRenamed("dst", "node"), "node").select("goal", F.col("src").alias("node"), (F.col("b") + F.col("c")).alias("b"))
-        bound = bound.unionByName(step).groupBy("goal", "node").agg(F.min("b").alias("b"))
+        bound = keep(bound.unionByName(step).groupBy("goal", "node").agg(F.min("b").alias("b")), "path-bounds")
         bounds.append(bound)
     paths = pairs.select("src", "dst", F.array("src").alias("path"), F.col("src").alias("node"), F.lit(0.0).alias("cost"))
     done = []
     for n in range(1, max_edges + 1):
         grown = paths.join(e.select(F.col("src").alias("node"), F.col("dst").alias("next"), "c"), "node")
         grown = grown.filter(~F.array_contains("path", F.col("next"))).select("src", "dst", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("node"), (F.col("cost") + F.col("c")).alias("cost"))
+        grown = keep(grown, "paths")
         done.append(grown.filter(F.col("node") == F.col("dst")).select("src", "dst", "path", "cost"))
         if n == max_edges:
             break

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from ..functions import chords as C
 from ..operators import color as K
 from ..operators import likelihood as L
+from ..operators import sequence as S
 from ..operators import theory as T
 from ..sources.fixtures import CHORD_SQL, CONTEXT_SQL, isolated, materialize
 from .harmony import _ctes, _staged, _view
 from .prediction import CHAIN_SQL, STATS_SQL
-from .sequences import KEPT_SQL, MIN_CONTEXT, NGRAM_SQL, PRUNE, sql
+from .sequences import KEPT_SQL, MIN_CONTEXT, MIN_SUPPORT, NGRAM_SQL, PATTERN_SQL, PRUNE, sql
 
 _ABST = [
     "ab AS (SELECT canon AS from_chord, lead(canon) OVER (PARTITION BY song, ordinal ORDER BY pos) AS to_chord FROM ch)",
@@ -30,9 +31,18 @@ SELECTS = {
     "perceptual_axes": "SELECT * FROM arc_end",
     "color_arc": "SELECT song, ordinal, idx, axis, round(value, 9) AS value, round(confidence, 9) + 0e0 AS confidence, source FROM arc",
     "color_summary": K.color_summary(),
+    "color_drivers": K.color_drivers(),
     "color_compare": "SELECT a.song, a.ordinal, a.axis, round(b.value - a.value, 9) + 0e0 AS delta FROM arc_end a JOIN arc_end b ON b.song = a.song AND b.ordinal = a.ordinal + 1 AND b.axis = a.axis",
     "color_profiles": "SELECT s.subject_type, s.subject_id, s.support, " + ", ".join(f"round(c.{a}, 9) + 0e0 AS {a}" for a in K.AXES) + " FROM subj s JOIN p_color c ON c.song = s.subject_type || ' ' || s.subject_id WHERE c.final",
+    "color_profile_census": "SELECT s.subject_type, count(*) AS subjects, count(c.song) AS profiled, count(*) - count(c.song) AS skipped FROM subj s LEFT JOIN (SELECT song FROM p_color WHERE final) c ON c.song = s.subject_type || ' ' || s.subject_id GROUP BY s.subject_type",
 }
+_PROFILES = ("color_profiles", "color_profile_census")
+_SPOTS = "rspots AS (SELECT pattern, unnest(string_split(pattern, ' ')) AS token, unnest(range(0, len(string_split(pattern, ' ')))) AS pos FROM rpats)"
+#: DuckDB: rpats (pattern, support), the frequent patterns of roman, and rspots (pattern, token, pos); the steps to them are their own.
+PATTERNS_SQL = [
+    "rpats AS (" + sql("seq AS (SELECT song, ordinal, section, genre, decade, row_number() OVER (PARTITION BY song, ordinal ORDER BY pos) - 1 AS pos, token FROM roman)", CONTEXT_SQL, KEPT_SQL, PATTERN_SQL, "SELECT pattern, support FROM pats") + ")",
+    _SPOTS,
+]
 _NEED = {"color_axes": "color9", "color_norms": "norms", "normalize_axes": "norms", "perceptual_axes": "arc", "color_arc": "arc", "color_compare": "arc"}
 _OWN = ("ch", "section_key", "r0", "r1", "r2", "r3", "roman", "cseq", "vpairs", "vbest", "vlead", "c1", "clof", "c2", "color", "vk", "vup", "vtri", "vall", "vset", "vrank", "vclose", "vroot", "vboth", "vone", "vopt")
 
@@ -98,8 +108,8 @@ def _duck(name: str) -> str:
         ctes = [*_ctes(d, "roman"), *K.realized("roman")]
     else:
         ctes = [*_ctes(d, "facts"), C.KEY_PC_DIM, K.QUALITY_EXT, *K.voicings(), *K.successive(), *K.motions(), *K.color_axes()]
-        if name == "color_profiles":
-            ctes += [*K.realized("roman"), *[x.replace("STRING", "VARCHAR") for x in K.subjects()], *_profile_steps()]
+        if name in _PROFILES:
+            ctes += [*K.realized("roman"), *PATTERNS_SQL, *[x.replace("STRING", "VARCHAR") for x in K.subjects(patterns=True)], *_profile_steps()]
         if _NEED.get(name) in ("color9", "norms"):
             ctes += [*EXPECTED_SQL, *K.expected_axes(), *K.color_norms(d)]
         elif _NEED.get(name) == "arc":
@@ -132,10 +142,20 @@ def _measured(spark) -> None:
     _view(spark, "color9", K.expected_axes())
 
 
-def _profiled(spark, sf) -> None:
+def pattern_views(spark) -> None:
+    """Views rpats and rspots over the view roman."""
+    sections = spark.sql("SELECT song, ordinal, section, genre, decade, array_sort(collect_list(named_struct('pos', pos, 'token', token))).token AS tokens FROM roman GROUP BY song, ordinal, section, genre, decade")
+    found = S.patterns(materialize(sections, "sections"), MIN_SUPPORT, MIN_CONTEXT, keep=materialize)[0]
+    materialize(found.select("pattern", "support"), "frequent").createOrReplaceTempView("rpats")
+    spark.sql("SELECT pattern, x.pos, x.col AS token FROM rpats LATERAL VIEW posexplode(split(pattern, ' ')) x AS pos, col").createOrReplaceTempView("rspots")
+
+
+def _profiled(spark, sf, patterns: bool = False) -> None:
     """Views of _colored() with facts, and subj and p_color."""
     _colored(spark, sf, True)
-    known = [C.QUALITY_DIM, T.DEGREE_DIM, *K.realized("roman"), *K.subjects()]
+    if patterns:
+        pattern_views(spark)
+    known = [C.QUALITY_DIM, T.DEGREE_DIM, *K.realized("roman"), *K.subjects(patterns)]
     for relation in ("subj", "pch", "pkeys"):
         _view(spark, relation, known)
     _profile_views(spark)
@@ -166,8 +186,8 @@ def _spark(name: str):
         if name == "token_dim":
             _staged(spark, sf, "roman")
             return spark.sql(T.query([C.QUALITY_DIM, T.DEGREE_DIM, *K.realized("roman")], SELECTS[name]))
-        if name == "color_profiles":
-            _profiled(spark, sf)
+        if name in _PROFILES:
+            _profiled(spark, sf, patterns=True)
             return spark.sql(SELECTS[name])
         _colored(spark, sf, _NEED.get(name) == "arc")
         if _NEED.get(name) == "arc":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -219,11 +220,19 @@ def neighborhood(spark, sf):
     return G.neighborhood(e, e.select(F.col("src").alias("id")).distinct(), 2, 0.1, 12)
 
 
-def k_best_paths(spark, sf):
+#: Level that steps of bounded paths don't pass.
+MAX_LEVEL = 0.8
+
+
+def k_best_paths(spark, sf, k: int = 5, max_edges: int = 6):
+    """Paths without constraint, paths that never step down and paths under a largest level; a token's level is how rare its steps are."""
     e = materialize(_edges(spark, sf).filter("context = 'global'"), "edges")
     ends = e.select("src").distinct()
-    pairs = ends.join(ends.select(F.col("src").alias("dst")), F.col("src") < F.col("dst"))
-    return G.k_best_paths(e, pairs, 3, 4)
+    pairs = materialize(ends.join(ends.select(F.col("src").alias("dst")), F.col("src") < F.col("dst")), "pairs")
+    total = e.agg(F.sum("count")).first()[0]
+    levels = materialize(e.groupBy(F.col("src").alias("id")).agg(F.round(1 - F.sum("count") / F.lit(float(total or 1)), 9).alias("level")), "levels")
+    found = {"none": G.k_best_paths(e, pairs, k, max_edges, keep=materialize), "rising": G.k_best_paths(e, pairs, k, max_edges, levels, rising=True, keep=materialize), "bounded": G.k_best_paths(e, pairs, k, max_edges, levels, max_level=MAX_LEVEL, keep=materialize)}
+    return reduce(DataFrame.unionByName, [d.withColumn("rule", F.lit(rule)) for rule, d in found.items()])
 
 
 def merge_graphs(spark, sf):
@@ -449,8 +458,11 @@ SELECT key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM kept""",
     "neighborhood": sql(*TRANS, GLOBAL, "e AS (SELECT * FROM ed WHERE prob >= 0.1)", "h1 AS (SELECT src AS seed, 1 AS hop, src, dst, prob FROM e)", "f1 AS (SELECT DISTINCT seed, dst AS node FROM h1 WHERE dst <> seed)", "h2 AS (SELECT f1.seed, 2 AS hop, e.src, e.dst, e.prob FROM f1 JOIN e ON e.src = f1.node)",
         "SELECT seed, hop, src, dst, prob FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY prob DESC, hop, src, dst) AS r FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2)) WHERE r <= 12"),
     "k_best_paths": "WITH RECURSIVE " + sql(*TRANS, GLOBAL, "pr AS (SELECT DISTINCT a.src AS s, b.src AS d FROM ed a JOIN ed b ON a.src < b.src)",
-        "walk AS (SELECT s, d, [s] AS path, CAST(0 AS DOUBLE) AS cost FROM pr UNION ALL SELECT s, d, list_append(path, dst), cost - ln(prob) FROM walk JOIN ed ON ed.src = path[len(path)] WHERE len(path) <= 4 AND path[len(path)] <> d AND NOT list_contains(path, dst))",
-        "SELECT * FROM (SELECT s AS src, d AS dst, row_number() OVER (PARTITION BY s, d ORDER BY round(cost, 9), array_to_string(path, ' ')) AS rank, array_to_string(path, ' ') AS path, round(cost, 9) AS cost FROM walk WHERE path[len(path)] = d) WHERE rank <= 3")[5:],
+        "lvl AS (SELECT src AS id, round(1 - sum(count) / CAST((SELECT sum(count) FROM ed) AS DOUBLE), 9) AS level FROM ed GROUP BY src)",
+        "edl AS (SELECT ed.*, coalesce(a.level, 0) AS low, coalesce(b.level, 0) AS high FROM ed LEFT JOIN lvl a ON a.id = src LEFT JOIN lvl b ON b.id = dst)",
+        f"""walk AS (SELECT rule, s, d, [s] AS path, CAST(0 AS DOUBLE) AS cost FROM pr, (SELECT unnest(['none', 'rising', 'bounded']) AS rule) UNION ALL SELECT rule, s, d, list_append(path, dst), cost - ln(prob) FROM walk JOIN edl ON edl.src = path[len(path)]
+  WHERE len(path) <= 6 AND path[len(path)] <> d AND NOT list_contains(path, dst) AND (rule <> 'rising' OR low <= high) AND (rule <> 'bounded' OR high <= {MAX_LEVEL}))""",
+        "SELECT * FROM (SELECT rule, s AS src, d AS dst, row_number() OVER (PARTITION BY rule, s, d ORDER BY round(cost, 9), array_to_string(path, ' ')) AS rank, array_to_string(path, ' ') AS path, round(cost, 9) AS cost FROM walk WHERE path[len(path)] = d) WHERE rank <= 5")[5:],
     "merge_graphs": sql(*TRANS, "SELECT src, dst, context, count FROM (SELECT from_token AS src, to_token AS dst, context, count, row_number() OVER (PARTITION BY from_token, to_token ORDER BY context DESC) AS r FROM trans WHERE context IN ('global', 'section:verse')) WHERE r = 1"),
     "transition_examples": sql(EVENT_SQL, EX, "SELECT from_token, to_token, song, ordinal, pos, rank FROM ex"),
     "song_refs": sql(EVENT_SQL, EX, SONG, "SELECT * FROM sg WHERE song IN (SELECT song FROM ex)"),

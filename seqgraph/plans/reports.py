@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions import chords as C
 from ..operators import color as K
+from ..operators import embed as E
 from ..operators import graph as G
-from ..operators import sequence as S
 from ..operators import theory as T
-from ..sources.fixtures import CHORD_SQL, CONTEXT_SQL, isolated, materialize
-from .color import _ABST, _colored, _profile_steps
+from ..sources.fixtures import CHORD_SQL, isolated, materialize
+from .color import _ABST, PATTERNS_SQL, _colored, _profile_steps, pattern_views
+from .embeddings import W_SQL, rp_sql
 from .harmony import _ctes, _staged, _view
-from .operations import TOP, VEC, _vectors
-from .sequences import KEPT_SQL, MIN_CONTEXT, MIN_SUPPORT, PATTERN_SQL
+from .sequences import MIN_CONTEXT, sql
 
 #: Contextual transitions rarer than this aren't edges.
 LEAST_EDGE = 5
+#: Places of a function's vector.
+FUNCTION_DIMS = 64
 _W = "PARTITION BY song, ordinal ORDER BY pos"
 # Upper-case and lower-case degrees that are at home in each mode.
 _HOME = {"M": "('I', 'ii', 'iii', 'IV', 'V', 'vi', 'vii')", "m": "('i', 'ii', 'III', 'iv', 'v', 'VI', 'VII')"}
@@ -36,42 +40,47 @@ def transitions(d: T.Dialect) -> list[str]:
 
 
 def edges() -> list[str]:
-    """cedges: type, context, src, dst, count, prob, weight, of eight kinds, over rtr, roman, abst, vtop, rpats and near."""
-    head = lambda kind, a, b, context="'global'", count="CAST(NULL AS BIGINT)", prob="CAST(NULL AS DOUBLE)", weight="CAST(NULL AS DOUBLE)": f"SELECT '{kind}' AS type, {context} AS context, {a} AS src, {b} AS dst, {count} AS count, {prob} AS prob, {weight} AS weight"
+    """cedges: type, context, src, dst, count, prob, weight, positions (of a token in a pattern, from 0), of eight kinds, over rtr, roman, abst, vtop, rplaces and near."""
+    head = lambda kind, a, b, context="'global'", count="CAST(NULL AS BIGINT)", prob="CAST(NULL AS DOUBLE)", weight="CAST(NULL AS DOUBLE)", positions="CAST(NULL AS STRING)": f"SELECT '{kind}' AS type, {context} AS context, {a} AS src, {b} AS dst, {count} AS count, {prob} AS prob, {weight} AS weight, {positions} AS positions"
     lead = "FROM vtop v JOIN vplay f ON f.canon = v.from_chord JOIN vplay t ON t.canon = v.to_chord JOIN vlead m ON " + K._same("m", "f", "t")
     kinds = [
         head("TRANSITIONS_TO", "'function:' || a", "'function:' || b", "context", "count", "prob", "pmi") + f" FROM rtr WHERE context = 'global' OR count >= {LEAST_EDGE}",
         head("FUNCTIONS_AS", "'chord:' || canon", "'function:' || token", count="count(*)") + " FROM roman GROUP BY canon, token",
         head("ABS_TRANSITIONS_TO", "'chord:' || from_chord", "'chord:' || to_chord", count="count") + " FROM abst",
         head("VOICE_LEADS_TO", "'chord:' || v.from_chord", "'chord:' || v.to_chord", weight="CAST(m.total AS DOUBLE)") + " " + lead,
-        head("PATTERN_CONTAINS", "'pattern:' || pattern", "'function:' || token", count="count(*)") + " FROM rplaces GROUP BY pattern, token",
+        head("PATTERN_CONTAINS", "'pattern:' || pattern", "'function:' || token", count="places", positions="positions") + " FROM rplaces",
         head("HAS_ROOT", "'chord:' || canon", "'pitch_class:' || root") + " FROM cchord",
         head("HAS_QUALITY", "'chord:' || canon", "'chord_quality:' || quality") + " FROM cchord",
-        head("SIMILAR_TO", "'vector:' || query", "'vector:' || id", weight="cosine") + " FROM near",
+        head("SIMILAR_TO", "'function:' || query", "'function:' || id", weight="cosine") + " FROM near",
     ]
     return ["cchord AS (SELECT DISTINCT c.canon, d.root, c.quality FROM ch c JOIN chord_dim d ON d.symbol = c.symbol)", "cedges AS (" + "\n UNION ALL ".join(kinds) + ")"]
 
 
 def nodes() -> list[str]:
-    """cnodes: id, type, label, chromaticity (of functions, by their figure), of twelve kinds and the vectors."""
+    """cnodes: id, type, label, chromaticity (of functions, by their figure), of twelve kinds."""
     some = lambda kind, label, rest: f"SELECT '{kind}' AS type, {label} AS label {rest}"
     constants = C.values("fixed_nodes", "type, label", [*(("pitch_class", t) for t in C.TONICS), *(("interval", str(i)) for i in range(12)), *(("color_axis", a) for a in (*K.AXES, "surprise"))])
     kinds = [
         "SELECT type, label FROM fixed_nodes",
         some("key", "key_name", "FROM section_key"), some("genre", "genre", "FROM ch"), some("section", "section", "FROM ch"), some("era", "decade", "FROM ch"),
         some("relationship_type", "rule", "FROM facts"), some("chord", "canon", "FROM cchord"), some("pitch_class", "root", "FROM cchord"), some("chord_quality", "quality", "FROM cchord"),
-        some("function", "token", "FROM roman"), some("pattern", "pattern", "FROM rplaces"), some("vector", "CAST(query AS STRING)", "FROM near"), some("vector", "CAST(id AS STRING)", "FROM near"),
+        some("function", "token", "FROM roman"), some("pattern", "pattern", "FROM rplaces"),
     ]
     figure, degree = "substr(label, 3)", "regexp_extract(substr(label, 3), '^([ivIV]+)', 1)"
     rough = f"CASE WHEN type <> 'function' THEN NULL WHEN substr({figure}, 1, 1) IN ('b', '#') THEN 0.8e0 WHEN instr({figure}, '/') > 0 THEN 0.7e0 WHEN (substr(label, 1, 1) = 'M' AND {degree} IN {_HOME['M']}) OR (substr(label, 1, 1) = 'm' AND {degree} IN {_HOME['m']}) THEN 0.0e0 ELSE 0.5e0 END"
     return [constants, "nd AS (" + " UNION ".join(kinds) + ")", f"cnodes AS (SELECT type || ':' || label AS id, type, label, {rough} AS chromaticity FROM nd WHERE label IS NOT NULL AND label <> '')"]
 
 
+#: DuckDB: near, the ten functions nearest to each in the transition graph; its steps are its own.
+_NEAR_SQL = "near AS (" + sql(
+    "ed AS (SELECT a AS src, b AS dst, count FROM rtr WHERE context = 'global')", W_SQL, rp_sql(FUNCTION_DIMS),
+    "SELECT query, id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS r FROM (SELECT x.token AS query, y.token AS id, round(sum(x.value * y.value), 9) AS cosine FROM rp x JOIN rp y ON x.dim = y.dim AND x.token <> y.token GROUP BY ALL) z) WHERE r <= 10",
+) + ")"
 _TOPF = "topf AS (SELECT id, n FROM (SELECT id, sum(count) AS n FROM (SELECT src AS id, count FROM cedges WHERE type = 'TRANSITIONS_TO' AND context = 'global' UNION ALL SELECT dst, count FROM cedges WHERE type = 'TRANSITIONS_TO' AND context = 'global') x GROUP BY id) y ORDER BY n DESC, id LIMIT 120)"
 _FUNCTIONS = "ask AS (SELECT id FROM cnodes WHERE type = 'function')"
 GRAPH = {
     "graph_nodes": ([], "SELECT id, type, label, chromaticity FROM cnodes"),
-    "graph_edges": ([], "SELECT type, context, src, dst, count, round(prob, 9) AS prob, round(weight, 9) + 0e0 AS weight FROM cedges"),
+    "graph_edges": ([], "SELECT type, context, src, dst, count, round(prob, 9) AS prob, round(weight, 9) + 0e0 AS weight, positions FROM cedges"),
     "node_edge_census": ([], """SELECT kind, type, n, loose FROM (SELECT 'node' AS kind, type, count(*) AS n, CAST(0 AS BIGINT) AS loose FROM cnodes GROUP BY type
   UNION ALL SELECT 'edge', e.type, count(*), sum(CASE WHEN s.id IS NULL OR t.id IS NULL THEN 1 ELSE 0 END) FROM cedges e LEFT JOIN cnodes s ON s.id = e.src LEFT JOIN cnodes t ON t.id = e.dst GROUP BY e.type) x"""),
     # both directions of every function, every type and context
@@ -142,12 +151,10 @@ def _duck(name: str) -> str:
         depth, ctes, select = REPORTS[name]
         return T.query([CHORD_SQL, *_ctes(d, depth), *[x.replace("STRING", "VARCHAR") for x in ctes]], select)
     more, select = GRAPH.get(name) or COLORED[name]
-    seq = f"seq AS (SELECT song, ordinal, section, genre, decade, row_number() OVER ({_W}) - 1 AS pos, token FROM roman)"
-    pats = [seq, CONTEXT_SQL, KEPT_SQL, PATTERN_SQL, "rplaces AS (SELECT pattern, unnest(string_split(pattern, ' ')) AS token FROM pats)", VEC, TOP("true", 10), "near AS (SELECT query, id, cosine FROM tk_)"]
-    pats = [x.replace("tk AS (", "tk_ AS (") if x.startswith("tk AS") else x for x in pats]  # tk is the tokens' relation elsewhere
+    places = "rplaces AS (SELECT pattern, token, count(*) AS places, string_agg(pos, ',' ORDER BY pos) AS positions FROM rspots GROUP BY pattern, token)"
     ctes = [*_ctes(d, "facts"), C.KEY_PC_DIM, K.QUALITY_EXT, *K.voicings(), *_ABST, *K.leading_targets()[:-1]]
     both = ["vall2 AS (SELECT * FROM vpairs UNION SELECT " + K._pair("f", "t") + " FROM vtop v JOIN vplay f ON f.canon = v.from_chord JOIN vplay t ON t.canon = v.to_chord)"]
-    ctes += [*K.successive(), *both, *K.motions("vall2"), *[x.strip().rstrip(",") for x in pats], *transitions(d), *edges(), *nodes()]
+    ctes += [*K.successive(), *both, *K.motions("vall2"), *PATTERNS_SQL, places, *transitions(d), _NEAR_SQL, *edges(), *nodes()]
     if name in COLORED:
         ctes += [*K.color_axes(), *K.realized("roman"), *K.subjects(), *_profile_steps()]
     return T.query([CHORD_SQL, *[x.replace("STRING", "VARCHAR") for x in ctes], *more], select)
@@ -164,12 +171,13 @@ def _graph_views(spark, sf, colored: bool) -> None:
     _view(spark, "vroot", [C.QUALITY_DIM, C.TONE_DIM, *K.voicings()])
     for step in (_ABST, K.leading_targets()[:2], K.leading_targets()[2:4], K.leading_targets()[4:], K.motions()):
         _view(spark, step[-1].split(" ", 1)[0], step)
-    sections = spark.sql("SELECT song, ordinal, section, genre, decade, array_sort(collect_list(named_struct('pos', pos, 'token', token))).token AS tokens FROM roman GROUP BY song, ordinal, section, genre, decade")
-    found = S.patterns(materialize(sections, "sections"), MIN_SUPPORT, MIN_CONTEXT, keep=materialize)[0]
-    found.selectExpr("pattern", "explode(split(pattern, ' ')) AS token").createOrReplaceTempView("rplaces")
-    v = _vectors(spark, sf)
-    materialize(G.cosine_topk(v, v, 10).select("query", "id", "cosine"), "near").createOrReplaceTempView("near")
+    pattern_views(spark)
+    _view(spark, "rplaces", ["rplaces AS (SELECT pattern, token, count(*) AS places, array_join(transform(array_sort(collect_list(pos)), x -> CAST(x AS STRING)), ',') AS positions FROM rspots GROUP BY pattern, token)"])
     _view(spark, "rtr", transitions(T.SPARK))
+    v = materialize(E.fastrp(spark.sql("SELECT a AS src, b AS dst, count FROM rtr WHERE context = 'global'"), FUNCTION_DIMS), "function-values")
+    v = materialize(v.groupBy(F.col("token").alias("id")).agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).getField("value").alias("vec")).withColumn("model", F.lit(0)), "function-vectors")
+    # as many rows as the vocabulary has functions
+    materialize(G.cosine_topk(v, v, 10).select("query", "id", "cosine"), "near").createOrReplaceTempView("near")
     _view(spark, "cchord", edges()[:1])
     _view(spark, "cedges", edges()[1:])
     _view(spark, "cnodes", nodes())

@@ -75,3 +75,28 @@ def test_tonic_numerals(spark):
     tokens = {"M:I": True, "M:Imaj7": True, "m:i7": True, "M:vi7": True, "m:III": True, "M:V7/vi": False, "M:bVI": False, "M:viio7/ii": False, "M:iii": True, "m:bIII": False}
     got = spark.createDataFrame([(t,) for t in tokens], "token string").selectExpr("token", f"{K.tonic()} AS t").collect()
     assert {r["token"]: r["t"] for r in got} == tokens
+
+
+def test_drivers_of_a_summary(spark):
+    """The last chord, then each borrowed or else chromatic one; a chord can drive twice."""
+    own = spark.newSession()
+    own.createDataFrame([(1, 0, 0, "M:bVI", 1, 1, False), (1, 0, 1, "M:I", 0, 0, False), (1, 0, 2, "M:III", 0, 1, True), (2, 0, 0, "M:I", 0, 0, True)], "song long, ordinal long, idx int, token string, borrowed int, chromatic int, final boolean").createOrReplaceTempView("color")
+    got = sorted((r["song"], r["idx"], r["reason"], r["weight"]) for r in own.sql(K.color_drivers()).collect())
+    assert got == [(1, 0, "borrowed_chord", 1.5), (1, 2, "chromatic_chord", 1.0), (1, 2, "final_cadence", 2.0), (2, 0, "final_cadence", 2.0)]
+
+
+def test_patterns_as_subjects(spark):
+    """Patterns become progressions in the reference key; those of both modes, or with a token that can't be realized, stay out."""
+    own = spark.newSession()
+    own.createDataFrame([(1, 0, k, t) for k, t in enumerate(["M:I", "M:IV", "M:V", "M:I"])], "song long, ordinal long, pos long, token string").createOrReplaceTempView("roman")
+    patterns = {"M:I M:IV M:V": 30, "M:I m:iv M:V": 40, "M:I M:? M:V": 50}
+    own.createDataFrame(list(patterns.items()), "pattern string, support long").createOrReplaceTempView("rpats")
+    spots = [(p, i, t) for p in patterns for i, t in enumerate(p.split())]
+    own.createDataFrame(spots, "pattern string, pos int, token string").createOrReplaceTempView("rspots")
+    tokens = [("major" if t[0] == "M" else "minor", t) for t in {t for _, _, t in spots}]
+    own.createDataFrame(tokens, "mode string, token string").createOrReplaceTempView("some_tokens")
+    steps = [C.QUALITY_DIM, T.DEGREE_DIM, *K.realized("some_tokens"), *K.subjects(patterns=True)]
+    rows = own.sql(T.query(steps, "SELECT song, pos, root_pc, quality FROM pch WHERE song LIKE 'pattern%'")).collect()
+    assert sorted((r["song"], r["pos"], r["root_pc"], r["quality"]) for r in rows) == [("pattern M:I M:IV M:V", 0, 0, "maj"), ("pattern M:I M:IV M:V", 1, 5, "maj"), ("pattern M:I M:IV M:V", 2, 7, "maj")]
+    assert {r["subject_id"]: r["support"] for r in own.sql(T.query(steps, "SELECT subject_id, support FROM subj WHERE subject_type = 'pattern'")).collect()} == patterns
+    assert [tuple(r) for r in own.sql(T.query(steps, "SELECT key_name, tonic, mode FROM pkeys WHERE song LIKE 'pattern%'")).collect()] == [("C major", 0, "major")]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqgraph.operators import graph as G
 from seqgraph.operators import predict as P
 from seqgraph.operators import sequence as S
+from seqgraph.sources.fixtures import materialize
 
 SCHEMA = "song long, ordinal long, section string, genre string, decade string, pos long, token string"
 
@@ -108,7 +109,39 @@ def test_paths_that_never_step_down(spark):
     e = spark.createDataFrame([("TRANSITIONS_TO", "a", "b", 0.9), ("TRANSITIONS_TO", "b", "d", 0.9), ("TRANSITIONS_TO", "a", "c", 0.2), ("TRANSITIONS_TO", "c", "d", 0.2), ("OTHER", "a", "d", 0.5)], "type string, src string, dst string, prob double")
     pairs, level = spark.createDataFrame([("a", "d")], "src string, dst string"), spark.createDataFrame([("a", 1), ("b", 0), ("c", 2), ("d", 3)], "id string, level int")
     assert [r["path"] for r in G.k_best_paths(e, pairs, 3, 4).orderBy("rank").collect()] == ["a b d", "a d", "a c d"]
-    assert [r["path"] for r in G.k_best_paths(e, pairs, 3, 4, level).orderBy("rank").collect()] == ["a d", "a c d"]
+    assert [r["path"] for r in G.k_best_paths(e, pairs, 3, 4, level, rising=True).orderBy("rank").collect()] == ["a d", "a c d"]
+
+
+@pytest.mark.parametrize("rising, most", [(False, 2), (True, None), (True, 2)])
+def test_six_edges_with_levels_against_all_walks(spark, rising, most):
+    import itertools
+    import random
+
+    rnd = random.Random(11)
+    names = "abcdefgh"
+    edges = {(x, y): rnd.uniform(0.05, 1) for x in names for y in names if x != y and rnd.random() < 0.6}
+    level = {x: rnd.randint(0, 3) for x in names if x not in "ad"} | {"a": 3}  # d has none: 0
+    allowed = {(x, y) for x, y in edges if (not rising or level.get(x, 0) <= level.get(y, 0)) and (most is None or level.get(y, 0) <= most)}
+    e = spark.createDataFrame([("TRANSITIONS_TO", x, y, p) for (x, y), p in edges.items()], "type string, src string, dst string, prob double")
+    pairs = [("a", "h"), ("b", "c"), ("a", "d"), ("d", "h"), ("c", "g")]
+    levels = spark.createDataFrame(list(level.items()), "id string, level int")
+    found = G.k_best_paths(e, spark.createDataFrame(pairs, "src string, dst string"), 5, 6, levels, rising, most, keep=materialize).collect()
+    got = {(r["src"], r["dst"], r["rank"]): (r["path"], round(r["cost"], 6)) for r in found}
+    want = {}
+    for s, d in pairs:
+        walks = []
+        for n in range(6):
+            for mid in itertools.permutations([x for x in names if x not in (s, d)], n):
+                path = (s, *mid, d)
+                if all(x in allowed for x in zip(path, path[1:], strict=False)):
+                    walks.append((round(sum(-math.log(edges[x]) for x in zip(path, path[1:], strict=False)), 6), " ".join(path)))
+        want |= {(s, d, i + 1): (path, cost) for i, (cost, path) in enumerate(sorted(walks)[:5])}
+    assert got == want and got
+
+
+def test_constraints_need_levels(spark):
+    with pytest.raises(ValueError, match="levels"):
+        G.k_best_paths(spark.range(1), spark.range(1), rising=True)
 
 
 def test_graph_filter_and_merge(spark):
