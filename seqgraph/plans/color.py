@@ -14,7 +14,7 @@ from ..operators import theory as T
 from ..sources.fixtures import CHORD_SQL, CONTEXT_SQL, isolated, materialize
 from .harmony import _ctes, _staged, _view
 from .prediction import CHAIN_SQL, STATS_SQL
-from .sequences import KEPT_SQL, MIN_CONTEXT, MIN_SUPPORT, NGRAM_SQL, PATTERN_SQL, PRUNE, sql
+from .sequences import KEPT_SQL, MIN_CONTEXT, NGRAM_SQL, PRUNE, pattern_sql, sql
 
 _ABST = [
     "ab AS (SELECT canon AS from_chord, lead(canon) OVER (PARTITION BY song, ordinal ORDER BY pos) AS to_chord FROM ch)",
@@ -36,11 +36,13 @@ SELECTS = {
     "color_profiles": "SELECT s.subject_type, s.subject_id, s.support, " + ", ".join(f"round(c.{a}, 9) + 0e0 AS {a}" for a in K.AXES) + " FROM subj s JOIN p_color c ON c.song = s.subject_type || ' ' || s.subject_id WHERE c.final",
     "color_profile_census": "SELECT s.subject_type, count(*) AS subjects, count(c.song) AS profiled, count(*) - count(c.song) AS skipped FROM subj s LEFT JOIN (SELECT song FROM p_color WHERE final) c ON c.song = s.subject_type || ' ' || s.subject_id GROUP BY s.subject_type",
 }
+#: How often a pattern of functions occurs at least: chords vary more than event types.
+FUNCTION_SUPPORT = 4
 _PROFILES = ("color_profiles", "color_profile_census")
 _SPOTS = "rspots AS (SELECT pattern, unnest(string_split(pattern, ' ')) AS token, unnest(range(0, len(string_split(pattern, ' ')))) AS pos FROM rpats)"
 #: DuckDB: rpats (pattern, support), the frequent patterns of roman, and rspots (pattern, token, pos); the steps to them are their own.
 PATTERNS_SQL = [
-    "rpats AS (" + sql("seq AS (SELECT song, ordinal, section, genre, decade, row_number() OVER (PARTITION BY song, ordinal ORDER BY pos) - 1 AS pos, token FROM roman)", CONTEXT_SQL, KEPT_SQL, PATTERN_SQL, "SELECT pattern, support FROM pats") + ")",
+    "rpats AS (" + sql("seq AS (SELECT song, ordinal, section, genre, decade, row_number() OVER (PARTITION BY song, ordinal ORDER BY pos) - 1 AS pos, token FROM roman)", CONTEXT_SQL, KEPT_SQL, pattern_sql(FUNCTION_SUPPORT), "SELECT pattern, support FROM pats") + ")",
     _SPOTS,
 ]
 _NEED = {"color_axes": "color9", "color_norms": "norms", "normalize_axes": "norms", "perceptual_axes": "arc", "color_arc": "arc", "color_compare": "arc"}
@@ -145,7 +147,7 @@ def _measured(spark) -> None:
 def pattern_views(spark) -> None:
     """Views rpats and rspots over the view roman."""
     sections = spark.sql("SELECT song, ordinal, section, genre, decade, array_sort(collect_list(named_struct('pos', pos, 'token', token))).token AS tokens FROM roman GROUP BY song, ordinal, section, genre, decade")
-    found = S.patterns(materialize(sections, "sections"), MIN_SUPPORT, MIN_CONTEXT, keep=materialize)[0]
+    found = S.patterns(materialize(sections, "sections"), FUNCTION_SUPPORT, MIN_CONTEXT, keep=materialize)[0]
     materialize(found.select("pattern", "support"), "frequent").createOrReplaceTempView("rpats")
     spark.sql("SELECT pattern, x.pos, x.col AS token FROM rpats LATERAL VIEW posexplode(split(pattern, ' ')) x AS pos, col").createOrReplaceTempView("rspots")
 

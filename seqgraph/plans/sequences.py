@@ -77,18 +77,22 @@ conts AS (SELECT context, ord - 1 AS ord, CASE WHEN contains(history, ' ') THEN
 ngrams AS (SELECT * FROM (SELECT context, ord AS "order", history, token, cnt, coalesce(cont, 0) AS cont, CAST(sum(cnt) OVER w AS BIGINT) AS total, count(*) OVER w AS distinct_next
   FROM grams LEFT JOIN conts USING (context, ord, history, token) WINDOW w AS (PARTITION BY context, ord, history))
   WHERE total >= CASE "order" WHEN 3 THEN {PRUNE[3]} WHEN 4 THEN {PRUNE[4]} WHEN 5 THEN {PRUNE[5]} ELSE 0 END)"""
-PATTERN_SQL = f"""
+def pattern_sql(support: int) -> str:
+    return f"""
 secs AS (SELECT song, genre, section, decade, ordinal, list(token ORDER BY pos) AS toks FROM seq GROUP BY ALL),
 wins AS (SELECT song, ordinal, genre, section, decade, n AS length, toks[i:i + n - 1] AS w FROM (SELECT *, unnest(range(1, len(toks) - n + 2)) AS i FROM secs, (SELECT unnest([3, 4, 5, 6, 7, 8]) AS n))),
 turned AS (SELECT *, list_sort([{{'r': list_concat(w[k + 1:], w[1:k]), 'k': k}} FOR k IN range(0, length)])[1] AS best FROM wins),
 win AS (SELECT song, genre, section, decade, length, array_to_string(best.r, ' ') AS pattern, best.k AS k FROM turned),
-pats AS (SELECT pattern, length, count(*) AS support, least(count(DISTINCT song), 2000) AS song_count, array_to_string(list_sort(list(DISTINCT k)), ',') AS rotations FROM win GROUP BY pattern, length HAVING count(*) >= {MIN_SUPPORT}),
+pats AS (SELECT pattern, length, count(*) AS support, least(count(DISTINCT song), 2000) AS song_count, array_to_string(list_sort(list(DISTINCT k)), ',') AS rotations FROM win GROUP BY pattern, length HAVING count(*) >= {support}),
 wctx AS (SELECT *, unnest([x FOR x IN ['global', 'genre:' || genre, 'section:' || section, 'decade:' || decade, 'genre_section:' || genre || ':' || section] IF x IS NOT NULL]) AS context FROM win),
 wtot AS (SELECT context, count(*) AS windows FROM wctx WHERE context IN (SELECT context FROM kept) GROUP BY context),
 lifts AS (SELECT p.pattern, t.context, (coalesce(c.n, 0) / t.windows) / (p.support / (SELECT windows FROM wtot WHERE context = 'global')) AS lift
   FROM pats p CROSS JOIN wtot t LEFT JOIN (SELECT context, pattern, count(*) AS n FROM wctx GROUP BY ALL) c USING (pattern, context) WHERE t.context <> 'global' AND t.windows >= {MIN_CONTEXT})"""
 
 
+PATTERN_SQL = pattern_sql(MIN_SUPPORT)
+
+
 def sql(*parts: str) -> str:
     """A query: all but the last part are common table expressions."""
     return "WITH " + ",".join(p.strip().rstrip(",") for p in parts[:-1]) + " " + parts[-1]
