@@ -1,5 +1,7 @@
 """Every corpus operator against its plain version, over texts with nulls, empties, ties, copies, long lines and repeated rows."""
 
+import itertools
+import json
 import os
 import random
 import re
@@ -302,6 +304,38 @@ def test_mix_of_overlapping_sources(spark):
     assert {r["doc_id"]: r["source"] for r in mixed_documents(docs).collect()} == {i: sources[i] for i in times}
 
 
+def test_mix_keeps_every_pattern(spark):
+    # 24 sources have 276 pairs, each with texts of its own, and only half of the sources have texts that no other has: all patterns are in the flow
+    names = [f"s{i:02}" for i in range(24)]
+    kinds = list(itertools.combinations(names, 2)) + [tuple(names[:9])] + [(n,) for n in names[::2]]
+    rows = [(s, f"k{k}x{j} " * (3 + (k + j) % 9)) for k, kind in enumerate(kinds) for j in range(3 if len(kind) > 1 else 9) for s in kind for _ in range(2 if s == kind[0] and k % 4 == 0 else 1)]
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    words, distinct = {}, {}
+    for _, s, t in rows:
+        kind = kinds[int(t[1 : t.index("x")])]
+        words.setdefault(kind, {n: 0 for n in kind})[s] += len(t.split())
+        distinct.setdefault(kind, {})[t] = len(t.split())
+    sizes = [sum(w.get(n, 0) for w in words.values()) for n in names]
+    targets = capped_targets(sizes, [(5.0, 2.0, 1.0)[i % 3] for i in range(24)])
+    once = {k: sum(d.values()) for k, d in distinct.items()}
+    best = min_cost_flow([once[k] for k in words], [{names.index(n): w for n, w in v.items()} for v in words.values()], targets)
+    plan = [(json.loads(r["pool"]), r["flow"]) for r in plan_mix(sized_documents(docs)).collect()]
+    assert {tuple(p["pattern"]) for p, _ in plan} == set(kinds)
+    flow, given = dict.fromkeys(words, 0.0), dict.fromkeys(names, 0.0)
+    for p, f in plan:
+        assert -1e-6 <= f <= 3 * words[tuple(p["pattern"])][p["own"][0]] + 1e-6
+        flow[tuple(p["pattern"])] += f
+        given[p["own"][0]] += f
+    assert [given[n] for n in names] == pytest.approx(targets, abs=0.01)
+    cost = lambda flows: sum(max(0.0, f - r * once[k]) for k, f in flows for r in (1, 2, 3))
+    assert cost(flow.items()) == pytest.approx(cost((k, sum(b.values())) for k, b in zip(words, best, strict=True)), abs=0.1)
+    got = mix(docs).collect()
+    assert all(r["copies"] <= 3 for r in got)
+    for n, target in zip(names, targets, strict=True):
+        assert abs(sum(r["taken"] for r in got if rows[r["doc_id"]][1] == n) - target) <= 6
+
+
 def test_lines(spark, docs, rows):
     got = dedup_lines(docs).collect()
     same(map(tuple, got), brute.lines(plain(rows)))
