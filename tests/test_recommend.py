@@ -171,3 +171,14 @@ def test_fit_of_plausibility(spark):
     held = W.examples(spark.createDataFrame(candidate_rows(2), schema), names, "odd")
     assert W.step(held, weights)[0] < 0.7 * W.step(held, [0.0] * 4)[0]
     assert W.step(ex.limit(0), weights) == (0.0, pytest.approx([0.0] * 4))
+
+
+def test_projection_has_every_pattern(spark, monkeypatch):
+    from seqgraph.plans import embeddings as B
+
+    vectors = lambda name, n: spark.range(n).selectExpr(f"concat('{name}', id) AS {name}", "explode(array(0, 1, 2)) AS dim").selectExpr("*", "CAST(dim AS DOUBLE) AS value")
+    monkeypatch.setattr(B, "_token_vectors", lambda *_: vectors("token", 700))
+    monkeypatch.setattr(B, "_pattern_vectors", lambda *_: vectors("pattern", 6000))
+    rows = B.export_projection(spark, None)
+    assert rows.columns == ["type", "id", "x", "y"]
+    assert {(x["type"], x["count"]) for x in rows.groupBy("type").count().collect()} == {("function", 700), ("pattern", 6000)}
