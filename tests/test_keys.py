@@ -67,3 +67,12 @@ def test_stored_lines_need_no_shuffle_by_song(spark):
     q = own.sql("SELECT *, lead(symbol) OVER (PARTITION BY song, ordinal ORDER BY pos) AS nxt FROM lines")
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort [" not in plan and q.count() == len(chord_rows())
+
+
+@pytest.mark.parametrize(("query", "never"), [("color_compare", {"arc", "arc_end", "facts", "cseq"}), ("perceptual_axes", {"arc", "arc_end", "facts", "cseq"}), ("explain_edge", {"cedges", "cnodes", "color", "windows"}), ("graph_nodes", {"cedges", "cnodes", "color", "near", "rtr"}), ("node_lookup", {"cedges", "cnodes", "color", "frequent", "near"})])
+def test_only_what_is_read_is_stored(spark, monkeypatch, query, never):
+    from seqgraph.plans import color, reports
+
+    known = color.QUERIES | reports.QUERIES
+    names = stored_by(monkeypatch, lambda: known[query](spark, "/root/testdata/sf0.001").count())
+    assert names and not never & set(names)
