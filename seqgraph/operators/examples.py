@@ -21,11 +21,12 @@ def pattern_places(sections: DataFrame, patterns: DataFrame, lengths: tuple[int,
     """
     once = S.windows(sections, lengths).select("w").distinct()
     turned = once.select("w", S.smallest_rotation(F.col("w")).alias("best")).select("w", "best.pattern", "best.offset")
-    known = keep(turned.join(patterns.select("pattern"), "pattern"), "pattern-windows")
+    # windows and places are estimated at the size of what they are cut from: without the hints they might be broadcast through the driver
+    known = keep(turned.hint("merge").join(patterns.select("pattern"), "pattern"), "pattern-windows")
     cut = lambda n: F.when(F.size("tokens") >= n, F.transform(F.sequence(F.lit(1), F.size("tokens") - n + 1), lambda i: F.struct((i - 1).cast("long").alias("pos"), F.array_join(F.slice("tokens", i, n), " ").alias("w"))))
     every = F.flatten(F.array_compact(F.array(*[cut(n) for n in range(lengths[0], lengths[1] + 1)])))
     places = sections.select("song", "ordinal", "section", F.explode(every).alias("x")).select("song", "ordinal", "section", "x.*")
-    return places.join(known, "w").select("pattern", "song", "ordinal", "section", "pos", "offset")
+    return places.hint("merge").join(known, "w").select("pattern", "song", "ordinal", "section", "pos", "offset")
 
 
 def chosen(places: DataFrame, *key: str, external: str = "external", seed: int = 5, first: int = 20, keep: int = 5) -> DataFrame:

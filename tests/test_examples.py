@@ -59,3 +59,10 @@ def test_bounds_of_frequent_items(spark, counters):
     assert all(high - low <= total / counters for low, high in found.values())
     assert counters < 1000 or all(low == high for low, high in found.values())
     assert X.heavy_hitters(spark.createDataFrame(items[:0], "item string, n int"), 1).count() == 0
+
+
+def test_places_are_never_broadcast(spark):
+    rows = [(1, 0, "verse", "g", "d", ["A", "B", "C", "A"]), (2, 0, "verse", "g", "d", ["C", "A", "B"])]
+    found = X.pattern_places(spark.createDataFrame(rows, SECTIONS), spark.createDataFrame([("A B C",)], "pattern string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and found.count() == 3
